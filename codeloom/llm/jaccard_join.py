@@ -9,8 +9,10 @@ A document's set is its distinct word shingles. Two documents link if the Jaccar
    documents share are hardly ever in a prefix. Any order is exact; this one keeps the lists short.
 3. Classes that share a prefix shingle with another are first joined within groups of equal minhash, with their whole
    texts at hand. That links nearly everything that links.
-4. What may still be missing lies between classes that share a prefix shingle but no component. Each such list is
-   joined again on bitmaps alone, and the pairs that survive are compared exactly.
+4. What may still be missing lies between classes that share a prefix shingle but no component. First a few pairs of
+   each longer list are tried, up to STARS for each component in it: this connects what is left of large groups at a
+   cost that grows with the lists, not their squares. Then each list that still has several components is joined on
+   bitmaps alone, all its pairs, and those that survive are compared exactly.
 
 Both joins run on signature trees: nodes hold the OR of the token bitmaps below them, the range of set sizes and of
 bits set, and the common component if there is one. Pairs of nodes are traversed from the root and dropped if the sizes
@@ -33,6 +35,9 @@ MAX_HOT = 20_000
 BLOCK = 4096
 #: Classes of a cut group that go to every block of it, about, to hold the blocks together.
 PIVOTS = 48
+STARS = 8
+#: Lists up to this length are joined all at once, without trees; buckets of lists have about so many rows.
+SMALL, BUCKET_ROWS = 16, 30_000
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 FANOUT, CHUNK = 8, 60_000
 
@@ -241,19 +246,108 @@ def _near_groups(k: int, percent: int):
     return run
 
 
+def surviving(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the pairs (places of sets) may link by size and bitmap; the others certainly don't."""
+    may = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+    widths = np.array([len(m) for m in maps])
+    swap = widths[a] > widths[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    may &= widths[b] <= 2 * widths[a]
+    used = np.unique(np.r_[a[may], b[may]])
+    place = np.zeros(len(maps), np.int64)
+    stacked = {}
+    for w in np.unique(widths[used]) if len(used) else ():
+        at = used[widths[used] == w]
+        place[at] = np.arange(len(at))
+        stacked[w] = np.stack([maps[i] for i in at])
+    for w, narrow in stacked.items():
+        for v in (w, 2 * w):
+            if v not in stacked:
+                continue
+            at = np.flatnonzero(may & (widths[a] == w) & (widths[b] == v))
+            other = stacked[v] if v == w else folded(stacked[v])
+            bits_a, bits_b = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (narrow, other))
+            for part in np.array_split(at, len(at) // CHUNK + 1):
+                x, y = place[a[part]], place[b[part]]
+                both = np.bitwise_count(narrow[x] & other[y]).sum(axis=1, dtype=np.int64)
+                m, n = sizes[a[part]], sizes[b[part]]
+                most = np.minimum(np.minimum(m - bits_a[x], n - bits_b[y]) + both, np.minimum(m, n))
+                may[part] = (100 + percent) * most >= percent * (m + n)
+    return may
+
+
+def _lists_of(group: pa.Table):
+    """A bucket's lists: the columns in the order of lists, and the lists' edges in it."""
+    token, i, j, docs = (group[c].to_numpy() for c in ("token", "i", "j", "doc"))
+    order = np.lexsort((docs, j, i, token))
+    token, i, j = token[order], i[order], j[order]
+    edges = np.r_[np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]), len(order)]
+    columns = {c: group[c].to_numpy()[order] for c in ("doc", "pos", "n", "near", "component", "side")}
+    bits = group["bits"].combine_chunks()
+    return token, columns, [np.frombuffer(bits[int(x)].as_buffer(), np.uint64) for x in order], edges
+
+
+def _pair_table(docs: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    one, two = docs[np.concatenate([np.empty(0, np.int64), *a])], docs[np.concatenate([np.empty(0, np.int64), *b])]
+    pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
 def _list_pairs(percent: int):
+    """All pairs of a bucket's lists that may link and aren't connected."""
+
+    def run(group: pa.Table) -> pa.Table:
+        _, c, maps, edges = _lists_of(group)
+        sizes, component, side = c["n"], np.unique(c["component"], return_inverse=True)[1], c["side"]
+        one, two, lengths = [], [], np.diff(edges)
+
+        def wanted(a, b):
+            """Pairs on two sides, and, as each is found in the list of its first common shingle, only those that have
+            enough of their sets from here on."""
+            left = np.minimum(sizes[a] - c["pos"][a], sizes[b] - c["pos"][b])
+            return ((side[a] != side[b]) | (side[a] == 2)) & ((100 + percent) * left >= percent * (sizes[a] + sizes[b]))
+
+        for m in np.unique(lengths[lengths <= SMALL]):  # short lists all at once
+            first = edges[:-1][lengths == m][:, None]
+            i, j = np.triu_indices(m, 1)
+            a, b = (first + i).ravel(), (first + j).ravel()
+            fit = (component[a] != component[b]) & wanted(a, b)
+            a, b = a[fit], b[fit]
+            fit = surviving(a, b, sizes, maps, percent)
+            one.append(a[fit])
+            two.append(b[fit])
+        for k in np.flatnonzero(lengths > SMALL):
+            at = np.arange(edges[k], edges[k + 1])
+            for a, b in candidates(sizes[at], [maps[x] for x in at], c["near"][at], percent, component[at]):
+                a, b = at[a], at[b]
+                fit = wanted(a, b)
+                one.append(a[fit])
+                two.append(b[fit])
+        return _pair_table(c["doc"], one, two)
+
+    return run
+
+
+def _list_stars(percent: int):
+    """Of each long list of a bucket, for each component a member that the list picks at random, with members of the
+    list's largest component and with the next component's."""
+
     def run(group: pa.Table) -> pa.Table:
-        docs, sizes = group["doc"].to_numpy(), group["n"].to_numpy()
-        maps = [np.frombuffer(x, np.uint64) for x in group["bits"].to_pylist()]
-        _, component = np.unique(group["component"].to_numpy(), return_inverse=True)
-        side = group["side"].to_numpy()
-        one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in candidates(sizes, maps, group["near"].to_numpy(), percent, component):
-            crossing = (side[a] != side[b]) | (side[a] == 2)
-            a, b = docs[a[crossing]], docs[b[crossing]]
-            one.append(np.minimum(a, b))
-            two.append(np.maximum(a, b))
-        return pa.table({"a": np.concatenate(one), "b": np.concatenate(two)}).combine_chunks()
+        token, c, maps, edges = _lists_of(group)
+        one, two = [], []
+        for k in np.flatnonzero(np.diff(edges) > SMALL):
+            at = np.arange(edges[k], edges[k + 1])
+            at = at[np.argsort(mixed(c["doc"][at].view(np.uint64) ^ np.uint64(int(token[edges[k]]) & (1 << 64) - 1)), kind="stable")]
+            _, first, component, counts = np.unique(c["component"][at], return_index=True, return_inverse=True, return_counts=True)
+            top = np.argmax(counts)
+            largest, picked = at[component == top], at[np.sort(np.delete(first, top))]
+            if len(picked):
+                turn = (np.arange(len(picked))[:, None] * STARS + np.arange(STARS)) % len(largest)
+                one += [np.repeat(picked, STARS), picked[1:]]
+                two += [largest[turn].ravel(), picked[:-1]]
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (one, two))
+        fit = surviving(a, b, c["n"], maps, percent)
+        return _pair_table(c["doc"], [a[fit]], [b[fit]])
 
     return run
 
@@ -287,33 +381,47 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     classes = features.select("doc_id", "n_shingles", "d1", "d2").join(least, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("representative")).alias("representative"))
 
     of_class = sets.join(least.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi")
-    tokens = of_class.select(F.col("doc_id").alias("doc"), F.explode("prefix").alias("token")).distinct()
-    shared = written(tokens.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", "doc"), "shared")
-    texts = docs.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    texts = written(texts.select(F.col("doc_id").alias("doc"), "text"), "texts")
+    tokens = of_class.select(F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token"))
+    shared = written(tokens.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", "doc", "pos"), "shared")
 
-    near = texts.join(features.select(F.col("doc_id").alias("doc"), "near").distinct(), "doc")
+    near = of_class.select(F.col("doc_id").alias("doc"), "near").distinct()
     sizes = near.groupBy("near").agg(F.count("*").alias("n")).where("n > 1")
-    roots = _cut(near.join(sizes, "near"), "n", BLOCK).groupBy("near", "salt").applyInArrow(_near_groups(k, percent), "doc long, root long")
+    dealt = _cut(near.join(sizes, "near"), "n", BLOCK).select(F.col("doc").alias("doc_id"), "near", "salt", "pivot")
+    roots = docs.join(dealt, "doc_id").select(F.col("doc_id").alias("doc"), "text", "near", "salt", "pivot").groupBy("near", "salt").applyInArrow(_near_groups(k, percent), "doc long, root long")
     roots = written(roots.where("doc <> root").distinct(), "roots")
 
+    bits = of_class.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bits", "near")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // BUCKET_ROWS))
+
+    def compared(lists: DataFrame, pairs) -> DataFrame:
+        bucket = F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets))
+        maybe = written(lists.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(pairs(percent), "a long, b long").distinct(), "pairs")
+        ends = maybe.select(F.col("a").alias("doc_id")).unionByName(maybe.select(F.col("b").alias("doc_id"))).distinct()
+        texts = written(docs.join(ends, "doc_id", "left_semi"), "texts")
+        one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        return maybe.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long")
+
+    known = roots.select(F.col("doc").alias("a"), F.col("root").alias("b"))
     part = roots.groupBy("doc").agg(F.min("root").alias("component"))
-    bits = features.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bits", "near").dropDuplicates(["doc"])
+    known = known.unionByName(written(compared(_open_lists(shared, part, bits, SMALL + 1), _list_stars), "stars"))
+    part = components(known).select(F.col("node").alias("doc"), "component")
+    return classes, known.unionByName(compared(_open_lists(shared, part, bits, 2), _list_pairs))
+
+
+def _open_lists(shared: DataFrame, part: DataFrame, bits: DataFrame, least: int) -> DataFrame:
+    """The lists (token, doc) of at least so many classes that still have several components, dealt to pairs of blocks
+    (i, j). side 2: both blocks are one; in a pair of different blocks only pairs of sets that cross it (0 and 1) count."""
     placed = shared.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    # A list whose classes all belong together is done. Nor do two lists of the same classes have to be joined twice.
-    digest = F.bit_xor(F.xxhash64("doc"))
-    mixed_lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("of"), digest.alias("x"), F.sum(F.xxhash64(F.lit(3), "doc").cast("decimal(38,0)")).alias("y")).where("low < high")
-    mixed_lists = mixed_lists.groupBy("x", "y", "of").agg(F.min("token").alias("token")).select("token", "of")
-    lists = placed.join(mixed_lists, "token").join(bits, "doc")
+    # Of lists of the same classes one is enough: that of the shingle that comes first in their prefixes.
+    same = F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64(F.lit(3), "doc").cast("decimal(38,0)")).alias("y"), F.sum("pos").alias("places")
+    lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("of"), *same)
+    lists = lists.where((F.col("low") < F.col("high")) & (F.col("of") >= least)).groupBy("x", "y", "of").agg(F.min_by("token", "places").alias("token")).select("token", "of")
     blocks = F.ceil(F.col("of") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     pairs_of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side")))
-    dealt = lists.select("token", "doc", "n", "bits", "near", "component", F.explode(pairs_of).alias("p")).select("token", "doc", "n", "bits", "near", "component", "p.i", "p.j", "p.side")
-    # side 2: both ends in one block, joined where i = j; in a pair of blocks only pairs that cross it count.
-    maybe = dealt.groupBy("token", "i", "j").applyInArrow(_list_pairs(percent), "a long, b long").distinct()
-    one, two = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    more = maybe.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long")
-    return classes, roots.select(F.col("doc").alias("a"), F.col("root").alias("b")).unionByName(more)
+    rows = placed.join(lists, "token").join(bits, "doc")
+    own_columns = ["token", "doc", "pos", "n", "bits", "near", "component"]
+    return rows.select(*own_columns, F.explode(pairs_of).alias("p")).select(*own_columns, "p.i", "p.j", "p.side")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
