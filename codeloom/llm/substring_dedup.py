@@ -16,6 +16,8 @@ number of words, whatever the sizes of the groups of copies:
 
 from __future__ import annotations
 
+import itertools
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -93,34 +95,54 @@ def _passages(window: int):
             if doc not in wanted:
                 continue
             words = (texts[i].as_py() or b"").split()
-            for piece, shards in wanted[doc].items():
-                part = words[piece * PIECE : (piece + 1) * PIECE + window - 1]
-                if len(part) >= window:
-                    passage = b" ".join(part)
-                    for to in shards:
+            pieces: dict[int, list[int]] = {}
+            for piece in sorted(wanted[doc]):
+                for to in wanted[doc][piece]:
+                    pieces.setdefault(to, []).append(piece)
+            for to, asked_for in pieces.items():
+                first = last = asked_for[0]
+                for piece in [*asked_for[1:], -1]:  # pieces in a row make one passage
+                    if piece == last + 1:
+                        last = piece
+                        continue
+                    part = words[first * PIECE : (last + 1) * PIECE + window - 1]
+                    if len(part) >= window:
                         out["to"].append(to)
                         out["owner"].append(doc)
-                        out["passage"].append(passage)
+                        out["passage"].append(b" ".join(part))
+                    first = last = piece
         return pa.table({"to": pa.array(out["to"], pa.int64()), "owner": pa.array(out["owner"], pa.int64()), "passage": pa.array(out["passage"], pa.binary()).cast(pa.string())})
 
     return run
 
 
+def spelled(numbers: np.ndarray, symbols: int) -> str:
+    """Word numbers as a string, `symbols` characters each: 6 bits a character, from another range of characters at
+    each place, so that no match begins within a word and few characters can follow any other."""
+    out = np.empty((len(numbers), symbols), np.uint8)
+    for i in range(symbols):
+        out[:, i] = 1 + 63 * i + (numbers // 63**i) % 63
+    return out.tobytes().decode("latin-1")
+
+
 class Passages:
     """A shard's passages: the automaton over their blocks, and their windows with the smallest owner of each."""
 
     def __init__(self, passages: list[bytes], owners: list[int], window: int, hasher: WordHasher):
         self.window, self.block, self.numbers = window, window // 2, {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        numbers, each = self.numbers, []
         hashes, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        numbers = self.numbers
         for passage, owner in zip(passages, owners):
             words = passage.split()
-            key = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words])
-            for at in range(0, len(key) - self.block + 1, self.block):
-                self.automaton.add_word(key[at : at + self.block], 1)
+            each.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in words]))
             hashes.append(gram_hashes(hasher.of(words), window))
             of.append(np.full(len(hashes[-1]), owner, np.int64))
+        self.symbols = 3 if len(numbers) < 63**3 else 4
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for key in each:
+            key, wide = spelled(key, self.symbols), self.block * self.symbols
+            for at in range(0, len(key) - wide + 1, wide):
+                self.automaton.add_word(key[at : at + wide])
         if numbers:
             self.automaton.make_automaton()
         every, owner = np.concatenate(hashes), np.concatenate(of)
@@ -129,16 +151,24 @@ class Passages:
         first = np.r_[True, every[1:] != every[:-1]][: len(every)]
         self.hashes, self.owners = every[first], owner[first]
 
+    def _blocks(self, words: list[bytes]) -> np.ndarray:
+        """Where the automaton ends a block: places of last words. Stretches without an unknown word are streamed, as
+        long as they can hold a block."""
+        numbers = np.fromiter(map(self.numbers.get, words, itertools.repeat(0)), np.int64, len(words))
+        edges = np.flatnonzero(np.diff(np.r_[0, (numbers > 0).view(np.int8), 0]))
+        ends = []
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if end - start >= self.block:
+                ends += [start + at // self.symbols for at, _ in self.automaton.iter(spelled(numbers[start:end], self.symbols))]
+        return np.array(ends, np.int64)
+
     def covered(self, doc: int, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
         """Which words of a document lie in a window that a smaller document has."""
         n, out = len(words) - self.window + 1, np.zeros(len(words) + 1, np.int32)
-        if n <= 0 or not self.numbers:
-            return out[:-1] > 0
-        get = self.numbers.get
-        ends = [end for end, _ in self.automaton.iter(tuple([get(w, 0) for w in words]))]
-        if not ends:
+        ends = self._blocks(words) if n > 0 and self.numbers else out[:0]
+        if not len(ends):
             return out[:-1] > 0
-        near, ends = np.zeros(len(words) + 1, np.int32), np.array(ends)
+        near = np.zeros(len(words) + 1, np.int32)
         np.add.at(near, np.maximum(ends - self.window + 1, 0), 1)
         np.add.at(near, ends - self.block + 2, -1)
         at = np.flatnonzero(np.cumsum(near)[:n] > 0)
