@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK_TERMS = 200_000
@@ -84,7 +86,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, phrase: int = 10, block_te
     one of the rows, and every row consists of occurrences. Items without words have none."""
     items = items.select("item_id", words_of("text").alias("words")).where(F.size("words") > 0).withColumn("row", F.xxhash64("words")).dropDuplicates(["item_id", "row"])
     terms = items.select(F.explode("words").alias("term")).distinct()
-    chosen = anchors(items, frequencies(docs, terms, block_terms), phrase)
+    chosen = written(anchors(items, frequencies(docs, terms, block_terms), phrase), "anchors")
     rows = chosen.count()
     found = []
     for block in _blocks(chosen, "term", rows, block_terms):
@@ -122,7 +124,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, phrase: int = 10, block_ter
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     key = F.struct("doc_id", F.xxhash64("text").alias("of"))
-    hits = phrase_matches(docs.select(key.alias("doc_id"), "text"), items, phrase, block_terms)
+    hits = written(phrase_matches(docs.select(key.alias("doc_id"), "text"), items, phrase, block_terms), "hits")
     # Words are counted once however many phrases cover them: the union of the rows' ranges, by document.
     places = hits.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
     n_hit = places.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
