@@ -12,21 +12,12 @@ from pyspark.sql import functions as F
 from codeloom.llm import decontamination, extendible_hashing, fair_mix, importance, jaccard_join
 from codeloom.llm.common import table, written
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _with(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs whose doc_id (null among them) is in rows, which has it once; further columns of rows are added."""
-    rows = rows.withColumnRenamed("doc_id", "__id")
-    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["__id"])).drop("__id")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling towards the documents labelled as good: as large a share as is good among the labels."""
     labels = table(spark, sf_dir, "labels")
     kept = importance.resample(docs, labels.where("quality = 1"), importance.target_share(labels)).where("kept").select("doc_id", "of").distinct()
-    kept = kept.withColumnRenamed("doc_id", "__id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["of"])).select(*docs.columns)
+    kept = kept.toDF("__id", "__of")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__of"]), "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +32,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any ten-word passage of a benchmark item go."""
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), F.expr("doc_id <=> __id"), "left_anti").select(*docs.columns)
+    return docs.join(found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), F.expr("doc_id <=> __id"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources in the proportions of their weights: each document as often as the mix takes it, zero to three times."""
-    taken = fair_mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "of", "copies").distinct()
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(taken["of"]))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).drop("__copy")
+    taken = fair_mix.mix(docs).where("copies > 0").groupBy("doc_id", "of").agg(F.max("copies").alias("copies")).toDF("__id", "__of", "__copies")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]) & (F.xxhash64(docs["text"]) == taken["__of"]))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
