@@ -98,29 +98,30 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labelled
 
 def fit_sample(texts: list[bytes | None], truth: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
     """fit() on texts and their labels: proximal Adam on the noisy-or likelihood, with an L1 penalty."""
-    of, feature_of, sentence_of, doc_of, n = Features(buckets), [], [], [np.empty(0, np.int64)], 0
+    of, in_docs, in_toxic = Features(buckets), np.zeros(buckets), np.zeros(buckets)
+    weights = np.zeros(buckets, np.float32)
+    for text, y in zip(texts, truth):
+        have = list({f for w in set(WORD.findall((text or b"").lower())) for f in of[w]})
+        in_docs[have] += 1
+        in_toxic[have] += y
+    # Features are screened by documents: those of few say nothing about others, and of the rest the MOST_FEATURES that
+    # the labels depend on most are fitted.
+    apart = np.where(in_docs >= LEAST_DOCS, np.abs(in_toxic - in_docs * (truth.mean() if len(truth) else 0)) / np.sqrt(in_docs + 1), -1)
+    order = np.argsort(-apart, kind="stable")[:MOST_FEATURES]
+    chosen = set(order[apart[order] >= 0].tolist())
+    feature_of, sentence_of, doc_of, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     for i, text in enumerate(texts):
         words, starts, ranges = sentences(text or b"")
-        per_word = [of[w] for w in words]
+        per_word = [[f for f in of[w] if f in chosen] for w in words]
         feature_of.append(np.fromiter(itertools.chain.from_iterable(per_word), np.int64))
         counts = np.fromiter(map(len, per_word), np.int64, len(words))
         sentence_of.append(np.repeat(np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(words)])), counts) + n)
         doc_of.append(np.full(len(ranges), i))
         n += len(ranges)
-    weights = np.zeros(buckets, np.float32)
     if not n:
         return weights, START
     feature, sentence, doc = map(np.concatenate, (feature_of, sentence_of, doc_of))
-    # Features are screened by documents: those of few say nothing about others, and of the rest the MOST_FEATURES that
-    # the labels depend on most are fitted.
-    have = np.unique(doc[sentence] * buckets + feature)
-    in_docs = np.bincount(have % buckets, minlength=buckets)
-    in_toxic = np.bincount(have % buckets, truth[have // buckets], buckets)
-    apart = np.where(in_docs >= LEAST_DOCS, np.abs(in_toxic - in_docs * truth.mean()) / np.sqrt(in_docs + 1), -1)
-    chosen = np.zeros(buckets, bool)
-    chosen[np.argsort(-apart, kind="stable")[:MOST_FEATURES]] = True
-    keep = chosen[feature] & (in_docs[feature] >= LEAST_DOCS)
-    pairs, times = np.unique(sentence[keep] * buckets + feature[keep], return_counts=True)
+    pairs, times = np.unique(sentence * buckets + feature, return_counts=True)
     sentence, (used, column) = pairs // buckets, np.unique(pairs % buckets, return_inverse=True)
     w, b = np.zeros(len(used)), START
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
