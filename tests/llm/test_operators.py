@@ -7,6 +7,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -275,19 +276,15 @@ def test_search(docs, rows, none):
 
 def test_wand_skips_nothing():
     for _ in range(200):
-        lists = []
+        lists, every = [], collections.Counter()
         for _ in range(random.randint(1, 5)):
             at = sorted(random.sample(range(400), random.randint(1, 300)))
-            impacts = [random.random() for _ in at]
-            blocks = [max(impacts[i : i + 64]) for i in range(0, len(at), 64)]
-            lists.append((at, impacts, blocks, random.choice((0.5, 3.0))))
-        every = collections.Counter()
-        for at, impacts, _, w in lists:
+            impacts, w = [random.choice((0.25, random.random())) for _ in at], random.choice((0.5, 3.0))
+            lists.append((bm25_search.Postings(np.array(at), np.array(impacts)), w))
             for d, x in zip(at, impacts):
                 every[d] += w * x
         best = sorted(every.items(), key=lambda x: (-x[1], x[0]))[:7]
-        got = bm25_search.search([bm25_search.Cursor(*x) for x in lists], 7)
-        assert [d for _, d in got] == [d for d, _ in best]
+        assert [d for _, d in bm25_search.search(lists, 400, 7)] == [d for d, _ in best]
 
 
 def test_sharding(spark, docs, rows, none):
