@@ -34,7 +34,7 @@ def _of_parts(name: str, source: str, sql: str, measure: bool = True, **params)
     keys, the findings' lines and measures."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        part = _table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")
+        part = _table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
         files = part.selectExpr("concat('pkg/p', p_partkey, '.py') AS path", f"{source} AS source")
         found = DETECTORS[name](Facts(extracted(files)), **params)
         columns = [F.regexp_extract("file", r"p(\d+)\.py", 1).cast("long").alias("p_partkey"), F.col("line").cast("int").alias("line")]
@@ -44,7 +44,8 @@ def _of_parts(name: str, source: str, sql: str, measure: bool = True, **params)
 
 
 def _config_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").selectExpr("concat(l_orderkey, '_', l_linenumber, '.py') AS path", f"""concat('def f(', {_lines("l_linenumber + 3", "concat('p', i)", ", ")}, '):\\n    pass\\n') AS source""")
+    lines = _table(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism, "l_orderkey")  # parsing is the work here
+    rows = lines.selectExpr("concat(l_orderkey, '_', l_linenumber, '.py') AS path", f"""concat('def f(', {_lines("l_linenumber + 3", "concat('p', i)", ", ")}, '):\\n    pass\\n') AS source""")
     key = F.split(F.regexp_replace("file", r"\.py$", ""), "_")
     return DETECTORS["config_explosion"](Facts(extracted(rows))).select(key[0].cast("long").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), F.col("measure").cast("int").alias("n_params"))
 
