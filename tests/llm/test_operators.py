@@ -250,7 +250,10 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 10: 8} | {i: 100 for i in range(100, 161)}
 
 
-def test_search(docs, rows, none):
+@pytest.mark.parametrize("ratio", [2, 8, 1000])
+def test_search(docs, rows, none, ratio, monkeypatch):
+    """The same hits in many rounds, in two, and in one."""
+    monkeypatch.setattr(bm25_search, "ROUND", ratio)
     word = re.compile(rb"[0-9a-z\x80-\xff]+")
     counted = [(d, collections.Counter(word.findall((t or "").encode().lower()))) for d, t, *_ in rows]
     n, average = len(rows), sum(sum(c.values()) for _, c in counted) / len(rows)
@@ -285,6 +288,15 @@ def test_wand_skips_nothing():
                 every[d] += w * x
         best = sorted(every.items(), key=lambda x: (-x[1], x[0]))[:7]
         assert [d for _, d in bm25_search.search(lists, 400, 7)] == [d for d, _ in best]
+        floor = random.choice(best)[1]
+        assert [d for _, d in bm25_search.search(lists, 400, 7, floor * (1 - 1e-9))] == [d for d, s in best if s >= floor * (1 - 1e-9)]
+
+
+def test_search_rounds():
+    for shards in (1, 8, 9, 64, 103, 10**6):
+        edges = bm25_search.round_edges(shards)
+        assert edges[0] == 0 and edges[-1] == shards and edges == sorted(set(edges))
+        assert edges[1] <= 8 and all(b <= 8 * a for a, b in zip(edges[1:], edges[2:]))
 
 
 def test_sharding(spark, docs, rows, none):
