@@ -96,15 +96,18 @@ def _query(name: str, sql: str):
 
 
 @_query("overexposure", """
-WITH s AS (SELECT p_brand AS module, count(DISTINCT p_partkey) AS n FROM part GROUP BY p_brand HAVING count(DISTINCT p_partkey) >= 10),
-i AS (SELECT p_brand AS module, l_suppkey, count(DISTINCT l_partkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_linenumber = 1 GROUP BY ALL)
+WITH p AS (SELECT p_partkey, p_brand || '/' || p_size % 2 AS module, p_size % 2 AS odd FROM part),
+s AS (SELECT module FROM p GROUP BY module HAVING count(DISTINCT p_partkey) >= 10),
+i AS (SELECT module, CASE odd WHEN 0 THEN 'o' || l_orderkey ELSE 's' || l_suppkey END AS importer, count(DISTINCT l_partkey) AS k FROM lineitem JOIN p ON l_partkey = p_partkey GROUP BY ALL)
 SELECT module, round(avg(k), 6) AS measure FROM i JOIN s USING (module) GROUP BY module HAVING count(*) >= 3 AND avg(k) <= 2""")
 def _overexposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part")
-    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    odd = F.col("p_size") % 2
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", odd).alias("module"), odd.alias("odd"))
+    lines = _table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     name = F.concat(F.lit("s"), F.col("p_partkey"))
-    files = part.groupBy(F.col("p_brand").alias("module")).agg(F.collect_list(name).alias("top_names")).withColumn("path", F.col("module"))
-    imports = lines.select(F.col("l_suppkey").cast("string").alias("path"), F.col("p_brand").alias("x_module"), name.alias("name"), F.lit(True).alias("is_from"))
+    importer = F.when(F.col("odd") == 0, F.concat(F.lit("o"), "l_orderkey")).otherwise(F.concat(F.lit("s"), "l_suppkey"))
+    files = part.groupBy("module").agg(F.collect_list(name).alias("top_names")).withColumn("path", F.col("module"))
+    imports = lines.select(importer.alias("path"), F.col("module").alias("x_module"), name.alias("name"), F.lit(True).alias("is_from"))
     return DETECTORS["overexposure"](Facts(files=files, imports=imports)).select(F.col("file").alias("module"), F.round("measure", 6).alias("measure"))
 
 
@@ -117,10 +120,13 @@ def _temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("info_leakage", """
-SELECT l_partkey, CAST(count(DISTINCT l_linenumber) AS DOUBLE) AS measure FROM lineitem WHERE l_quantity >= 46 AND l_suppkey <> l_partkey % 100 GROUP BY l_partkey
-HAVING count(DISTINCT l_suppkey) >= 4 AND count(DISTINCT l_linenumber) >= 3""")
+WITH r AS (SELECT l_partkey, CASE l_partkey % 3 WHEN 0 THEN l_suppkey % 3 ELSE l_suppkey END AS reader, CASE l_partkey % 2 WHEN 0 THEN l_linenumber ELSE l_linenumber % 2 END AS attr FROM lineitem)
+SELECT l_partkey, CAST(count(DISTINCT attr) AS DOUBLE) AS measure FROM r WHERE reader <> l_partkey % 100 GROUP BY l_partkey
+HAVING count(DISTINCT reader) >= 4 AND count(DISTINCT attr) >= 3""")
 def _info_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").where("l_quantity >= 46").select(F.col("l_suppkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("name"), F.concat(F.lit("a"), "l_linenumber").alias("attr"))
+    reader = F.when(F.col("l_partkey") % 3 == 0, F.col("l_suppkey") % 3).otherwise(F.col("l_suppkey"))
+    attr = F.when(F.col("l_partkey") % 2 == 0, F.col("l_linenumber")).otherwise(F.col("l_linenumber") % 2)
+    rows = _table(spark, sf_dir, "lineitem").select(reader.cast("string").alias("path"), F.col("l_partkey").cast("string").alias("name"), F.concat(F.lit("a"), attr).alias("attr"))
     classes = rows.select("name").distinct().select("name", (F.col("name").cast("long") % 100).cast("string").alias("path"), F.lit(0).alias("place"), F.lit(1).alias("line"))
     types = rows.select("path", F.concat(F.lit("v"), "name").alias("v"), F.col("name").alias("type")).distinct().select("path", F.col("v").alias("name"), "type")
     attrs = rows.select("path", F.concat(F.lit("v"), "name").alias("receiver"), "attr", F.lit(1).alias("line"))
@@ -128,12 +134,15 @@ def _info_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("line").cast("long").alias("l_partkey"), "measure")
 
 
-_GRAPH = "SELECT DISTINCT o_custkey % 900 AS src, (o_orderkey * 7 + o_custkey) % 900 AS dst FROM orders WHERE o_orderkey % 17 = 0 AND o_custkey % 900 <> (o_orderkey * 7 + o_custkey) % 900 AND o_orderkey <= 15000"
+#: Each order calls two others of its dozen.
+_GRAPH = """SELECT DISTINCT o_orderkey AS src, o_orderkey - o_orderkey % 12 + k AS dst
+FROM (SELECT o_orderkey, unnest([o_custkey % 12, (o_orderkey * 7 + o_custkey) % 12]) AS k FROM orders) WHERE o_orderkey % 12 <> k"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, dst = F.col("o_custkey") % 900, (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 900
-    return _table(spark, sf_dir, "orders").where("o_orderkey % 17 = 0 and o_orderkey <= 15000").select(src.alias("src"), dst.alias("dst")).where("src <> dst").distinct()
+    key, other = F.col("o_orderkey"), F.col("o_custkey")
+    targets = F.explode(F.array(other % 12, (key * 7 + other) % 12))
+    return _table(spark, sf_dir, "orders").select(key.alias("src"), targets.alias("k")).select("src", (F.col("src") - F.col("src") % 12 + F.col("k")).alias("dst")).where("src <> dst").distinct()
 
 
 @_query("import_cycle", f"""
@@ -141,7 +150,7 @@ WITH RECURSIVE e AS ({_GRAPH}), r(src, dst) AS (SELECT src, dst FROM e UNION SEL
 m AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r AS a JOIN r AS b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
 SELECT component, CAST(count(*) AS DOUBLE) AS measure FROM m GROUP BY component""")
 def _import_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = _edges(spark, sf_dir).select(F.format_string("%05d", "src").alias("path"), F.format_string("%05d", "dst").alias("target"))
+    targets = _edges(spark, sf_dir).select(F.format_string("%012d", "src").alias("path"), F.format_string("%012d", "dst").alias("target"))
     return DETECTORS["import_cycle"](Facts(import_targets=targets)).select(F.col("file").cast("long").alias("component"), "measure")
 
 
@@ -163,35 +172,38 @@ def _boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.floor(F.col("line") / 10).alias("l_orderkey"), (F.col("line") % 10).cast("int").alias("l_linenumber"))
 
 
-@_query("unstable_interface", "SELECT l_partkey, CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS measure FROM lineitem WHERE l_quantity >= 35 AND l_partkey % 5 <> 0 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 10")
+@_query("unstable_interface", """
+WITH r AS (SELECT l_partkey, CASE l_partkey % 2 WHEN 0 THEN l_suppkey ELSE l_suppkey % 10 END AS importer FROM lineitem)
+SELECT l_partkey, CAST(count(DISTINCT importer) AS DOUBLE) AS measure FROM r WHERE l_partkey % 5 <> 0 GROUP BY l_partkey HAVING count(DISTINCT importer) >= 10""")
 def _unstable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").where("l_quantity >= 35")
-    imports = rows.select(F.col("l_suppkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("name"))
+    importer = F.when(F.col("l_partkey") % 2 == 0, F.col("l_suppkey")).otherwise(F.col("l_suppkey") % 10)
+    imports = _table(spark, sf_dir, "lineitem").select(importer.cast("string").alias("path"), F.col("l_partkey").cast("string").alias("name"))
     bases = F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit("Protocol"))).otherwise(F.array(F.lit("Base")))
     classes = _table(spark, sf_dir, "part").select(F.lit("c.py").alias("path"), F.col("p_partkey").cast("string").alias("name"), bases.alias("bases"), F.col("p_partkey").cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"))
     return DETECTORS["unstable_interface"](Facts(imports=imports, classes=classes)).select(F.col("line").cast("long").alias("l_partkey"), "measure")
 
 
 _EFFECTS = f"""
-WITH RECURSIVE e AS ({_GRAPH}), d AS (SELECT DISTINCT o_custkey % 900 AS node, 'e' || o_orderkey % 5 AS effect FROM orders WHERE o_orderkey % 40 = 1),
+WITH RECURSIVE e AS ({_GRAPH}), d AS (SELECT o_orderkey AS node, 'e' || o_custkey % 40 AS effect FROM orders WHERE o_custkey % 40 < 5),
 r(node, effect) AS (SELECT node, effect FROM d UNION SELECT e.src, r.effect FROM r JOIN e ON e.dst = r.node)"""
 
 
 def _effect_facts(spark: SparkSession, sf_dir: str) -> tuple[Facts, DataFrame]:
-    name = lambda c: F.format_string("m.compute_%05d", c)
+    name = lambda c: F.format_string("m.compute_%012d", c)
     edges = _edges(spark, sf_dir).select(name("src").alias("caller"), name("dst").alias("callee"))
-    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 40 = 1").select((F.col("o_custkey") % 900).alias("node"), (F.col("o_orderkey") % 5).alias("k")).distinct()
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_custkey") % 40).alias("k"))
     calls = rows.select(name("node").alias("caller"), F.concat(F.when(F.col("node") % 2 == 0, "x.").otherwise(""), F.lit("lib.f"), "k").alias("symbol"))
+    # of the forty functions that are called, five have a known effect
     effects = spark.range(5).select(F.concat(F.lit("lib.f"), "id").alias("symbol"), F.concat(F.lit("e"), "id").alias("category"))
     nodes = edges.select(F.col("caller").alias("q")).union(edges.select("callee")).union(calls.select("caller")).distinct()
-    number = F.expr("int(substring(q, -5))")
+    number = F.expr("int(substring(q, -12))")
     functions = nodes.select(F.lit("m.py").alias("path"), F.lit("m").alias("module"), number.alias("place"), number.alias("line"), number.alias("end_line"), F.when(number % 3 == 0, "run").otherwise("compute_x").alias("name"), F.expr("substring(q, 3)").alias("owner"))
     return Facts(call_edges=edges, external_calls=calls, functions=functions), effects
 
 
 @_query("function_effects", f"{_EFFECTS} SELECT node, effect FROM r")
 def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return function_effects(*_effect_facts(spark, sf_dir)).select(F.expr("bigint(substring(qualname, -5))").alias("node"), "effect")
+    return function_effects(*_effect_facts(spark, sf_dir)).select(F.expr("bigint(substring(qualname, -12))").alias("node"), "effect")
 
 
 @_query("pure_function_violation", f"{_EFFECTS} SELECT node, CAST(count(*) AS DOUBLE) AS measure FROM r WHERE node % 3 <> 0 GROUP BY node")

@@ -4,10 +4,14 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
+import pytest
+
 import __spark_entry__
 from codeloom.queries import QUERIES, SQL
 
 ROOT = Path(__file__).resolve().parent.parent
+TABLES = Path("/root/testdata/sf0.001")
 
 
 def test_names():
@@ -17,3 +21,16 @@ def test_names():
 def test_without_llm():
     hide = "import sys; sys.modules['codeloom.llm'] = None; import __spark_entry__ as e; assert e.queries() and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", hide], cwd=ROOT, check=True)
+
+
+@pytest.mark.skipif(not TABLES.is_dir(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_agrees_with_sql(spark, name):
+    con = duckdb.connect()
+    for file in TABLES.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+    found, told = QUERIES[name](spark, str(TABLES)), con.sql(SQL[name])
+    names = sorted(found.columns)
+    assert names == sorted(told.columns)
+    rows = [tuple(r) for r in found.select(*names).collect()]
+    assert sorted(rows) == sorted(told.project(", ".join(names)).fetchall())
