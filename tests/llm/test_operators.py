@@ -277,6 +277,59 @@ def test_search(docs, rows, none, ratio, monkeypatch):
     assert bm25_search.top_k(none, queries).count() == 0 and bm25_search.top_k(docs, queries.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("ratio", "chunk"), [(2, 4000), (10**6, 8 << 20)])
+def test_search_by_whole_texts(docs, rows, none, ratio, chunk, monkeypatch):
+    """All terms of a query count, those of one document too."""
+    monkeypatch.setattr(bm25_search, "ROUND", ratio)
+    monkeypatch.setattr(bm25_search, "CHUNK_BYTES", chunk)
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+    counted = [(d, collections.Counter(word.findall((t or "").encode().lower()))) for d, t, *_ in rows]
+    n, average = len(rows), sum(sum(c.values()) for _, c in counted) / len(rows)
+    df = collections.Counter(w for _, c in counted for w in c)
+    assert 1 in df.values() and max(len(c) for _, c in counted) > 12
+    got = collections.defaultdict(list)
+    queries = docs.select(F.col("doc_id").alias("query_id"), "text").distinct()
+    for r in bm25_search.top_k(docs, queries, k=4, shard_bytes=1500).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((round(r.score, 6), r.doc_id))
+    for d, c in dict(counted).items():
+        scores = []
+        for e, x in counted:
+            s = sum(m * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * x[w] * 2.2 / (x[w] + 1.2 * (0.25 + 0.75 * sum(x.values()) / average)) for w, m in c.items() if w in x)
+            if s:
+                scores.append((-round(s, 6), e))
+        assert got[d] == [(-s, e) for s, e in sorted(scores)[:4]]
+    assert bm25_search.top_k(none, queries).count() == 0 and bm25_search.top_k(docs, queries.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 3, 768])
+def test_matrix_skips_nothing(dense, monkeypatch):
+    """By postings, by matrix, and by both, with and without floors."""
+    monkeypatch.setattr(bm25_search, "DENSE_TERMS", dense)
+    index, hasher = bm25_search.Index(40.0), bm25_search.WordHasher()
+    texts = [prose(random.randint(0, 60)).encode() for _ in range(300)]
+    index.add(list(range(0, 960, 3)), texts + texts[:20], hasher)
+    impacts = [dict(zip(t.tolist(), i.tolist())) for t, _, i in index.parts]
+    index.close()
+    asked = {q: collections.Counter(bm25_search.terms_of(t, hasher).tolist()) for q, t in enumerate(texts[:40]) if t}
+    flat = [(7, q, t, c) for q, x in asked.items() for t, c in x.items()]
+    chunk, query, term, tf = (np.array(x, kind) for x, kind in zip(zip(*flat), ("i8", "i8", "u8", "i8")))
+    idf = {t: 0.1 + (t % 97) / 30 for t in term.tolist()}
+    table = {"chunk": chunk, "query_id": query, "term": term.view(np.int64), "tf": tf, "idf": np.array([idf[t] for t in term.tolist()])}
+    packed = bm25_search._pack(bm25_search.pa.table(table))["packed"][0].as_py()
+    want = {}
+    for q, x in asked.items():
+        scores = [(-sum(c * idf[t] * d[t] for t, c in x.items() if t in d), 3 * i) for i, d in enumerate(impacts)]
+        want[q] = sorted((round(s, 9), d) for s, d in scores if s)[:5]
+    matrix, got = bm25_search.Matrix(index), collections.defaultdict(list)
+    hits = matrix.search(packed, None, 5)
+    for q, d, s in hits:
+        got[q].append((round(-s, 9), d))
+    assert {q: sorted(x) for q, x in got.items()} == {q: x for q, x in want.items() if x}
+    third = {q: sorted((-s, d) for p, d, s in hits if p == q)[2] for q in got}
+    floors = [{"query_id": q, "floor": -s, "floor_doc": d} for q, (s, d) in third.items()]
+    assert sorted(matrix.search(packed, floors, 5)) == sorted((q, d, s) for q, d, s in hits if (-s, d) < third[q])
+
+
 def test_wand_skips_nothing():
     for _ in range(200):
         lists, every = [], collections.Counter()
