@@ -130,12 +130,17 @@ class Facts:
 
     @cached_property
     def external_calls(self) -> DataFrame:
-        """caller, symbol: dotted names that a call may mean outside of the code, by its module's imports."""
+        """caller, symbol: dotted names that a call may mean outside of the code, by its module's imports; of a bare name
+        that the module neither imports nor defines, that of the built-in."""
         top = self.imports.where("top").select(F.col("path").alias("p"), F.col("name").alias("n"), F.when(F.col("is_from"), F.concat_ws(".", "x_module", "orig")).otherwise(F.col("x_module")).alias("means"))
+        own = self.files.select(F.col("path").alias("op"), F.explode("top_names").alias("on")).union(self.imports.select("path", "name")).distinct()
         c = self.calls.where(F.size("chain") > 0).withColumn("head", F.get("chain", F.lit(0))).join(top, (F.col("path") == F.col("p")) & (F.col("head") == F.col("n")), "left")
+        c = c.join(own, (F.col("path") == F.col("op")) & (F.col("head") == F.col("on")), "left")
         tail = F.array_join(F.slice("chain", 2, 100), ".")
         full = F.when(F.col("means").isNotNull(), F.concat_ws(".", "means", F.when(F.size("chain") > 1, tail))).otherwise(F.array_join("chain", "."))
-        symbols = F.array_distinct(F.array(full, F.array_join(F.slice("chain", F.greatest(F.size("chain") - 1, F.lit(1)), 2), ".")))
+        symbols = F.array(full, F.array_join(F.slice("chain", F.greatest(F.size("chain") - 1, F.lit(1)), 2), "."))
+        built_in = F.when((F.size("chain") == 1) & F.col("on").isNull(), F.concat(F.lit("builtins."), "head"))
+        symbols = F.array_distinct(F.array_compact(F.concat(symbols, F.array(built_in))))
         return c.select(F.concat_ws(".", "module", "owner").alias("caller"), F.explode(symbols).alias("symbol")).distinct()
 
     def first_lines(self) -> DataFrame:

@@ -54,6 +54,20 @@ PROJECT = {
 }
 
 
+def test_effects_of_built_ins(spark):
+    """Bare built-ins have effects, themselves and through calls; names that a module defines or imports aren't built-ins."""
+    files = {
+        "a.py": "def compute_sum(p):\n    return load(p)\ndef load(p):\n    return open(p)\ndef format_row(r):\n    print(r)\ndef parse_row(r):\n    return len(r)\n",
+        "b.py": "from mine import print\ndef open(p):\n    return p\ndef compute_b(p):\n    print(p)\n    return open(p)\n",
+        "c.py": "def format_c(p):\n    from mine import print\n    print(p)\n",
+    }
+    effects = code.own_effects(spark)
+    found = DETECTORS["pure_function_violation"](facts(spark, files), effects=effects).collect()
+    assert {r.evidence for r in found} == {"a.compute_sum has filesystem", "a.format_row has stdout"}
+    kinds = [r.category for r in effects.collect()]
+    assert {k: kinds.count(k) for k in kinds} == {"filesystem": 59, "network": 77, "database": 31, "global_state": 40, "subprocess": 19, "stdout": 9, "time": 10, "random": 16}
+
+
 def test_call_graph(spark):
     f = facts(spark, PROJECT)
     edges = {(r.caller, r.callee) for r in f.call_edges.collect()}
