@@ -116,8 +116,8 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, slop: int) -> DataFrame
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, phrase: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """Per row of docs (doc_id, text; other columns are ignored): doc_id, n_words, n_hit (words in an occurrence of an
-    item's phrase), items (ids of the items that occur, as sorted strings) and contaminated (n_hit > 0).
+    """Per row of docs (doc_id, text; other columns are ignored): doc_id, of (a hash of the text), n_words, n_hit (words
+    in an occurrence of an item's phrase), items (ids of the items that occur, as sorted strings) and contaminated (n_hit > 0).
 
     A null or empty text has no words and isn't hit. Rows that share a doc_id are told apart by their text. A null
     doc_id or item_id is a value like others (such an item counts as ''). No items: nothing is hit.
@@ -132,4 +132,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, phrase: int = 10, block_ter
     hit = n_hit.join(of, "doc_id").select(F.col("doc_id.doc_id").alias("hit_doc"), F.col("doc_id.of").alias("hit_of"), "n_hit", "items")
     every = docs.select("doc_id", F.xxhash64("text").alias("of"), F.size(words_of("text")).cast("long").alias("n_words"))
     joined = every.join(hit, every["doc_id"].eqNullSafe(hit["hit_doc"]) & (every["of"] == hit["hit_of"]), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return joined.select("doc_id", "of", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))

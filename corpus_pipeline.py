@@ -21,18 +21,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least doc_id stays.
-    Of rows that share a doc_id one stays; rows without doc_id stay."""
-    found = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    stays = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(stays, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least doc_id stays, and
+    of those that share it the one with the least text. Of rows equal in doc_id and text one stays; rows without doc_id
+    stay."""
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    of = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("one"), F.max(F.xxhash64("text")).alias("other"))
+    if of.where("one <> other").isEmpty():
+        found = jaccard_join.jaccard_components(docs, k=5, percent=80)
+        stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+        kept = named.join(stays, F.col("doc_id") == F.col("__id"), "left_semi")
+    else:  # each text is judged, under a number of its own
+        named = written(named.withColumn("__n", F.monotonically_increasing_id()), "numbered")
+        found = jaccard_join.jaccard_components(named.select(F.col("__n").alias("doc_id"), "text"), k=5, percent=80)
+        groups = named.select("__n", "doc_id", "text").join(found.select(F.col("doc_id").alias("__n"), "component_id"), "__n").groupBy("component_id")
+        stays = groups.agg(F.min_by("__n", F.struct("doc_id", "text")).alias("__n"))
+        kept = named.join(stays, "__n", "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any ten-word passage of a benchmark item go."""
+    """Documents with any ten-word passage of a benchmark item go. Rows that share a doc_id, or have none, are told apart
+    by their text."""
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), F.expr("doc_id <=> __id"), "left_anti")
+    gone = found.where("contaminated").select("doc_id", "of").distinct().toDF("__id", "__of")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__of"]), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

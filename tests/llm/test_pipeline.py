@@ -41,3 +41,19 @@ def test_stages_on_awkward_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() <= 3 * len(rows), name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_repeated_and_missing_ids(spark):
+    """A text goes for what it is itself, not for what another text under its doc_id, or without one, is."""
+    item = next(t for (t,) in table(spark, SF, "benchmark").select("text").collect() if len((t or "").split()) >= 20)
+    clean, other, third = (" ".join(f"{x}{i}" for i in range(60)) for x in ("clean", "other", "third"))
+    rows = [(None, item), (None, clean), (1, item), (1, other), (2, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.decontaminated(spark, docs, SF).collect()
+    assert {tuple(r) for r in got} == {(None, clean), (1, other), (2, third)} and len(got) == 3
+    # 1 has a text of its own and one like that of 0; 3 has the same row twice
+    rows = [(0, clean), (1, clean + " end"), (1, other), (2, other), (3, third), (3, third), (None, third), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, component_id string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(0, clean), (1, other), (3, third), (None, third), (4, ""), (5, None)], key=str)
