@@ -1,6 +1,8 @@
 """The pipeline against its stages' brute-force meaning, on small driver tables."""
 
+import itertools
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,38 @@ def test_stages_on_awkward_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_stages_by_brute_force(spark):
+    """What near_duplicates and decontamination keep of all documents, by comparing all pairs and looking up all windows."""
+    docs = table(spark, SF, "documents")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    sets = {}
+    for d, t in texts.items():
+        w = t.lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    least = {d: d for d in texts}
+
+    def root(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and 100 * (both := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            one, two = sorted((root(a), root(b)))
+            least[two] = one
+    want = sorted(d for d in texts if root(d) == d)
+    assert len(want) < len(texts) and sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()) == want
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", t.lower())
+    passages = set()
+    for (t,) in table(spark, SF, "benchmark").select("text").collect():
+        w = words((t or "").encode())
+        passages |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    lengths = {len(p) for p in passages}
+    want = sorted(d for d, t in texts.items() if not any(tuple(w[i : i + n]) in passages for w in [words(t)] for n in lengths for i in range(len(w) - n + 1)))
+    assert len(want) < len(texts) and sorted(r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, SF).select("doc_id").collect()) == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_repeated_and_missing_ids(spark):
     """A text goes for what it is itself, not for what another text under its doc_id, or without one, is."""
