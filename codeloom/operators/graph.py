@@ -1,30 +1,30 @@
-"""Graph operators: reachability, strongly connected components, propagation. Loops cut their lineage each round."""
+"""Graph operators: reachability, strongly connected components, propagation. Each round's rows are a table of their own,
+written once."""
 
 from __future__ import annotations
 
-import tempfile
+from collections import defaultdict
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as checkpointed files, in the folder that the session names, or one of our own where it names none."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
-    return df.checkpoint()
+#: Edges that one task may hold (16 bytes each, and as much again for the search).
+CORE_EDGES = 1_000_000
 
 
 def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """The least (node, value) rows that hold facts and, for each edge (src, dst), all values of dst at src."""
-    known = cut(facts.select("node", "value").distinct())
-    new = known
-    while not new.isEmpty():
-        step = new.join(edges, new["node"] == edges["dst"]).select(F.col("src").alias("node"), "value").distinct()
-        new = cut(step.join(known, ["node", "value"], "left_anti"))
-        known = cut(known.unionByName(new))
-    return known
+    """The least (node, value) rows that hold facts and, for each edge (src, dst), all values of dst at src. A round
+    takes only the rows that the round before found; what is known is never written again."""
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    known = [written(facts.select("node", "value").distinct(), "known")]
+    while not known[-1].isEmpty():
+        step = known[-1].join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "value").distinct()
+        known.append(written(step.join(reduce(DataFrame.unionAll, known), ["node", "value"], "left_anti"), "known"))
+    return reduce(DataFrame.unionAll, known)
 
 
 def reachable(edges: DataFrame) -> DataFrame:
@@ -33,18 +33,91 @@ def reachable(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("src"), F.col("value").alias("dst"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for nodes on cycles of two nodes or more; component is the least node. Nodes without edges in
-    or out can't be on a cycle, so they are trimmed before the closure, again and again."""
-    left = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    n = left.count()
-    while n:
-        both = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
-        left = cut(left.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
-        before, n = n, left.count()
-        if n == before:
+def _cycles(src: list, dst: list):
+    """The nodes of each strong component of two or more, by two depth-first searches with stacks of their own."""
+    ahead, back = defaultdict(list), defaultdict(list)
+    for a, b in zip(src, dst):
+        ahead[a].append(b)
+        back[b].append(a)
+    seen, finished = set(), []
+    for start in list(ahead):
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(ahead[start]))]
+        while stack:
+            node, rest = stack[-1]
+            to = next((x for x in rest if x not in seen), None)
+            if to is None:
+                finished.append(node)
+                stack.pop()
+            else:
+                seen.add(to)
+                stack.append((to, iter(ahead.get(to, ()))))
+    placed = set()
+    for root in reversed(finished):
+        if root in placed:
+            continue
+        placed.add(root)
+        members = [root]
+        for node in members:  # grows meanwhile
+            for x in back.get(node, ()):
+                if x not in placed:
+                    placed.add(x)
+                    members.append(x)
+        if len(members) > 1:
+            yield members
+
+
+def _in_one_task(batches):
+    if batches := list(batches):
+        edges = pa.Table.from_batches(batches)
+        found = list(_cycles(edges["src"].to_pylist(), edges["dst"].to_pylist()))
+        kind = edges["src"].type
+        yield pa.RecordBatch.from_arrays([pa.array([x for m in found for x in m], kind), pa.array([min(m) for m in found for _ in m], kind)], ["node", "component"])
+
+
+def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Some strong components of a graph, and the edges that may lie in others. A node's colour is the least node that
+    reaches it; the nodes of a colour that reach the node it is named after are a component."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    colour = written(nodes.select("node", F.col("node").alias("colour")), "colours")
+    while True:
+        reached = edges.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("least"))
+        moved = written(colour.join(reached, "node", "left").select("node", F.least("colour", "least").alias("colour"), (F.col("least") < F.col("colour")).alias("moved")), "colours")
+        colour = moved.select("node", "colour")
+        if moved.where("moved").isEmpty():
             break
-    reach = cut(reachable(left))
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("least"))
-    return mutual.select(F.col("src").alias("node"), F.least("src", "least").alias("component"))
+    a, b = (colour.select(F.col("node").alias(x), F.col("colour").alias(f"{x}_colour")) for x in ("src", "dst"))
+    inside = written(edges.join(a, "src").join(b, "dst").where("src_colour = dst_colour").select("src", "dst"), "edges")
+    # propagate() carries values from dst to src: a colour goes back from its own node along the edges within it
+    found = propagate(colour.where("node = colour").select("node", F.col("colour").alias("value")), inside)
+    found = written(found.select("node", F.col("value").alias("component")), "found")
+    return found, inside.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
+
+
+def strong_components(edges: DataFrame, core_edges: int = CORE_EDGES) -> DataFrame:
+    """(node, component) for nodes on cycles of two nodes or more; component is the least node.
+
+    Nodes without edges in or out can't be on a cycle and are trimmed, as long as that takes a tenth of the edges. A
+    graph, or what is left of one, of at most core_edges edges is searched by one task, however long its cycles are;
+    of a larger one, components are found by colours in as many rounds as its shortest paths are long, until the rest
+    is small. No step makes pairs of nodes that aren't edges.
+    """
+    left = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    found, before = [], None
+    while (n := left.count()) > core_edges:
+        if before is None or n < 0.9 * before:
+            both = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
+            rest = left.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+            before = n
+        else:
+            component, rest = _coloured(left)
+            found.append(component)
+            before = None
+        left = written(rest, "edges")
+    kind = left.schema["src"].dataType.simpleString()
+    found.append(left.coalesce(1).mapInArrow(_in_one_task, f"node {kind}, component {kind}"))
+    every = reduce(DataFrame.unionByName, found)
+    counted = every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component") if len(found) > 1 else None
+    return every if counted is None else every.join(counted, "component", "left_semi").select("node", "component")

@@ -1,7 +1,12 @@
 """Detectors on sources written here: each finds its positive and leaves its negative alone."""
 
 import json
+import os
+import random
 import subprocess
+import sys
+import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +19,7 @@ from codeloom.plans.facts import Facts, extracted
 from codeloom.plans.report import excerpt, to_json, to_markdown, tolerant_json, with_verdicts
 from codeloom.sources import code
 
+ROOT = Path(__file__).resolve().parent.parent
 METHODS = "\n".join(f"    def m{i}(self):\n        return {i}" for i in range(12))
 BRANCHES = "\n".join(f"    if x > {i}: y = {i}" for i in range(10))
 CASES = {
@@ -97,6 +103,51 @@ def test_graph(spark):
     assert graph.reachable(edges).count() == 13
 
 
+def test_strong_components_of_long_cycles(spark):
+    """A cycle of thousands in one task; the same components, by brute force, in one task and by colours."""
+    ring = [(i, (i + 1) % 3000) for i in range(3000)] + [(3000 + i, 3001 + i) for i in range(500)] + [(5, 3000)]
+    found = graph.strong_components(spark.createDataFrame(ring, "src long, dst long")).collect()
+    assert len(found) == 3000 and {r.component for r in found} == {0}
+    random.seed(3)
+    pairs = list({(random.randrange(20), random.randrange(20)) for _ in range(28)})
+    reach = set(pairs)
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    of = {x: [y for y in range(20) if y == x or (x, y) in reach and (y, x) in reach] for x in range(20)}
+    want = {(x, min(ys)) for x, ys in of.items() if len(ys) > 1}
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    for core in (1000, 0):
+        assert {(r.node, r.component) for r in graph.strong_components(edges, core).collect()} == want and want
+    assert graph.strong_components(edges.limit(0)).count() == 0
+
+
+def test_shared_folder():
+    """The setting, what setCheckpointDir was given, a folder of the session's own in local mode; else an error."""
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from codeloom.scratch import shared_dir
+way, at = sys.argv[1:]
+builder = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+spark = (builder.config("spark.checkpoint.dir", at) if way == "conf" else builder).getOrCreate()
+if way == "set":
+    spark.sparkContext.setCheckpointDir(at)
+if way == "cluster":
+    spark.sparkContext.master = "spark://elsewhere"
+try:
+    found = shared_dir(spark)
+    assert (at in found) == (way in ("conf", "set")) and shared_dir(spark) == found, found
+    assert spark.range(3).checkpoint().count() == 3
+except RuntimeError as e:
+    assert way == "cluster" and "spark.checkpoint.dir" in str(e)
+else:
+    assert way != "cluster"
+"""
+    for way in ("conf", "set", "neither", "cluster"):
+        with tempfile.TemporaryDirectory() as at:
+            subprocess.run([sys.executable, "-c", code, way, at], cwd=ROOT, env=os.environ | {"SPARK_CONF_DIR": at}, check=True, timeout=120)
+
+
 def test_suppression_and_reports(spark):
     source = "# codeloom: ignore-file\ndata = 1\n"
     lines = "data = 1  # codeloom: ignore[vague_name]\ninfo = 1  # codeloom: ignore[other]\ntmp = 2\nobj = 3  # codeloom: ignore\n"
