@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import own_path, shared_dir, written  # noqa: F401
+
 #: Multipliers of the polynomial hashes; any odd numbers do.
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_MASK = (1 << 64) - 1
+#: A key of more than one in so many rows is hot.
+HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        spark.conf.set("spark.checkpoint.dir", found := tempfile.mkdtemp(prefix="codeloom-"))
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again, which cuts its lineage. The JVM deletes it as it ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """big joined with small on keys. A key has one row of small, whose `count` tells how many rows of big have it.
+
+    Keys of more than a HOT_SHARE-th of all rows, fewer than HOT_SHARE of them, are broadcast, so the rows of a key,
+    however many, stay in the tasks that they are in; all others are shuffled. big and small are read twice.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT_SHARE > total
+    hot = F.broadcast(small.where(is_hot))
+    cold = big.join(hot.select(*keys), keys, "left_anti").join(small.where(~is_hot), keys)
+    return big.join(hot, keys).unionByName(cold)
+
+
+def running(rows: DataFrame, order: list[str | Column], column: str, out: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `out`: the sum of a column over a row and all that come before it by `order`, or, with groups, all of
+    its group (order then begins with these).
+
+    Rows are range-sorted over all partitions and written; sums have two levels, of partitions and then of the rows in
+    one. order ends in something unique, so no range is much larger than another, however many rows are alike.
+    """
+    ranges = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(*groups, "__part").agg(F.sum(column).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(g).alias(f"__{g}") for g in groups), F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.sum(column).over(Window.partitionBy(*groups, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups], F.col("__part") == F.col("__p"))
+    return ranges.withColumn("__within", within).join(sums, same).select(*rows.columns, (F.col("__before") + F.col("__within")).alias(out))
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
