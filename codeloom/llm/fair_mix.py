@@ -1,30 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Every source's documents are put in a random order, repeated up to `repeats` times over. A copy's virtual finish time
-is the source's words up to and with it, divided by the source's target. Served by rising finish time, sources advance
-in proportion to their targets; the mix ends where its total budget is used up.
+is the source's words up to and with it, divided by the source's target. Copies are range-sorted by finish time over
+all partitions, which is the order they are served in: sources advance in proportion to their targets. The mix is
+truncated where its total budget is used up.
 
-All running sums have two levels (sums of many small buckets, then rows within a bucket), so that a source with a
-third of all rows is no more than its share of buckets.
+All orders end in a row's own number and all running sums have two levels (sums of ranges, then rows within a range),
+so a source with a third of all rows, or a row that is there very often, is spread over ranges like any other rows.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit, written
+from .common import running, written
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = 6
-#: Rows that a bucket of a running sum has, about.
-BUCKET_ROWS = 20_000
-#: Ranges that finish times are counted in at a time.
-BINS = 4096
-_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def sizes(text: str = "text"):
@@ -32,15 +26,21 @@ def sizes(text: str = "text"):
     return F.coalesce(F.size(F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")), F.lit(0)).cast("long")
 
 
+def turn() -> F.Column:
+    """A row's place in its source's random order: 60 bits of an MD5 of its id and text, which other systems have too."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)), 1, 15), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """source, source_size, target. sources (source, source_size) has a row for each source, null among them.
 
     Weights go by turns to the sources in order of code points, null last. A target stops at `repeats` times the
-    source's size; what it can't use is shared out again by weight, until none is above. One task orders the sources
-    (not documents); only sums come to the driver.
+    source's size; what it can't use is shared out again by weight, until none is above. Only sums come to the driver.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    rows = written(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double")), "sources")
+    placed = running(sources.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], "one", "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("double")
+    rows = written(placed.select("source", "source_size", weight.alias("weight")), "sources")
     total = rows.agg(F.sum("source_size")).first()[0] or 0
     most = F.col("source_size") * float(repeats)
     level = 0.0  # words for each unit of weight
@@ -56,63 +56,35 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     return rows.select("source", "source_size", F.least(most, F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """Every row of docs with its place in its source's order: row (a number of its own), doc_id, of, source, size,
+    source_size, target, through (words of the source up to and with it). A written table."""
+    sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("of"), sizes().alias("size"), turn().alias("turn"))
+    rows = written(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumnRenamed("source", "s")
+    placed = running(rows, ["source", "turn", "doc_id", "of", "row"], "size", "through", ("source",))
+    return written(placed.join(by_source, F.expr("source <=> s")).select("row", "doc_id", "of", "source", "size", "source_size", "target", "through"), "queue")
+
+
+def served(queued: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """The mix itself, a row for each copy that is served, in the order of `served` (words up to and with it): row,
+    doc_id, of, source, epoch, finish, size, served. queued: a queue() of all documents, whose words are the budget."""
+    budget = queued.agg(F.sum("size")).first()[0] or 0
+    copies = queued.where("size > 0 and target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch"))
+    finish = F.try_divide(F.col("through") + F.col("epoch") * F.col("source_size"), F.col("target"))
+    copies = copies.select("row", "doc_id", "of", "source", "epoch", finish.alias("finish"), "size")
+    return running(copies, ["finish", "source", "doc_id", "of", "epoch", "row"], "size", "served").where(F.col("served") <= budget)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """Per row of docs (doc_id, text, source; other columns are ignored): doc_id, of (xxhash64 of the text), source,
     size, source_size, target (its source's), copies (0 to repeats) and taken (size times copies).
 
     The budget is the words of all documents. A null text has size 0; null is a source of its own; documents without
-    words are never taken. Rows that repeat a row (same doc_id and text) are served one after the other. An empty
-    table gives an empty mix.
+    words are never taken. Rows that repeat a row (same doc_id and text) are served one after the other, each in its
+    own right. An empty table gives an empty mix.
     """
-    sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("of"), sizes().alias("size"))
-    # Shuffled within the source by a hash; a row's bucket is a range of that hash.
-    rows = written(sized.withColumn("turn", unit(SEED, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "of")), "sizes")
-    n = rows.count()
-    buckets = max(1, -(-n // bucket_rows))
-    rows = rows.withColumn("bucket", F.floor(F.col("turn") * buckets))
-    by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
-    by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0))
-    offsets = by_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before")).join(by_source.withColumnRenamed("source", "s2"), F.expr("s <=> s2")).drop("s2")
-    within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "of").rowsBetween(Window.unboundedPreceding, 0))
-    queued = rows.withColumn("within", within).join(offsets, F.expr("source <=> s and bucket = b"))
-    placed = written(queued.select("doc_id", "of", "source", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("through")), "queue")
-    copies = placed.where("size > 0 and target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch")).withColumn("finish", F.try_divide(F.col("through") + F.col("epoch") * F.col("source_size"), F.col("target")))
-    end, rest, left = _cut(copies, n * repeats, bucket_rows)
-    # All copies that finish before the range `end` are taken; in it, those that the rest of the budget still pays for.
-    whole = F.size(F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.try_divide(F.col("through") + e * F.col("source_size"), F.col("target")) < end))
-    order = Window.orderBy("finish", "source", "doc_id", "of", "epoch")
-    last = copies.where((F.col("finish") >= end) & (F.col("finish") < rest)).withColumn("paid", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    more = last.where(F.col("paid") <= left).groupBy("doc_id", "of", "source", "through").agg(F.count("*").alias("more"))
-    more = more.select(F.col("doc_id").alias("m_doc"), F.col("of").alias("m_of"), F.col("source").alias("m_source"), F.col("through").alias("m_through"), "more")
-    out = placed.join(more, F.expr("doc_id <=> m_doc and of <=> m_of and source <=> m_source and through = m_through"), "left")
-    n_copies = F.when((F.col("size") > 0) & (F.col("target") > 0), whole + F.coalesce("more", F.lit(0))).otherwise(0).cast("int")
-    return out.select("doc_id", "of", "source", "size", "source_size", "target", n_copies.alias("copies"), (F.col("size") * n_copies).cast("long").alias("taken"))
-
-
-def _cut(copies: DataFrame, n: int, range_rows: int) -> tuple[float, float, int]:
-    """Where the mix ends: a range of finish times of about range_rows copies, as its two ends, and the words that the
-    budget has left for it. Ranges are narrowed by counting, BINS at a time."""
-    budget = copies.where("epoch = 0").agg(F.sum("size")).first()[0] or 0
-    low, high, left, count = 0.0, (copies.agg(F.max("finish")).first()[0] or 0.0) * (1 + 1e-9) + 1e-9, budget, n
-    while count > range_rows:
-        width = (high - low) / BINS
-        within = copies.where((F.col("finish") >= low) & (F.col("finish") < high))
-        found = within.groupBy(F.least(F.floor((F.col("finish") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last"))
-        cut = None
-        for x in sorted(found.collect(), key=lambda x: x["bin"]):
-            if x["words"] > left:
-                cut = x
-                break
-            left -= x["words"]
-        if cut is None:  # the budget pays for all
-            return high, high, 0
-        if cut["first"] == cut["last"] or cut["n"] >= count:
-            return cut["first"], _after(cut["last"]), left
-        low, high, count = cut["first"], _after(cut["last"]), cut["n"]
-    return low, high, left
-
-
-def _after(x: float) -> float:
-    return math.nextafter(x, math.inf)
-
+    queued = queue(docs, weights, repeats)
+    copies = served(queued, repeats).groupBy("row").agg(F.count("*").cast("int").alias("copies"))
+    out = queued.join(copies, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    return out.select("doc_id", "of", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
