@@ -81,40 +81,55 @@ def gumbel(*columns):
     return -F.log(-F.log(unit(SEED, *columns)))
 
 
-def top_k(scored: DataFrame, k: int, key: str = "gumbel_key") -> DataFrame:
-    """scored (a written table) with `kept`: whether a row is among the k largest by key.
+def _limit(rows: DataFrame, key: str, k: int) -> tuple | None:
+    """The k + 1st largest key of rows, and how many keys are above it; None if there are no more than k rows.
 
-    The k + 1st largest key is found by counting in ranges, and again within the range that holds it, so nothing is
-    sorted and at most BINS counts come to the driver at a time. Rows of one key are kept or dropped together: what
-    ties with the k + 1st is dropped.
+    It is found by counting in ranges, and again within the range that holds it, so nothing is sorted and at most BINS
+    counts come to the driver at a time.
     """
-    low, high, n = scored.agg(F.min(key), F.max(key), F.count("*")).first()
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
     if n <= k:
-        return scored.withColumn("kept", F.lit(True))
+        return None
     above = 0
     while low < high:
-        bin_ = F.least(F.floor((F.col(key) - low) / (high - low) * BINS), F.lit(BINS - 1))
-        within = scored.where(F.col(key).between(low, high)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+        place = (F.col(key).cast("double") - float(low)) / (float(high) - float(low)) * BINS
+        within = rows.where(F.col(key).between(low, high)).groupBy(F.least(F.floor(place), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
         for x in sorted(within.collect(), key=lambda x: -x["bin"]):
             if above + x["n"] > k:
                 low, high = x["low"], x["high"]
                 break
             above += x["n"]
-    return scored.withColumn("kept", F.col(key) > low)
+    return low, above
+
+
+def top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ("gumbel_key",)) -> DataFrame:
+    """scored (a written table) with `kept`: whether a row is among the k largest by the keys, the second of which
+    decides among equals of the first, and so on. Rows equal in all keys are kept or dropped together, so that exactly
+    k are kept if the last key is unique. Whole numbers in keys must be below 2 ** 53."""
+    kept, equal = F.lit(False), F.lit(True)
+    for key in keys:
+        found = _limit(scored.where(equal), key, k)
+        if found is None:
+            return scored.withColumn("kept", kept | equal)
+        limit, above = found
+        kept, equal, k = kept | (equal & (F.col(key) > limit)), equal & (F.col(key) == limit), k - above
+    return scored.withColumn("kept", kept)
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, share: float, buckets: int = BUCKETS, max_target: int = MAX_TARGET) -> DataFrame:
     """Per row of docs (doc_id, text; other columns are ignored): doc_id, of (xxhash64 of the text), n_grams,
-    log_weight, gumbel_key, kept. About `share` of the rows are kept.
+    log_weight, gumbel_key, row (a number of its own), kept. The share of the rows, rounded, is kept, exactly.
 
     Weights are products over all n-grams of the whole text, so the longer a document, the surer its place. A null or
-    empty text has weight 1 (log 0) and takes its chance. Repeated rows have equal keys and are kept or dropped
-    together; a null doc_id is a value like others. Without targets all weights are near 1. No rows: no result.
+    empty text has weight 1 (log 0) and takes its chance. Repeated rows have equal keys; where these are at the limit, a
+    hash of id and text and then the row's number decide. A null doc_id is a value like others. Without targets all
+    weights are near 1. No rows: no result.
     """
     ratio = fit(docs, target_ids, buckets, max_target)
     noise = gumbel(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("of", F.lit(0)))
-    scored = written(weigh(docs, ratio).withColumn("gumbel_key", F.col("log_weight") + noise), "weights")
-    return top_k(scored, round(scored.count() * share))
+    tie = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "doc_id", "of"), 11)
+    scored = written(weigh(docs, ratio).withColumns({"gumbel_key": F.col("log_weight") + noise, "tie": tie, "row": F.monotonically_increasing_id()}), "weights")
+    return top_k(scored, round(scored.count() * share), ("gumbel_key", "tie", "row")).drop("tie")
 
 
 def target_share(labels: DataFrame) -> float:
