@@ -80,18 +80,19 @@ def sentences(text: bytes) -> tuple[list[bytes], np.ndarray, list[tuple[int, int
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> pa.Table:
-    chosen = labels.where("doc_id is not null and label is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.avg("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    # A doc_id may have any number of rows and a text any length: the sample is bounded in both, shortest texts first.
-    n = F.coalesce(F.octet_length("text"), F.lit(0))
-    rows = rows.withColumn("n", n).orderBy("n", "doc_id").limit(2 * max_labelled)
-    running = F.sum("n").over(Window.orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    # A doc_id may have any number of rows and a text any length: the sample is bounded in both, by hash.
+    order = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
+    rows = rows.withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("n") <= MAX_LABELLED_BYTES).orderBy(*order).limit(2 * max_labelled)
+    running = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("sum", running).where(F.col("sum") <= MAX_LABELLED_BYTES).select("text", "label").toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the bias. labels (doc_id, label 0 or 1): at most max_labelled of them are used, those whose
-    ids have the least hashes, and of these documents as many as MAX_LABELLED_BYTES of text allow."""
+    """Weights by bucket and the bias. labels (doc_id, label 0 to 1): at most max_labelled of them are used, those whose
+    ids have the least hashes, and of these documents, by hash, as many as MAX_LABELLED_BYTES of text allow."""
     got = _sample(docs, labels, max_labelled)
     return fit_sample(raw(got["text"]), np.array(got["label"].to_pylist(), float), buckets)
 
@@ -129,7 +130,7 @@ def fit_sample(texts: list[bytes | None], truth: np.ndarray, buckets: int = BUCK
         z = np.bincount(sentence, w[column] * times, n) + b
         p = np.exp(-np.logaddexp(0, -z))
         q = np.exp(np.maximum(np.bincount(doc, -np.logaddexp(0, z), len(truth)), -500))  # prod(1 - p)
-        pull = np.where(truth > 0, -q / np.maximum(1 - q, 1e-9), 1.0)[doc] * p / len(truth)
+        pull = (1 - truth - truth * q / np.maximum(1 - q, 1e-9))[doc] * p / len(truth)
         gradient = np.r_[np.bincount(column, pull[sentence] * times, len(used)), pull.sum()]
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         rate = RATE / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
@@ -163,8 +164,9 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float =
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted (1 if the score reaches the threshold), offending.
 
-    labels (doc_id, toxic 0 or 1; null: no label) are learned from only where held_out is false. Without labels the
-    model is its start, a low score everywhere. Repeated rows get equal scores.
+    labels (doc_id, toxic 0 or 1; null: no label) are learned from only where held_out is false; a doc_id with several
+    labels counts as their mean. Without labels the model is its start, a low score everywhere. A null doc_id is scored
+    and isn't held out; repeated rows get equal scores; other columns are ignored, whatever their names.
     """
     known = labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out())
     scored = score(docs, *fit(docs, known), threshold)
