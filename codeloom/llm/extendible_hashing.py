@@ -20,6 +20,10 @@ BITS = 40
 #: The first sums are for prefixes so many bits longer than evenly filled buckets need.
 FINE = 10
 SHARD_BYTES = 64 << 20
+#: The limit of the registered query: the given tables exceed it many times over, so that buckets do split.
+QUERY_SHARD_BYTES = 64 << 10
+#: Directories of so many entries at most (40 bytes each) are broadcast; beyond, rows are shuffled by their leading bits.
+MOST_BROADCAST = 500_000
 
 
 def hash_bits(key: str | Column) -> Column:
@@ -45,6 +49,18 @@ def _leaves(rows: DataFrame, least: int, most: int, limit: int) -> DataFrame:
     return fits.where(F.col("depth") == least).select("depth", "prefix").unionByName(fits.join(parent, ["depth", "above"]).select("depth", "prefix"))
 
 
+def _looked_up(rows: DataFrame, directory: DataFrame) -> DataFrame:
+    """rows (__hash) with depth and prefix of the one entry that they lie below: that of their bits as far as the
+    shortest entry goes whose range holds the hash. Texts stay where they are, unless the directory is too large."""
+    least, n = directory.agg(F.min("depth"), F.count("*")).first()
+    at = (F.lit(BITS) - F.col("depth")).cast("int")
+    first = F.call_function("shiftleft", F.col("prefix"), at)
+    entries = directory.select("depth", "prefix", first.alias("__first"), F.call_function("shiftleft", F.col("prefix") + 1, at).alias("__end"))
+    entries = entries.withColumn("__root", F.shiftright("__first", BITS - (least or 0)))
+    below = (F.shiftright("__hash", BITS - (least or 0)) == F.col("__root")) & (F.col("__hash") >= F.col("__first")) & (F.col("__hash") < F.col("__end"))
+    return rows.join(F.broadcast(entries) if n <= MOST_BROADCAST else entries, below).drop("__first", "__end", "__root")
+
+
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the shard of each row: all columns of docs, then n_bytes (of the text; null: 0), depth, prefix, page
     and shard ("<depth>:<prefix>:<page>", or "big:<hash>:<page>").
@@ -67,18 +83,11 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
         rest = narrow.withColumn("p", _prefix(F.lit(fine))).join(heavy, "p", "left_semi").select("hash", "bytes")
         leaves = leaves.unionByName(_leaves(rest, fine, BITS, limit).where(F.col("depth") > fine))
     leaves = written(leaves, "directory")
-    levels = [x[0] for x in leaves.select("depth").distinct().orderBy("depth").collect()]  # at most BITS + 1
-    # A hash lies below exactly one leaf: look it up at each length that the directory has.
-    candidates = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("__hash", BITS - d).alias("prefix")) for d in levels]) if levels else F.array()
-    of_hash = None
-    if levels:
-        looked = narrow.select(F.col("hash").alias("__hash")).select("__hash", F.explode(candidates).alias("c")).select("__hash", "c.depth", "c.prefix")
-        of_hash = looked.join(leaves, ["depth", "prefix"])
     crowded = narrow.where(F.col("bytes") > limit).select(F.col("hash").alias("__hash"), F.lit(BITS).alias("depth"), F.col("hash").alias("prefix"))
     many = not crowded.isEmpty()
-    of_hash = crowded if of_hash is None else of_hash.unionByName(crowded) if many else of_hash
+    directory = leaves.unionByName(crowded.select("depth", "prefix")) if many else leaves
     big = F.col("__bytes") > limit
-    fits = rows.where(~big).join(of_hash, "__hash")
+    fits = _looked_up(rows.where(~big), directory)
     paged = fits.withColumn("page", F.lit(0))
     if many:
         paged = _pages(fits.join(crowded.select("__hash"), "__hash", "left_anti").withColumn("page", F.lit(0)), fits.join(crowded.select("__hash"), "__hash", "left_semi"), limit)
