@@ -48,11 +48,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bm25_search.top_k(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+    found = bm25_search.top_k(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extendible_hashing.shard(table(spark, sf_dir, "documents"), extendible_hashing.SHARD_BYTES).select("doc_id", "n_bytes", "depth", "prefix", "page", "shard")
+    return extendible_hashing.shard(table(spark, sf_dir, "documents"), extendible_hashing.QUERY_SHARD_BYTES).select("doc_id", "n_bytes", "depth", "prefix", "page", "shard")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_warc, op5_importance, op6_fair_mix, op7_toxicity, op8_jaccard_join, op9_search, op10_sharding)}
@@ -101,6 +102,18 @@ SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(h) AS pay
        CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN top <> page_id THEN top END AS refers_to
 FROM p LEFT JOIN best USING (h)""",
+    "op6_fair_mix": f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_SPACED.format("text")}) AS BIGINT) AS size, CAST('0x' || substr(md5('{fair_mix.SEED}|' || doc_id || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT source, source_size, CAST([5, 2, 1][(place - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(3 AS DOUBLE) AS most FROM s),
+-- sources fill up one after the other as the level of words for each unit of weight rises
+levels AS (SELECT ((SELECT sum(source_size) FROM w) - coalesce(sum(w.most) FILTER (w.most / w.weight <= c.full_at), 0)) / sum(w.weight) FILTER (w.most / w.weight > c.full_at) AS level
+           FROM (SELECT most / weight AS full_at FROM w UNION SELECT -1) AS c, w GROUP BY c.full_at),
+t AS (SELECT source, source_size, least(most, weight * (SELECT max(level) FROM levels)) AS target FROM w),
+q AS (SELECT d.doc_id, d.size, d.source, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id) AS through FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(through + epoch * source_size AS DOUBLE) / target AS finish FROM q, range(0, 3) AS r(epoch) WHERE size > 0 AND target > 0),
+v AS (SELECT doc_id, count(*) AS copies FROM (SELECT doc_id, sum(size) OVER (ORDER BY finish, source NULLS FIRST, doc_id, epoch) AS served FROM c) WHERE served <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken, source FROM q LEFT JOIN v USING (doc_id)""",
     "op8_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.format(_LOWER.format("text"))} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
@@ -111,10 +124,20 @@ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, x.b FROM reach AS r JOIN both_ways AS x ON r.b = x.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(m.m, d.doc_id)) AS BIGINT) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) AS m USING (doc_id)""",
+    "op9_search": rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL),
+size AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+df AS (SELECT w, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY w),
+average AS (SELECT sum(n) / (SELECT count(*) FROM documents) AS a FROM size),
+hit AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * idf * d.tf * {bm25_search.K1 + 1} / (d.tf + {bm25_search.K1} * ({1 - bm25_search.B} + {bm25_search.B} * n / a))), 6) AS score
+        FROM tf AS q JOIN df USING (w) JOIN tf AS d USING (w) JOIN size ON size.doc_id = d.doc_id, average WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM hit WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10""",
     "op10_sharding": f"""
 WITH d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT) AS h FROM documents),
 p AS (SELECT doc_id, n_bytes, CAST(r.depth AS INTEGER) AS depth, h >> (40 - CAST(r.depth AS INTEGER)) AS prefix FROM d, range(0, 41) AS r(depth)),
 b AS (SELECT depth, prefix, sum(n_bytes) AS total FROM p GROUP BY ALL),
-leaf AS (SELECT doc_id, n_bytes, min(depth) AS depth FROM p JOIN b USING (depth, prefix) WHERE total <= {extendible_hashing.SHARD_BYTES} GROUP BY ALL)
+leaf AS (SELECT doc_id, n_bytes, min(depth) AS depth FROM p JOIN b USING (depth, prefix) WHERE total <= {extendible_hashing.QUERY_SHARD_BYTES} GROUP BY ALL)
 SELECT doc_id, leaf.n_bytes, depth, p.prefix, CAST(0 AS BIGINT) AS page, concat_ws(':', depth, p.prefix, 0) AS shard FROM leaf JOIN p USING (doc_id, n_bytes, depth)""",
 }
