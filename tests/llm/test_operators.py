@@ -6,13 +6,15 @@ import hashlib
 import math
 import random
 import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codeloom.llm import bm25_search, decontamination, extendible_hashing, fair_mix, importance, jaccard_join, line_dedup, substring_dedup, toxicity, warc
+from codeloom.llm import bm25_search, decontamination, extendible_hashing, fair_mix, importance, jaccard_join, line_dedup, queries, substring_dedup, toxicity, warc
 from codeloom.llm.components import components
 
 random.seed(5)
@@ -153,17 +155,77 @@ def test_importance(spark, none):
     assert importance.resample(none, target, 0.5).count() == 0 and importance.resample(docs, target.limit(0), 1.0).where("kept").count() == 82
 
 
+def _signed(h):
+    return h - (h >> 63 << 64)
+
+
+def _spark_hash(seed, *parts):
+    """Spark's xxhash64 of a seed (int), then longs, strings (bytes) and nulls."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    for x in parts:
+        if x is not None:
+            h = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else struct.pack("<q", x), h)
+    return h
+
+
+def test_importance_by_brute_force(spark, docs, rows, tmp_path):
+    """Counts, weights, noise and choice of the registered query, computed anew, word by word."""
+    quality = [(d, d % 3 != 0) for d in range(0, 18, 2)] + [(99, True), (3, None)]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d, None if q is None else int(q), 0) for d, q in quality], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    mask = (1 << 64) - 1
+
+    def buckets(text):
+        words = [xxhash.xxh64_intdigest(w) for w in re.findall(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\s]+", (text or "").encode().lower())]
+        out = [w % importance.BUCKETS for w in words]
+        for a, b in zip(words, words[1:]):
+            x = (a + b * 0x9E3779B97F4A7C15) & mask
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+            out.append((x ^ (x >> 31)) % importance.BUCKETS)
+        return out
+
+    raw, target = collections.Counter(), collections.Counter()
+    for d, t, *_ in rows:
+        raw.update(buckets(t))
+        if (d, True) in quality:
+            target.update(buckets(t))
+    raw_sum, target_sum = (sum(c.values()) + importance.BUCKETS for c in (raw, target))
+    want = []
+    for d, t, *_ in rows:
+        weight = sum(math.log((target[b] + 1) / target_sum) - math.log((raw[b] + 1) / raw_sum) for b in buckets(t))
+        of = _signed(xxhash.xxh64_intdigest((t or "").encode(), 42)) if t is not None else 42
+        u = ((_spark_hash(importance.SEED, d, of) >> 11) + 0.5) / 2**53
+        want.append((d, len(buckets(t)), weight, weight - math.log(-math.log(u))))
+    got = sorted((r.doc_id, r.n_grams, r.log_weight, r.gumbel_key, r.kept) for r in queries.op5_importance(spark, str(tmp_path)).collect())
+    want.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2:4] for x in got], [x[2:] for x in want], atol=1e-9)
+    share = sum(q for _, q in quality if q is not None) / sum(q is not None for _, q in quality)
+    limit = sorted((x[3] for x in want), reverse=True)[round(len(rows) * share)]
+    assert all(x[4] for x in got if x[3] > limit + 1e-9) and not any(x[4] for x in got if x[3] < limit - 1e-9) and sum(x[4] for x in got) == round(len(rows) * share)
+
+
 def test_top_k_by_sorting(spark):
-    keys = [random.gauss(0, 1) * 10 ** random.randint(-9, 9) for _ in range(3000)] + [1.0] * 50
-    scored = spark.createDataFrame([(i, x) for i, x in enumerate(keys)], "doc_id long, gumbel_key double")
-    for k in (0, 1, 17, 1500, 3050):
-        kept = [r.gumbel_key for r in importance.top_k(scored, k).where("kept").collect()]
-        limit = sorted(keys, reverse=True)[k] if k < len(keys) else -math.inf
-        assert sorted(kept) == sorted(x for x in keys if x > limit)
+    """The k largest by all keys, and exactly k, however many rows tie at the limit."""
+    keys = [random.gauss(0, 1) * 10 ** random.randint(-9, 9) for _ in range(3000)] + [1.0] * 500
+    rows = [(x, random.randrange(5), i) for i, x in enumerate(keys)]
+    scored = spark.createDataFrame(rows, "gumbel_key double, tie long, row long")
+    at = sorted(keys, reverse=True).index(1.0)
+    for k in (0, 1, 17, at + 250, 1500, 3500):
+        kept = importance.top_k(scored, k, ("gumbel_key", "tie", "row")).where("kept").collect()
+        assert sorted(tuple(r)[:3] for r in kept) == sorted(sorted(rows, reverse=True)[:k])
+    keys = spark.createDataFrame([(float(x),) for x in (5, 4, 3, 3, 3, 3, 1)], "gumbel_key double").withColumns({"tie": F.lit(0), "row": F.monotonically_increasing_id()})
+    assert sorted(r.gumbel_key for r in importance.top_k(keys, 4, ("gumbel_key", "tie", "row")).where("kept").collect()) == [3, 3, 4, 5]
+
+
+def test_importance_keeps_its_share_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "same text here")] * 40 + [(None, None)] * 3, "doc_id long, text string")
+    got = importance.resample(docs.repartition(3), docs.select("doc_id"), 0.5).collect()
+    assert len(got) == 43 and sum(r.kept for r in got) == 22 and len({r.row for r in got}) == 43
 
 
 def test_fair_mix(spark, docs, rows, none):
-    got = fair_mix.mix(docs, bucket_rows=3).collect()
+    got = fair_mix.mix(docs).collect()
     size = collections.Counter()
     for _, t, source, _ in rows:
         size[source] += len((t or "").split())
@@ -183,7 +245,7 @@ def test_fair_mix(spark, docs, rows, none):
         taken[r.source] += r.taken
         assert r.taken in (0, r["size"], 2 * r["size"], 3 * r["size"])
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= longest for s in size) and sum(taken.values()) <= total
-    assert sorted(map(str, got)) == sorted(map(str, fair_mix.mix(docs, bucket_rows=3).collect())) and fair_mix.mix(none).count() == 0
+    assert sorted(map(str, got)) == sorted(map(str, fair_mix.mix(docs).collect())) and fair_mix.mix(none).count() == 0
 
 
 def test_toxicity(spark, none):
@@ -200,6 +262,63 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity(none, table.select("doc_id", "toxic").limit(0)).count() == 0
 
 
+def test_toxicity_by_brute_force(spark, tmp_path):
+    """The model, fitted by a plain loop over sentences, and the scores of the registered query, word by word."""
+    texts = {i: ". ".join(prose(random.randint(1, 5)) + (" scumble" if i % 4 == 0 and j == 1 else "") for j in range(3)) for i in range(60)}
+    labels = [(i, int(i % 4 == 0)) for i in range(60)] + [(7, 1), (9, None), (500, 1)]  # 7 has two labels
+    rows = [*texts.items(), (5, texts[5]), (None, texts[0]), (600, None), (601, "…!")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n", "label", "sum", "score")}).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d, 0, y) for d, y in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    known = collections.defaultdict(list)
+    for d, y in labels:
+        if y is not None and not held(d):
+            known[d].append(y)
+    sample = [(t, sum(known[d]) / len(known[d])) for d, t in rows if d in known]
+    word = lambda s: re.findall(rb"[0-9a-z_'\x80-\xff]+", s.lower())
+    bags = lambda t: [b for s in re.split(rb"[.!?\n]+", (t or "").encode()) if (b := word(s))]
+    features = lambda w: [xxhash.xxh64_intdigest(x) % toxicity.BUCKETS for x in (b"=" + w, *(w[:n] for n in (4, 5, 6, 7) if len(w) >= n))]
+    docs_of, toxic_of = collections.Counter(), collections.Counter()
+    for t, y in sample:
+        for f in {f for b in bags(t) for w in b for f in features(w)}:
+            docs_of[f] += 1
+            toxic_of[f] += y
+    chosen = [f for f in docs_of if docs_of[f] >= toxicity.LEAST_DOCS]
+    assert len(chosen) < toxicity.MOST_FEATURES
+    w, bias = dict.fromkeys(chosen, 0.0), toxicity.START
+    mean, square = collections.Counter(), collections.Counter()
+    counted = [([collections.Counter(f for x in b for f in features(x) if f in w) for b in bags(t)], y) for t, y in sample]
+    for step in range(1, toxicity.ROUNDS + 1):
+        gradient = collections.Counter()
+        for sentences, y in counted:
+            z = [bias + sum(w[f] * n for f, n in s.items()) for s in sentences]
+            p = [1 / (1 + math.exp(-x)) for x in z]
+            none = math.prod(1 - x for x in p)  # noisy-or: the document's probability is 1 - none
+            for s, x in zip(sentences, p):
+                pull = ((1 - y) - y * none / max(1 - none, 1e-9)) * x / len(sample)  # d loss / d z
+                gradient["bias"] += pull
+                for f, n in s.items():
+                    gradient[f] += pull * n
+        for f in [*w, "bias"]:
+            mean[f] = 0.9 * mean[f] + 0.1 * gradient[f]
+            square[f] = 0.99 * square[f] + 0.01 * gradient[f] ** 2
+            rate = toxicity.RATE / (math.sqrt(square[f] / (1 - 0.99**step)) + 1e-6)
+            move = rate * mean[f] / (1 - 0.9**step)
+            if f == "bias":
+                bias -= move
+            else:
+                moved = w[f] - move
+                w[f] = math.copysign(max(abs(moved) - rate * toxicity.PENALTY, 0), moved)
+    got = queries.op7_toxicity(spark, str(tmp_path)).collect()
+    want = []
+    for d, t in rows:
+        z = [bias + sum(w.get(f, 0) for x in b for f in features(x)) for b in bags(t)]
+        want.append((d, held(d), 1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z)))
+    got, want = (sorted(x, key=lambda r: (str(r[0]), r[2])) for x in (got, want))
+    assert [tuple(r)[:2] for r in got] == [x[:2] for x in want] and np.allclose([r.score for r in got], [x[2] for x in want], atol=1e-4)
+    assert all(r.predicted == (r.score >= 0.3) for r in got) and sum(r.predicted for r in got) > 5
+
+
 @pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
 def test_jaccard_join(docs, rows, none, k, percent):
     sets = {}
