@@ -8,10 +8,12 @@ number of words, whatever the sizes of the groups of copies:
    have equal minimizers, so only windows whose minimizer recurs go on.
 2. Those windows are grouped by a 128-bit hash, once for each shard however many copies it holds. This confirms
    recurring passages and finds the owner of each, the smallest document that has it.
-3. Owners hand the confirmed passages, in pieces of `PIECE` window starts, to the shards whose documents need them.
-4. Each shard compiles its passages into an Aho-Corasick automaton over word numbers and streams all its documents
-   through it. The patterns are the passages' aligned blocks of window / 2 words, of which every window contains one,
-   so an automaton is as large as its passages. Around each block found, whole windows are compared.
+3. Shards are told the owners of their own recurring windows, by place: a row for each, and no text, so that what very
+   many documents share costs its owner nothing.
+4. Each shard cuts its passages (runs of such windows) out of its own documents, compiles them into an Aho-Corasick
+   automaton over word numbers and streams all its documents through it. The patterns are the passages' aligned blocks
+   of window / 2 words, of which every window contains one, so an automaton is as large as its passages. Around each
+   block found, windows are compared word by word with the passage.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import BASE, BASE2, WordHasher, found_in, gram_hashes, mixed, raw, shard_count, sliding_min, u64
 
-PIECE = 64
 SHARD_BYTES = 8 << 20
 RESULT = "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string"
 
@@ -36,10 +37,11 @@ def _minimizers(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 
 def _documents(shard: pa.Table, hasher: WordHasher):
-    """(id, words, their hashes) by rising id; an id of null comes last."""
+    """(id, words, their hashes) by rising id, rows of one id by text: the same order whenever a shard is read."""
     ids = shard["doc_id"].to_pylist()
     texts = shard["text"].cast(pa.binary())
-    for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0)):
+    alike = len(set(ids)) < len(ids)
+    for i in sorted(range(len(ids)), key=lambda i: (ids[i], alike and (texts[i].as_py() or b""))):
         words = (texts[i].as_py() or b"").split()
         yield ids[i], words, hasher.of(words)
 
@@ -49,7 +51,7 @@ def _fingerprints(window: int, anchor: int):
         hasher = WordHasher()
         each, last = [], []
         for doc, _, hashes in _documents(shard, hasher):
-            if doc is not None and len(hashes) >= window:
+            if len(hashes) >= window:
                 each.append(np.unique(_minimizers(hashes, window, anchor)))
                 last.append(doc)
         found, counts = np.unique(np.concatenate(each), return_counts=True) if each else (np.empty(0, np.uint64), np.empty(0, int))
@@ -59,61 +61,47 @@ def _fingerprints(window: int, anchor: int):
 
 
 def _windows(window: int, anchor: int):
-    """A shard's recurring windows: hash, first document and place there, last document."""
+    """A shard's recurring windows: hash, first document, place there (the document's number in the shard, then words),
+    whether a document with a larger id has it too."""
+    kinds = {"shard": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "more": pa.bool_()}
 
     def run(shard: pa.Table, wanted: pa.Table) -> pa.Table:
         parts, hasher, recurring = [], WordHasher(), np.sort(u64(wanted["fp"]))
-        for doc, _, hashes in _documents(shard, hasher) if len(recurring) else ():
-            if doc is None or len(hashes) < window:
+        for number, (doc, _, hashes) in enumerate(_documents(shard, hasher)) if len(recurring) else ():
+            if len(hashes) < window:
                 continue
             at = np.flatnonzero(found_in(_minimizers(hashes, window, anchor), recurring)[0])
             if len(at):
                 one, two = gram_hashes(hashes, window)[at], gram_hashes(mixed(hashes), window, BASE2)[at]
-                parts.append((one, two, np.full(len(at), doc, np.int64), at.astype(np.int64)))
+                parts.append((one, two, np.full(len(at), doc, np.int64), at.astype(np.int64) | number << 32))
         if not parts:
-            return pa.table({k: pa.array([], t) for k, t in (("shard", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("last", pa.int64()))})
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
         one, two, docs, places = map(np.concatenate, zip(*parts))
         order = np.lexsort((two, one))  # stable: documents and places keep rising
         one, two, docs, places = one[order], two[order], docs[order], places[order]
         new = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
         end = np.r_[new[1:], len(one)] - 1
-        return pa.table({"shard": np.full(len(new), shard["shard"][0].as_py(), np.int64), "h1": one[new].view(np.int64), "h2": two[new].view(np.int64), "doc": docs[new], "place": places[new], "last": docs[end]})
+        own = np.full(len(new), shard["shard"][0].as_py(), np.int64)
+        return pa.table({"shard": own, "h1": one[new].view(np.int64), "h2": two[new].view(np.int64), "doc": docs[new], "at": places[new], "more": docs[end] > docs[new]})
 
     return run
 
 
-def _passages(window: int):
-    """The words of the pieces that other shards ask this one for."""
-
-    def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted: dict[int, dict[int, list[int]]] = {}
-        for owner, piece, to in zip(asked["owner"].to_pylist(), asked["piece"].to_pylist(), asked["to"].to_pylist()):
-            wanted.setdefault(owner, {}).setdefault(piece, []).append(to)
-        out: dict[str, list] = {"to": [], "owner": [], "passage": []}
-        ids, texts = shard["doc_id"].to_pylist(), shard["text"].cast(pa.binary())
-        for i, doc in enumerate(ids):
-            if doc not in wanted:
-                continue
-            words = (texts[i].as_py() or b"").split()
-            pieces: dict[int, list[int]] = {}
-            for piece in sorted(wanted[doc]):
-                for to in wanted[doc][piece]:
-                    pieces.setdefault(to, []).append(piece)
-            for to, asked_for in pieces.items():
-                first = last = asked_for[0]
-                for piece in [*asked_for[1:], -1]:  # pieces in a row make one passage
-                    if piece == last + 1:
-                        last = piece
-                        continue
-                    part = words[first * PIECE : (last + 1) * PIECE + window - 1]
-                    if len(part) >= window:
-                        out["to"].append(to)
-                        out["owner"].append(doc)
-                        out["passage"].append(b" ".join(part))
-                    first = last = piece
-        return pa.table({"to": pa.array(out["to"], pa.int64()), "owner": pa.array(out["owner"], pa.int64()), "passage": pa.array(out["passage"], pa.binary()).cast(pa.string())})
-
-    return run
+def _split(documents: list, owned: pa.Table, window: int) -> tuple[list, list]:
+    """The passages of a shard: word lists, and the owner of each window in them. documents: (id, words, hashes) in
+    order; owned: place and owner of recurring windows."""
+    at, owners = owned["at"].to_numpy(), owned["owner"].to_numpy()
+    order = np.argsort(at)
+    at, owners = at[order], owners[order]
+    edges = np.flatnonzero(np.r_[True, np.diff(at) != 1, True]).tolist() if len(at) else []
+    passages, owner_of = [], []
+    for start, end in zip(edges, edges[1:]):
+        place = int(at[start])
+        _, words, _ = documents[place >> 32]
+        place &= (1 << 32) - 1
+        passages.append(words[place : place + end - start + window - 1])
+        owner_of.append(owners[start:end])
+    return passages, owner_of
 
 
 def spelled(numbers: np.ndarray, symbols: int) -> str:
@@ -128,33 +116,33 @@ def spelled(numbers: np.ndarray, symbols: int) -> str:
 class Passages:
     """A shard's passages: the automaton over their blocks, and their windows with the smallest owner of each."""
 
-    def __init__(self, passages: list[bytes], owners: list[int], window: int, hasher: WordHasher):
+    def __init__(self, passages: list[list[bytes]], owners: list[np.ndarray], window: int, hasher: WordHasher):
         self.window, self.block, self.numbers = window, window // 2, {}
-        numbers, each = self.numbers, []
-        hashes, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for passage, owner in zip(passages, owners):
-            words = passage.split()
+        numbers, each, at = self.numbers, [np.empty(0, np.int64)], 0
+        hashes, of, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for words, owner in zip(passages, owners):
             each.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in words]))
             hashes.append(gram_hashes(hasher.of(words), window))
-            of.append(np.full(len(hashes[-1]), owner, np.int64))
+            of.append(owner)
+            places.append(np.arange(at, at + len(owner)))
+            at += len(words)
         self.symbols = 3 if len(numbers) < 63**3 else 4
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for key in each:
             key, wide = spelled(key, self.symbols), self.block * self.symbols
-            for at in range(0, len(key) - wide + 1, wide):
-                self.automaton.add_word(key[at : at + wide])
+            for i in range(0, len(key) - wide + 1, wide):
+                self.automaton.add_word(key[i : i + wide])
         if numbers:
             self.automaton.make_automaton()
-        every, owner = np.concatenate(hashes), np.concatenate(of)
+        self.words, every, owner, place = (np.concatenate(x) for x in (each, hashes, of, places))
         order = np.lexsort((owner, every))
-        every, owner = every[order], owner[order]
+        every, owner, place = every[order], owner[order], place[order]
         first = np.r_[True, every[1:] != every[:-1]][: len(every)]
-        self.hashes, self.owners = every[first], owner[first]
+        self.hashes, self.owners, self.places = every[first], owner[first], place[first]
 
-    def _blocks(self, words: list[bytes]) -> np.ndarray:
+    def _blocks(self, numbers: np.ndarray) -> np.ndarray:
         """Where the automaton ends a block: places of last words. Stretches without an unknown word are streamed, as
         long as they can hold a block."""
-        numbers = np.fromiter(map(self.numbers.get, words, itertools.repeat(0)), np.int64, len(words))
         edges = np.flatnonzero(np.diff(np.r_[0, (numbers > 0).view(np.int8), 0]))
         ends = []
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
@@ -162,10 +150,26 @@ class Passages:
                 ends += [start + at // self.symbols for at, _ in self.automaton.iter(spelled(numbers[start:end], self.symbols))]
         return np.array(ends, np.int64)
 
+    def _same(self, numbers: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the windows at these places of a document have the words of those at these places of the passages.
+        Windows that follow one another in both are compared as one stretch."""
+        same = np.ones(len(at), bool)
+        edges = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(place) != 1), True])
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            width = j - i + self.window - 1
+            differ = numbers[at[i] : at[i] + width] != self.words[place[i] : place[i] + width]
+            if differ.any():
+                sums = np.cumsum(np.r_[0, differ])
+                same[i:j] = sums[self.window :] == sums[: -self.window]
+        return same
+
     def covered(self, doc: int, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
         """Which words of a document lie in a window that a smaller document has."""
         n, out = len(words) - self.window + 1, np.zeros(len(words) + 1, np.int32)
-        ends = self._blocks(words) if n > 0 and self.numbers else out[:0]
+        if n <= 0 or not self.numbers:
+            return out[:-1] > 0
+        numbers = np.fromiter(map(self.numbers.get, words, itertools.repeat(0)), np.int64, len(words))
+        ends = self._blocks(numbers)
         if not len(ends):
             return out[:-1] > 0
         near = np.zeros(len(words) + 1, np.int32)
@@ -173,50 +177,61 @@ class Passages:
         np.add.at(near, ends - self.block + 2, -1)
         at = np.flatnonzero(np.cumsum(near)[:n] > 0)
         have, where = found_in(gram_hashes(hashes, self.window)[at], self.hashes)
-        at = at[have & (self.owners[where] < doc)]
+        have &= self.owners[where] < doc
+        at, where = at[have], where[have]
+        if len(at):
+            at = at[self._same(numbers, at, self.places[where])]
         out[at] += 1
         np.add.at(out, at + self.window, -1)
         return np.cumsum(out)[:-1] > 0
 
 
+def _result(rows) -> dict[str, pa.Array]:
+    """RESULT of (id, words, which of them go)."""
+    ids, total, removed, spans, kept = [], [], [], [], []
+    for doc, words, gone in rows:
+        edges = np.flatnonzero(np.diff(np.r_[0, gone.view(np.int8), 0]))
+        ids.append(doc)
+        total.append(len(words))
+        removed.append(int(gone.sum()))
+        spans.append(edges.reshape(-1, 2).tolist())
+        kept.append(b" ".join([w for w, x in zip(words, gone.tolist()) if not x] if len(edges) else words))
+    return {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
+
+
 def _locate(window: int):
-    def run(shard: pa.Table, known: pa.Table) -> pa.Table:
+    def run(shard: pa.Table, owned: pa.Table) -> pa.Table:
         hasher = WordHasher()
-        passages = Passages(raw(known["passage"]), known["owner"].to_pylist(), window, hasher)
-        ids, total, removed, spans, kept = [], [], [], [], []
-        for doc, words, hashes in _documents(shard, hasher):
-            gone = np.zeros(len(words), bool) if doc is None else passages.covered(doc, words, hashes)
-            edges = np.flatnonzero(np.diff(np.r_[0, gone.view(np.int8), 0]))
-            ids.append(doc)
-            total.append(len(words))
-            removed.append(int(gone.sum()))
-            spans.append(edges.reshape(-1, 2).tolist())
-            kept.append(b" ".join([w for w, x in zip(words, gone.tolist()) if not x] if len(edges) else words))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+        documents = list(_documents(shard, hasher))
+        passages = Passages(*_split(documents, owned, window), window, hasher)
+        return pa.table(_result((doc, words, passages.covered(doc, words, hashes)) for doc, words, hashes in documents))
 
     return run
 
 
+def _unchanged(batches):
+    for batch in batches:
+        found = _result((None, words, np.zeros(len(words), bool)) for text in raw(batch["text"]) for words in [(text or b"").split()])
+        yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
+
+
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row of docs (doc_id long, text string; other columns are ignored): doc_id, n_words, n_removed, spans
     ([from, to) of removed words, judged on the input) and kept_text (the other words, joined by one space).
 
-    Words are runs of characters other than ASCII white space. A null or empty text has none. A row whose doc_id is
-    null is neither compared nor changed; rows that share a doc_id count as one document and never remove each other.
+    Words are runs of characters other than ASCII white space. Passages of different shards count as equal if 128 bits of
+    hashes are; within a shard their words are compared. A null or empty text has none. A row whose doc_id is null is
+    neither compared nor changed; rows that share a doc_id count as one document and never remove each other.
     A document shorter than a window keeps all. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    without = docs.where("doc_id is null").select("text").mapInArrow(_unchanged, RESULT)
     shards = shard_count(docs, "text", shard_bytes)
-    shard_of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
-    docs = docs.withColumn("shard", shard_of("doc_id"))
+    docs = docs.where("doc_id is not null").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     prints = docs.groupBy("shard").applyInArrow(_fingerprints(window, anchor), "shard long, fp long, many boolean")
     recurring = prints.withColumn("n", F.count("*").over(Window.partitionBy("fp"))).where("n > 1 or many").select("shard", "fp")
-    windows = docs.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_windows(window, anchor), "shard long, h1 long, h2 long, doc long, place long, last long")
-    first = F.min(F.struct("doc", "place")).over(Window.partitionBy("h1", "h2"))
-    asked = (
-        windows.withColumn("first", first).where("last > first.doc")
-        .select(F.col("shard").alias("to"), F.col("first.doc").alias("owner"), F.floor(F.col("first.place") / PIECE).alias("piece")).distinct()
-        .withColumn("shard", shard_of("owner"))
-    )
-    passages = docs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_passages(window), "to long, owner long, passage string")
-    return docs.groupBy("shard").cogroup(passages.groupBy("to")).applyInArrow(_locate(window), RESULT)
+    windows = docs.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_windows(window, anchor), "shard long, h1 long, h2 long, doc long, at long, more boolean")
+    # a key has a row for each shard that has it at most, whatever the number of copies
+    owner = F.min("doc").over(Window.partitionBy("h1", "h2"))
+    owned = windows.withColumn("owner", owner).where("owner < doc or more").select("shard", "at", "owner")
+    return docs.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(_locate(window), RESULT).unionByName(without)
