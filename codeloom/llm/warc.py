@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import hot_join, own_path, written
 
 ARCHIVE_BYTES = 24 << 20
 #: Fixed values of the formats: the fields of an ARC header line by version, and the separators after records.
@@ -31,6 +31,8 @@ ARC_FIELDS = {
 }
 ARC_END, WARC_END = "\n", "\r\n\r\n"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: An extension field of revisits: the page id of the response, so that readers need not look its record up.
+REFERS_TO_PAGE = b"X-Refers-To-Page-Id"
 #: Payloads shorter than this are stored again rather than revisited.
 LEAST_REVISIT = 1000
 
@@ -72,10 +74,12 @@ def _write(records: DataFrame, path: str, end: str) -> None:
 
 
 def write_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """pages (page_id long, url, html) as ARC files under path."""
+    """pages (page_id long, url, html) as ARC files under path, dealt by hash of page and row number, so that rows that
+    are alike, or have no page_id, are spread like others."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     total = pages.agg(F.sum(F.octet_length("html") + 300)).first()[0] or 0
-    _write(pages.repartition(max(1, -(-total // archive_bytes)), "page_id", "url").mapInArrow(_arc_rows, "record binary"), path, ARC_END)
+    dealt = pages.withColumn("row", F.monotonically_increasing_id()).repartition(max(1, -(-total // archive_bytes)), "page_id", "url", "row")
+    _write(dealt.mapInArrow(_arc_rows, "record binary"), path, ARC_END)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -157,11 +161,12 @@ def warc_record(kind: bytes, record_id: str, uri: bytes, date: bytes, mime: byte
 
 
 def _warc_rows(batches):
-    """Each ARC record as a WARC record; `revisits` has (offset, id of the response) of those that repeat a payload."""
+    """Each ARC record as a WARC record; `revisits` has (offset, id and page id of the response) of those that repeat a
+    payload."""
     for batch in batches:
         for file, content, revisits in zip(batch["file"].to_pylist(), batch["content"], batch["revisits"].to_pylist()):
             name, out, size = file, [], 0
-            of = {x["at"]: x["of"] for x in revisits or []}
+            of = {x["at"]: (x["of"], x["of_page"]) for x in revisits or []}
             for at, fields, body in arc_records(unpacked(content.as_py())):
                 url, date = fields[b"url"], fields[b"archive-date"].ljust(14, b"0")
                 if url.startswith(b"filedesc://"):
@@ -174,7 +179,8 @@ def _warc_rows(batches):
                     digest = b"sha1:" + base64.b32encode(hashlib.sha1(payload).digest())
                     more = [(b"WARC-IP-Address", fields[b"ip-address"]), (b"WARC-Payload-Digest", digest)]
                     if at in of:
-                        more += [(b"WARC-Refers-To", b"<%s>" % of[at].encode()), (b"WARC-Profile", REVISIT_PROFILE)]
+                        record, page = of[at]
+                        more += [(b"WARC-Refers-To", b"<%s>" % record.encode()), (b"WARC-Profile", REVISIT_PROFILE), (REFERS_TO_PAGE, b"" if page is None else b"%d" % page)]
                     out.append(warc_record(b"revisit" if at in of else b"response", _record_id(fields, name, at), url, date, b"application/http; msgtype=response", http + gap if at in of else body, more))
                 size += len(out[-1])
                 if size > 4 << 20:
@@ -190,9 +196,12 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT
     the others revisit it. Which do is settled on narrow rows; archives meet only their own lists.
     """
     found = files(spark, arc)
-    rows = found.mapInArrow(_digest_rows, "file string, at long, id string, page_id long, digest binary, length long").where(F.col("length") >= least)
-    best = rows.groupBy("digest").agg(F.max(F.struct("page_id", "id")).alias("best"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("best.id").alias("of"))
-    revisits = rows.join(best, "digest").where("id <> of").groupBy("file").agg(F.collect_list(F.struct("at", "of")).alias("revisits"))
+    digests = found.mapInArrow(_digest_rows, "file string, at long, id string, page_id long, digest binary, length long")
+    rows = written(digests.where(F.col("length") >= least).select("digest", "file", "at", "id", "page_id"), "digests")
+    top = rows.groupBy("digest").agg(F.max(F.struct("page_id", "id")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = written(top.select("digest", "n", F.col("best.id").alias("of"), F.col("best.page_id").alias("of_page")), "responses")
+    repeats = hot_join(rows.select("digest", "file", "at", "id"), best, ["digest"]).where("id <> of")
+    revisits = repeats.groupBy("file").agg(F.collect_list(F.struct("at", "of", "of_page")).alias("revisits"))
     _write(found.join(revisits, "file", "left").select("file", "content", "revisits").mapInArrow(_warc_rows, "record binary"), warc, WARC_END)
 
 
@@ -207,7 +216,7 @@ def warc_records(data: bytes):
         at = end + 4 + length
 
 
-READ = "id string, type string, uri string, page_id long, payload_bytes long, payload_digest string, of string"
+READ = "id string, type string, uri string, page_id long, payload_bytes long, payload_digest string, of string, refers_to long"
 
 
 def _read_rows(batches):
@@ -223,15 +232,15 @@ def _read_rows(batches):
                 if kind == b"response" and hashlib.sha1(payload).digest() != digest:
                     raise ValueError(f"damaged record {head[b'warc-record-id']!r}")
                 length = len(payload) if kind == b"response" else next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                row = (head[b"warc-record-id"].strip(b"<>").decode(), kind.decode(), head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), _page_id(http), length, digest.hex(), head.get(b"warc-refers-to", b"").strip(b"<>").decode() or None)
+                row = (head[b"warc-record-id"].strip(b"<>").decode(), kind.decode(), head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), _page_id(http), length, digest.hex(), head.get(b"warc-refers-to", b"").strip(b"<>").decode() or None, int(page) if (page := head.get(REFERS_TO_PAGE.lower())) else None)
                 for k, v in zip(out, row):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("page_id", "payload_bytes") else pa.string()) for k, v in out.items()], list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("page_id", "payload_bytes", "refers_to") else pa.string()) for k, v in out.items()], list(out))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The responses and revisits of the WARC files under path: id, type, uri, page_id, payload_bytes, payload_digest
-    (hex SHA-1), of (the id that a revisit refers to)."""
+    (hex SHA-1), of (the id that a revisit refers to), refers_to (the page id of that, if the archive tells)."""
     return files(spark, path).mapInArrow(_read_rows, READ)
 
 
@@ -243,11 +252,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     and repeated rows become records of their own. An empty table gives no records.
     """
     spark = pages.sparkSession
-    at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    at = own_path(spark, "warc")
     write_arc(pages, f"{at}/arc")
     convert(spark, f"{at}/arc", f"{at}/warc")
     read = read_warc(spark, f"{at}/warc")
-    responses = read.where("type = 'response'").select(F.col("id").alias("of"), F.col("page_id").alias("refers_to"))
-    return read.join(responses, "of", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "uri", F.col("id").alias("record_id"))
+    return read.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "uri", F.col("id").alias("record_id"))
