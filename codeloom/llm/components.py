@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """Each node u's neighbours v linked to the least of them and u; pairs (u, v) has each link as often as wanted."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+    """Each node u's neighbours v linked to the least of them and u; pairs (u, v), a written table or near one, has each
+    link as often as wanted. The neighbours of a node that very many have stay where they are."""
+    least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    return hot_join(pairs, least, ["u"]).drop("n")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        starred = _stars(large)
+        starred = _stars(written(large, "large-stars"))
         small = starred.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         links = written(small, "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

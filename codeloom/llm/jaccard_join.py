@@ -12,12 +12,14 @@ A document's set is its distinct word shingles. Two documents link if the Jaccar
 4. What may still be missing lies between classes that share a prefix shingle but no component. First a few pairs of
    each longer list are tried, up to STARS for each component in it: this connects what is left of large groups at a
    cost that grows with the lists, not their squares. Then each list that still has several components is joined on
-   bitmaps alone, all its pairs, and those that survive are compared exactly.
-
-Both joins run on signature trees: nodes hold the OR of the token bitmaps below them, the range of set sizes and of
-bits set, and the common component if there is one. Pairs of nodes are traversed from the root and dropped if the sizes
-don't fit, if the most that sets below can have in common is too little, or if all below is connected already. Groups
-and lists of more than `BLOCK` classes are cut into blocks (joined by pairs of blocks in step 4).
+   bitmaps alone, and the pairs that survive are compared exactly.
+
+Both joins run on signature trees, one for each group or list: nodes hold the OR of the token bitmaps below them, the
+range of set sizes and of bits set, and the common component if there is one. Pairs of nodes are traversed from the
+roots and dropped if the sizes don't fit, if the most that sets below can have in common is too little, or if all below
+is connected already. The trees of many lists are traversed side by side. Large groups are cut into blocks (GROUP_ROWS,
+GROUP_TOKENS) that share some classes; of a list of more than BLOCK classes, blocks of its largest component are joined
+with blocks of the others, and these with one another, but no block of the largest component with another of it.
 """
 
 from __future__ import annotations
@@ -25,21 +27,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, found_in, gram_hashes, mixed, raw, written
+from .common import WordHasher, found_in, gram_hashes, hot_join, mixed, raw, written
 from .components import components
 
 MAX_HOT = 20_000
+#: The most classes in a block of a list; classes and shingles in a block of a group, whose texts are at hand, about.
 BLOCK = 4096
+GROUP_ROWS, GROUP_TOKENS = 1024, 4_000_000
 #: Classes of a cut group that go to every block of it, about, to hold the blocks together.
 PIVOTS = 48
 STARS = 8
-#: Lists up to this length are joined all at once, without trees; buckets of lists have about so many rows.
+#: Lists up to this length have no pairs tried beforehand; buckets of lists have about so many rows.
 SMALL, BUCKET_ROWS = 16, 30_000
 LEAST_BITS, MOST_BITS = 64, 1 << 16
-FANOUT, CHUNK = 8, 60_000
+#: Children of a node; pairs of nodes, and bytes of bitmaps, that are tested at a time.
+FANOUT, CHUNK, CHUNK_BYTES = 8, 60_000, 32 << 20
 
 
 def shingles(text: bytes | None, k: int, hasher: WordHasher) -> np.ndarray:
@@ -62,45 +67,54 @@ def folded(maps: np.ndarray) -> np.ndarray:
     return maps[:, :half] | maps[:, half:]
 
 
-class Tree:
-    """A signature tree over sets in the given order. levels[0] are the sets themselves."""
+class Trees:
+    """Signature trees, one for each group of sets, over sets in the given order (a group's sets side by side).
+    levels[0] are the sets themselves; the last level has one root for each group, that of groups[i] at i."""
 
-    def __init__(self, index: np.ndarray, sizes: np.ndarray, maps: np.ndarray):
+    def __init__(self, index: np.ndarray, group: np.ndarray, sizes: np.ndarray, maps: np.ndarray):
         bits = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.index, self.levels = index, [(maps, sizes, sizes, bits)]
-        while len(self.levels[-1][0]) > 1:
+        self.index, self.group_of, self.levels, self.first = index, group, [(maps, sizes, sizes, bits)], [np.arange(len(index))]
+        while True:
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            if len(start) == len(group):
+                break
             maps, low, high, bits = self.levels[-1]
-            at = np.arange(0, len(maps), FANOUT)
+            within = np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
+            at = np.flatnonzero(within % FANOUT == 0)
             self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(bits, at)))
+            self.first.append(at)
+            group = group[at]
+        self.groups = group
 
     def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the nodes (by place) each child is below, and the children."""
-        n = len(self.levels[level - 1][0])
-        first = nodes * FANOUT
-        count = np.minimum(first + FANOUT, n) - first
+        first = self.first[level]
+        count = np.diff(np.r_[first, len(self.levels[level - 1][0])])[nodes]
         of = np.repeat(np.arange(len(nodes)), count)
-        return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[nodes], count)
 
 
-def _uniform(tree: Tree, component: np.ndarray) -> list[np.ndarray]:
+def _uniform(trees: Trees, component: np.ndarray) -> list[np.ndarray]:
     """By level and node, the component of all sets below, or -1."""
-    out = [component[tree.index]]
-    for maps, *_ in tree.levels[1:]:
-        at = np.arange(0, len(out[-1]), FANOUT)
+    out = [component[trees.index]]
+    for at in trees.first[1:]:
         low, high = np.minimum.reduceat(out[-1], at), np.maximum.reduceat(out[-1], at)
         out.append(np.where(low == high, low, -1))
     return out
 
 
-def traverse(one: Tree, two: Tree, percent: int, component: np.ndarray):
-    """Pairs (places of sets) that may link and aren't of one component, in chunks. one is two: each pair once."""
+def traverse(one: Trees, two: Trees, percent: int, component: np.ndarray):
+    """Pairs (places of sets) of one group that may link and aren't of one component, in chunks. one is two: each pair
+    once."""
     own = one is two
     known = _uniform(one, component), _uniform(two, component)
-    stack = [(len(one.levels) - 1, len(two.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    _, a, b = np.intersect1d(one.groups, two.groups, assume_unique=True, return_indices=True)
+    stack = [(len(one.levels) - 1, len(two.levels) - 1, a, b)]
     while stack:
         la, lb, a, b = stack.pop()
-        if len(a) > CHUNK:
-            cut = np.arange(CHUNK, len(a), CHUNK)
+        chunk = max(1, min(CHUNK, CHUNK_BYTES // one.levels[0][0][:1].nbytes))
+        if len(a) > chunk:
+            cut = np.arange(chunk, len(a), chunk)
             stack += [(la, lb, x, y) for x, y in zip(np.split(a, cut), np.split(b, cut))]
             continue
         ma, low_a, high_a, bits_a = one.levels[la]
@@ -134,20 +148,24 @@ def traverse(one: Tree, two: Tree, percent: int, component: np.ndarray):
         stack.append((la, lb, a, b))
 
 
-def candidates(sizes: np.ndarray, maps: list[np.ndarray], near: np.ndarray, percent: int, component: np.ndarray):
-    """Pairs of sets that may link, from trees by bitmap width; sets that link have widths at most one step apart.
-    near: similar sets have close numbers, by which trees are ordered within sizes."""
+def candidates(sizes: np.ndarray, maps: list[np.ndarray], near: np.ndarray, percent: int, component: np.ndarray, group: np.ndarray | None = None):
+    """Pairs of sets (of one group) that may link, from trees by bitmap width; sets that link have widths at most one
+    step apart. near: similar sets have close numbers, by which trees are ordered within sizes."""
     widths = np.array([len(m) for m in maps])
+    group = np.zeros(len(maps), np.int64) if group is None else group
     trees = {}
     for w in np.unique(widths):
         at = np.flatnonzero(widths == w)
-        at = at[np.lexsort((sizes[at], near[at]))]
-        trees[w] = Tree(at, sizes[at], np.stack([maps[i] for i in at]))
-    for w, tree in trees.items():
-        yield from traverse(tree, tree, percent, component)
+        at = at[np.lexsort((sizes[at], near[at], group[at]))]
+        trees[w] = Trees(at, group[at], sizes[at], np.stack([maps[i] for i in at]))
+    for w, narrow in trees.items():
+        yield from traverse(narrow, narrow, percent, component)
         if 2 * w in trees:
             wide = trees[2 * w]
-            yield from traverse(tree, Tree(wide.index, wide.levels[0][1], folded(wide.levels[0][0])), percent, component)
+            at = np.flatnonzero(np.isin(wide.group_of, narrow.groups))
+            if len(at):
+                maps_w, sizes_w, *_ = wide.levels[0]
+                yield from traverse(narrow, Trees(wide.index[at], wide.group_of[at], sizes_w[at], folded(maps_w[at])), percent, component)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -165,18 +183,13 @@ def _join_exact(sets: list[np.ndarray], near: np.ndarray, percent: int) -> list[
     """The root of each set's component, with the sets at hand."""
     n = len(sets)
     parent = list(range(n))
-    if n <= 8:
-        pairs = iter([([i for i in range(n) for _ in range(i + 1, n)], [j for i in range(n) for j in range(i + 1, n)])])
-    else:
-        component = np.arange(n)
-        pairs = candidates(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], near, percent, component)
-    for one, two in pairs:
-        if n > 8:  # a chunk's pairs that earlier chunks have connected
+    for one, two in candidates(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], near, percent, np.arange(n)):
+        if len(one) > n:  # pairs that earlier chunks have connected
             root = np.array([_find(parent, i) for i in range(n)])
             apart = root[one] != root[two]
             one, two = one[apart], two[apart]
-        for i, j in zip(one, two):
-            a, b = _find(parent, int(i)), _find(parent, int(j))
+        for i, j in zip(one.tolist(), two.tolist()):
+            a, b = _find(parent, i), _find(parent, j)
             if a != b and linked(sets[i], sets[j], percent):
                 parent[max(a, b)] = min(a, b)
     return [_find(parent, i) for i in range(n)]
@@ -294,35 +307,20 @@ def _pair_table(docs: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> p
 
 
 def _list_pairs(percent: int):
-    """All pairs of a bucket's lists that may link and aren't connected."""
+    """The pairs of a bucket's lists that may link and aren't connected, from the lists' trees side by side."""
 
     def run(group: pa.Table) -> pa.Table:
         _, c, maps, edges = _lists_of(group)
         sizes, component, side = c["n"], np.unique(c["component"], return_inverse=True)[1], c["side"]
-        one, two, lengths = [], [], np.diff(edges)
-
-        def wanted(a, b):
-            """Pairs on two sides, and, as each is found in the list of its first common shingle, only those that have
-            enough of their sets from here on."""
+        of_list = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        one, two = [], []
+        for a, b in candidates(sizes, maps, c["near"], percent, component, of_list):
+            # Pairs on two sides, and, as each is found in the list of its first common shingle, only those that have
+            # enough of their sets from here on.
             left = np.minimum(sizes[a] - c["pos"][a], sizes[b] - c["pos"][b])
-            return ((side[a] != side[b]) | (side[a] == 2)) & ((100 + percent) * left >= percent * (sizes[a] + sizes[b]))
-
-        for m in np.unique(lengths[lengths <= SMALL]):  # short lists all at once
-            first = edges[:-1][lengths == m][:, None]
-            i, j = np.triu_indices(m, 1)
-            a, b = (first + i).ravel(), (first + j).ravel()
-            fit = (component[a] != component[b]) & wanted(a, b)
-            a, b = a[fit], b[fit]
-            fit = surviving(a, b, sizes, maps, percent)
+            fit = ((side[a] != side[b]) | (side[a] == 2)) & ((100 + percent) * left >= percent * (sizes[a] + sizes[b]))
             one.append(a[fit])
             two.append(b[fit])
-        for k in np.flatnonzero(lengths > SMALL):
-            at = np.arange(edges[k], edges[k + 1])
-            for a, b in candidates(sizes[at], [maps[x] for x in at], c["near"][at], percent, component[at]):
-                a, b = at[a], at[b]
-                fit = wanted(a, b)
-                one.append(a[fit])
-                two.append(b[fit])
         return _pair_table(c["doc"], one, two)
 
     return run
@@ -362,35 +360,39 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _cut(df: DataFrame, n: str, block: int) -> DataFrame:
-    """df with `salt`: the block of a row in a group of n rows; and `pivot`: whether it goes to all blocks."""
-    blocks = F.ceil(F.col(n) / block).cast("int")
+def _dealt(near: DataFrame) -> DataFrame:
+    """near (doc, near, n_shingles) with the block (salt) of each class in its group of equal minhash, and `pivot`:
+    whether it goes to all blocks. Classes alone in their group are left out."""
+    n, tokens = F.count("*").alias("n"), F.sum("n_shingles").alias("tokens")
+    groups = near.groupBy("near").agg(n, tokens).where("n > 1")
+    groups = written(groups.select("near", "n", F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("tokens") / GROUP_TOKENS)).cast("int").alias("blocks")), "groups")
     turn = F.pmod(F.xxhash64(F.lit(8), "doc"), F.lit(1 << 30))
-    pivot = (blocks > 1) & (turn * F.col(n) < PIVOTS * (1 << 30))
-    return df.withColumn("pivot", pivot).withColumn("salt", F.explode(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array((turn % blocks).cast("int")))))
+    pivot = (F.col("blocks") > 1) & (turn * F.col("n") < PIVOTS * (1 << 30))
+    own = F.array((turn % F.col("blocks")).cast("int"))
+    dealt = hot_join(near, groups, ["near"]).withColumn("pivot", pivot)
+    return dealt.select("doc", "near", "pivot", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("salt"))
 
 
-def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes has doc_id, n_shingles and representative (null without words) of every row; links
-    (a, b) joins representatives so that their components are those of all links between different sets."""
+def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, links): sets (doc_id, n_shingles, d1, d2) of every row, with the hash of its set; classes (d1, d2,
+    representative, n) of the distinct sets that aren't empty; links (a, b) joins representatives so that their
+    components are those of all links between different sets."""
     found = docs.mapInArrow(_hot(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_HOT).collect()
     hot = np.sort(np.array([x["token"] for x in found], np.int64).view(np.uint64))
     features = written(docs.mapInArrow(_features(k, percent, hot), FEATURES), "features")
-    sets = features.where("n_shingles > 0")
-    least = written(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("representative")), "classes")
-    classes = features.select("doc_id", "n_shingles", "d1", "d2").join(least, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("representative")).alias("representative"))
+    classes = written(features.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n")), "classes")
 
-    of_class = sets.join(least.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi")
-    tokens = of_class.select(F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token"))
-    shared = written(tokens.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", "doc", "pos"), "shared")
+    of_class = features.join(classes.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
+    bits = written(of_class.select("doc", F.col("n_shingles").alias("n"), "bits", "near", "prefix"), "of-class")
+    tokens = bits.select("doc", F.posexplode("prefix").alias("pos", "token"))
+    counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "tokens")
+    shared = written(hot_join(tokens, counts, ["token"]).select("token", "doc", "pos"), "shared")
 
-    near = of_class.select(F.col("doc_id").alias("doc"), "near").distinct()
-    sizes = near.groupBy("near").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = _cut(near.join(sizes, "near"), "n", BLOCK).select(F.col("doc").alias("doc_id"), "near", "salt", "pivot")
+    dealt = _dealt(bits.select("doc", "near", F.col("n").alias("n_shingles"))).withColumnRenamed("doc", "doc_id")
     roots = docs.join(dealt, "doc_id").select(F.col("doc_id").alias("doc"), "text", "near", "salt", "pivot").groupBy("near", "salt").applyInArrow(_near_groups(k, percent), "doc long, root long")
     roots = written(roots.where("doc <> root").distinct(), "roots")
 
-    bits = of_class.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bits", "near")
+    bits = bits.drop("prefix")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // BUCKET_ROWS))
 
     def compared(lists: DataFrame, pairs) -> DataFrame:
@@ -405,23 +407,41 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     part = roots.groupBy("doc").agg(F.min("root").alias("component"))
     known = known.unionByName(written(compared(_open_lists(shared, part, bits, SMALL + 1), _list_stars), "stars"))
     part = components(known).select(F.col("node").alias("doc"), "component")
-    return classes, known.unionByName(compared(_open_lists(shared, part, bits, 2), _list_pairs))
+    return features.select("doc_id", "n_shingles", "d1", "d2"), classes, known.unionByName(compared(_open_lists(shared, part, bits, 2), _list_pairs))
 
 
 def _open_lists(shared: DataFrame, part: DataFrame, bits: DataFrame, least: int) -> DataFrame:
     """The lists (token, doc) of at least so many classes that still have several components, dealt to pairs of blocks
     (i, j). side 2: both blocks are one; in a pair of different blocks only pairs of sets that cross it (0 and 1) count."""
-    placed = shared.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    placed = written(shared.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed")
     # Of lists of the same classes one is enough: that of the shingle that comes first in their prefixes.
     same = F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64(F.lit(3), "doc").cast("decimal(38,0)")).alias("y"), F.sum("pos").alias("places")
     lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("of"), *same)
     lists = lists.where((F.col("low") < F.col("high")) & (F.col("of") >= least)).groupBy("x", "y", "of").agg(F.min_by("token", "places").alias("token")).select("token", "of")
-    blocks = F.ceil(F.col("of") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    pairs_of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side")))
-    rows = placed.join(lists, "token").join(bits, "doc")
-    own_columns = ["token", "doc", "pos", "n", "bits", "near", "component"]
-    return rows.select(*own_columns, F.explode(pairs_of).alias("p")).select(*own_columns, "p.i", "p.j", "p.side")
+    lists = written(lists, "lists")
+    rows = hot_join(placed, lists, ["token"], "of")
+    whole = rows.where(F.col("of") <= BLOCK).select("token", "doc", "pos", "component", F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))).alias("pairs"))
+    if not lists.where(F.col("of") > BLOCK).isEmpty():
+        whole = whole.unionByName(_in_blocks(written(rows.where(F.col("of") > BLOCK), "long-lists")))
+    every = whole.join(bits, "doc").select("token", "doc", "pos", "n", "bits", "near", "component", F.explode("pairs").alias("p"))
+    return every.select("token", "doc", "pos", "n", "bits", "near", "component", "p.i", "p.j", "p.side")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (token, doc, pos, component, of) of long lists with the pairs of blocks that each goes to. The classes of a
+    list's largest component are in blocks of their own, which are never joined with one another."""
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n"))
+    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
+    sizes = written(sizes.select("token", "n", F.col("top.component").alias("largest"), blocks(F.col("n") - F.col("top.k")).alias("others"), blocks(F.col("top.k")).alias("larges")), "sizes")
+    placed = hot_join(rows, sizes, ["token"]).withColumn("large", F.col("component") == F.col("largest"))
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("large"), F.col("larges")).otherwise(F.col("others"))).cast("int")
+    placed = placed.withColumn("own", F.when(F.col("large"), F.col("others") + own).otherwise(own))
+    pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    other = F.col("own")
+    with_large = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: pair(o, other, F.lit(1)))
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: pair(F.least(o, other), F.greatest(o, other), F.when(o == other, 2).when(other < o, 0).otherwise(1)))
+    across = F.transform(F.sequence(F.col("others"), F.col("others") + F.col("larges") - 1), lambda o: pair(other, o, F.lit(0)))
+    return placed.select("token", "doc", "pos", "component", F.when(F.col("large"), with_large).otherwise(F.concat(among, across)).alias("pairs"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -430,16 +450,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Words are runs of characters other than ASCII white space, A-Z in lower case; a document of fewer than k words has
     one shingle, all of them. Documents without words (null, empty) are linked with nothing and their own component.
-    A null doc_id stays outside, with component null. Rows that share a doc_id are judged by one of their texts, the
-    least, and get the same answer.
+    Rows that share a doc_id are documents of their own, each judged by its own text. A row whose doc_id is null is
+    compared with nothing and has neither representative nor component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-    classes, found = links(docs if repeated else one, k, percent)
-    of = components(found)
-    known = classes.join(of.select(F.col("node").alias("representative"), "component"), "representative", "left")
-    known = known.select("doc_id", "n_shingles", F.coalesce("representative", "doc_id").alias("representative"), F.coalesce("component", "representative", "doc_id").alias("component_id"))
-    if repeated:
-        return known
-    return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "representative", "component_id")
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return _components_of(docs, k, percent)
+    without = docs.where("doc_id is null").mapInArrow(_features(k, percent, np.empty(0, np.uint64)), FEATURES)
+    without = without.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("representative"), F.lit(None).cast("long").alias("component_id"))
+    rows = written(docs.where("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = _components_of(rows.select(F.col("row").alias("doc_id"), "text"), k, percent).withColumnRenamed("doc_id", "row")
+    found = written(found.join(rows.select("row", "doc_id"), "row"), "rows")
+    for name in ("representative", "component_id"):  # from rows to the least doc_id
+        least = written(found.groupBy(name).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+        found = hot_join(found, least, [name]).withColumn(name, F.col("least")).drop("least", "n")
+    return found.select("doc_id", "n_shingles", "representative", "component_id").unionByName(without)
+
+
+def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """jaccard_components() of documents whose ids are there and unique."""
+    sets, classes, found = links(docs, k, percent)
+    of = components(found).withColumnRenamed("node", "representative")
+    classes = classes.join(of, "representative", "left").select("d1", "d2", "n", "representative", F.coalesce("component", "representative").alias("component_id"))
+    known = hot_join(sets.where("n_shingles > 0"), written(classes, "components"), ["d1", "d2"])
+    names = ["doc_id", "n_shingles", "representative", "component_id"]
+    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("representative"), F.col("doc_id").alias("component_id"))
+    return known.select(names).unionByName(empty)
