@@ -344,7 +344,7 @@ def test_jaccard_join(docs, rows, none, k, percent):
 
 def test_jaccard_join_in_blocks(spark, monkeypatch):
     """Cut groups and lists, long lists and stars give the links that all pairs give."""
-    for name, value in (("BLOCK", 40), ("SMALL", 6), ("PIVOTS", 4)):
+    for name, value in (("BLOCK", 40), ("GROUP_ROWS", 40), ("SMALL", 6), ("PIVOTS", 4)):
         monkeypatch.setattr(jaccard_join, name, value)
     base, common, texts = prose(200).split(), prose(60), []
     for i in range(160):
