@@ -1,8 +1,9 @@
-"""python -m codeloom.cli PATH: scan a code base. Exit status: 0, 1 if a verdict is real, 2 for a bad path or ref."""
+"""python -m codeloom.cli PATH: scan a code base. Exit status: 0, 1 if a verdict is real, 2 for a bad path, ref or detector."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import logging
 import subprocess
 import sys
@@ -12,10 +13,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.detectors import DETECTORS, PROJECT
+from .operators.detectors import DETECTORS, FINDINGS, PROJECT, facts_for
 from .operators.suppress import baseline_of, inline_ignores, unsuppressed
-from .plans.facts import Facts, extracted
-from .plans.report import to_json, to_markdown, with_verdicts
+from .plans.facts import Facts
+from .plans.report import asking, to_json, to_markdown, with_excerpts, with_verdicts
+from .scratch import written
 from .sources import code
 
 log = logging.getLogger("codeloom")
@@ -37,16 +39,32 @@ def chosen(names: list[str] | None, config: code.Config, effects: DataFrame) ->
     return params
 
 
-def scan(facts: Facts, params: dict[str, dict], only: set[str] | None = None) -> DataFrame:
-    """All findings. A detector that can't be planned is warned of and left out."""
-    found = []
+def scan(facts: dict[str, Facts], params: dict[str, dict]) -> DataFrame:
+    """All findings, as a written table. facts: those that each detector gets. A detector that fails, as it is planned or
+    as it runs, is warned of and left out; the others are then run one by one."""
+    planned = {}
+    none = SparkSession.active().createDataFrame([], FINDINGS)
     for name, p in params.items():
         try:
-            found.append(DETECTORS[name](facts, **p))
+            planned[name] = DETECTORS[name](facts[name], **p)
         except Exception as e:
             log.warning("detector %s failed: %s", name, e)
-    findings = reduce(DataFrame.unionByName, found)
-    return findings if only is None else findings.where(F.col("file").isin(*only))
+    try:
+        return written(reduce(DataFrame.unionByName, planned.values(), none), "findings")
+    except Exception:
+        found = []
+        for name, findings in planned.items():
+            try:
+                found.append(written(findings, "findings"))
+            except Exception as e:
+                log.warning("detector %s failed: %s", name, str(e).split("\n")[0])
+        return reduce(DataFrame.unionByName, found, none)
+
+
+def loaded(name: str):
+    """What "module:function" names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -54,12 +72,16 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("path")
     p.add_argument("--output")
     p.add_argument("--format", choices=("md", "json"), default="md")
-    p.add_argument("--detectors")
-    p.add_argument("--diff")
-    p.add_argument("--effects")
+    p.add_argument("--detectors", help="names, with commas between them; all that the settings don't disable")
+    p.add_argument("--diff", metavar="REF", help="only findings in files that differ from a git ref")
+    p.add_argument("--effects", help="a dictionary of effects (TOML) in place of the built-in one")
+    p.add_argument("--judge", "--ai-judge", default="none", metavar="MODULE:FUNCTION", help="asks a model: a function of (instructions, finding) that returns its text")
+    p.add_argument("--rubric", help="a rubric (Markdown, ## N. Title) for the judge")
     p.add_argument("--baseline-update", action="store_true")
     p.add_argument("--show-false-positives", action="store_true")
+    p.add_argument("-v", "--verbose", action="count", default=0)
     args = p.parse_args(argv)
+    logging.basicConfig(level=(logging.WARNING, logging.INFO, logging.DEBUG)[min(args.verbose, 2)], format="%(levelname)s %(name)s: %(message)s")
     target = Path(args.path).resolve()
     if not target.exists():
         print(f"error: no such path: {target}", file=sys.stderr)
@@ -74,10 +96,24 @@ def main(argv: list[str] | None = None) -> int:
             return 2
     config = code.load_config(target)
     effects = code.load_effects(spark, args.effects) if args.effects else code.own_effects(spark)
-    params = chosen([n.strip() for n in args.detectors.split(",") if n.strip()] if args.detectors else None, config, effects)
+    try:
+        params = chosen([n.strip() for n in args.detectors.split(",") if n.strip()] if args.detectors else None, config, effects)
+    except ValueError as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
+    rubric = args.rubric or config.rubric
+    rubric = Path(rubric).read_text(encoding="utf-8") if rubric else (Path(__file__).parent / "plans" / "rubric.md").read_text(encoding="utf-8")
+    judge = None if args.judge == "none" else asking(loaded(args.judge), rubric)
     root = target if target.is_dir() else target.parent
-    facts = Facts(extracted(code.read_code(spark, target)).persist(), str(root))
-    findings = scan(facts, params, only)
+    # Detectors of single files need only the files that changed; those of projects need all.
+    project = [n for n in params if n in PROJECT]
+    single = [n for n in params if n not in PROJECT]
+    files = facts_for(code.read_code(spark, target, only), list(params) if only is None else single, str(root), "lines comments", keep=True)
+    whole = files if only is None or not project else facts_for(code.read_code(spark, target), project, str(root), keep=True)
+    findings = scan({n: whole if n in PROJECT else files for n in params}, params)
+    if only is not None:
+        changed = spark.createDataFrame([(f,) for f in sorted(only)], "file string")
+        findings = findings.join(changed, "file", "left_semi").select(findings.columns)
     rel = F.expr(f"substring(file, {len(str(root)) + 2})")
     if args.baseline_update:
         rows = baseline_of(findings, rel).collect()
@@ -86,8 +122,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{len(rows)} findings accepted")
         return 0
     baseline = code.beside(target, code.BASELINE_NAME)
-    left = unsuppressed(findings, inline_ignores(facts.comments), code.load_baseline(spark, str(baseline)) if baseline else None, rel)
-    judged = with_verdicts(left).persist()
+    left = unsuppressed(findings, inline_ignores(files.comments), code.load_baseline(spark, str(baseline)) if baseline else None, rel)
+    judged = with_verdicts(with_excerpts(left, files.files), judge).persist()
     text = to_json(judged, list(DETECTORS)) if args.format == "json" else to_markdown(judged, args.show_false_positives)
     if args.output:
         Path(args.output).write_text(text)

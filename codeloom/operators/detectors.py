@@ -7,23 +7,26 @@ number that its rule compares (null if there is none).
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.facts import Facts
+from ..plans.facts import Facts, extracted, qualified
+from ..scratch import written
 from . import graph
 
-COLUMNS = ["file", "line", "end_line", "detector", "title", "evidence", "rubric_ref", "rubric_title", "severity", "measure"]
+FINDINGS = "file string, line int, end_line int, detector string, title string, evidence string, rubric_ref string, rubric_title string, severity string, measure double"
+COLUMNS = [c.split()[0] for c in FINDINGS.split(", ")]
 
 # The rubric's sections, and the words, suffixes, pairs and limits that the rules are made of.
 RUBRIC = {"5": "Deep vs. shallow modules", "6": "Information hiding and leakage", "8": "Pull complexity downwards", "9": "Configuration parameters", "10": "Better together or better apart", "12": "Comments", "13": "Choosing names", "17": "Consistency and obviousness"}
 GENERIC_NAMES = ("data", "info", "result", "manager", "handler", "util", "utils", "obj", "object", "item", "thing", "stuff", "tmp", "temp", "helper", "foo", "bar", "baz", "qux", "value_obj", "the_data", "my_data")
-VERSION_SUFFIX, VERSION_PREFIX, HELPER_SUFFIX, CAMEL_SUFFIX = r"(?i)_(v\d+|new|old|actual|actually|final|real|fixed|tmp)$", r"(?i)^(real|final|actual|new|old|tmp|fixed)_", r"(?i)_(helpers?|utility|utilities)$", r"(V\d+|\d+)$"
+VERSION_SUFFIX, VERSION_PREFIX, HELPER_SUFFIX, CAMEL_SUFFIX = r"(?i)_(v\d+|new|old|actual|actually|final|real|fixed|tmp)$", r"(?i)^(real|final|actual|new|old|tmp|fixed)_", r"(?i)_(helper|utility|utilities|helpers)$", r"(V\d+|\d+)$"
 SHORT_NAMES = ("i", "j", "k", "x", "y", "z", "_")
-DATA_DECORATORS, SHALLOW_BASES = ("dataclass", "frozen_dataclass", "attrs", "define", "s"), ("Exception", "BaseException", "Enum", "IntEnum", "StrEnum", "TypedDict", "NamedTuple", "Protocol")
+DATA_DECORATORS, SHALLOW_BASES = ("dataclass", "dataclasses.dataclass", "frozen_dataclass", "attrs", "attr.s", "define"), ("Exception", "BaseException", "Enum", "IntEnum", "StrEnum", "TypedDict", "NamedTuple", "Protocol")
 ORDER_DECORATORS, ORDER_BASES = ("dataclass", "frozen_dataclass", "attrs", "define"), ("Enum", "IntEnum", "StrEnum", "TypedDict", "NamedTuple", "Protocol")
 WIDE_BASES = ("TestCase", "BaseTestCase", "TeamsActivityHandler", "ActivityHandler")
 STOPWORDS = ("the", "a", "an", "is", "are", "this", "that", "of", "for", "to", "in", "and", "or", "not", "if", "else", "with", "from", "as", "by", "on", "self", "cls", "true", "false", "none")
@@ -36,10 +39,22 @@ PURE_PREFIXES = ("calculate_", "compute_", "parse_", "format_", "to_", "as_", "v
 
 DETECTORS: dict[str, Callable[..., DataFrame]] = {}
 PROJECT: set[str] = set()
+#: The facts that each detector reads.
+NEEDS: dict[str, str] = {}
+#: What the call graph and the types of variables are made of.
+CALLS = "functions(name,line,owner,returns) classes(name,top,methods) vars imports top_defs calls"
 
 
-def detector(rubric: str, severity: str, project: bool = False):
-    """Registers a rule. It returns file, line and evidence; end_line, title, measure and severity if it has them."""
+def facts_for(files: DataFrame, names: list[str], root: str = "", more: str = "", keep: bool = False) -> Facts:
+    """The facts of files (path, source) that these detectors read, and more. keep: they are written as a table, so that
+    files are parsed once however many relations are made of them, each of which reads its own columns."""
+    found = extracted(files, " ".join([*(NEEDS[n] for n in names), more]))
+    return Facts(written(found, "facts") if keep else found, root)
+
+
+def detector(rubric: str, severity: str, needs: str, project: bool = False):
+    """Registers a rule and the facts it needs. It returns file, line and evidence; end_line, title, measure and severity
+    if it has them."""
 
     def register(rule):
         name = rule.__name__
@@ -52,7 +67,7 @@ def detector(rubric: str, severity: str, project: bool = False):
             found = found.withColumns({"detector": F.lit(name), "rubric_ref": F.lit(rubric), "rubric_title": F.lit(RUBRIC[rubric]), "measure": F.col("measure").cast("double"), "line": F.col("line").cast("int")})
             return found.select(COLUMNS)
 
-        DETECTORS[name] = run
+        DETECTORS[name], NEEDS[name] = run, needs
         if project:
             PROJECT.add(name)
         return run
@@ -77,18 +92,18 @@ def _class_methods(facts: Facts) -> DataFrame:
     return facts.functions.where("parent = 'class'")
 
 
-@detector("13", "low")
+@detector("13", "low", "functions(name,line,params) classes(name,line) targets")
 def vague_name(facts: Facts, generic_names: tuple[str, ...] = GENERIC_NAMES) -> DataFrame:
     """Vague name."""
     f = facts.functions
     named = f.select("path", "line", "name", F.lit("function").alias("kind"))
     named = named.unionByName(f.select("path", F.explode("params").alias("p")).select("path", "p.line", "p.name", F.lit("parameter").alias("kind")))
     named = named.unionByName(facts.classes.select("path", "line", "name", F.lit("class").alias("kind"))).unionByName(facts.targets.select("path", "line", "name", F.lit("variable").alias("kind")))
-    stem, name = F.regexp_replace("name", r"_?\d+$", ""), F.col("name")
+    name, numbered = F.col("name"), "^(" + "|".join(map(re.escape, generic_names)) + ")[0-9]"
     camel = F.regexp_replace("name", CAMEL_SUFFIX, "")
     why = (
         F.when(F.lower("name").isin(*generic_names), "generic")
-        .when(name.rlike(r"\d$") & F.lower(stem).isin(*generic_names), "numbered")
+        .when(F.lower("name").rlike(numbered), "numbered")
         .when(name.rlike(VERSION_SUFFIX) | (name.rlike(CAMEL_SUFFIX) & camel.rlike("^[A-Z]") & camel.rlike("[a-z]")), "versioned")
         .when(name.rlike(VERSION_PREFIX), "prefixed")
         .when((F.col("kind") == "function") & name.rlike(HELPER_SUFFIX), "helper")
@@ -97,7 +112,7 @@ def vague_name(facts: Facts, generic_names: tuple[str, ...] = GENERIC_NAMES) ->
     return _at(named.withColumn("evidence", F.concat_ws(" ", "kind", "name", F.lit("is"), why)).where(why.isNotNull()))
 
 
-@detector("12", "low")
+@detector("12", "low", "functions(name,line,end_line,parent,cls,doc,body_lines) classes(cls,name,line,end_line,doc)")
 def hard_to_describe(facts: Facts) -> DataFrame:
     """Public definition without a description."""
     bare = F.length(F.trim(F.coalesce("doc", F.lit("")))) < 15
@@ -108,7 +123,7 @@ def hard_to_describe(facts: Facts) -> DataFrame:
     return _at(found.withColumn("evidence", F.concat("name", F.lit(" has no docstring of 15 characters"))))
 
 
-@detector("9", "medium")
+@detector("9", "medium", "functions(name,line,end_line,parent,params,n_defaults)")
 def config_explosion(facts: Facts, total_threshold: int = 7, optional_threshold: int = 5) -> DataFrame:
     """Too many parameters."""
     n = F.size("params")
@@ -118,7 +133,7 @@ def config_explosion(facts: Facts, total_threshold: int = 7, optional_threshold:
     return _at(f.select("path", "line", "end_line", F.concat_ws(" ", kind, "name", F.lit("has"), text).alias("evidence"), n.alias("measure")))
 
 
-@detector("5", "medium")
+@detector("5", "medium", "functions(name,parent,cls,body_stmts) classes(cls,line,end_line,bases,decorators,empty)")
 def shallow_class(facts: Facts, body_per_method: float = 4) -> DataFrame:
     """Shallow class."""
     free = F.exists("decorators", lambda d: d.isin(*DATA_DECORATORS)) | F.exists("bases", lambda b: b.isin(*SHALLOW_BASES))
@@ -130,7 +145,7 @@ def shallow_class(facts: Facts, body_per_method: float = 4) -> DataFrame:
     return _at(empty.unionByName(thin))
 
 
-@detector("5", "medium")
+@detector("5", "medium", "classes(line,end_line,bases,methods)")
 def wide_interface(facts: Facts, threshold: int = 12) -> DataFrame:
     """Wide interface."""
     methods = F.filter("methods", lambda m: ~m.startswith("_"))
@@ -143,7 +158,7 @@ def _words(text: str) -> Column:
     return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
 
 
-@detector("12", "low")
+@detector("12", "low", "comments")
 def comment_repeats_code(facts: Facts, threshold: float = 0.6) -> DataFrame:
     """Comment repeats the code."""
     c = facts.comments.where(~F.col("text").rlike(r"^[\s#=\-*_]+$") & F.col("next").isNotNull()).withColumn("a", _words("text")).withColumn("b", _words("next"))
@@ -151,7 +166,7 @@ def comment_repeats_code(facts: Facts, threshold: float = 0.6) -> DataFrame:
     return _at(c.where(F.col("measure") >= threshold).select("path", "line", F.col("line").alias("end_line"), F.col("text").alias("evidence"), "measure"))
 
 
-@detector("8", "medium")
+@detector("8", "medium", "functions(name,line,end_line,parent,params,varargs,kwargs,forward)")
 def pass_through_method(facts: Facts) -> DataFrame:
     """Pass-through method."""
     names = F.transform("params", lambda p: p["name"])
@@ -163,7 +178,7 @@ def pass_through_method(facts: Facts) -> DataFrame:
     return _at(f.select("path", "line", "end_line", F.concat("name", F.lit(" only forwards its parameters")).alias("evidence")))
 
 
-@detector("10", "low")
+@detector("10", "low", "functions(name,line,end_line,parent,cls,body_stmts,self_calls)")
 def conjoined_methods(facts: Facts, trivial: int = 3, fanout: int = 5) -> DataFrame:
     """Conjoined methods."""
     m = _class_methods(facts)
@@ -175,7 +190,7 @@ def conjoined_methods(facts: Facts, trivial: int = 3, fanout: int = 5) -> DataFr
     return _at(found.select("path", "line", "end_line", F.concat_ws(" ", "name", F.lit("is called by"), "caller", F.lit("only")).alias("evidence"), F.col("body_stmts").alias("measure")))
 
 
-@detector("10", "low")
+@detector("10", "low", "functions(name,line,end_line,isinstance_calls,decorators)")
 def special_general_mixture(facts: Facts, threshold: int = 2) -> DataFrame:
     """Special cases in a general function."""
     dispatch = reduce(lambda a, b: a | b, [F.lower("name").startswith(p) for p in DISPATCH_PREFIXES])
@@ -184,7 +199,7 @@ def special_general_mixture(facts: Facts, threshold: int = 2) -> DataFrame:
     return _at(f.select("path", "line", "end_line", F.format_string("%d isinstance checks in %s", "isinstance_calls", "name").alias("evidence"), F.col("isinstance_calls").alias("measure")))
 
 
-@detector("13", "low")
+@detector("13", "low", "functions(fn,kinds)")
 def repurposed_variable(facts: Facts) -> DataFrame:
     """Variable holds different kinds of values."""
     k = facts.functions.select("path", "fn", F.posexplode("kinds").alias("at", "k")).select("path", "fn", "at", "k.*")
@@ -193,7 +208,7 @@ def repurposed_variable(facts: Facts) -> DataFrame:
     return _at(k.select("path", F.col("start").alias("line"), F.col("line").alias("end_line"), F.concat_ws(" ", "name", F.lit("is"), "first", F.lit("then"), "kind").alias("evidence")))
 
 
-@detector("12", "low")
+@detector("12", "low", "functions(name,line,end_line,doc) classes(name,line,end_line,doc)")
 def impl_leaks_into_interface(facts: Facts) -> DataFrame:
     """Docstring tells the implementation."""
     f = facts.functions.where(public()).select("path", "line", "end_line", "doc")
@@ -202,7 +217,7 @@ def impl_leaks_into_interface(facts: Facts) -> DataFrame:
     return _at(c.unionByName(f).withColumn("evidence", F.concat_ws("; ", phrase, private)).where("doc is not null and evidence <> ''").drop("doc"))
 
 
-@detector("8", "low")
+@detector("8", "low", "functions(fn,name,line,end_line,params,kwargs,body_stmts,reads)")
 def forwarded_parameter(facts: Facts, least: int = 3, most_stmts: int = 6) -> DataFrame:
     """Parameter is only forwarded."""
     f = facts.functions.where(~dunder() & F.col("kwargs").isNull() & (F.size("params") >= least) & (F.col("body_stmts") <= most_stmts))
@@ -210,7 +225,7 @@ def forwarded_parameter(facts: Facts, least: int = 3, most_stmts: int = 6) -> Da
     return _at(reads.where("n = 1 and arg").select("path", "line", "end_line", F.concat("name", F.lit(" is only passed on")).alias("evidence")))
 
 
-@detector("6", "low")
+@detector("6", "low", "classes(cls,line,end_line,bases,decorators,methods)")
 def required_call_ordering(facts: Facts) -> DataFrame:
     """Paired methods without a context manager."""
     free = F.exists("decorators", lambda d: d.isin(*ORDER_DECORATORS)) | F.exists("bases", lambda b: b.isin(*ORDER_BASES))
@@ -225,7 +240,7 @@ def required_call_ordering(facts: Facts) -> DataFrame:
     return _at(best.select("path", "line", "end_line", F.concat_ws(" / ", "x.m", "x.other").alias("evidence")))
 
 
-@detector("10", "medium")
+@detector("10", "medium", "functions(name,line,end_line,body_stmts,signature)")
 def duplicate_code(facts: Facts, least: int = 4) -> DataFrame:
     """Functions of the same shape."""
     f = facts.functions.where(F.col("body_stmts") >= least)
@@ -233,7 +248,7 @@ def duplicate_code(facts: Facts, least: int = 4) -> DataFrame:
     return _at(g.select("path", "x.line", "x.end_line", F.array_join("names", ", ").alias("evidence"), "measure"))
 
 
-@detector("17", "low")
+@detector("17", "low", "functions(name,line,end_line,complexity)")
 def cyclomatic_complexity(facts: Facts, threshold_low: int = 10, threshold_medium: int = 15, threshold_high: int = 20) -> DataFrame:
     """Complex function."""
     c = F.col("complexity")
@@ -241,7 +256,7 @@ def cyclomatic_complexity(facts: Facts, threshold_low: int = 10, threshold_mediu
     return _at(facts.functions.where(c >= threshold_low).select("path", "line", "end_line", F.concat_ws(" ", "name", F.lit("has complexity"), "complexity").alias("evidence"), c.alias("measure"), severity.alias("severity")))
 
 
-@detector("5", "low", project=True)
+@detector("5", "low", "top_names imports", project=True)
 def overexposure(facts: Facts, exposed: int = 10, used: float = 2.0, importers: int = 3) -> DataFrame:
     """Module exposes more than its callers use."""
     symbols = facts.files.where("module <> ''").select("module", "path", F.explode("top_names").alias("s")).where(public("s")).groupBy("module").agg(F.max("path").alias("path"), F.count_distinct("s").alias("n")).where(F.col("n") >= exposed)
@@ -250,7 +265,7 @@ def overexposure(facts: Facts, exposed: int = 10, used: float = 2.0, importers:
     return symbols.join(per, "module").select(F.col("path").alias("file"), F.lit(1).alias("line"), F.format_string("%d symbols, %d importers", "n", "importers").alias("evidence"), "measure")
 
 
-@detector("6", "medium", project=True)
+@detector("6", "medium", "classes(name,line)", project=True)
 def temporal_decomposition(facts: Facts, threshold: int = 3) -> DataFrame:
     """Classes follow the steps of a pipeline."""
     c = facts.classes.where(F.col("name").rlike("(" + "|".join(STAGE_SUFFIXES) + ")$"))
@@ -258,7 +273,7 @@ def temporal_decomposition(facts: Facts, threshold: int = 3) -> DataFrame:
     return g.select(F.col("x.path").alias("file"), "x.line", F.array_join("names", ", ").alias("evidence"), "measure")
 
 
-@detector("6", "medium", project=True)
+@detector("6", "medium", "classes(name,line) functions(name,returns) vars attrs", project=True)
 def info_leakage(facts: Facts, files: int = 4, attributes: int = 3) -> DataFrame:
     """Knowledge of a class is spread over files."""
     home = facts.classes.groupBy("name").agg(F.min(F.struct("path", "place", "line")).alias("home"))
@@ -269,7 +284,7 @@ def info_leakage(facts: Facts, files: int = 4, attributes: int = 3) -> DataFrame
     return g.select(F.col("home.path").alias("file"), "home.line", F.concat_ws(" ", F.array_join(F.slice("paths", 1, 5), ", "), more).alias("evidence"), "measure")
 
 
-@detector("6", "medium", project=True)
+@detector("6", "medium", "imports", project=True)
 def import_cycle(facts: Facts) -> DataFrame:
     """Modules import each other in a cycle."""
     edges = facts.import_targets.select(F.col("path").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct()
@@ -277,7 +292,7 @@ def import_cycle(facts: Facts) -> DataFrame:
     return g.select(F.col("component").alias("file"), F.lit(1).alias("line"), F.array_join("nodes", " -> ").alias("evidence"), "measure")
 
 
-@detector("8", "low", project=True)
+@detector("8", "low", f"{CALLS} functions(params,reads,kwargs)", project=True)
 def pass_through_variable(facts: Facts, frames: int = 3) -> DataFrame:
     """Variable is passed through functions that don't use it."""
     return pass_through_chains(facts, frames).where("measure >= 2").select(F.col("path").alias("file"), "line", F.concat_ws(" ", "param", F.lit("passes"), F.array_join("chain", " -> ")).alias("evidence"), "measure")
@@ -286,7 +301,7 @@ def pass_through_variable(facts: Facts, frames: int = 3) -> DataFrame:
 def pass_through_chains(facts: Facts, frames: int = 3) -> DataFrame:
     """For each parameter that is only passed on, the first chain of calls, in call order, that ends at a reader:
     path, line, fn, param, chain, measure (its frames)."""
-    f = facts.functions.where("owner is not null").withColumn("qual", F.concat_ws(".", "module", "owner"))
+    f = facts.functions.where("owner is not null").withColumn("qual", qualified("module", "owner"))
     first = f.groupBy("qual").agg(F.min_by(F.struct("path", "line", "name", "params", "reads", "kwargs"), F.struct("path", "place")).alias("x"))
     params = first.select("qual", "x.path", "x.line", "x.name", "x.kwargs", "x.reads", F.posexplode("x.params").alias("pos", "p")).withColumn("param", F.col("p.name"))
     args = facts.call_sites.select("caller", "callee", "place", F.posexplode("args").alias("nth", "a")).where("a.name is not null")
@@ -319,7 +334,7 @@ def _none(facts: Facts) -> DataFrame:
     return facts.imports.where("false").select(F.col("path").alias("file"), "line", F.lit("").alias("evidence"))
 
 
-@detector("6", "medium", project=True)
+@detector("6", "medium", "imports", project=True)
 def forbidden_import(facts: Facts, rules: dict[str, list[str]] | None = None) -> DataFrame:
     """Import that a rule forbids."""
     if not rules:
@@ -330,7 +345,7 @@ def forbidden_import(facts: Facts, rules: dict[str, list[str]] | None = None) ->
     return facts.imports.join(files, "path").withColumn("banned", hit).where("banned is not null").select(F.col("path").alias("file"), "line", F.concat_ws(" ", F.lit("imports"), "x_module", F.lit("banned as"), "banned").alias("evidence"))
 
 
-@detector("6", "medium", project=True)
+@detector("6", "medium", "imports", project=True)
 def boundary_violation(facts: Facts, layers: dict[str, list[str]] | None = None, allowed: dict[str, list[str]] | None = None) -> DataFrame:
     """Import across layers that isn't allowed."""
     if not layers:
@@ -343,7 +358,7 @@ def boundary_violation(facts: Facts, layers: dict[str, list[str]] | None = None,
     return i.where((F.col("layer") != F.col("to")) & ~ok).select(F.col("path").alias("file"), "line", F.concat_ws(" ", "layer", F.lit("imports"), "to").alias("evidence"))
 
 
-@detector("5", "low", project=True)
+@detector("5", "low", "imports classes(name,line,end_line,bases)", project=True)
 def unstable_interface(facts: Facts, threshold: int = 10) -> DataFrame:
     """Concrete class that many files import."""
     users = facts.imports.groupBy("name").agg(F.count_distinct("path").alias("measure")).where(F.col("measure") >= threshold)
@@ -353,20 +368,26 @@ def unstable_interface(facts: Facts, threshold: int = 10) -> DataFrame:
 
 def function_effects(facts: Facts, effects: DataFrame) -> DataFrame:
     """qualname, effect: what each function does itself or through calls. effects (symbol, category) is a dictionary
-    of the runtime's functions, matched by whole name, else by its last two parts."""
-    tail = F.array_join(F.slice(F.split("symbol", r"\."), -2, 2), ".")
+    of the runtime's functions, matched by a call's whole name, else by its last two parts."""
     calls = facts.external_calls
-    exact = calls.join(effects, "symbol").select("caller", "symbol", "category")
-    ends = effects.where(F.size(F.split("symbol", r"\.")) >= 2).groupBy(tail.alias("t")).agg(F.max_by("category", "symbol").alias("category"))
-    rest = calls.join(effects, "symbol", "left_anti").where(F.size(F.split("symbol", r"\.")) >= 2).withColumn("t", tail).join(ends, "t").select("caller", "symbol", "category")
-    direct = exact.unionByName(rest).select(F.col("caller").alias("node"), F.col("category").alias("value"))
+    exact = calls.join(effects, "symbol").select("caller", "category")
+    parts = F.split("symbol", r"\.")
+    rest = calls.join(effects, "symbol", "left_anti").where(F.size(parts) > 2).select("caller", F.array_join(F.slice(parts, -2, 2), ".").alias("symbol"))
+    direct = exact.unionByName(rest.join(effects, "symbol").select("caller", "category")).select(F.col("caller").alias("node"), F.col("category").alias("value"))
     edges = facts.call_edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
     return graph.propagate(direct, edges).select(F.col("node").alias("qualname"), F.col("value").alias("effect"))
 
 
-@detector("13", "medium", project=True)
+def effect_sets(facts: Facts, effects: DataFrame) -> DataFrame:
+    """qualname, effects (sorted, none for functions without) of every function that is defined, calls or is called."""
+    per = function_effects(facts, effects).groupBy("qualname").agg(F.array_sort(F.collect_set("effect")).alias("effects"))
+    names = facts.call_edges.select(F.col("caller").alias("qualname")).union(facts.call_edges.select("callee")).union(facts.qualnames).union(per.select("qualname")).distinct()
+    return names.join(per, "qualname", "left").select("qualname", F.coalesce("effects", F.array().cast("array<string>")).alias("effects"))
+
+
+@detector("13", "medium", f"{CALLS} functions(end_line)", project=True)
 def pure_function_violation(facts: Facts, effects: DataFrame | None = None) -> DataFrame:
     """Function with a pure name has effects."""
     pure = reduce(lambda a, b: a | b, [F.col("name").startswith(p) for p in PURE_PREFIXES])
-    per = function_effects(facts, effects).groupBy("qualname").agg(F.array_sort(F.collect_set("effect")).alias("e"))
+    per = effect_sets(facts, effects).where(F.size("effects") > 0).withColumnRenamed("effects", "e")
     return facts.first_lines().where(pure).join(per, "qualname").select(F.col("path").alias("file"), "line", "end_line", F.concat_ws(" ", "qualname", F.lit("has"), F.array_join("e", ", ")).alias("evidence"), F.size("e").alias("measure"))

@@ -11,19 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.extract import FACTS, extract
+from ..functions.extract import ddl, extract, wanted_of
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """files (path, source) as one nested row of facts each. Files that don't parse are dropped."""
-    schema = to_arrow_schema(StructType.fromDDL(FACTS))
+def extracted(files: DataFrame, wanted: str | None = None) -> DataFrame:
+    """files (path, source) as one nested row of facts each: those that are wanted ("functions(name,line) comments"), or
+    all. Files that don't parse are dropped."""
+    facts = wanted_of(wanted)
+    schema = to_arrow_schema(StructType.fromDDL(ddl(facts)))
 
     def run(batches):
         for batch in batches:
-            rows = [extract(p, s) for p, s in zip(batch["path"].to_pylist(), batch["source"].to_pylist())]
+            rows = [extract(p, s, facts) for p, s in zip(batch["path"].to_pylist(), batch["source"].to_pylist())]
             yield pa.RecordBatch.from_pylist([r for r in rows if r["ok"]], schema=schema)
 
-    return files.select("path", "source").mapInArrow(run, FACTS)
+    return files.select("path", "source").mapInArrow(run, ddl(facts))
+
+
+def qualified(*parts: str | Column) -> Column:
+    """The parts that aren't empty, joined by dots."""
+    return F.concat_ws(".", *[F.nullif(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
 
 
 def module_of(path: str | Column) -> Column:
@@ -49,7 +56,7 @@ class Facts:
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.nested.select("path", "rel_path", "module", "lines", "top_names")
+        return self.nested.select("path", "rel_path", "module", *({"lines", "top_names", "top_defs"} & set(self.nested.columns)))
 
     functions = cached_property(lambda self: self._part("functions"))
     classes = cached_property(lambda self: self._part("classes"))
@@ -76,11 +83,12 @@ class Facts:
 
     @cached_property
     def local_types(self) -> DataFrame:
-        """path, name, type: the class of a variable, by annotation, constructor or return type; the last one found."""
-        names = self.classes.select(F.col("name").alias("type")).distinct().withColumn("is_class", F.lit(True))
-        returns = self.return_types.select(F.col("name").alias("type"), F.col("type").alias("returned"))
-        found = self._part("vars").join(names, "type", "left").join(returns, "type", "left")
-        type_ = F.when(F.col("kind") == "class", F.col("type")).when((F.col("kind") == "call") & F.col("is_class"), F.col("type")).otherwise(F.col("returned"))
+        """path, name, type: the class, of the code, of a variable, by annotation, constructor or return type; the last
+        one found."""
+        names = self.classes.select(F.col("name").alias("type")).distinct()
+        returns = self.return_types.select(F.col("name").alias("type"), F.col("type").alias("returned")).join(names.withColumnRenamed("type", "returned"), "returned")
+        found = self._part("vars").join(names.withColumn("is_class", F.lit(True)), "type", "left").join(returns, "type", "left")
+        type_ = F.when(F.col("is_class") & (F.col("kind") != "loop"), F.col("type")).when(F.col("kind") != "class", F.col("returned"))
         return found.withColumn("known", type_).where("known is not null").groupBy("path", "name").agg(F.max_by("known", "ord").alias("type"))
 
     @cached_property
@@ -93,36 +101,41 @@ class Facts:
         found = self.imports.alias("i").join(whole, F.col("i.x_module") == F.col("m1"), "left").join(part, longer == F.col("m2"), "left")
         return found.select("i.*", F.coalesce("f1", "f2").alias("target")).where("target is not null")
 
+    @cached_property
+    def _placed_calls(self) -> DataFrame:
+        """Calls with what their first name may mean: the class of a variable (ltype), the module that it is an alias of
+        (amodule), the name that it is of a module (fmodule, forig), a function or class of the file (is_def)."""
+        top = self.imports.where("top")
+        alias = top.where("not is_from").groupBy("path", F.col("name").alias("head")).agg(F.max_by("x_module", "ord").alias("amodule"))
+        named = top.where("is_from").groupBy("path", F.col("name").alias("head")).agg(F.max_by(F.struct("x_module", "orig"), "ord").alias("x")).select("path", "head", F.col("x.x_module").alias("fmodule"), F.col("x.orig").alias("forig"))
+        defs = self.files.select("path", F.explode("top_defs").alias("head")).distinct().withColumn("is_def", F.lit(True))
+        local = self.local_types.select("path", F.col("name").alias("head"), F.col("type").alias("ltype"))
+        c = self.calls.withColumns({"head": F.get("chain", F.lit(0)), "n": F.size("chain")})
+        for known in (local, alias, named, defs):
+            c = c.join(known, ["path", "head"], "left")
+        return c
+
     @cached_property
     def call_sites(self) -> DataFrame:
         """Calls resolved within the code: caller, callee, path, place, args. The first rule that applies decides, even
         if it finds nothing: own methods, typed variables, imported modules, names from modules, names of the module."""
-        methods = self.classes.where("top").select("module", F.col("name").alias("cname"), F.explode("methods").alias("m")).distinct()
-        first = self.classes.groupBy("name").agg(F.min_by("module", F.struct("path", "place")).alias("cmodule"))
-        typed = methods.join(first, (F.col("cname") == F.col("name")) & (F.col("module") == F.col("cmodule"))).select(F.col("cname").alias("tclass"), F.col("m").alias("tm"), F.concat_ws(".", "module", "cname", "m").alias("typed_callee"))
-        own = methods.select(F.col("module").alias("om"), F.col("cname").alias("oc"), F.col("m").alias("omethod"), F.lit(True).alias("is_own"))
-        top = self.imports.where("top")
-        alias = top.where("not is_from").groupBy("path", "name").agg(F.max_by("x_module", "ord").alias("amodule")).select(F.col("path").alias("ap"), F.col("name").alias("an"), "amodule")
-        named = top.where("is_from").groupBy("path", "name").agg(F.max_by(F.struct("x_module", "orig"), "ord").alias("x")).select(F.col("path").alias("fp"), F.col("name").alias("fname"), F.col("x.x_module").alias("fmodule"), F.col("x.orig").alias("forig"))
-        tops = self.files.select(F.col("path").alias("tp"), F.explode("top_names").alias("tn")).distinct()
-        known, known_sub = (self.modules.select(F.col("module").alias(x), F.lit(True).alias(f"has_{x}")) for x in ("k1", "k2"))
-        local = self.local_types.select(F.col("path").alias("lp"), F.col("name").alias("ln"), F.col("type").alias("ltype"))
-        c = self.calls.withColumn("head", F.get("chain", F.lit(0))).withColumn("method", F.get("chain", F.lit(1))).withColumn("n", F.size("chain")).where("n in (1, 2)")
-        c = c.join(own, (c["module"] == F.col("om")) & (c["class_name"] == F.col("oc")) & (F.col("method") == F.col("omethod")), "left")
-        c = c.join(local, (c["path"] == F.col("lp")) & (F.col("head") == F.col("ln")), "left").join(typed, (F.col("ltype") == F.col("tclass")) & (F.col("method") == F.col("tm")), "left")
-        c = c.join(alias, (c["path"] == F.col("ap")) & (F.col("head") == F.col("an")), "left").join(named, (c["path"] == F.col("fp")) & (F.col("head") == F.col("fname")), "left")
-        c = c.join(tops, (c["path"] == F.col("tp")) & (F.col("head") == F.col("tn")), "left")
-        source = F.when(F.col("n") == 1, F.col("fmodule")).when(F.col("amodule").isNotNull(), F.col("amodule"))
-        c = c.join(known, source == F.col("k1"), "left").join(known_sub, F.concat_ws(".", "fmodule", "forig") == F.col("k2"), "left")
+        methods = self.classes.select("path", "place", "module", "top", F.col("name").alias("cname"), F.explode("methods").alias("method"))
+        own = methods.where("top").select("path", F.col("cname").alias("class_name"), "method", F.lit(True).alias("is_own")).distinct()
+        typed = methods.groupBy(F.col("cname").alias("ltype"), "method").agg(F.min_by("module", F.struct("path", "place")).alias("cmodule"))
+        defs = self.files.select("module", F.col("path").alias("file"), F.explode("top_defs").alias("to_name")).join(self.modules, ["module", "file"])
+        defs = defs.select(F.col("module").alias("to_module"), "to_name", F.lit(True).alias("is_there")).distinct()
+        c = self._placed_calls.where("n in (1, 2)").join(own, ["path", "class_name", "method"], "left").join(typed, ["ltype", "method"], "left")
+        to_module = F.when(F.col("n") == 1, F.col("fmodule")).when(F.col("amodule").isNotNull(), F.col("amodule")).when(F.col("forig").isNotNull(), qualified("fmodule", "forig"))
+        c = c.withColumns({"to_module": to_module, "to_name": F.when(F.col("n") == 1, F.col("forig")).otherwise(F.col("method"))}).join(defs, ["to_module", "to_name"], "left")
+        there = F.when(F.col("is_there"), qualified("to_module", "to_name"))
         two = (
-            F.when((F.col("head") == "self") & F.col("class_name").isNotNull(), F.when(F.col("is_own"), F.concat_ws(".", "module", "class_name", "method")))
-            .when(F.col("ltype").isNotNull(), F.col("typed_callee"))
-            .when(F.col("has_k1"), F.concat_ws(".", "amodule", "method"))
-            .when(F.col("has_k2"), F.concat_ws(".", "fmodule", "forig", "method"))
+            F.when((F.col("head") == "self") & F.col("class_name").isNotNull(), F.when(F.col("is_own"), qualified("module", "class_name", "method")))
+            .when(F.col("ltype").isNotNull(), F.when(F.col("cmodule").isNotNull(), qualified("cmodule", "ltype", "method")))
+            .otherwise(there)
         )
-        one = F.when(F.col("tn").isNotNull(), F.concat_ws(".", "module", "head")).when(F.col("has_k1"), F.concat_ws(".", "fmodule", "forig"))
+        one = F.when(F.col("is_def"), qualified("module", "head")).otherwise(there)
         callee = F.when(F.col("n") == 2, two).otherwise(one)
-        return c.select(F.concat_ws(".", "module", "owner").alias("caller"), callee.alias("callee"), "path", "place", "args", "line").where("callee is not null")
+        return c.select(qualified("module", "owner").alias("caller"), callee.alias("callee"), "path", "place", "args", "line").where("callee is not null")
 
     @cached_property
     def call_edges(self) -> DataFrame:
@@ -130,20 +143,39 @@ class Facts:
 
     @cached_property
     def external_calls(self) -> DataFrame:
-        """caller, symbol: dotted names that a call may mean outside of the code, by its module's imports; of a bare name
-        that the module neither imports nor defines, that of the built-in."""
-        top = self.imports.where("top").select(F.col("path").alias("p"), F.col("name").alias("n"), F.when(F.col("is_from"), F.concat_ws(".", "x_module", "orig")).otherwise(F.col("x_module")).alias("means"))
-        own = self.files.select(F.col("path").alias("op"), F.explode("top_names").alias("on")).union(self.imports.select("path", "name")).distinct()
-        c = self.calls.where(F.size("chain") > 0).withColumn("head", F.get("chain", F.lit(0))).join(top, (F.col("path") == F.col("p")) & (F.col("head") == F.col("n")), "left")
-        c = c.join(own, (F.col("path") == F.col("op")) & (F.col("head") == F.col("on")), "left")
-        tail = F.array_join(F.slice("chain", 2, 100), ".")
-        full = F.when(F.col("means").isNotNull(), F.concat_ws(".", "means", F.when(F.size("chain") > 1, tail))).otherwise(F.array_join("chain", "."))
-        symbols = F.array(full, F.array_join(F.slice("chain", F.greatest(F.size("chain") - 1, F.lit(1)), 2), "."))
-        built_in = F.when((F.size("chain") == 1) & F.col("on").isNull(), F.concat(F.lit("builtins."), "head"))
-        symbols = F.array_distinct(F.array_compact(F.concat(symbols, F.array(built_in))))
-        return c.select(F.concat_ws(".", "module", "owner").alias("caller"), F.explode(symbols).alias("symbol")).distinct()
+        """caller, symbol: dotted names that a call may mean outside of the code. What a call can mean depends on its
+        first name: an import leads to the module's names, a variable of known class to the class's, self and unknown
+        names to the last names of the chain; a bare name that is neither imported nor defined is a built-in."""
+        n, head, method = F.col("n"), F.col("head"), F.col("method")
+        means = F.when((n > 1) & F.col("amodule").isNotNull(), F.col("amodule")).when((n < 3) & F.col("forig").isNotNull(), qualified("fmodule", "forig"))
+        inside = self.modules.select(F.col("module").alias("means"), F.lit(True).alias("is_inside"))
+        c = self._placed_calls.withColumn("means", means).join(inside, "means", "left")
+        rest = F.array_join(F.slice("chain", 2, F.greatest(n - 1, F.lit(0))), ".")
+        whole, last = F.array_join("chain", "."), F.array_join(F.slice("chain", F.greatest(n - 1, F.lit(1)), 2), ".")
+        symbols = (
+            F.when(n == 0, F.array(method))
+            .when((n == 1) & F.col("forig").isNotNull(), F.array("means", "forig"))
+            .when(n == 1, F.when(F.col("is_def").isNull(), F.array(F.concat(F.lit("builtins."), head), head)))
+            .when(head == "self", F.when(n > 2, F.array(last, method)))
+            .when(F.col("amodule").isNotNull(), F.concat(F.array(qualified("means", rest), whole), F.when(n > 2, F.array(last, method)).otherwise(F.array().cast("array<string>"))))
+            .when((n == 2) & F.col("forig").isNotNull(), F.array(qualified("means", method), qualified("forig", method), method))
+            .when((n == 2) & F.col("ltype").isNotNull(), F.array(qualified("ltype", method), method))
+            .otherwise(F.array(whole, last, method))
+        )
+        symbols = F.array_distinct(F.array_compact(F.when(F.col("is_inside").isNull() | (n > 2), symbols)))
+        return c.select(qualified("module", "owner").alias("caller"), F.explode(symbols).alias("symbol")).distinct()
+
+    @cached_property
+    def qualnames(self) -> DataFrame:
+        """qualname of every function and method of the code."""
+        return self.functions.where("owner is not null").select(qualified("module", "owner").alias("qualname")).distinct()
+
+    @cached_property
+    def class_attributes(self) -> DataFrame:
+        """qualname, name, path, line of every class, with the public attributes that it defines."""
+        return self.classes.select(qualified("module", "name").alias("qualname"), "name", "path", "line", "attributes")
 
     def first_lines(self) -> DataFrame:
         """qualname, path, line, name of functions; of those that share a qualname the last."""
-        quals = self.functions.where("owner is not null").withColumn("qualname", F.concat_ws(".", "module", "owner"))
+        quals = self.functions.where("owner is not null").withColumn("qualname", qualified("module", "owner"))
         return quals.withColumn("n", F.row_number().over(Window.partitionBy("qualname").orderBy(F.desc("path"), F.desc("place")))).where("n = 1").select("qualname", "path", "line", "end_line", "name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -17,7 +18,7 @@ RANK = "array_position(array('high', 'medium', 'low', 'info'), severity)"
 def with_verdicts(findings: DataFrame, judge: Callable[[dict], dict] | None = None) -> DataFrame:
     """findings with judge_verdict, judge_reasoning and judge_recommendation. judge gets one finding and returns these
     three; what it can't judge, or answers with another verdict, stays unjudged with the reason. None: all unjudged."""
-    plain = findings.withColumns({"judge_verdict": F.lit("unjudged"), "judge_reasoning": F.lit(None).cast("string"), "judge_recommendation": F.lit(None).cast("string")})
+    plain = findings.withColumns({"judge_verdict": F.lit("unjudged"), "judge_reasoning": F.lit(""), "judge_recommendation": F.lit("")})
     if judge is None:
         return plain
 
@@ -29,7 +30,7 @@ def with_verdicts(findings: DataFrame, judge: Callable[[dict], dict] | None = No
                     answer = judge(dict(row))
                     if answer.get("judge_verdict") not in VERDICTS:
                         raise ValueError(f"unknown verdict {answer.get('judge_verdict')!r}")
-                    row |= {k: answer.get(k) for k in ("judge_verdict", "judge_reasoning", "judge_recommendation")}
+                    row |= {k: answer.get(k) or "" for k in ("judge_verdict", "judge_reasoning", "judge_recommendation")}
                 except Exception as e:  # a judge is someone else's code: one failure is one unjudged finding
                     row["judge_reasoning"] = f"not judged: {e}"
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
@@ -37,6 +38,24 @@ def with_verdicts(findings: DataFrame, judge: Callable[[dict], dict] | None = No
     return plain.mapInArrow(run, plain.schema)
 
 
+def asking(ask: Callable[[str, str], str], rubric: str) -> Callable[[dict], dict]:
+    """A judge for with_verdicts() that asks a model: ask gets what stays the same (the task and the whole rubric, which
+    can be cached) and what is of one finding, and returns text with a JSON object in it."""
+    sections = rubric_sections(rubric)
+    same = f"{TASK}\n\n{rubric}\n\n{ANSWER}"
+
+    def judge(finding: dict) -> dict:
+        if finding["rubric_ref"] not in sections:
+            raise ValueError(f"the rubric has no section {finding['rubric_ref']}")
+        text = ask(same, prompt(finding))
+        answer = tolerant_json(text)
+        if answer is None:
+            raise ValueError(f"no JSON in the answer: {text[:200]}")
+        return {f"judge_{k}": answer.get(k) for k in ("verdict", "reasoning", "recommendation")}
+
+    return judge
+
+
 def tolerant_json(text: str) -> dict | None:
     """A JSON object, or the part of a text from its first { to its last }."""
     for part in (text, text[text.find("{") : text.rfind("}") + 1]):
@@ -49,9 +68,24 @@ def tolerant_json(text: str) -> dict | None:
     return None
 
 
-def prompt(finding: dict, sections: dict[str, str]) -> str:
+#: What a judge is told for all findings, before and after the rubric.
+TASK = """You review findings of a static checker of software design. Say whether a finding is a problem ("real"), open to
+argument ("borderline") or noise of the checker's rule ("false_positive"), judged by the section of the rubric that the
+finding names and by nothing else, and what to do about it. The rubric:"""
+ANSWER = """Answer with one JSON object only: "verdict" (real, borderline or false_positive), "reasoning" (one sentence that
+refers to the rubric), "recommendation" (two to four sentences that name what to change; empty for a false_positive)."""
+
+
+def prompt(finding: dict) -> str:
     """What a judge is asked about one finding."""
-    return f"{finding['title']}\n{finding['file']}:{finding['line']}\n{finding['evidence']}\n\n{sections.get(finding['rubric_ref'], '')}\n\nAnswer as JSON: judge_verdict (real, borderline, false_positive), judge_reasoning, judge_recommendation."
+    excerpt = finding.get("code_excerpt") or "(no excerpt)"
+    return f"Section {finding['rubric_ref']} applies.\n\n{finding['file']}:{finding['line']}\n\n{excerpt}\n\n{finding['detector']}: {finding['title']}\n{finding['evidence']}\n"
+
+
+def rubric_sections(text: str) -> dict[str, str]:
+    """A rubric's sections by number: each runs from its `## N. Title` to the next such header."""
+    parts = re.split(r"(?m)^##\s+(\d+)\.\s", text)
+    return {n: f"## {n}. {body}".rstrip() for n, body in zip(parts[1::2], parts[2::2])}
 
 
 def summary(findings: DataFrame) -> DataFrame:
@@ -68,10 +102,24 @@ def excerpt(lines: str, line: str, end_line: str, context: int = 5):
     return F.array_join(marked, "\n")
 
 
+def with_excerpts(findings: DataFrame, files: DataFrame, most: int = 30, context: int = 1) -> DataFrame:
+    """findings with code_excerpt: their lines, `most` at most, with some around them; '' where the file isn't there.
+    files: path, lines. Lines meet only the findings that are left, so this comes last."""
+    lines = files.select(F.col("path").alias("file"), "lines")
+    end = F.least(F.coalesce("end_line", "line"), F.col("line") + most)
+    shown = findings.join(lines, "file", "left").withColumn("__end", end)
+    return shown.withColumn("code_excerpt", F.coalesce(excerpt("lines", "line", "__end", context), F.lit(""))).drop("lines", "__end")
+
+
+#: The published fields of a finding, in their order.
+PUBLISHED = ("file", "line", "detector", "title", "evidence", "rubric_ref", "rubric_title", "severity", "end_line", "code_excerpt", "judge_verdict", "judge_reasoning", "judge_recommendation")
+
+
 def to_json(findings: DataFrame, order: list[str]) -> str:
     """All findings, in the order of detectors, then file and line."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("detector"))
-    return json.dumps([r.asDict() for r in findings.orderBy(place, "file", "line", "evidence").collect()], indent=2)
+    rows = findings.orderBy(place, "file", "line", "evidence").select(*[c for c in PUBLISHED if c in findings.columns]).collect()
+    return json.dumps([r.asDict() for r in rows], indent=2)
 
 
 def to_markdown(findings: DataFrame, show_false: bool = False) -> str:

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import graph
-from .operators.detectors import DETECTORS, function_effects
+from .operators.detectors import DETECTORS, PROJECT, effect_sets, facts_for, function_effects
 from .operators.suppress import baseline_of, evidence_hash, inline_ignores, unsuppressed
-from .plans.facts import Facts, extracted, module_of
+from .plans.facts import Facts, module_of
 from .plans.report import summary, with_verdicts
+from .sources.code import own_effects
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,7 +37,7 @@ def _of_parts(name: str, source: str, sql: str, measure: bool = True, **params)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = _table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
         files = part.selectExpr("concat('pkg/p', p_partkey, '.py') AS path", f"{source} AS source")
-        found = DETECTORS[name](Facts(extracted(files)), **params)
+        found = DETECTORS[name](facts_for(files, [name], keep=name in PROJECT), **params)
         columns = [F.regexp_extract("file", r"p(\d+)\.py", 1).cast("long").alias("p_partkey"), F.col("line").cast("int").alias("line")]
         return found.select(*columns, *([F.round("measure", 6).alias("measure")] if measure else []))
 
@@ -47,18 +48,18 @@ def _config_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism, "l_orderkey")  # parsing is the work here
     rows = lines.selectExpr("concat(l_orderkey, '_', l_linenumber, '.py') AS path", f"""concat('def f(', {_lines("l_linenumber + 3", "concat('p', i)", ", ")}, '):\\n    pass\\n') AS source""")
     key = F.split(F.regexp_replace("file", r"\.py$", ""), "_")
-    return DETECTORS["config_explosion"](Facts(extracted(rows))).select(key[0].cast("long").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), F.col("measure").cast("int").alias("n_params"))
+    return DETECTORS["config_explosion"](facts_for(rows, ["config_explosion"])).select(key[0].cast("long").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), F.col("measure").cast("int").alias("n_params"))
 
 
 QUERIES["config_explosion"] = _config_explosion
 SQL["config_explosion"] = "SELECT l_orderkey, l_linenumber, CAST(l_linenumber + 3 AS INTEGER) AS n_params FROM lineitem WHERE l_linenumber + 3 >= 7"
 
-_of_parts("vague_name", "concat(element_at(array('data', 'weight', 'total_v2', 'real_total', 'User', 'q', 'x', 'item3'), int(p_partkey % 8 + 1)), ' = 1\\n')",
-          "SELECT p_partkey, CAST(1 AS INTEGER) AS line FROM part WHERE p_partkey % 8 IN (0, 2, 3, 5, 7)", measure=False)
+_of_parts("vague_name", "concat(element_at(array('data', 'weight', 'total_v2', 'real_total', 'User', 'q', 'x', 'item3', 'data2_raw', 'data_1', 'DATA7', 'my_data2', 'database'), int(p_partkey % 13 + 1)), ' = 1\\n')",
+          "SELECT p_partkey, CAST(1 AS INTEGER) AS line FROM part WHERE p_partkey % 13 IN (0, 2, 3, 5, 7, 8, 10, 11)", measure=False)
 _of_parts("hard_to_describe", f"""concat('def build():\\n', IF(p_partkey % 3 = 0, '    "A sentence of some length."\\n', ''), {_lines("p_size % 8 + 1", "concat('    a', i, ' = ', i)")}, '\\n')""",
           "SELECT p_partkey, CAST(1 AS INTEGER) AS line FROM part WHERE p_partkey % 3 <> 0 AND p_size % 8 + 1 > 3", measure=False)
-_of_parts("shallow_class", f"""concat('class A:\\n', {_lines("2 + p_partkey % 3", f"concat('    def m', i, '(self):\\n', {_lines('1 + p_size % 7', "concat('        a', i, ' = 1')")})")}, '\\n')""".replace("transform(IF((1 + p_size % 7) > 0, sequence(1, int(1 + p_size % 7)), array()), i -> concat('        a', i, ' = 1'))", "transform(sequence(1, int(1 + p_size % 7)), k -> concat('        a', k, ' = 1'))"),
-          "SELECT p_partkey, CAST(1 AS INTEGER) AS line, CAST(1 + p_size % 7 AS DOUBLE) AS measure FROM part WHERE 1 + p_size % 7 < 4")
+_of_parts("shallow_class", f"""concat(element_at(array('', '@attr.s\\n', '@dataclasses.dataclass\\n', '@attr.define(frozen=True)\\n'), int(p_partkey % 4 + 1)), 'class A:\\n', {_lines("2 + p_partkey % 3", f"concat('    def m', i, '(self):\\n', {_lines('1 + p_size % 7', "concat('        a', i, ' = 1')")})")}, '\\n')""".replace("transform(IF((1 + p_size % 7) > 0, sequence(1, int(1 + p_size % 7)), array()), i -> concat('        a', i, ' = 1'))", "transform(sequence(1, int(1 + p_size % 7)), k -> concat('        a', k, ' = 1'))"),
+          "SELECT p_partkey, CAST(1 + p_partkey % 2 AS INTEGER) AS line, CAST(1 + p_size % 7 AS DOUBLE) AS measure FROM part WHERE p_partkey % 4 < 2 AND 1 + p_size % 7 < 4")
 _of_parts("wide_interface", f"""concat('class A:\\n    b = 1\\n', {_lines("p_size % 20", "concat('    def m', i, '(self):\\n        return ', i)")}, '\\n')""",
           "SELECT p_partkey, CAST(1 AS INTEGER) AS line, CAST(p_size % 20 AS DOUBLE) AS measure FROM part WHERE p_size % 20 >= 12")
 _of_parts("comment_repeats_code", f"""concat('# ', {_lines("4", "concat('word', i)", " ")}, '\\n', {_lines("p_size % 5", "concat('word', i)", " + ")}, IF(p_size % 5 between 1 and 3, ' + ', ''), {_lines("4 - p_size % 5", "concat('other', i)", " + ")}, '\\n')""",
@@ -67,8 +68,8 @@ _of_parts("pass_through_method", f"""concat('class A:\\n    def m(self', {_lines
           "SELECT p_partkey, CAST(2 AS INTEGER) AS line FROM part WHERE p_size % 4 > 0 AND (p_partkey % 2 = 0 OR p_size % 4 = 1)", measure=False)
 _of_parts("conjoined_methods", f"""concat('class A:\\n    def one(self):\\n        return self._help()\\n    def two(self):\\n        return ', IF(p_partkey % 2 = 0, '1', 'self._help()'), '\\n    def _help(self):\\n', {_lines("1 + p_size % 6", "concat('        a', i, ' = 1')")}, '\\n')""",
           "SELECT p_partkey, CAST(6 AS INTEGER) AS line, CAST(1 + p_size % 6 AS DOUBLE) AS measure FROM part WHERE p_partkey % 2 = 0 AND 1 + p_size % 6 >= 3")
-_of_parts("special_general_mixture", f"""concat('def ', IF(p_partkey % 3 = 0, 'render', 'apply'), '(v):\\n    a = 0\\n', {_lines("p_size % 5", "concat('    a += isinstance(v, int)')")}, '\\n')""",
-          "SELECT p_partkey, CAST(1 AS INTEGER) AS line, CAST(p_size % 5 AS DOUBLE) AS measure FROM part WHERE p_partkey % 3 <> 0 AND p_size % 5 >= 2")
+_of_parts("special_general_mixture", f"""concat(element_at(array('', '@singledispatch\\n', '@functools.singledispatch\\n', '@functools.wraps(x)\\n'), int(p_partkey % 4 + 1)), 'def ', IF(p_partkey % 3 = 0, 'render', 'apply'), '(v):\\n    a = 0\\n', {_lines("p_size % 5", "concat('    a += isinstance(v, int)')")}, '\\n')""",
+          "SELECT p_partkey, CAST(IF(p_partkey % 4 = 3, 2, 1) AS INTEGER) AS line, CAST(p_size % 5 AS DOUBLE) AS measure FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 IN (0, 3) AND p_size % 5 >= 2")
 _of_parts("repurposed_variable", "concat('def f():\\n    a = []\\n    a = None\\n    a = ', element_at(array('list()', '{}', '1', 'g()'), int(p_partkey % 4 + 1)), '\\n')",
           "SELECT p_partkey, CAST(2 AS INTEGER) AS line FROM part WHERE p_partkey % 4 IN (1, 2)", measure=False)
 _of_parts("impl_leaks_into_interface", """concat('def f(a):\\n    "', element_at(array('Adds one.', 'Internally a tree.', 'Reads self._cache of it.', 'Is implemented as a loop.', 'Concurrently run.'), int(p_partkey % 5 + 1)), '"\\n')""",
@@ -248,3 +249,81 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _module(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('a/b', p_size, '.py') WHEN 1 THEN concat('a/b', p_size, '/__init__.py') ELSE concat('src/b', p_size, '.py') END")
     return _table(spark, sf_dir, "part").select("p_partkey", module_of(path).alias("module"))
+
+
+#: One code base made of all parts: a file for each with a class that reads like a step of a pipeline in every other
+#: one, and, for odd ones, many public names; p_size % 13 files that use it, the first of which it imports in turn in
+#: every third; and functions of every shape of call that can have effects.
+_PROJECT = f"""
+SELECT concat('src/d', p_size, '/c', p_partkey, '.py') AS path, concat(
+    IF(p_partkey % 3 = 0 AND p_size % 13 > 0, concat('import d', p_size, '.u', p_partkey, '_1\\n'), ''),
+    'class C', p_partkey, IF(p_partkey % 2 = 0, 'Reader', ''), '(Base):\\n    def go(self):\\n        return 1\\n',
+    IF(p_partkey % 2 = 1, {_lines("12", "concat('def f', i, '(a):\\n    return a')")}, ''), '\\n') AS source FROM part
+UNION ALL SELECT concat('src/d', p_size, '/u', p_partkey, '_', j, '.py'), concat(
+    'from d', p_size, '.c', p_partkey, ' import C', p_partkey, IF(p_partkey % 2 = 0, 'Reader', ''), '\\n',
+    'def use(v: C', p_partkey, IF(p_partkey % 2 = 0, 'Reader', ''), '):\\n    return v.a', j % 4, ' + v._b\\n')
+FROM (SELECT *, explode(sequence(1, int(p_size % 13))) AS j FROM part WHERE p_size % 13 > 0)
+UNION ALL SELECT concat('effects/e', p_partkey, '.py'), element_at(array(
+    'def compute_a(p):\\n    return open(p)\\n',
+    'import subprocess as s\\ndef compute_a(p):\\n    return s.run(p)\\n',
+    'from os import remove as gone\\ndef compute_a(p):\\n    return low(p)\\ndef low(p):\\n    gone(p)\\n',
+    'class K:\\n    def compute_a(self, p):\\n        return self.api.messages.create(p)\\n',
+    'def open(p):\\n    return p\\ndef compute_a(p):\\n    return open(p)\\n',
+    'from pathlib import Path\\ndef compute_a(p):\\n    return Path.unlink(p)\\n',
+    'import os.path\\nimport time\\ndef compute_a(p):\\n    time.sleep(1)\\n    print(len(p))\\n    return os.path.exists(p)\\n',
+    'from effects.e1 import missing\\ndef compute_a(p):\\n    return missing(p)\\n',
+    'import effects.e1 as m\\ndef compute_a(p):\\n    return m.run(p)\\n'), int(p_partkey % 9 + 1)) FROM part"""
+
+
+def _project(spark: SparkSession, sf_dir: str, names: list[str]) -> Facts:
+    files = spark.sql(_PROJECT.replace("FROM part", "FROM {part}"), part=_table(spark, sf_dir, "part"))
+    return facts_for(files.repartition(spark.sparkContext.defaultParallelism, "path"), names, keep=True)
+
+
+def _of_project(name: str, sql: str, number: str = r"/c(\d+)", measure: bool = True, **params) -> None:
+    """A query that runs a detector on the code base; its result has the parts' keys, lines and measures."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = DETECTORS[name](_project(spark, sf_dir, [name]), **{k: v(spark) if callable(v) else v for k, v in params.items()})
+        key = F.regexp_extract("file", number, 1).cast("long").alias("p_partkey")
+        return found.select(key, "line", *([F.round("measure", 6).alias("measure")] if measure else []))
+
+    QUERIES[f"{name}_of_source"], SQL[f"{name}_of_source"] = run, sql
+
+
+_LINE = "CAST(IF(p_partkey % 3 = 0 AND p_size % 13 > 0, 2, 1) AS INTEGER) AS line"
+_of_project("overexposure", "SELECT p_partkey, CAST(1 AS INTEGER) AS line, CAST(1 AS DOUBLE) AS measure FROM part WHERE p_partkey % 2 = 1 AND p_size % 13 >= 3")
+_of_project("info_leakage", f"SELECT p_partkey, {_LINE}, CAST(4 AS DOUBLE) AS measure FROM part WHERE p_size % 13 >= 4")
+_of_project("unstable_interface", f"SELECT p_partkey, {_LINE}, CAST(p_size % 13 AS DOUBLE) AS measure FROM part WHERE p_size % 13 >= 10")
+_of_project("import_cycle", "SELECT p_partkey, CAST(1 AS INTEGER) AS line, CAST(2 AS DOUBLE) AS measure FROM part WHERE p_partkey % 3 = 0 AND p_size % 13 > 0")
+_of_project("temporal_decomposition", """
+SELECT CAST(p_size AS BIGINT) AS p_partkey, arg_min(CASE WHEN p_partkey % 3 = 0 AND p_size % 13 > 0 THEN 2 ELSE 1 END, 'c' || p_partkey || '.py') AS line, CAST(count(*) AS DOUBLE) AS measure
+FROM part WHERE p_partkey % 2 = 0 GROUP BY p_size HAVING count(*) >= 3""", number=r"/d(\d+)")
+_of_project("boundary_violation", "SELECT p_partkey, CAST(1 AS INTEGER) AS line FROM part, range(1, 13) AS r(j) WHERE j <= p_size % 13", number=r"/u(\d+)_", measure=False, layers={"base": ["src/d*/c*.py"], "use": ["src/d*/u*.py"]}, allowed={"base": ["use"]})
+_of_project("pure_function_violation", """
+SELECT p_partkey, CAST([1, 2, 2, 2, NULL, 2, 3, NULL, NULL][p_partkey % 9 + 1] AS INTEGER) AS line, CAST(IF(p_partkey % 9 = 6, 3, 1) AS DOUBLE) AS measure
+FROM part WHERE p_partkey % 9 NOT IN (4, 7, 8)""", number=r"/e(\d+)", effects=own_effects)
+
+
+@_query("effect_sets_of_source", """
+WITH k AS (SELECT p_partkey, p_partkey % 9 AS k FROM part)
+SELECT 'effects.e' || p_partkey || IF(k = 3, '.K', '') || '.compute_a' AS qualname,
+       ['filesystem', 'subprocess', 'filesystem', 'network', '', 'filesystem', 'filesystem,stdout,time', '', ''][k + 1] AS effects FROM k
+UNION ALL SELECT 'effects.e' || p_partkey || IF(k = 2, '.low', '.open'), IF(k = 2, 'filesystem', '') FROM k WHERE k IN (2, 4)
+UNION ALL SELECT 'd' || p_size || '.c' || p_partkey || '.C' || p_partkey || IF(p_partkey % 2 = 0, 'Reader', '') || '.go', '' FROM part
+UNION ALL SELECT 'd' || p_size || '.c' || p_partkey || '.f' || j, '' FROM part, range(1, 13) AS r(j) WHERE p_partkey % 2 = 1
+UNION ALL SELECT 'd' || p_size || '.u' || p_partkey || '_' || j || '.use', '' FROM part, range(1, 13) AS r(j) WHERE j <= p_size % 13""")
+def _effect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = effect_sets(_project(spark, sf_dir, ["pure_function_violation"]), own_effects(spark))
+    return found.select("qualname", F.array_join("effects", ",").alias("effects"))
+
+
+@_query("import_cycle_ring", "SELECT min(o_orderkey) AS component, CAST(count(*) AS DOUBLE) AS measure FROM orders")
+def _import_cycle_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one ring, in the order of their keys, with a long chain that leads into it."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    n = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    path = lambda c: F.format_string("%012d", c)
+    ring = orders.select(path("o_orderkey").alias("path"), path((F.col("o_orderkey") + 1) % (n + 1)).alias("target"))
+    chain = orders.where("o_orderkey % 100 = 0").select(path(F.col("o_orderkey") + 2 * n).alias("path"), path(F.when(F.col("o_orderkey") == 0, 0).otherwise(F.col("o_orderkey") + 2 * n - 100)).alias("target"))
+    return DETECTORS["import_cycle"](Facts(import_targets=ring.union(chain))).select(F.col("file").cast("long").alias("component"), "measure")

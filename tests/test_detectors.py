@@ -11,12 +11,14 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.functions.extract import extract
+from codeloom import cli
+from codeloom.functions.extract import extract, wanted_of
 from codeloom.operators import graph
 from codeloom.operators.detectors import DETECTORS
+from codeloom.operators.detectors import PROJECT as PROJECT_DETECTORS
 from codeloom.operators.suppress import baseline_of, inline_ignores, unsuppressed
 from codeloom.plans.facts import Facts, extracted
-from codeloom.plans.report import excerpt, to_json, to_markdown, tolerant_json, with_verdicts
+from codeloom.plans.report import excerpt, rubric_sections, to_json, to_markdown, tolerant_json, with_verdicts
 from codeloom.sources import code
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -61,7 +63,8 @@ PROJECT = {
 
 
 def test_effects_of_built_ins(spark):
-    """Bare built-ins have effects, themselves and through calls; names that a module defines or imports aren't built-ins."""
+    """Bare built-ins have effects, themselves and through calls; names that a module defines or imports at its top
+    aren't built-ins."""
     files = {
         "a.py": "def compute_sum(p):\n    return load(p)\ndef load(p):\n    return open(p)\ndef format_row(r):\n    print(r)\ndef parse_row(r):\n    return len(r)\n",
         "b.py": "from mine import print\ndef open(p):\n    return p\ndef compute_b(p):\n    print(p)\n    return open(p)\n",
@@ -69,11 +72,128 @@ def test_effects_of_built_ins(spark):
     }
     effects = code.own_effects(spark)
     found = DETECTORS["pure_function_violation"](facts(spark, files), effects=effects).collect()
-    assert {r.evidence for r in found} == {"a.compute_sum has filesystem", "a.format_row has stdout"}
+    assert {r.evidence for r in found} == {"a.compute_sum has filesystem", "a.format_row has stdout", "c.format_c has stdout"}
     kinds = [r.category for r in effects.collect()]
     assert {k: kinds.count(k) for k in kinds} == {"filesystem": 59, "network": 77, "database": 31, "global_state": 40, "subprocess": 19, "stdout": 9, "time": 10, "random": 16}
 
 
+def test_external_calls(spark):
+    """What each shape of call may mean."""
+    source = """
+import os, numpy as np, app.low
+from pathlib import Path
+from app import low as lower
+from app.low import helper
+class Own:
+    limit: int = 3
+    _hidden = 1
+    def __init__(self):
+        self.size, self.name = 1, 2
+        self.name = 2
+    def m(self, p, c: Own):
+        self.m(p); self.a.b(p); self.client.messages.create(p); c.go(); p.x(); p.y.z()
+def f(p):
+    np.load(p); os.path.exists(p); Path.cwd(); app.low.run(p); lower.run(p); helper(p); local(p); g()(p); g().tail(p); "x".join(p)
+    v = Own(1)
+    v.other()
+def local(p): pass
+"""
+    got = facts(spark, {"src/app/a.py": source, "src/app/low.py": "def helper(p): pass\ndef run(p): pass\n"})
+    per = {}
+    for r in got.external_calls.collect():
+        per.setdefault(r.caller, set()).add(r.symbol)
+    assert per["app.a.Own.m"] == {"a.b", "b", "messages.create", "create", "Own.go", "go", "p.x", "x", "p.y.z", "y.z", "z"}
+    assert per["app.a.f"] == {
+        "numpy.load", "np.load", "os.path.exists", "path.exists", "exists", "pathlib.Path.cwd", "Path.cwd", "cwd", "app.low.helper", "helper", "builtins.g", "g", "tail", "join",
+        "builtins.Own", "Own", "Own.other", "other", "app.low.low.run", "app.low.run", "low.run", "run",
+    } - {"builtins.Own", "Own"}
+    edges = {(r.caller, r.callee) for r in got.call_edges.collect()}
+    assert edges == {("app.a.Own.m", "app.a.Own.m"), ("app.a.f", "app.low.run"), ("app.a.f", "app.low.helper"), ("app.a.f", "app.a.local"), ("app.a.f", "app.a.Own")}
+    assert [(r.qualname, r.attributes) for r in got.class_attributes.collect()] == [("app.a.Own", ["limit", "name"])]
+
+
+def test_wanted_facts():
+    """Only what is wanted is made; unknown fields are refused; sources that are too deep don't parse."""
+    wanted = wanted_of("functions(name,line) comments functions(complexity)")
+    row = extract("a.py", "def f(x):\n    # why\n    return x if x else 0\n", wanted)
+    assert row["functions"] == [{"name": "f", "line": 1, "complexity": 1}] and row["comments"][0]["text"] == "# why" and set(row) == {"path", "ok", "functions", "comments"}
+    with pytest.raises(ValueError, match="nothing"):
+        wanted_of("functions(nothing)")
+    assert not extract("deep.py", "(" * 200_000)["ok"] and not extract("deep.py", "-" * 300_000 + "1")["ok"]
+
+
+STAND_IN = """
+def judge_by_line(instructions, finding):
+    assert "## 13." in instructions and "JSON" in instructions
+    if ">>    1  data = 1" in finding:
+        return 'Well: {"verdict": "real", "reasoning": "no picture", "recommendation": "Rename."}'
+    return "no idea" if ">>    2  tmp = 2" in finding else '{"verdict": "odd"}'
+"""
+
+
+SCHEMA = {
+    "file": str, "line": int, "detector": str, "title": str, "evidence": str, "rubric_ref": str, "rubric_title": str, "severity": ("info", "low", "medium", "high"),
+    "end_line": (int, type(None)), "code_excerpt": str, "judge_verdict": ("unjudged", "real", "borderline", "false_positive"), "judge_reasoning": str, "judge_recommendation": str,
+}
+
+
+def published(text):
+    """Findings of a JSON report, each held against the published schema."""
+    found = json.loads(text)
+    for row in found:
+        assert set(row) == set(SCHEMA) and row["line"] >= 1
+        for name, kind in SCHEMA.items():
+            assert row[name] in kind if isinstance(kind, tuple) and isinstance(kind[0], str) else isinstance(row[name], kind), (name, row)
+    return found
+
+
+def test_command_line(spark, tmp_path, tmp_path_factory, capsys, monkeypatch, caplog):
+    stand_in = tmp_path_factory.mktemp("judge") / "stand_in.py"
+    stand_in.write_text(STAND_IN)
+    spark.sparkContext.addPyFile(str(stand_in))
+    code_ = {"a.py": "data = 1\ntmp = 2\n\n\ndef compute_sum(p):\n    return open(p)\n", "pkg/b.py": "info = 1  # codeloom: ignore\nfoo = 2\n", "build/c.py": "data = 1\n", "bad.py": "def ("}
+    for name, text in code_.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    out = tmp_path / "out.json"
+    run = lambda *a: cli.main([str(tmp_path), "--format", "json", "--output", str(out), *a])
+    monkeypatch.setattr(cli, "DETECTORS", few := {n: DETECTORS[n] for n in ("vague_name", "shallow_class", "wide_interface", "import_cycle", "pure_function_violation")})
+    assert cli.main([str(tmp_path / "nowhere")]) == 2 and cli.main([str(tmp_path), "--detectors", "nothing"]) == 2 and cli.main([str(tmp_path), "--diff", "HEAD"]) == 2
+    assert run() == 0
+    found = published(out.read_text())
+    assert {(r["file"].removeprefix(f"{tmp_path}/"), r["line"], r["detector"]) for r in found} == {("a.py", 1, "vague_name"), ("a.py", 2, "vague_name"), ("a.py", 5, "pure_function_violation"), ("pkg/b.py", 2, "vague_name")}
+    assert found[0]["code_excerpt"] == ">>    1  data = 1\n      2  tmp = 2" and found[0]["judge_verdict"] == "unjudged"
+    # a model's verdicts: one real, one without JSON, one unknown
+    assert run("--detectors", "vague_name", "--judge", "stand_in:judge_by_line") == 1
+    verdicts = {(r["line"], r["judge_verdict"], r["judge_reasoning"]) for r in published(out.read_text()) if r["file"].endswith("a.py")}
+    assert (1, "real", "no picture") in verdicts and any(n == 2 and v == "unjudged" and "no JSON" in why for n, v, why in verdicts)
+    (tmp_path / "rubric.md").write_text("## 5. Depth\nx\n")
+    assert run("--detectors", "vague_name", "--judge", "stand_in:judge_by_line", "--rubric", str(tmp_path / "rubric.md")) == 0
+    assert all("no section 13" in r["judge_reasoning"] for r in published(out.read_text()))
+    # one detector that fails as it is planned, one that fails as it runs: the others go on
+    monkeypatch.setitem(few, "wide_interface", lambda facts: 1 / 0)
+    monkeypatch.setitem(few, "shallow_class", lambda facts: DETECTORS["vague_name"](facts).withColumn("line", F.raise_error(F.lit("as it runs")).cast("int")))
+    assert run() == 0 and len(published(out.read_text())) == 4
+    assert {"wide_interface", "shallow_class"} <= {m.split()[1] for m in caplog.messages if m.startswith("detector ")}
+    # settings
+    (tmp_path / "codeloom.toml").write_text('[codeloom]\ndisabled = ["vague_name"]\n')
+    assert run() == 0 and [r["detector"] for r in published(out.read_text())] == ["pure_function_violation"]
+    # only what differs from a commit: its file is parsed for single-file detectors, all files for project detectors
+    (tmp_path / "codeloom.toml").unlink()
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q"), git("add", "."), git("commit", "-qm", "one")
+    (tmp_path / "pkg/b.py").write_text("bar = 2\n")
+    read = []
+    monkeypatch.setattr(code, "python_files", lambda root, f=code.python_files: read.append(f(root)) or read[-1])
+    seen = []
+    monkeypatch.setattr(cli, "facts_for", lambda files, names, *a, f=cli.facts_for, **k: seen.append((files.count(), set(names))) or f(files, names, *a, **k))
+    assert run("--diff", "HEAD") == 0 and [(r["file"].split("/")[-1], r["line"]) for r in published(out.read_text())] == [("b.py", 1)]
+    assert seen[0][0] == 1 and not seen[0][1] & PROJECT_DETECTORS and seen[1][0] == 3 and seen[1][1] == PROJECT_DETECTORS & set(few)
+    # accepting what is there
+    assert cli.main([str(tmp_path), "--baseline-update"]) == 0 and "findings accepted" in capsys.readouterr().out
+    assert cli.main([str(tmp_path)]) == 0 and "_No findings._" in capsys.readouterr().out
+
+
 def test_call_graph(spark):
     f = facts(spark, PROJECT)
     edges = {(r.caller, r.callee) for r in f.call_edges.collect()}
@@ -182,7 +302,7 @@ def test_sources(spark, tmp_path):
     git("init", "-q"), git("add", "."), git("commit", "-qm", "one")
     (tmp_path / "pkg/a.py").write_text("x = 2\n")
     assert code.changed_files(tmp_path, "HEAD") == {str(tmp_path / "pkg/a.py")}
-    assert code.rubric_sections("# T\n## 1. One\na\n## Part\nb\n## 2. Two\nc") == {"1": "## 1. One\na\n## Part\nb", "2": "## 2. Two\nc"}
+    assert rubric_sections("# T\n## 1. One\na\n## Part\nb\n## 2. Two\nc") == {"1": "## 1. One\na\n## Part\nb", "2": "## 2. Two\nc"}
 
 
 def test_stream(spark, tmp_path):
@@ -190,4 +310,11 @@ def test_stream(spark, tmp_path):
 
     spark.createDataFrame([("a.py", "data = 1")], "path string, source string").write.parquet(str(tmp_path / "in"))
     watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), ["vague_name", "import_cycle"]).awaitTermination()
-    assert [r.file for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.py"]
+    spark.createDataFrame([("b.py", "info = 1")], "path string, source string").write.mode("append").parquet(str(tmp_path / "in"))
+    watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), ["vague_name", "import_cycle"]).awaitTermination()
+    assert {(r.file, r.batch) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a.py", 0), ("b.py", 1)}
+    # the last batch once more, as after a failure between its writing and its commit
+    for left in ("1", ".1.crc"):
+        (tmp_path / "check/commits" / left).unlink()
+    watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), ["vague_name", "import_cycle"]).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
