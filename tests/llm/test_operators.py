@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codeloom.llm import bm25_search, decontamination, extendible_hashing, fair_mix, importance, jaccard_join, line_dedup, queries, substring_dedup, toxicity, warc
+from codeloom.llm import bm25_search, common, decontamination, extendible_hashing, fair_mix, importance, jaccard_join, line_dedup, queries, substring_dedup, toxicity, warc
 from codeloom.llm.components import components
 
 random.seed(5)
@@ -47,6 +47,50 @@ def none(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string, n_chars long, lang string")
 
 
+def test_hot_join(spark):
+    """Keys of most rows, of few, of none; the same rows as a plain join."""
+    keys = [7] * 900 + [None] * 5 + [random.randrange(50, 400) for _ in range(700)]
+    big = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    count = collections.Counter(k for k in keys if k is not None)
+    small = spark.createDataFrame([(k, str(k), n) for k, n in count.items() if k % 3] + [(1, "1", 0)], "k long, name string, n long")
+    for share in (1, 10, 1000):
+        common.HOT_SHARE, before = share, common.HOT_SHARE
+        got = sorted((r.k, r.i, r.name) for r in common.hot_join(big, small, ["k"]).collect())
+        common.HOT_SHARE = before
+        assert got == sorted((k, i, str(k)) for i, k in enumerate(keys) if k is not None and k % 3)
+    assert common.hot_join(big, small.limit(0), ["k"]).count() == 0
+
+
+def test_running(spark):
+    """Sums by group over ranges, null groups too, and rows that are alike in all but their number."""
+    rows = [(random.choice(("a", "b", None)), 5 if i % 2 else random.randrange(9), i) for i in range(500)]
+    table = spark.createDataFrame([(g, x, i) for g, x, i in rows], "g string, x long, i long").repartition(6)
+    got = {r.i: r.through for r in common.running(table, ["g", "x", "i"], "x", "through", ("g",)).collect()}
+    sums = collections.Counter()
+    for g, x, i in sorted(rows, key=lambda r: r[1:]):
+        sums[g] += x
+        assert got[i] == sums[g]
+    assert len(got) == 500 and common.running(table.limit(0), ["g", "x", "i"], "x", "through", ("g",)).count() == 0
+
+
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    """Rows of one id never remove each other; each is judged by its own text, whatever shard it is in."""
+    one, two, own = prose(120), prose(120), prose(60)
+    rows = [(5, own + " " + one), (5, two), (5, two), (9, two + " " + own), (9, prose(10) + " " + one), (3, prose(49)), (4, own)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_bytes in (100, 1 << 20):
+        got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(table, shard_bytes=shard_bytes).collect())
+        assert got == [(3, 49, 0), (4, 60, 0), (5, 120, 0), (5, 120, 0), (5, 180, 60), (9, 130, 120), (9, 180, 180)]
+
+
+def test_substring_dedup_of_many_copies(spark):
+    """A passage that hundreds of documents share, over many shards, is kept in the first."""
+    passage = prose(70)
+    table = spark.createDataFrame([(i, f"start{i} {passage} end{i}") for i in range(400)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(table, shard_bytes=2000).collect()}
+    assert got[0] == (0, f"start0 {passage} end0") and all(got[i] == (70, f"start{i} end{i}") for i in range(1, 400))
+
+
 def test_substring_dedup(docs, rows, none):
     first = {}
     split = {d: (t or "").encode().split() for d, t, *_ in rows}
@@ -99,6 +143,15 @@ def test_decontamination(spark, docs, rows, none):
     assert decontamination.decontaminate(docs, table.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_with_one_rare_term_of_many_items(spark, monkeypatch):
+    """A template whose one rare term all items share, in lists of three places; null ids on both sides."""
+    monkeypatch.setattr(decontamination, "LIST", 3)
+    items = [(i, f"the task {i} needs zyx and so on for a while now") for i in range(40)] + [(None, "a null item with words"), (None, None)]
+    rows = [(i, f"x y the task {i} needs zyx and so on for a while now z") for i in range(0, 40, 7)] + [(None, "say a null item with words here"), (None, "clean"), (50, "the task needs zyx"), (51, None)]
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, tuple(r["items"]), r.n_hit) for r in got} == {*((i, (str(i),), 12) for i in range(0, 40, 7)), (None, ("",), 5), (None, (), 0), (50, (), 0), (51, (), 0)}
+
+
 def test_proximity(spark, docs):
     docs = spark.createDataFrame([(1, "red and a blue"), (2, "Blue, red"), (3, "red one two three four blue"), (4, None)], "doc_id long, text string")
     pairs = spark.createDataFrame([(7, "red", "blue")], "pair_id long, first string, second string")
@@ -121,6 +174,30 @@ def test_line_dedup(docs, rows, none):
     assert expected[16][0] == 3 and expected[17][0] == 6 and line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_long_texts_and_missing_ids(spark):
+    """20,000 lines, twice; a null doc_id comes first; runs that very many documents share."""
+    long, common_run = "\n".join(f"line {i % 15000}" for i in range(20_000)), "one\ntwo\n\nthree\nfour"
+    rows = [(1, long), (2, long), (None, common_run), *((i, f"own {i}\n{common_run}\n") for i in range(10, 200)), (300, "one\ntwo"), (301, ""), (302, None)]
+    got = collections.defaultdict(list)
+    for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.n_lines, r.n_removed, r.kept_text))
+    assert got[1] == [(20_000, 5_000, "\n".join(f"line {i}" for i in range(15_000)))] and got[2] == [(20_000, 20_000, "")]
+    assert got[None] == [(5, 0, common_run)] and all(got[i] == [(7, 4, f"own {i}\n\n")] for i in range(10, 200))
+    assert got[300] == [(2, 0, "one\ntwo")] and got[301] == [(1, 0, "")] and got[302] == [(0, 0, "")]
+
+
+def test_warc_of_rows_that_are_alike(spark, tmp_path, monkeypatch):
+    """Pages without an id, and one page many times, are spread over archives; one response is left of each payload."""
+    big = "<p>" + "x" * 1500
+    rows = [(None, None, big)] * 60 + [(5, "u", "<b>" * 700)] * 60 + [(None, "v", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_arc(table, str(tmp_path / "arc"), archive_bytes=20_000)
+    sizes = [len(warc.unpacked(r.content)) for r in warc.files(spark, str(tmp_path / "arc")).collect()]
+    assert len(sizes) > 5 and max(sizes) < 80_000
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(table).collect())
+    assert got == {(None, "response", None): 2, (None, "revisit", None): 59, (5, "response", None): 1, (5, "revisit", 5): 59}
+
+
 def test_warc(spark, tmp_path):
     big, other = "<p>" + "é" * 700, "<b>" * 500
     pages = [(1, "http://a/x y\n", big), (2, None, big), (3, "http://b", big), (4, "http://c", "short\r\n\r\nWARC/1.1"), (5, "http://d", "short\r\n\r\nWARC/1.1"), (6, "http://e", None), (7, "http://f", ""), (9, "u", other), (9, "u", other)]
@@ -363,6 +440,35 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root)) and len(set(root)) > 60
 
 
+def test_jaccard_join_of_rows_that_share_an_id(spark):
+    """Each row by its own text; the component is the least id reached; rows without an id stay outside."""
+    base, other = prose(100), prose(100)
+    rows = [(7, base), (7, other), (9, base + " end"), (3, other), (None, base), (None, None), (4, ""), (4, None), (8, "two words"), (8, "TWO words")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    want = [(7, 97, 7), (7, 97, 3), (9, 98, 7), (3, 97, 3), (None, 97, None), (None, 0, None), (4, 0, 4), (4, 0, 4), (8, 1, 8), (8, 1, 8)]
+    distinct = lambda t: len({tuple(t.lower().split()[i : i + 4]) for i in range(len(t.split()) - 3)})
+    want = [(d, distinct(t) if n > 90 else n, c) for (d, n, c), (_, t) in zip(want, rows)]
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted((str(d), n, str(c)) for d, n, c in want)
+
+
+def test_trees_side_by_side():
+    """Every pair of one group that links is among the candidates of many groups' trees, none of two groups is."""
+    sets, group = [], []
+    for g in range(30):
+        base = np.unique(np.random.default_rng(g).integers(0, 1 << 62, 40 + 15 * (g % 7), dtype=np.uint64))
+        for i in range(1 + g % 12 * (3 if g % 5 == 0 else 1)):
+            more = np.random.default_rng(1000 * g + i).integers(0, 1 << 62, i % 9, dtype=np.uint64)
+            sets.append(np.unique(np.r_[base[i % 4 :], more]))
+            group.append(g)
+    group = np.array(group)
+    at = np.random.default_rng(1).permutation(len(sets))
+    sets, group = [sets[i] for i in at], group[at]
+    near, component = np.random.default_rng(2).integers(0, 9, len(sets)), np.random.default_rng(3).integers(0, 60, len(sets))
+    found = {frozenset((int(a), int(b))) for x, y in jaccard_join.candidates(np.array(list(map(len, sets))), [jaccard_join.bitmap(s) for s in sets], near, 85, component, group) for a, b in zip(x, y)}
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if group[i] == group[j] and component[i] != component[j] and jaccard_join.linked(sets[i], sets[j], 85)}
+    assert want <= found and len(want) > 100 and all(len({group[i] for i in pair}) == 1 and len(pair) == 2 for pair in found)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 10), (5, 5), *((i, i + 1) for i in range(100, 160))]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -471,6 +577,15 @@ def test_search_rounds():
         assert edges[1] <= 8 and all(b <= 8 * a for a, b in zip(edges[1:], edges[2:]))
 
 
+def test_sharding_with_a_large_directory(spark, docs, monkeypatch):
+    """The same shards if the directory is not broadcast; rows without a key and rows of one key fit too."""
+    some = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "null key")] * 9 + [(3, "y" * 300)] * 20, "doc_id long, text string"))
+    one = sorted((str(r.doc_id), r.n_bytes, r.depth, r.prefix) for r in extendible_hashing.shard(some, 900).collect())
+    monkeypatch.setattr(extendible_hashing, "MOST_BROADCAST", 0)
+    two = extendible_hashing.shard(some, 900).collect()
+    assert one == sorted((str(r.doc_id), r.n_bytes, r.depth, r.prefix) for r in two) and len(one) == some.count() and len({r.depth for r in two}) > 2
+
+
 def test_sharding(spark, docs, rows, none):
     for limit in (64 << 20, 5000, 900):
         got = extendible_hashing.shard(docs, limit).collect()
