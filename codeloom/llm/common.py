@@ -26,10 +26,13 @@ def hot_join(big: DataFrame, small: DataFrame, keys: list[str], count: str = "n"
     """big joined with small on keys. A key has one row of small, whose `count` tells how many rows of big have it.
 
     Keys of more than a HOT_SHARE-th of all rows, fewer than HOT_SHARE of them, are broadcast, so the rows of a key,
-    however many, stay in the tasks that they are in; all others are shuffled. big and small are read twice.
+    however many, stay in the tasks that they are in; all others are shuffled, so big and small are read twice. A
+    small of no more than HOT_SHARE rows is broadcast whole.
     """
-    total = small.agg(F.sum(count)).first()[0] or 0
-    is_hot = F.col(count) * HOT_SHARE > total
+    total, rows = small.agg(F.sum(count), F.count("*")).first()
+    if rows <= HOT_SHARE:
+        return big.join(F.broadcast(small), keys)
+    is_hot = F.col(count) * HOT_SHARE > (total or 0)
     hot = F.broadcast(small.where(is_hot))
     cold = big.join(hot.select(*keys), keys, "left_anti").join(small.where(~is_hot), keys)
     return big.join(hot, keys).unionByName(cold)
