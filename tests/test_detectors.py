@@ -112,6 +112,31 @@ def local(p): pass
     assert [(r.qualname, r.attributes) for r in got.class_attributes.collect()] == [("app.a.Own", ["limit", "name"])]
 
 
+def test_types_of_variables(spark):
+    """By annotation, constructor and return type; not where return types disagree or the class isn't of the code."""
+    source = """
+from elsewhere import Far
+class A: pass
+def make() -> A: pass
+def many() -> list[A]: pass
+def odd() -> A: pass
+def far() -> Far: pass
+def use(v: A, u: Optional[A], t: Far, *, k: "A"):
+    x = A()
+    y = self.make()
+    for z in many(): pass
+    for n in A(): pass
+    w, q, p = odd(), far(), None
+    w = odd()
+    q = far()
+    again = A()
+    again = make
+"""
+    got = facts(spark, {"a.py": source, "b.py": "class B: pass\ndef odd() -> B: pass\ndef over(v: A, v2: B): v = B()\n"})
+    assert {(r.path, r.name, r.type) for r in got.local_types.collect()} == {("a.py", n, "A") for n in ("v", "u", "x", "y", "z", "again")} | {("b.py", "v", "B"), ("b.py", "v2", "B")}
+    assert {(r.name, r.type) for r in got.return_types.collect()} == {("make", "A"), ("many", "A"), ("far", "Far")}
+
+
 def test_wanted_facts():
     """Only what is wanted is made; unknown fields are refused; sources that are too deep don't parse."""
     wanted = wanted_of("functions(name,line) comments functions(complexity)")
