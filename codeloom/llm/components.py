@@ -18,14 +18,13 @@ def _stars(pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node it reaches) for every node of links (a, b)."""
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
     while True:
+        rows, nodes = links.agg(F.count("*"), F.count_distinct("u")).first()
+        if rows == nodes and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            # every u has one v, which is no u: these are stars
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         starred = _stars(written(large, "large-stars"))
         small = starred.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         links = written(small, "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
