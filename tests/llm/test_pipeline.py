@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from codeloom.llm import importance
 from codeloom.llm.common import table, written
 
 SF = "/root/testdata/sf0.01"  # the share of good documents is estimated from labels: 87 of them (sf0.001) tell too little
@@ -37,12 +38,22 @@ def test_pipeline(spark):
     assert stage["sharding"](spark, docs, SF).count() == len(kept["mix"])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_stages_on_awkward_rows(spark):
+    """What each stage keeps of rows with nulls, without words, repeated, with columns of clashing names."""
     rows = [(1, None, "en", None, 0), (None, "a b c", None, "s", 5), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "word " * 200, "en", "s", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("of", "copies", "kept", "shard")})
-    for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() <= 3 * len(rows), name
-        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("of", "copies", "kept", "shard", "row")})
+    stage = dict(corpus_pipeline.STAGES)
+    kept = {name: sorted(((r.doc_id, r.text) for r in stage[name](spark, docs, SF).collect()), key=str) for name in stage}
+    every = sorted((r[:2] for r in rows), key=str)
+    assert kept["decontamination"] == kept["sharding"] == every
+    assert kept["near_duplicates"] == sorted({r[:2] for r in rows}, key=str)
+    share = round(5 * importance.target_share(table(spark, SF, "labels")))
+    assert set(kept["quality"]) <= set(every) and share <= len(kept["quality"]) <= share + 1  # of rows that are alike both stay
+    assert set(kept["mix"]) == {(3, "word " * 200)} or set(kept["mix"]) == {(None, "a b c"), (3, "word " * 200)}
+    assert sum(len(t.split()) for _, t in kept["mix"]) <= 203
+    for name, f in stage.items():
+        assert f(spark, docs.limit(0), SF).count() == 0, name
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
