@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import running, written
 
 #: Bits of the hash that the directory can use; rows that share them all go on in numbered overflow pages.
 BITS = 40
@@ -65,7 +65,8 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
     """docs with the shard of each row: all columns of docs, then n_bytes (of the text; null: 0), depth, prefix, page
     and shard ("<depth>:<prefix>:<page>", or "big:<hash>:<page>").
 
-    No shard exceeds `limit` bytes, except that a text longer than the limit is a shard of its own. Rows that share
+    No shard exceeds `limit` bytes, except that a text longer than the limit is a shard of its own (pages number those of
+    one key). Rows that share
     all BITS bits (equal keys) and don't fit one shard are dealt to numbered pages, in halves of the limit. A null key
     hashes like ''. Columns of docs that have the names of the added ones are replaced. No rows: no shards.
     """
@@ -88,7 +89,7 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
     directory = leaves.unionByName(crowded.select("depth", "prefix")) if many else leaves
     big = F.col("__bytes") > limit
     fits = _looked_up(rows.where(~big), directory)
-    paged = fits.withColumn("page", F.lit(0))
+    paged = fits.withColumn("page", F.lit(0).cast("long"))
     if many:
         paged = _pages(fits.join(crowded.select("__hash"), "__hash", "left_anti").withColumn("page", F.lit(0)), fits.join(crowded.select("__hash"), "__hash", "left_semi"), limit)
     name = F.concat_ws(":", "depth", "prefix", "page")
@@ -96,7 +97,8 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
     alone = rows.where(big)
     if alone.isEmpty():
         return out
-    numbered = _numbered(alone)
+    counted = alone.withColumns({"__row": F.monotonically_increasing_id(), "__one": F.lit(1)})
+    numbered = running(counted, ["__hash", "__row"], "__one", "number", ("__hash",)).withColumn("number", F.col("number") - 1)
     return out.unionByName(numbered.select(*kept, F.col("__bytes").alias("n_bytes"), F.lit(BITS).alias("depth"), F.col("__hash").alias("prefix"), F.col("number").alias("page"), F.concat_ws(":", F.lit("big"), "__hash", "number").alias("shard")))
 
 

@@ -137,7 +137,8 @@ SELECT * FROM ranked WHERE rank <= 10""",
     "op10_sharding": f"""
 WITH d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT) AS h FROM documents),
 p AS (SELECT doc_id, n_bytes, CAST(r.depth AS INTEGER) AS depth, h >> (40 - CAST(r.depth AS INTEGER)) AS prefix FROM d, range(0, 41) AS r(depth)),
-b AS (SELECT depth, prefix, sum(n_bytes) AS total FROM p GROUP BY ALL),
-leaf AS (SELECT doc_id, n_bytes, min(depth) AS depth FROM p JOIN b USING (depth, prefix) WHERE total <= {extendible_hashing.QUERY_SHARD_BYTES} GROUP BY ALL)
-SELECT doc_id, leaf.n_bytes, depth, p.prefix, CAST(0 AS BIGINT) AS page, concat_ws(':', depth, p.prefix, 0) AS shard FROM leaf JOIN p USING (doc_id, n_bytes, depth)""",
+b AS (SELECT depth, prefix, sum(n_bytes) AS total FROM p WHERE n_bytes <= {extendible_hashing.QUERY_SHARD_BYTES} GROUP BY ALL),
+leaf AS (SELECT doc_id, n_bytes, min(depth) AS depth FROM p JOIN b USING (depth, prefix) WHERE total <= {extendible_hashing.QUERY_SHARD_BYTES} AND n_bytes <= {extendible_hashing.QUERY_SHARD_BYTES} GROUP BY ALL)
+SELECT doc_id, leaf.n_bytes, depth, p.prefix, CAST(0 AS BIGINT) AS page, concat_ws(':', depth, p.prefix, 0) AS shard FROM leaf JOIN p USING (doc_id, n_bytes, depth)
+UNION ALL SELECT doc_id, n_bytes, 40, h, CAST(0 AS BIGINT), concat_ws(':', 'big', h, 0) FROM d WHERE n_bytes > {extendible_hashing.QUERY_SHARD_BYTES}""",
 }
