@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, decontamination, extendible_hashing, fair_mix, importance, jaccard_join, line_dedup, substring_dedup, toxicity, warc
+from . import bm25_search, decontamination, extendible_hashing, fair_mix, importance, jaccard_join, line_dedup, substring_dedup, token_files, toxicity, warc
 from .common import table
 
 
@@ -56,7 +57,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_hashing.shard(table(spark, sf_dir, "documents"), extendible_hashing.QUERY_SHARD_BYTES).select("doc_id", "n_bytes", "depth", "prefix", "page", "shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_warc, op5_importance, op6_fair_mix, op7_toxicity, op8_jaccard_join, op9_search, op10_sharding)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_warc, op5_importance, op6_fair_mix, op7_toxicity, op8_jaccard_join, op9_search, op10_sharding, op11_token_files)}
 
 _SPACED = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
