@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, decontamination, extendible_hashing, fair_mix, importance, jaccard_join, line_dedup, substring_dedup, token_files, toxicity, warc, whitening
+from . import bm25_search, conversation_repair, decontamination, extendible_hashing, fair_mix, importance, jaccard_join, line_dedup, substring_dedup, token_files, toxicity, warc, whitening
 from .common import table
 
 
@@ -66,7 +66,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), k=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_warc, op5_importance, op6_fair_mix, op7_toxicity, op8_jaccard_join, op9_search, op10_sharding, op11_token_files, op12_whitening)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_warc, op5_importance, op6_fair_mix, op7_toxicity, op8_jaccard_join, op9_search, op10_sharding, op11_token_files, op12_whitening, op13_conversation_repair)}
 
 _SPACED = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
