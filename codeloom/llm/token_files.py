@@ -24,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +41,19 @@ MAGIC = b"ARROW1"
 class Encoder:
     """Texts to ids as the tokenizer at `path` encodes them whole, without special tokens added.
 
-    A byte-level tokenizer without a normalizer never merges across a blank that has something other than white space on
-    both sides, nor between a run of letters or digits and the stop after it; there texts are cut, and each piece is
-    encoded by the tokenizer once and remembered, up to a bound. Other tokenizers get whole texts.
+    A byte-level tokenizer without a normalizer never merges across a blank or line end that has something other than
+    white space on both sides, nor between a run of letters or digits and the signs after it; there texts are cut. The
+    pieces of a batch of texts are made, numbered and put together by Arrow. The tokenizer gets each piece once, new ones
+    together, line by line, and what it says is remembered, up to a bound. Other tokenizers get whole texts.
     """
 
-    BOUND = 400_000
+    #: Pieces that are remembered, before those not met since are forgotten; pieces that are encoded at once.
+    BOUND, LINES = 600_000, 50_000
     CUT = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
-    LOOSE = re.compile(r"[\s᠎] | [\s᠎]|^ | $")
+    #: No sign, or white space at an end (all of it that any version of Unicode knows).
+    LOOSE = r"^$|^[\s\pZ\x00-\x1f\x{85}\x{180e}]|[\s\pZ\x00-\x1f\x{85}\x{180e}]$"
     #: A run of letters or digits and one of ASCII signs that doesn't begin with an apostrophe.
-    SIGNED = re.compile(r"([^\W_]+)([!-&(-/:-@[-^`{-~][!-/:-@[-^`{-~]*)")
+    SIGNED = r"^(?P<word>[\pL\pN]+)(?P<signs>[!-&(-/:-@\[-^`{-~][!-/:-@\[-^`{-~]*)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -60,44 +64,101 @@ class Encoder:
         before = spec["pre_tokenizer"] or {}
         plain = all(not (set(t["content"]) & set(string.whitespace) or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.cuts = plain and not spec["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.line_end = self.encoded("\n")
+        self.cuts = plain and not spec["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and len(self.line_end) == 1
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before a piece
+        # by what stands before a piece: nothing, a blank; those met lately and before
+        self.known: tuple[dict, dict] = ({}, {})
+        self.old: tuple[dict, dict] = ({}, {})
+
+    def encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def piece(self, before: str, text: str) -> bytes:
-        """The ids of before + text; text doesn't begin with a blank."""
-        known = self.known[before]
-        if (ids := known.get(text)) is None:
-            if word := self.SIGNED.fullmatch(text):
-                ids = self.piece(before, word[1]) + self.piece("", word[2])
-            elif "\n" in text and all(p and not p[0].isspace() and not p[-1].isspace() for p in text.split("\n")):
-                # a line end between other signs stands alone
-                first, *rest = text.split("\n")
-                return b"".join([self.piece(before, first), *(x for p in rest for x in (self.piece("", "\n"), self.piece("", p)))])
-            else:
-                ids = self.whole(before + text)
-            if len(known) >= self.BOUND:
-                known.clear()
-            known[text] = ids
-        return ids
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.cuts or any(t in text for t in self.added):
+        return np.array(self.encoded(text), self.type).tobytes()
+
+    @staticmethod
+    def loose(piece: str) -> bool:
+        return not piece or piece[0].isspace() or piece[-1].isspace() or "᠎" in (piece[0], piece[-1])
+
+    def parts(self, text: str, after: int) -> list[tuple[int, str]]:
+        """The lines of a piece and the ends between them, if these stand alone; which of them come after a blank."""
+        first, *rest = text.split("\n")
+        if rest and not any(map(self.loose, (first, *rest))):
+            return [(after, first), *(x for p in rest for x in ((0, "\n"), (0, p)))]
+        return [(after, text)]
+
+    def learn(self, new: list[tuple[int, str]]) -> None:
+        for at in range(0, len(new), self.LINES):
+            some = [x for x in new[at : at + self.LINES] if "\n" not in x[1]]
+            ids = np.array(self.encoded("\n".join([" " * a + t for a, t in some])), self.type)
+            cuts = np.flatnonzero(ids == self.line_end[0]) * self.type.itemsize
+            raw, begin = ids.tobytes(), 0
+            for (a, text), end in zip(some, [*cuts.tolist(), len(raw)]):
+                self.known[a][text] = raw[begin:end]
+                begin = end + self.type.itemsize
+        for a, text in new:
+            if "\n" in text:
+                self.known[a][text] = self.whole(" " * a + text)
+
+    def of(self, pieces: list[str], after: int) -> list[bytes]:
+        """The ids of each piece, which stands after a blank (1) or nothing (0)."""
+        if sum(map(len, self.known)) > self.BOUND:
+            self.old, self.known = self.known, ({}, {})
+        (known, every), old = (self.known[after], self.known), self.old
+        missing = [p for p in pieces if p not in known]
+        known |= {p: ids for p in missing if (ids := old[after].get(p)) is not None}
+        new = dict.fromkeys((after, p) for p in missing if "\n" not in p and p not in known)
+        lines = {p: self.parts(p, after) for p in missing if "\n" in p and p not in known}
+        for x in (x for parts in lines.values() for x in parts):
+            a, text = x
+            if text not in every[a]:
+                if (ids := old[a].get(text)) is None:
+                    new[x] = None
+                else:
+                    every[a][text] = ids
+        self.learn([*new])
+        for p, parts in lines.items():
+            known[p] = b"".join([every[a][text] for a, text in parts])
+        return [known[p] for p in pieces]
+
+    def _known(self, pieces: pa.Array, after: int) -> pa.Array:
+        """The ids of many pieces, none for "", which stand after a blank or nothing."""
+        coded = pieces.dictionary_encode()
+        some = [p for p in coded.dictionary.to_pylist() if p]
+        ids = dict(zip(some, self.of(some, after))) | {"": b""}
+        return pa.array([ids[p] for p in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+
+    def slowly(self, text: str) -> bytes:
+        """A text with white space of several signs, or at its ends, or with special tokens' names in it."""
+        if any(t in text for t in self.added):
             return self.whole(text)
-        known, piece = self.known[" "].get, self.piece
-        if self.LOOSE.search(text):
-            first, *rest = self.CUT.split(text)
-            rest = [p[1:] for p in rest]
-            start = self.whole(first)
-        else:
-            first, *rest = text.split(" ")
-            start = piece("", first)
-        return start + b"".join([known(p) or piece(" ", p) for p in rest])
+        first, *rest = self.CUT.split(text)
+        return self.whole(first) + b"".join(self.of([p[1:] for p in rest], 1))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as the bytes of numbers of self.type; none for null."""
+        texts = texts.cast(pa.string())
+        if not self.cuts:
+            return [self.whole(t) if t else b"" for t in texts.to_pylist()]
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        at, distinct, odd = coded.indices.to_numpy().copy(), coded.dictionary, pc.match_substring_regex(coded.dictionary, self.LOOSE)
+        for name in self.added:
+            odd = pc.or_(odd, pc.match_substring(distinct, name))
+        starts, odd = ends[:-1], odd.to_numpy(zero_copy_only=False)
+        slow = np.add.reduceat(odd[at], starts) > 0 if len(texts) else np.zeros(0, bool)
+        firsts = self.of([p.as_py() for p in distinct.take(pa.array(at[starts[~slow]]))], 0)
+        signed = pc.extract_regex(distinct, self.SIGNED)
+        words = pc.if_else(pa.array(odd), "", pc.coalesce(pc.struct_field(signed, "word"), distinct))
+        joined = [self._known(x, after) for x, after in ((words, 1), (pc.fill_null(pc.struct_field(signed, "signs"), ""), 0))]
+        found = pc.binary_join_element_wise(*joined, pa.scalar(b"", pa.large_binary()))
+        at[starts[~slow]] = len(distinct) + np.arange(len(firsts))
+        joined = pa.concat_arrays([found, pa.array(firsts, pa.large_binary())]).take(pa.array(at))
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1][ends].tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        return [self.slowly(texts[n].as_py() or "") if slow[n] else bytes(data[a:b]) for n, (a, b) in enumerate(zip(offsets, offsets[1:]))]
 
 
 @cache
@@ -142,8 +203,8 @@ def _files(tokenizer: str, end: int, length: int, file_tokens: int):
         file = _Writer(encode.type, length, end)
         done = lambda: pa.RecordBatch.from_arrays([pa.array([file.content()[: -len(MAGIC)]], pa.binary())], ["content"])
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                file.add(doc_id, encode(text.as_py()))
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"])):
+                file.add(doc_id, ids)
                 if file.size >= file_tokens:
                     yield done()
                     file = _Writer(encode.type, length, end)
@@ -158,7 +219,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, length: i
 
     Each document is the ids of its whole text and then `end`; a null or empty text is `end` alone. Rows of one doc_id
     come in an order by hash of their texts; rows that are alike in both are spread over tasks like any others, as
-    their order makes no difference. An empty table makes no files. A task holds one file's ids and one text at a time.
+    their order makes no difference. An empty table makes no files. A task holds one file's ids and a batch of texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text"), F.rand(11)]
