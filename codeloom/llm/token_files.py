@@ -125,9 +125,11 @@ class Encoder:
     def _known(self, pieces: pa.Array, after: int) -> pa.Array:
         """The ids of many pieces, none for "", which stand after a blank or nothing."""
         coded = pieces.dictionary_encode()
-        some = [p for p in coded.dictionary.to_pylist() if p]
-        ids = dict(zip(some, self.of(some, after))) | {"": b""}
-        return pa.array([ids[p] for p in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        every = coded.dictionary.to_pylist()
+        ids = self.of([p for p in every if p], after)
+        if len(ids) < len(every):
+            ids.insert(every.index(""), b"")
+        return pa.array(ids, pa.large_binary()).take(coded.indices)
 
     def slowly(self, text: str) -> bytes:
         """A text with white space of several signs, or at its ends, or with special tokens' names in it."""
