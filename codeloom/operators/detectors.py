@@ -285,11 +285,15 @@ def info_leakage(facts: Facts, files: int = 4, attributes: int = 3) -> DataFrame
 
 
 @detector("6", "medium", "imports", project=True)
-def import_cycle(facts: Facts) -> DataFrame:
+def import_cycle(facts: Facts, shown: int = 100) -> DataFrame:
     """Modules import each other in a cycle."""
     edges = facts.import_targets.select(F.col("path").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct()
-    g = graph.strong_components(edges).groupBy("component").agg(F.count("*").alias("measure"), F.array_sort(F.collect_list("node")).alias("nodes"))
-    return g.select(F.col("component").alias("file"), F.lit(1).alias("line"), F.array_join("nodes", " -> ").alias("evidence"), "measure")
+    nodes = written(graph.strong_components(edges), "cycles")
+    first = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where(F.col("nth") <= shown)
+    named = first.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), " -> ").alias("some"))
+    g = nodes.groupBy("component").agg(F.count("*").alias("measure")).join(named, "component")
+    more = F.when(F.col("measure") > shown, F.format_string("(+%d more)", F.col("measure") - shown))
+    return g.select(F.col("component").alias("file"), F.lit(1).alias("line"), F.concat_ws(" ", "some", more).alias("evidence"), "measure")
 
 
 @detector("8", "low", f"{CALLS} functions(params,reads,kwargs)", project=True)
@@ -366,21 +370,42 @@ def unstable_interface(facts: Facts, threshold: int = 10) -> DataFrame:
     return _at(c.select("path", "line", "end_line", F.concat_ws(" ", "name", F.lit("is imported by"), "measure", F.lit("files")).alias("evidence"), "measure"))
 
 
-def function_effects(facts: Facts, effects: DataFrame) -> DataFrame:
-    """qualname, effect: what each function does itself or through calls. effects (symbol, category) is a dictionary
-    of the runtime's functions, matched by a call's whole name, else by its last two parts."""
+#: Categories of effects that one mask holds.
+MASK_BITS = 62
+
+
+def _effect_masks(facts: Facts, effects: DataFrame) -> tuple[DataFrame, list[str]]:
+    """node, m0, m1, ...: what each function does itself or through calls, as bits of the categories, sorted."""
     calls = facts.external_calls
     exact = calls.join(effects, "symbol").select("caller", "category")
     parts = F.split("symbol", r"\.")
     rest = calls.join(effects, "symbol", "left_anti").where(F.size(parts) > 2).select("caller", F.array_join(F.slice(parts, -2, 2), ".").alias("symbol"))
-    direct = exact.unionByName(rest.join(effects, "symbol").select("caller", "category")).select(F.col("caller").alias("node"), F.col("category").alias("value"))
-    edges = facts.call_edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    return graph.propagate(direct, edges).select(F.col("node").alias("qualname"), F.col("value").alias("effect"))
+    direct = exact.unionByName(rest.join(effects, "symbol").select("caller", "category"))
+    categories = sorted(r.category for r in effects.select("category").distinct().collect())  # of the dictionary, not of the code
+    spark = facts.call_edges.sparkSession
+    numbered = F.broadcast(spark.createDataFrame(list(enumerate(categories)), "nth int, category string"))
+    masks = [F.when((F.col("nth") / MASK_BITS).cast("int") == m, F.shiftleft(F.lit(1).cast("long"), F.col("nth") % MASK_BITS)).otherwise(F.lit(0).cast("long")).alias(f"m{m}") for m in range(len(categories) // MASK_BITS + 1)]
+    own = direct.distinct().join(numbered, "category").select(F.col("caller").alias("node"), *masks)
+    return graph.propagate_masks(own, facts.call_edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))), categories
+
+
+def _named(categories: list[str]) -> Column:
+    """The categories of a row of masks, sorted."""
+    has = [F.when(F.col(f"m{nth // MASK_BITS}").bitwiseAND(1 << nth % MASK_BITS) != 0, F.lit(c)) for nth, c in enumerate(categories)]
+    return F.array_compact(F.array(*has)) if has else F.array().cast("array<string>")
+
+
+def function_effects(facts: Facts, effects: DataFrame) -> DataFrame:
+    """qualname, effect: what each function does itself or through calls. effects (symbol, category) is a dictionary
+    of the runtime's functions, matched by a call's whole name, else by its last two parts."""
+    masks, categories = _effect_masks(facts, effects)
+    return masks.select(F.col("node").alias("qualname"), F.explode(_named(categories)).alias("effect"))
 
 
 def effect_sets(facts: Facts, effects: DataFrame) -> DataFrame:
     """qualname, effects (sorted, none for functions without) of every function that is defined, calls or is called."""
-    per = function_effects(facts, effects).groupBy("qualname").agg(F.array_sort(F.collect_set("effect")).alias("effects"))
+    masks, categories = _effect_masks(facts, effects)
+    per = masks.select(F.col("node").alias("qualname"), _named(categories).alias("effects"))
     names = facts.call_edges.select(F.col("caller").alias("qualname")).union(facts.call_edges.select("callee")).union(facts.qualnames).union(per.select("qualname")).distinct()
     return names.join(per, "qualname", "left").select("qualname", F.coalesce("effects", F.array().cast("array<string>")).alias("effects"))
 

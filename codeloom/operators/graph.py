@@ -1,24 +1,34 @@
-"""Graph operators: reachability, strongly connected components, propagation. Each round's rows are a table of their own,
-written once."""
+"""Graph operators: reachability, strongly connected components, propagation of sets.
+
+Components and sets come from elimination. A node with few ways in and out is taken out of the graph, and each way through
+it becomes an edge, so that what reaches what stays as it is; of neighbours one is taken at a time, by a hash that
+changes with the round. A round takes a part of all such nodes (a third of a chain's), whatever the length of paths, so
+rounds grow with the logarithm of the graph; what was taken out is then settled in the opposite order. Where nothing
+cheap is left (hubs, dense cores), paths are short, and plain rounds do the rest. Every round is a few joins and sums of
+shrinking tables; no task or driver holds a graph.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
+from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
 
-#: Edges that one task may hold (16 bytes each, and as much again for the search).
-CORE_EDGES = 1_000_000
+#: A node may be taken out if it has at most so many times as many ways through it as edges; grown as little is left that
+#: costs less.
+FILLS = (1, 2, 4, 8)
+#: A round that leaves more than this share of the edges has stalled.
+STALLED = 0.95
+SOURCE, SINK, CHOSEN, REST = range(4)
 
 
 def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """The least (node, value) rows that hold facts and, for each edge (src, dst), all values of dst at src. A round
-    takes only the rows that the round before found; what is known is never written again."""
+    takes only the rows that the round before found, and compares what it finds with all that is known."""
     edges = written(edges.select("src", "dst").distinct(), "edges")
     known = [written(facts.select("node", "value").distinct(), "known")]
     while not known[-1].isEmpty():
@@ -33,53 +43,83 @@ def reachable(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("src"), F.col("value").alias("dst"))
 
 
-def _cycles(src: list, dst: list):
-    """The nodes of each strong component of two or more, by two depth-first searches with stacks of their own."""
-    ahead, back = defaultdict(list), defaultdict(list)
-    for a, b in zip(src, dst):
-        ahead[a].append(b)
-        back[b].append(a)
-    seen, finished = set(), []
-    for start in list(ahead):
-        if start in seen:
-            continue
-        seen.add(start)
-        stack = [(start, iter(ahead[start]))]
-        while stack:
-            node, rest = stack[-1]
-            to = next((x for x in rest if x not in seen), None)
-            if to is None:
-                finished.append(node)
-                stack.pop()
-            else:
-                seen.add(to)
-                stack.append((to, iter(ahead.get(to, ()))))
-    placed = set()
-    for root in reversed(finished):
-        if root in placed:
-            continue
-        placed.add(root)
-        members = [root]
-        for node in members:  # grows meanwhile
-            for x in back.get(node, ()):
-                if x not in placed:
-                    placed.add(x)
-                    members.append(x)
-        if len(members) > 1:
-            yield members
-
-
-def _in_one_task(batches):
-    if batches := list(batches):
-        edges = pa.Table.from_batches(batches)
-        found = list(_cycles(edges["src"].to_pylist(), edges["dst"].to_pylist()))
-        kind = edges["src"].type
-        yield pa.RecordBatch.from_arrays([pa.array([x for m in found for x in m], kind), pa.array([min(m) for m in found for _ in m], kind)], ["node", "component"])
+@dataclass
+class Round:
+    """Edges of a graph by what becomes of their ends: src, dst, and kinds src_is, dst_is. Sources go first, then sinks,
+    then the chosen, no two of which are neighbours."""
+
+    flagged: DataFrame
+    kinds: DataFrame
+
+    @property
+    def from_sources(self) -> DataFrame:
+        return self.flagged.where(F.col("src_is") == SOURCE)
+
+    @property
+    def to_sinks(self) -> DataFrame:
+        return self.flagged.where((F.col("src_is") != SOURCE) & (F.col("dst_is") == SINK))
+
+    def _between(self, src: Column, dst: Column) -> DataFrame:
+        return self.flagged.where((F.col("src_is") != SOURCE) & (F.col("dst_is") != SINK)).where(src & dst).select("src", "dst")
+
+    @property
+    def into_chosen(self) -> DataFrame:
+        return self._between(F.lit(True), F.col("dst_is") == CHOSEN)
+
+    @property
+    def out_of_chosen(self) -> DataFrame:
+        return self._between(F.col("src_is") == CHOSEN, F.lit(True))
+
+    def left(self) -> DataFrame:
+        """The edges of what remains."""
+        rest = self._between(F.col("src_is") == REST, F.col("dst_is") == REST)
+        ways = self.into_chosen.toDF("src", "via").join(self.out_of_chosen.toDF("via", "dst"), "via").where("src <> dst").select("src", "dst")
+        return rest.union(ways).distinct()
+
+
+def _round(edges: DataFrame, nth: int, fill: int) -> Round:
+    """What to take out of a graph next. A node of few ways is chosen if its hash is less than its neighbours'."""
+    rank = lambda c: F.xxhash64(F.lit(nth), F.col(c))
+    less = F.struct(rank("src"), "src") < F.struct(rank("dst"), "dst")
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), less.alias("least"))
+    ends = ends.union(edges.select("dst", F.lit(0), F.lit(1), ~less))
+    n = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.bool_and("least").alias("least"))
+    ways = F.col("out").cast("double") * F.col("into")
+    kind = F.when(F.col("into") == 0, SOURCE).when(F.col("out") == 0, SINK).when(F.col("least") & (ways <= fill * (F.col("out") + F.col("into"))), CHOSEN).otherwise(REST)
+    kinds = written(n.select("node", kind.alias("is")), "kinds")
+    flagged = edges.join(kinds.toDF("src", "src_is"), "src").join(kinds.toDF("dst", "dst_is"), "dst")
+    return Round(written(flagged.select("src", "dst", "src_is", "dst_is"), "flagged"), kinds)
+
+
+class Elimination:
+    """Rounds of a graph, one at a time, until no edges are left or nothing cheap is."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+        self.n, self.nth, self.fill = self.edges.count(), 0, 0
+
+    def next(self) -> Round | None:
+        """The next round, or None if it has stalled. Its remaining edges become the graph."""
+        while self.n and self.fill < len(FILLS):
+            found = _round(self.edges, self.nth, FILLS[self.fill])
+            left = written(found.left(), "edges")
+            n, self.nth = left.count(), self.nth + 1
+            if n > STALLED * self.n:
+                self.fill += 1
+            if n <= self.n:
+                self.edges, self.n = left, n
+                return found
+        return None
+
+    def go_on(self, edges: DataFrame) -> None:
+        """With the edges that plain rounds have left."""
+        self.edges = written(edges, "edges")
+        self.n, self.fill = self.edges.count(), 0
 
 
 def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Some strong components of a graph, and the edges that may lie in others. A node's colour is the least node that
-    reaches it; the nodes of a colour that reach the node it is named after are a component."""
+    """Some strong components of a graph (node, label), and the edges that may lie in others. A node's colour is the least
+    node that reaches it; the nodes of a colour that reach the node it is named after are a component."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     colour = written(nodes.select("node", F.col("node").alias("colour")), "colours")
     while True:
@@ -92,32 +132,67 @@ def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside = written(edges.join(a, "src").join(b, "dst").where("src_colour = dst_colour").select("src", "dst"), "edges")
     # propagate() carries values from dst to src: a colour goes back from its own node along the edges within it
     found = propagate(colour.where("node = colour").select("node", F.col("colour").alias("value")), inside)
-    found = written(found.select("node", F.col("value").alias("component")), "found")
+    found = written(found.select("node", F.col("value").alias("label")), "found")
     return found, inside.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
 
 
-def strong_components(edges: DataFrame, core_edges: int = CORE_EDGES) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) for nodes on cycles of two nodes or more; component is the least node.
 
-    Nodes without edges in or out can't be on a cycle and are trimmed, as long as that takes a tenth of the edges. A
-    graph, or what is left of one, of at most core_edges edges is searched by one task, however long its cycles are;
-    of a larger one, components are found by colours in as many rounds as its shortest paths are long, until the rest
-    is small. No step makes pairs of nodes that aren't edges.
+    A chosen node is in a component if some edge into it and some edge out of it have their other ends in that component;
+    if both ends are one node, the two are a component. Sources and sinks are in none.
     """
-    left = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    found, before = [], None
-    while (n := left.count()) > core_edges:
-        if before is None or n < 0.9 * before:
-            both = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
-            rest = left.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-            before = n
-        else:
-            component, rest = _coloured(left)
-            found.append(component)
-            before = None
-        left = written(rest, "edges")
-    kind = left.schema["src"].dataType.simpleString()
-    found.append(left.coalesce(1).mapInArrow(_in_one_task, f"node {kind}, component {kind}"))
-    every = reduce(DataFrame.unionByName, found)
-    counted = every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component") if len(found) > 1 else None
-    return every if counted is None else every.join(counted, "component", "left_semi").select("node", "component")
+    graph, rounds, labels = Elimination(edges), [], None
+    while graph.n:
+        if found := graph.next():
+            rounds.append(found)
+        elif graph.n:
+            component, rest = _coloured(graph.edges)
+            labels = component if labels is None else labels.unionByName(component)
+            graph.go_on(rest)
+    if labels is None:
+        labels = graph.edges.select(F.col("src").alias("node"), F.col("src").alias("label"))
+    for found in reversed(rounds):
+        into = found.into_chosen.select(F.col("src").alias("node"), F.col("dst").alias("chosen"))
+        out = found.out_of_chosen.select(F.col("dst").alias("node"), F.col("src").alias("chosen"))
+        into, out = (x.join(labels, "node", "left").select("chosen", F.coalesce("label", "node").alias("label")).distinct() for x in (into, out))
+        joined = into.join(out, ["chosen", "label"])
+        labels = written(labels.unionByName(joined.select(F.col("chosen").alias("node"), "label")).unionByName(joined.select(F.col("label").alias("node"), "label")).distinct(), "labels")
+    named = labels.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return labels.join(named, "label").select("node", "component")
+
+
+def _united(masks: DataFrame) -> DataFrame:
+    return masks.groupBy("node").agg(*[F.bit_or(c).alias(c) for c in masks.columns if c != "node"])
+
+
+def _carried(edges: DataFrame, masks: DataFrame) -> DataFrame:
+    """The masks of the edges' dst, at src."""
+    return edges.select(F.col("src").alias("to"), F.col("dst").alias("node")).join(masks, "node").drop("node").withColumnRenamed("to", "node")
+
+
+def propagate_masks(masks: DataFrame, edges: DataFrame) -> DataFrame:
+    """masks (node, and longs whose bits are the members of a set) united, at each node, with those of all nodes that it
+    reaches along edges (src, dst). Nodes without bits have no row."""
+    columns = [c for c in masks.columns if c != "node"]
+    masks, graph, rounds = written(_united(masks), "masks"), Elimination(edges), []
+    while found := graph.next():
+        placed = masks.join(found.kinds, "node", "left")
+        here = placed.where("is is not null").drop("is")
+        own = written(_united(here.unionByName(_carried(found.to_sinks, here))).join(found.kinds, "node"), "masks")
+        rounds.append((found, own, placed.where("is is null").drop("is")))
+        masks = written(_united(own.where(F.col("is") == REST).drop("is").unionByName(_carried(found.into_chosen, own.drop("is")))), "masks")
+    grown = graph.n > 0
+    while grown:  # over what is left, as long as its shortest paths are
+        more = written(_united(masks.unionByName(_carried(graph.edges, masks))), "masks")
+        before = masks.select("node", *[F.col(c).alias(f"was_{c}") for c in columns])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in columns])
+        grown, masks = not more.join(before, "node", "left").where(~same).isEmpty(), more
+    for found, own, apart in reversed(rounds):
+        # the chosen from what they lead to, then sinks, which have their own, then sources
+        of = lambda kind, own=own: own.where(F.col("is") == kind).drop("is")
+        chosen = _united(of(CHOSEN).unionByName(_carried(found.out_of_chosen, masks)))
+        masks = written(masks.unionByName(chosen).unionByName(of(SINK)), "masks")
+        sources = _united(of(SOURCE).unionByName(_carried(found.from_sources, masks)))
+        masks = written(masks.unionByName(sources).unionByName(apart), "masks")
+    return masks

@@ -207,6 +207,20 @@ def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return function_effects(*_effect_facts(spark, sf_dir)).select(F.expr("bigint(substring(qualname, -12))").alias("node"), "effect")
 
 
+@_query("function_effects_chain", """
+WITH top AS (SELECT 'e' || o_custkey % 40 AS effect, max(o_orderkey) AS last FROM orders WHERE o_custkey % 40 < 5 GROUP BY 1)
+SELECT o_orderkey AS node, effect FROM orders JOIN top ON o_orderkey <= last""")
+def _effects_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chain of calls through all orders, in the order of their keys."""
+    facts, effects = _effect_facts(spark, sf_dir)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    name = lambda c: F.format_string("m.compute_%012d", c)
+    last = F.broadcast(orders.agg(F.max("o_orderkey").alias("last")))
+    chain = orders.join(last, F.col("o_orderkey") < F.col("last")).select(name("o_orderkey").alias("caller"), name(F.col("o_orderkey") + 1).alias("callee"))
+    found = function_effects(Facts(call_edges=chain, external_calls=facts.external_calls), effects)
+    return found.select(F.expr("bigint(substring(qualname, -12))").alias("node"), "effect")
+
+
 @_query("pure_function_violation", f"{_EFFECTS} SELECT node, CAST(count(*) AS DOUBLE) AS measure FROM r WHERE node % 3 <> 0 GROUP BY node")
 def _pure(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, effects = _effect_facts(spark, sf_dir)

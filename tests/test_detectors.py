@@ -248,24 +248,6 @@ def test_graph(spark):
     assert graph.reachable(edges).count() == 13
 
 
-def test_strong_components_of_long_cycles(spark):
-    """A cycle of thousands in one task; the same components, by brute force, in one task and by colours."""
-    ring = [(i, (i + 1) % 3000) for i in range(3000)] + [(3000 + i, 3001 + i) for i in range(500)] + [(5, 3000)]
-    found = graph.strong_components(spark.createDataFrame(ring, "src long, dst long")).collect()
-    assert len(found) == 3000 and {r.component for r in found} == {0}
-    random.seed(3)
-    pairs = list({(random.randrange(20), random.randrange(20)) for _ in range(28)})
-    reach = set(pairs)
-    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
-        reach |= more
-    of = {x: [y for y in range(20) if y == x or (x, y) in reach and (y, x) in reach] for x in range(20)}
-    want = {(x, min(ys)) for x, ys in of.items() if len(ys) > 1}
-    edges = spark.createDataFrame(pairs, "src long, dst long")
-    for core in (1000, 0):
-        assert {(r.node, r.component) for r in graph.strong_components(edges, core).collect()} == want and want
-    assert graph.strong_components(edges.limit(0)).count() == 0
-
-
 def test_shared_folder():
     """The setting, what setCheckpointDir was given, a folder of the session's own in local mode; else an error."""
     code = """
