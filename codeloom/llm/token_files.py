@@ -33,7 +33,7 @@ from .common import own_path, shard_count, written
 #: Tokens of a sequence, sequences of a batch, tokens after which a file ends (at the end of a document).
 LENGTH, BATCH, FILE_TOKENS = 1024, 256, 4 << 20
 #: Bytes of text that a task encodes.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 #: Fixed value of the format: the magic that closes a file.
 MAGIC = b"ARROW1"
 
@@ -48,7 +48,7 @@ class Encoder:
     """
 
     #: Pieces that are remembered, before those not met since are forgotten; pieces that are encoded at once.
-    BOUND, LINES = 600_000, 50_000
+    BOUND, LINES = 200_000, 50_000
     CUT = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
     #: No sign, or white space at an end (all of it that any version of Unicode knows).
     LOOSE = r"^$|^[\s\pZ\x00-\x1f\x{85}\x{180e}]|[\s\pZ\x00-\x1f\x{85}\x{180e}]$"
