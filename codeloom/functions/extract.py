@@ -17,13 +17,13 @@ FACTS = {
     "functions": {
         "fn": "int", "name": "string", "line": "int", "end_line": "int", "parent": "string", "cls": "int", "class_name": "string", "owner": "string",
         "params": "array<struct<name:string,line:int,annotation:string>>", "n_defaults": "int", "varargs": "string", "kwargs": "string", "doc": "string",
-        "body_lines": "int", "body_stmts": "int", "signature": "string", "complexity": "int", "isinstance_calls": "int", "decorators": "array<string>",
+        "body_lines": "int", "body_stmts": "int", "own_stmts": "int", "signature": "string", "complexity": "int", "isinstance_calls": "int", "decorators": "array<string>",
         "forward": "struct<pos:array<string>,kw:array<string>>", "self_calls": "array<string>", "kinds": "array<struct<name:string,kind:string,line:int>>",
         "reads": "array<struct<name:string,as_arg:boolean>>", "returns": "string",
     },
     "classes": {
         "cls": "int", "name": "string", "line": "int", "end_line": "int", "doc": "string", "bases": "array<string>", "decorators": "array<string>",
-        "empty": "boolean", "methods": "array<string>", "top": "boolean", "attributes": "array<string>",
+        "plain_decorators": "array<string>", "generic_bases": "array<string>", "empty": "boolean", "methods": "array<string>", "top": "boolean", "attributes": "array<string>",
     },
     "targets": {"name": "string", "line": "int"},
     "comments": {"line": "int", "col": "int", "text": "string", "next": "string"},
@@ -74,12 +74,24 @@ def last_name(node: ast.AST | None) -> str | None:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
 
 
+def plain_name(node: ast.AST) -> str:
+    """The last part of a name; "?" of anything else, calls and subscripts too."""
+    return "?" if isinstance(node, ast.Call) else last_name(node) or "?"
+
+
 def annotated_class(node: ast.AST | None) -> str | None:
     while isinstance(node, ast.Subscript):
         node = node.slice
     return last_name(node) if isinstance(node, (ast.Name, ast.Attribute)) else None
 
 
+def bare(node: ast.AST) -> ast.AST:
+    """A type without its arguments."""
+    while isinstance(node, ast.Subscript):
+        node = node.value
+    return node
+
+
 def dotted(node: ast.AST) -> list[str] | None:
     parts: list[str] = []
     while isinstance(node, ast.Attribute):
@@ -105,6 +117,12 @@ def _body(fn) -> list[ast.stmt]:
     return fn.body[1:] if skip else fn.body
 
 
+def _own(fn) -> list[ast.stmt]:
+    """Statements after a leading constant of any kind, be it a docstring or an ellipsis."""
+    first = fn.body[0]
+    return fn.body[1:] if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) else fn.body
+
+
 def signature(fn, body: list[ast.stmt]) -> str:
     """The shape of a body: node types with child counts and operators, bound names replaced by their order of binding."""
     slots = {}
@@ -181,12 +199,13 @@ class _Function:
         self.params = [*args.posonlyargs, *args.args, *args.kwonlyargs]
 
     body = cached_property(lambda self: _body(self.node))
+    own_body = cached_property(lambda self: _own(self.node))
     inside = cached_property(lambda self: list(ast.walk(self.node)))
     calls = cached_property(lambda self: [n for n in self.inside if isinstance(n, ast.Call)])
     named = cached_property(lambda self: [p for p in self.params if p.arg not in ("self", "cls")])
 
     def forward(self) -> dict | None:
-        call = self.body[0].value if len(self.body) == 1 and isinstance(self.body[0], (ast.Return, ast.Expr)) else None
+        call = self.own_body[0].value if len(self.own_body) == 1 and isinstance(self.own_body[0], (ast.Return, ast.Expr)) else None
         call = call.value if isinstance(call, ast.Await) else call
         if not isinstance(call, ast.Call):
             return None
@@ -217,6 +236,7 @@ _FIELDS = {
     "doc": lambda f: ast.get_docstring(f.node),
     "body_lines": lambda f: f.node.body[-1].end_lineno - f.node.body[0].lineno + 1,
     "body_stmts": lambda f: sum(isinstance(n, ast.stmt) for s in f.body for n in ast.walk(s)),
+    "own_stmts": lambda f: sum(isinstance(n, ast.stmt) for s in f.own_body for n in ast.walk(s)),
     "signature": lambda f: signature(f.node, f.body),
     "complexity": lambda f: 1 + sum(map(_branches, f.inside)),
     "isinstance_calls": lambda f: sum(isinstance(c.func, ast.Name) and c.func.id == "isinstance" for c in f.calls),
@@ -279,7 +299,7 @@ def extract(path: str, source: str | None, wanted: dict[str, set[str]] | None =
             if "classes" in wanted:
                 methods = [m.name for m in node.body if isinstance(m, _FUNCTION)]
                 empty = all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str) for s in node.body)
-                row = {"cls": inner[0], "name": node.name, "line": node.lineno, "end_line": node.end_lineno, "doc": ast.get_docstring(node), "bases": [last_name(b) or "?" for b in node.bases], "decorators": [last_name(d) or "?" for d in node.decorator_list], "empty": empty, "methods": methods, "top": classes[-1], "attributes": attributes(node)}
+                row = {"cls": inner[0], "name": node.name, "line": node.lineno, "end_line": node.end_lineno, "doc": ast.get_docstring(node), "bases": [plain_name(b) for b in node.bases], "generic_bases": [plain_name(bare(b)) for b in node.bases], "decorators": [last_name(d) or "?" for d in node.decorator_list], "plain_decorators": [plain_name(d) for d in node.decorator_list], "empty": empty, "methods": methods, "top": classes[-1], "attributes": attributes(node)}
                 out["classes"].append({k: v for k, v in row.items() if k in wanted["classes"]})
         elif isinstance(node, _FUNCTION):
             kind = "class" if isinstance(parent, ast.ClassDef) else "module" if isinstance(parent, ast.Module) else "other"

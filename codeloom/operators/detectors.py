@@ -133,13 +133,13 @@ def config_explosion(facts: Facts, total_threshold: int = 7, optional_threshold:
     return _at(f.select("path", "line", "end_line", F.concat_ws(" ", kind, "name", F.lit("has"), text).alias("evidence"), n.alias("measure")))
 
 
-@detector("5", "medium", "functions(name,parent,cls,body_stmts) classes(cls,line,end_line,bases,decorators,empty)")
+@detector("5", "medium", "functions(name,parent,cls,own_stmts) classes(cls,line,end_line,bases,decorators,empty)")
 def shallow_class(facts: Facts, body_per_method: float = 4) -> DataFrame:
     """Shallow class."""
     free = F.exists("decorators", lambda d: d.isin(*DATA_DECORATORS)) | F.exists("bases", lambda b: b.isin(*SHALLOW_BASES))
     classes = facts.classes.where(~free)
     alias = (F.size("bases") == 1) & F.col("empty")
-    per = _class_methods(facts).where(public()).groupBy("path", "cls").agg(F.count("*").alias("n"), F.avg("body_stmts").alias("measure")).where((F.col("n") >= 2) & (F.col("measure") < body_per_method))
+    per = _class_methods(facts).where(public()).groupBy("path", "cls").agg(F.count("*").alias("n"), F.avg("own_stmts").alias("measure")).where((F.col("n") >= 2) & (F.col("measure") < body_per_method))
     empty = classes.where(alias).select("path", "line", "end_line", F.concat(F.lit("empty body, adds nothing to "), F.col("bases")[0]).alias("evidence"), F.lit(None).cast("double").alias("measure"))
     thin = classes.where(~alias).join(per, ["path", "cls"]).select("path", "line", "end_line", F.concat(F.col("n"), F.lit(" public methods of few statements")).alias("evidence"), "measure")
     return _at(empty.unionByName(thin))
@@ -166,28 +166,30 @@ def comment_repeats_code(facts: Facts, threshold: float = 0.6) -> DataFrame:
     return _at(c.where(F.col("measure") >= threshold).select("path", "line", F.col("line").alias("end_line"), F.col("text").alias("evidence"), "measure"))
 
 
-@detector("8", "medium", "functions(name,line,end_line,parent,params,varargs,kwargs,forward)")
+@detector("8", "medium", "functions(name,line,end_line,parent,params,forward)")
 def pass_through_method(facts: Facts) -> DataFrame:
     """Pass-through method."""
+    # packed arguments count as forwarded by their usual names, *args and **kwargs, whatever the parameters are
     names = F.transform("params", lambda p: p["name"])
-    star, stars = F.concat(F.lit("*"), "varargs"), F.concat(F.lit("**"), "kwargs")
-    pos = F.forall(F.transform("forward.pos", lambda a, i: F.coalesce(F.get(names, i) == a, F.lit(False)) | F.coalesce(star == a, F.lit(False))), lambda x: x)
-    kw = F.forall("forward.kw", lambda a: F.array_contains(names, a) | F.coalesce(stars == a, F.lit(False)))
+    pos = F.forall(F.transform("forward.pos", lambda a, i: F.coalesce(F.get(names, i) == a, F.lit(False)) | (a == "*args")), lambda x: x)
+    kw = F.forall("forward.kw", lambda a: F.array_contains(names, a) | (a == "**kwargs"))
     some = (F.size("params") > 0) | (F.size("forward.pos") > 0) | (F.size("forward.kw") > 0)
     f = _class_methods(facts).where(F.col("forward").isNotNull() & ~dunder()).where(pos & kw & some)
     return _at(f.select("path", "line", "end_line", F.concat("name", F.lit(" only forwards its parameters")).alias("evidence")))
 
 
-@detector("10", "low", "functions(name,line,end_line,parent,cls,body_stmts,self_calls)")
+@detector("10", "low", "functions(name,line,end_line,parent,cls,own_stmts,self_calls)")
 def conjoined_methods(facts: Facts, trivial: int = 3, fanout: int = 5) -> DataFrame:
     """Conjoined methods."""
-    m = _class_methods(facts)
+    # of definitions of one name in a class, such as a property's, the last counts
+    last = _class_methods(facts).groupBy("path", "cls", "name").agg(F.max_by(F.struct("line", "end_line", "own_stmts", "self_calls"), "place").alias("m"))
+    m = last.select("path", "cls", "name", "m.*")
     uses = m.select("path", "cls", F.col("name").alias("caller"), F.explode("self_calls").alias("name")).where("caller <> name").distinct()
     single = uses.groupBy("path", "cls", "name").agg(F.count("*").alias("n"), F.min("caller").alias("caller")).where("n = 1")
-    private = m.where(F.col("name").startswith("_") & ~dunder()).select("path", "cls", "name", "line", "end_line", "body_stmts").join(single, ["path", "cls", "name"])
+    private = m.where(F.col("name").startswith("_")).drop("self_calls").join(single, ["path", "cls", "name"])
     busy = private.groupBy("path", "cls", "caller").agg(F.count("*").alias("k")).where(F.col("k") >= fanout)
-    found = private.where(F.col("body_stmts") >= trivial).join(busy, ["path", "cls", "caller"], "left_anti")
-    return _at(found.select("path", "line", "end_line", F.concat_ws(" ", "name", F.lit("is called by"), "caller", F.lit("only")).alias("evidence"), F.col("body_stmts").alias("measure")))
+    found = private.where(~dunder() & (F.col("own_stmts") >= trivial)).join(busy, ["path", "cls", "caller"], "left_anti")
+    return _at(found.select("path", "line", "end_line", F.concat_ws(" ", "name", F.lit("is called by"), "caller", F.lit("only")).alias("evidence"), F.col("own_stmts").alias("measure")))
 
 
 @detector("10", "low", "functions(name,line,end_line,isinstance_calls,decorators)")
@@ -217,18 +219,18 @@ def impl_leaks_into_interface(facts: Facts) -> DataFrame:
     return _at(c.unionByName(f).withColumn("evidence", F.concat_ws("; ", phrase, private)).where("doc is not null and evidence <> ''").drop("doc"))
 
 
-@detector("8", "low", "functions(fn,name,line,end_line,params,kwargs,body_stmts,reads)")
+@detector("8", "low", "functions(fn,name,line,end_line,params,kwargs,own_stmts,reads)")
 def forwarded_parameter(facts: Facts, least: int = 3, most_stmts: int = 6) -> DataFrame:
     """Parameter is only forwarded."""
-    f = facts.functions.where(~dunder() & F.col("kwargs").isNull() & (F.size("params") >= least) & (F.col("body_stmts") <= most_stmts))
+    f = facts.functions.where(~dunder() & F.col("kwargs").isNull() & (F.size("params") >= least) & (F.col("own_stmts") <= most_stmts))
     reads = f.select("path", "fn", "line", "end_line", F.explode("reads").alias("r")).groupBy("path", "fn", "line", "end_line", "r.name").agg(F.count("*").alias("n"), F.bool_and("r.as_arg").alias("arg"))
     return _at(reads.where("n = 1 and arg").select("path", "line", "end_line", F.concat("name", F.lit(" is only passed on")).alias("evidence")))
 
 
-@detector("6", "low", "classes(cls,line,end_line,bases,decorators,methods)")
+@detector("6", "low", "classes(cls,line,end_line,bases,plain_decorators,methods)")
 def required_call_ordering(facts: Facts) -> DataFrame:
     """Paired methods without a context manager."""
-    free = F.exists("decorators", lambda d: d.isin(*ORDER_DECORATORS)) | F.exists("bases", lambda b: b.isin(*ORDER_BASES))
+    free = F.exists("plain_decorators", lambda d: d.isin(*ORDER_DECORATORS)) | F.exists("bases", lambda b: b.isin(*ORDER_BASES))
     managed = F.array_contains("methods", "__enter__") & F.array_contains("methods", "__exit__")
     c = facts.classes.where(~free & ~managed)
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ORDER_PAIRS])
@@ -362,11 +364,11 @@ def boundary_violation(facts: Facts, layers: dict[str, list[str]] | None = None,
     return i.where((F.col("layer") != F.col("to")) & ~ok).select(F.col("path").alias("file"), "line", F.concat_ws(" ", "layer", F.lit("imports"), "to").alias("evidence"))
 
 
-@detector("5", "low", "imports classes(name,line,end_line,bases)", project=True)
+@detector("5", "low", "imports classes(name,line,end_line,generic_bases)", project=True)
 def unstable_interface(facts: Facts, threshold: int = 10) -> DataFrame:
     """Concrete class that many files import."""
     users = facts.imports.groupBy("name").agg(F.count_distinct("path").alias("measure")).where(F.col("measure") >= threshold)
-    c = facts.classes.where(~F.exists("bases", lambda b: (b == "Protocol") | b.endswith("ABC"))).join(users, "name")
+    c = facts.classes.where(~F.exists("generic_bases", lambda b: (b == "Protocol") | b.endswith("ABC"))).join(users, "name")
     return _at(c.select("path", "line", "end_line", F.concat_ws(" ", "name", F.lit("is imported by"), "measure", F.lit("files")).alias("evidence"), "measure"))
 
 
@@ -382,10 +384,10 @@ def _effect_masks(facts: Facts, effects: DataFrame) -> tuple[DataFrame, list[str
     rest = calls.join(effects, "symbol", "left_anti").where(F.size(parts) > 2).select("caller", F.array_join(F.slice(parts, -2, 2), ".").alias("symbol"))
     direct = exact.unionByName(rest.join(effects, "symbol").select("caller", "category"))
     categories = sorted(r.category for r in effects.select("category").distinct().collect())  # of the dictionary, not of the code
-    spark = facts.call_edges.sparkSession
-    numbered = F.broadcast(spark.createDataFrame(list(enumerate(categories)), "nth int, category string"))
-    masks = [F.when((F.col("nth") / MASK_BITS).cast("int") == m, F.shiftleft(F.lit(1).cast("long"), F.col("nth") % MASK_BITS)).otherwise(F.lit(0).cast("long")).alias(f"m{m}") for m in range(len(categories) // MASK_BITS + 1)]
-    own = direct.distinct().join(numbered, "category").select(F.col("caller").alias("node"), *masks)
+    names = [f"m{m}" for m in range(len(categories) // MASK_BITS + 1)]
+    bits = [(c, *(1 << nth % MASK_BITS if nth // MASK_BITS == m else 0 for m in range(len(names)))) for nth, c in enumerate(categories)]
+    numbered = facts.call_edges.sparkSession.createDataFrame(bits, f"category string, {', '.join(f'{m} long' for m in names)}")
+    own = direct.distinct().join(F.broadcast(numbered), "category").select(F.col("caller").alias("node"), *names)
     return graph.propagate_masks(own, facts.call_edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))), categories
 
 

@@ -93,11 +93,12 @@ class Facts:
 
     @cached_property
     def import_targets(self) -> DataFrame:
-        """Imports that lead to a file of the code: the module itself first, else the module named by its last part."""
+        """Imports that lead to a file of the code: that of the module itself; else, of a name from a module, that of the
+        submodule which the local name tells; else, of a whole module, that of a module which the local name tells."""
         modules = self.modules
         whole = modules.select(F.col("module").alias("m1"), F.col("file").alias("f1"))
         part = modules.select(F.col("module").alias("m2"), F.col("file").alias("f2"))
-        longer = F.when(F.col("is_from"), F.concat_ws(".", F.when(F.col("i.x_module") != "", F.col("i.x_module")), "i.orig"))
+        longer = F.when(~F.col("is_from"), F.col("i.name")).when(F.col("i.x_module") != "", F.concat_ws(".", "i.x_module", "i.name"))
         found = self.imports.alias("i").join(whole, F.col("i.x_module") == F.col("m1"), "left").join(part, longer == F.col("m2"), "left")
         return found.select("i.*", F.coalesce("f1", "f2").alias("target")).where("target is not null")
 

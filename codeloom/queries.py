@@ -64,10 +64,14 @@ _of_parts("wide_interface", f"""concat('class A:\\n    b = 1\\n', {_lines("p_siz
           "SELECT p_partkey, CAST(1 AS INTEGER) AS line, CAST(p_size % 20 AS DOUBLE) AS measure FROM part WHERE p_size % 20 >= 12")
 _of_parts("comment_repeats_code", f"""concat('# ', {_lines("4", "concat('word', i)", " ")}, '\\n', {_lines("p_size % 5", "concat('word', i)", " + ")}, IF(p_size % 5 between 1 and 3, ' + ', ''), {_lines("4 - p_size % 5", "concat('other', i)", " + ")}, '\\n')""",
           "SELECT p_partkey, CAST(1 AS INTEGER) AS line, round((p_size % 5) / CAST(8 - p_size % 5 AS DOUBLE), 6) AS measure FROM part WHERE (p_size % 5) / CAST(8 - p_size % 5 AS DOUBLE) >= 0.6")
-_of_parts("pass_through_method", f"""concat('class A:\\n    def m(self', {_lines("p_size % 4", "concat(', p', i)", "")}, '):\\n        return self.b.m(', {_lines("p_size % 4", "concat('p', IF(p_partkey % 2 = 0, i, p_size % 4 + 1 - i))", ", ")}, ')\\n')""",
-          "SELECT p_partkey, CAST(2 AS INTEGER) AS line FROM part WHERE p_size % 4 > 0 AND (p_partkey % 2 = 0 OR p_size % 4 = 1)", measure=False)
-_of_parts("conjoined_methods", f"""concat('class A:\\n    def one(self):\\n        return self._help()\\n    def two(self):\\n        return ', IF(p_partkey % 2 = 0, '1', 'self._help()'), '\\n    def _help(self):\\n', {_lines("1 + p_size % 6", "concat('        a', i, ' = 1')")}, '\\n')""",
-          "SELECT p_partkey, CAST(6 AS INTEGER) AS line, CAST(1 + p_size % 6 AS DOUBLE) AS measure FROM part WHERE p_partkey % 2 = 0 AND 1 + p_size % 6 >= 3")
+_of_parts("pass_through_method", f"""concat('class A:\\n    def m(self', {_lines("p_size % 4", "concat(', p', i)", "")}, '):\\n        return self.b.m(', {_lines("p_size % 4", "concat('p', IF(p_partkey % 2 = 0, i, p_size % 4 + 1 - i))", ", ")}, ')\\n',
+                                         IF(p_partkey % 3 = 0, '    def n(self, *a):\\n        return self.b.n(*a)\\n    def o(self, *rest):\\n        ...\\n        return self.b.o(*args)\\n', ''))""",
+          """SELECT p_partkey, CAST(2 AS INTEGER) AS line FROM part WHERE p_size % 4 > 0 AND (p_partkey % 2 = 0 OR p_size % 4 = 1)
+          UNION ALL SELECT p_partkey, CAST(6 AS INTEGER) FROM part WHERE p_partkey % 3 = 0""", measure=False)
+_of_parts("conjoined_methods", f"""concat('class A:\\n    def one(self):\\n        return self._help()\\n    def two(self):\\n        return ', IF(p_partkey % 2 = 0, '1', 'self._help()'), '\\n    def _help(self):\\n', IF(p_partkey % 3 = 0, '        ...\\n', ''), {_lines("1 + p_size % 6", "concat('        a', i, ' = 1')")}, '\\n',
+                                       IF(p_partkey % 10 = 0, '    def _help(self):\\n        a = 1\\n        b = 2\\n        c = 3\\n', ''))""",
+          """SELECT p_partkey, CAST(IF(p_partkey % 10 = 0, 8 + IF(p_partkey % 3 = 0, 1, 0) + p_size % 6, 6) AS INTEGER) AS line, CAST(IF(p_partkey % 10 = 0, 3, 1 + p_size % 6) AS DOUBLE) AS measure
+          FROM part WHERE p_partkey % 2 = 0 AND (p_partkey % 10 = 0 OR 1 + p_size % 6 >= 3)""")
 _of_parts("special_general_mixture", f"""concat(element_at(array('', '@singledispatch\\n', '@functools.singledispatch\\n', '@functools.wraps(x)\\n'), int(p_partkey % 4 + 1)), 'def ', IF(p_partkey % 3 = 0, 'render', 'apply'), '(v):\\n    a = 0\\n', {_lines("p_size % 5", "concat('    a += isinstance(v, int)')")}, '\\n')""",
           "SELECT p_partkey, CAST(IF(p_partkey % 4 = 3, 2, 1) AS INTEGER) AS line, CAST(p_size % 5 AS DOUBLE) AS measure FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 IN (0, 3) AND p_size % 5 >= 2")
 _of_parts("repurposed_variable", "concat('def f():\\n    a = []\\n    a = None\\n    a = ', element_at(array('list()', '{}', '1', 'g()'), int(p_partkey % 4 + 1)), '\\n')",
@@ -76,8 +80,8 @@ _of_parts("impl_leaks_into_interface", """concat('def f(a):\\n    "', element_at
           "SELECT p_partkey, CAST(1 AS INTEGER) AS line FROM part WHERE p_partkey % 5 IN (1, 2, 3)", measure=False)
 _of_parts("forwarded_parameter", f"""concat('def f(', {_lines("p_size % 5", "concat('p', i)", ", ")}, '):\\n', {_lines("p_size % 5", "concat('    a = p', i, ' + p', i)")}, '\\n    return g(', IF(p_size % 5 > 0 AND p_partkey % 2 = 0, 'p1', '0'), ')\\ndef h(a, b, c):\\n    d = b + c\\n    return g(a', IF(p_partkey % 3 = 0, ' + 1', ''), ', d)\\n')""",
           "SELECT p_partkey, CAST(p_size % 5 + IF(p_size % 5 = 0, 4, 3) AS INTEGER) AS line FROM part WHERE p_partkey % 3 <> 0", measure=False)
-_of_parts("required_call_ordering", "concat('class A:\\n    def start_x(self): pass\\n    def ', element_at(array('stop_x', 'stop_y', 'stop'), int(p_partkey % 3 + 1)), '(self): pass\\n', IF(p_partkey % 2 = 0, '    def __enter__(self): pass\\n    def __exit__(self): pass\\n', ''))",
-          "SELECT p_partkey, CAST(1 AS INTEGER) AS line FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 1", measure=False)
+_of_parts("required_call_ordering", "concat(element_at(array('', '@dataclass(frozen=True)\\n', '@dataclass\\n'), int(p_size % 3 + 1)), 'class A:\\n    def start_x(self): pass\\n    def ', element_at(array('stop_x', 'stop_y', 'stop'), int(p_partkey % 3 + 1)), '(self): pass\\n', IF(p_partkey % 2 = 0, '    def __enter__(self): pass\\n    def __exit__(self): pass\\n', ''))",
+          "SELECT p_partkey, CAST(IF(p_size % 3 = 0, 1, 2) AS INTEGER) AS line FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 1 AND p_size % 3 <> 2", measure=False)
 _of_parts("duplicate_code", f"""concat('def f(x):\\n', {_lines("1 + p_size % 6", "concat('    a', i, ' = x + ', i)")}, '\\ndef g(y):\\n', {_lines("1 + p_size % 6", "concat('    b', i, ' = y ', IF(p_partkey % 2 = 0, '+', '*'), ' ', 2 * i)")}, '\\n')""",
           "SELECT p_partkey, CAST(1 AS INTEGER) AS line, CAST(2 AS DOUBLE) AS measure FROM part WHERE p_partkey % 2 = 0 AND 1 + p_size % 6 >= 4")
 _of_parts("cyclomatic_complexity", f"""concat('def f(x):\\n    y = 0\\n', {_lines("p_size % 30", "concat('    if x > ', i, ':\\n        y = 1')")}, '\\n')""",
@@ -180,7 +184,7 @@ def _unstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     importer = F.when(F.col("l_partkey") % 2 == 0, F.col("l_suppkey")).otherwise(F.col("l_suppkey") % 10)
     imports = _table(spark, sf_dir, "lineitem").select(importer.cast("string").alias("path"), F.col("l_partkey").cast("string").alias("name"))
     bases = F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit("Protocol"))).otherwise(F.array(F.lit("Base")))
-    classes = _table(spark, sf_dir, "part").select(F.lit("c.py").alias("path"), F.col("p_partkey").cast("string").alias("name"), bases.alias("bases"), F.col("p_partkey").cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"))
+    classes = _table(spark, sf_dir, "part").select(F.lit("c.py").alias("path"), F.col("p_partkey").cast("string").alias("name"), bases.alias("generic_bases"), F.col("p_partkey").cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"))
     return DETECTORS["unstable_interface"](Facts(imports=imports, classes=classes)).select(F.col("line").cast("long").alias("l_partkey"), "measure")
 
 
@@ -271,7 +275,7 @@ def _module(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROJECT = f"""
 SELECT concat('src/d', p_size, '/c', p_partkey, '.py') AS path, concat(
     IF(p_partkey % 3 = 0 AND p_size % 13 > 0, concat('import d', p_size, '.u', p_partkey, '_1\\n'), ''),
-    'class C', p_partkey, IF(p_partkey % 2 = 0, 'Reader', ''), '(Base):\\n    def go(self):\\n        return 1\\n',
+    'class C', p_partkey, IF(p_partkey % 2 = 0, 'Reader', ''), IF(p_partkey % 5 = 0, '(Protocol[T])', '(Base)'), ':\\n    def go(self):\\n        return 1\\n',
     IF(p_partkey % 2 = 1, {_lines("12", "concat('def f', i, '(a):\\n    return a')")}, ''), '\\n') AS source FROM part
 UNION ALL SELECT concat('src/d', p_size, '/u', p_partkey, '_', j, '.py'), concat(
     'from d', p_size, '.c', p_partkey, ' import C', p_partkey, IF(p_partkey % 2 = 0, 'Reader', ''), '\\n',
@@ -314,6 +318,8 @@ _of_project("temporal_decomposition", """
 SELECT CAST(p_size AS BIGINT) AS p_partkey, arg_min(CASE WHEN p_partkey % 3 = 0 AND p_size % 13 > 0 THEN 2 ELSE 1 END, 'c' || p_partkey || '.py') AS line, CAST(count(*) AS DOUBLE) AS measure
 FROM part WHERE p_partkey % 2 = 0 GROUP BY p_size HAVING count(*) >= 3""", number=r"/d(\d+)")
 _of_project("boundary_violation", "SELECT p_partkey, CAST(1 AS INTEGER) AS line FROM part, range(1, 13) AS r(j) WHERE j <= p_size % 13", number=r"/u(\d+)_", measure=False, layers={"base": ["src/d*/c*.py"], "use": ["src/d*/u*.py"]}, allowed={"base": ["use"]})
+_of_project("unstable_interface", """
+SELECT p_partkey, CAST(IF(p_partkey % 3 = 0, 2, 1) AS INTEGER) AS line, CAST(p_size % 13 AS DOUBLE) AS measure FROM part WHERE p_size % 13 >= 10 AND p_partkey % 5 <> 0""")
 _of_project("pure_function_violation", """
 SELECT p_partkey, CAST([1, 2, 2, 2, NULL, 2, 3, NULL, NULL][p_partkey % 9 + 1] AS INTEGER) AS line, CAST(IF(p_partkey % 9 = 6, 3, 1) AS DOUBLE) AS measure
 FROM part WHERE p_partkey % 9 NOT IN (4, 7, 8)""", number=r"/e(\d+)", effects=own_effects)

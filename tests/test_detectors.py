@@ -31,7 +31,7 @@ CASES = {
     "shallow_class": ("class A(B): pass", "class A(Exception): pass"),
     "wide_interface": (f"class A:\n{METHODS}", f"class A(TestCase):\n{METHODS}"),
     "comment_repeats_code": ("# count total items\ncount = total_items = total + items", "# why: upstream is slow\nretry(3)"),
-    "pass_through_method": ("class A:\n def f(self, a, *b):\n  return self.x.f(a, *b)", "class A:\n def f(self, a):\n  return self.x.f(a + 1)"),
+    "pass_through_method": ("class A:\n def f(self, a, *args):\n  return self.x.f(a, *args)", "class A:\n def f(self, a):\n  return self.x.f(a + 1)"),
     "conjoined_methods": ("class A:\n def f(self): return self._g()\n def _g(self):\n  a=1\n  b=2\n  return a", "class A:\n def f(self): return self._g()\n def h(self): return self._g()\n def _g(self):\n  a=1\n  b=2\n  return a"),
     "special_general_mixture": ("def apply(x): return isinstance(x, int) or isinstance(x, str)", "def parse(x): return isinstance(x, int) or isinstance(x, str)"),
     "repurposed_variable": ("def f():\n a = []\n a = {}", "def f():\n a = None\n a = {}"),
@@ -236,6 +236,33 @@ def test_project_detectors(spark):
     assert DETECTORS["forbidden_import"](f).count() == DETECTORS["boundary_violation"](f).count() == 0
 
 
+def test_rules_of_odd_shapes(spark):
+    """Calls as decorators, bases with arguments, packed arguments, definitions of one name, a leading ellipsis."""
+    lines = lambda name, text: sorted(r.line for r in DETECTORS[name](facts(spark, {"m.py": text})).collect())
+    pair = "class A:\n    def start(self): pass\n    def stop(self): pass\n"
+    assert [lines("required_call_ordering", x + pair) for x in ("@dataclass(frozen=True)\n", "@dataclass\n", "@a.define\n", "")] == [[2], [], [], [1]]
+    assert lines("pass_through_method", "class A:\n    def m(self, *a): return self.b.m(*a)\n    def o(self, *rest): return self.b.o(*args)\n    def k(self, x, **o):\n        ...\n        return self.b.k(x, **kwargs)\n") == [3, 4]
+    body = "        a = 1\n        b = 2\n        c = 3\n"
+    twice = f"class A:\n    def go(self): self._x\n    @property\n    def _x(self):\n{body}    @_x.setter\n    def _x(self, v):\n        ...\n{body}    def run(self): return self._x()\n"
+    assert lines("conjoined_methods", twice) == [9]
+    calls = "".join(f"        self._m{i}()\n" for i in range(4)) + "        self.__len__()\n"
+    busy = f"class A:\n    def go(self):\n{calls}" + "".join(f"    def _m{i}(self):\n{body}" for i in range(4)) + "    def __len__(self): return 1\n"
+    assert lines("conjoined_methods", busy) == [] and len(lines("conjoined_methods", busy.replace("self.__len__()", "pass"))) == 4
+    short = "class B:\n" + "".join(f"    def {n}(self):\n        ...\n{body}" for n in "mn")
+    assert lines("shallow_class", short) == [1] and lines("shallow_class", short.replace("c = 3", "c = 3\n        d = 4")) == []
+    code_ = {f"u{i}.py": "from c import P, Q\n" for i in range(10)} | {"c.py": "class P(Protocol[T]): pass\nclass Q(Generic[T]): pass\n"}
+    assert [r.line for r in DETECTORS["unstable_interface"](facts(spark, code_)).collect()] == [2]
+
+
+def test_imports_resolve_by_local_names(spark):
+    """A module that isn't there falls back to its bound name; a name from a module to the submodule of the local name."""
+    cycle = lambda files: [r.measure for r in DETECTORS["import_cycle"](facts(spark, files)).collect()]
+    assert cycle({"a/__init__.py": "import b\n", "b.py": "import a.gone\n"}) == [2.0]
+    assert cycle({"a.py": "import b\n", "b.py": "import zz as a\n"}) == [2.0]
+    assert cycle({"p/b.py": "import q\n", "q.py": "from p import b as q2\n"}) == [] and cycle({"p/b.py": "import q\n", "q.py": "from p import x as b\n"}) == [2.0]
+    assert cycle({"a.py": "import b\n", "b.py": "from . import a\n"}) == []
+
+
 def test_pass_through_variable(spark):
     chain = "def f(x):\n    return g(x)\ndef g(y):\n    return h(y)\ndef h(z):\n    return z + 1\n"
     assert [(r.line, r.measure) for r in DETECTORS["pass_through_variable"](facts(spark, {"m.py": chain})).collect()] == [(1, 2.0)]
