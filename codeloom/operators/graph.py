@@ -3,9 +3,10 @@
 Components and sets come from elimination. A node with few ways in and out is taken out of the graph, and each way through
 it becomes an edge, so that what reaches what stays as it is; of neighbours one is taken at a time, by a hash that
 changes with the round. A round takes a part of all such nodes (a third of a chain's), whatever the length of paths, so
-rounds grow with the logarithm of the graph; what was taken out is then settled in the opposite order. Where nothing
-cheap is left (hubs, dense cores), paths are short, and plain rounds do the rest. Every round is a few joins and sums of
-shrinking tables; no task or driver holds a graph.
+rounds grow with the logarithm of the graph; what was taken out is then settled in the opposite order. Graphs of short
+paths need none of that: a few plain rounds, along one edge each, are tried first. Where nothing cheap is left (hubs,
+dense cores), paths are short again, and plain rounds do the rest. Every round is a few joins and sums of shrinking
+tables; no task or driver holds a graph.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ..scratch import written
 FILLS = (1, 2, 4, 8)
 #: A round that leaves more than this share of the edges has stalled.
 STALLED = 0.95
+#: Plain rounds that are tried first.
+PLAIN = 12
 SOURCE, SINK, CHOSEN, REST = range(4)
 
 
@@ -49,7 +52,10 @@ class Round:
     then the chosen, no two of which are neighbours."""
 
     flagged: DataFrame
-    kinds: DataFrame
+
+    @property
+    def kinds(self) -> DataFrame:
+        return self.flagged.select(F.col("src").alias("node"), F.col("src_is").alias("is")).union(self.flagged.select("dst", "dst_is")).distinct()
 
     @property
     def from_sources(self) -> DataFrame:
@@ -86,54 +92,58 @@ def _round(edges: DataFrame, nth: int, fill: int) -> Round:
     n = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.bool_and("least").alias("least"))
     ways = F.col("out").cast("double") * F.col("into")
     kind = F.when(F.col("into") == 0, SOURCE).when(F.col("out") == 0, SINK).when(F.col("least") & (ways <= fill * (F.col("out") + F.col("into"))), CHOSEN).otherwise(REST)
-    kinds = written(n.select("node", kind.alias("is")), "kinds")
+    kinds = n.select("node", kind.alias("is"))
     flagged = edges.join(kinds.toDF("src", "src_is"), "src").join(kinds.toDF("dst", "dst_is"), "dst")
-    return Round(written(flagged.select("src", "dst", "src_is", "dst_is"), "flagged"), kinds)
+    return Round(written(flagged.select("src", "dst", "src_is", "dst_is"), "flagged"))
 
 
 class Elimination:
-    """Rounds of a graph, one at a time, until no edges are left or nothing cheap is."""
+    """Rounds of a graph without loops and repeated edges, one at a time, until no edges are left or nothing cheap is."""
 
     def __init__(self, edges: DataFrame):
-        self.edges = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-        self.n, self.nth, self.fill = self.edges.count(), 0, 0
+        self.edges, self.n, self.nth, self.fill = edges, None, 0, 0
 
     def next(self) -> Round | None:
-        """The next round, or None if it has stalled. Its remaining edges become the graph."""
-        while self.n and self.fill < len(FILLS):
+        """The next round; None if no edges are left (n is 0) or it has stalled. What it leaves becomes the graph."""
+        while self.fill < len(FILLS):
             found = _round(self.edges, self.nth, FILLS[self.fill])
-            left = written(found.left(), "edges")
-            n, self.nth = left.count(), self.nth + 1
-            if n > STALLED * self.n:
+            n, before, self.nth = found.flagged.count(), self.n, self.nth + 1
+            self.n = n
+            if n == 0:
+                return None
+            if before is not None and n > STALLED * before:
                 self.fill += 1
-            if n <= self.n:
-                self.edges, self.n = left, n
-                return found
+            self.edges = found.left()
+            return found
+        self.edges = written(self.edges, "edges")
+        self.n = self.edges.count()
         return None
 
-    def go_on(self, edges: DataFrame) -> None:
-        """With the edges that plain rounds have left."""
-        self.edges = written(edges, "edges")
-        self.n, self.fill = self.edges.count(), 0
 
-
-def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Some strong components of a graph (node, label), and the edges that may lie in others. A node's colour is the least
-    node that reaches it; the nodes of a colour that reach the node it is named after are a component."""
+def _coloured(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Some strong components of a graph (node, label), and the edges that may lie in others; None if that takes more
+    than `most` rounds one way. A node's colour is the least node that reaches it; the nodes of a colour that reach the
+    node it is named after are a component."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    colour = written(nodes.select("node", F.col("node").alias("colour")), "colours")
-    while True:
+    colour, nth, moving = nodes.select("node", F.col("node").alias("colour")), 0, True
+    while moving:
+        if nth == most:
+            return None
         reached = edges.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("least"))
         moved = written(colour.join(reached, "node", "left").select("node", F.least("colour", "least").alias("colour"), (F.col("least") < F.col("colour")).alias("moved")), "colours")
-        colour = moved.select("node", "colour")
-        if moved.where("moved").isEmpty():
-            break
+        colour, nth, moving = moved.select("node", "colour"), nth + 1, not moved.where("moved").isEmpty()
     a, b = (colour.select(F.col("node").alias(x), F.col("colour").alias(f"{x}_colour")) for x in ("src", "dst"))
     inside = written(edges.join(a, "src").join(b, "dst").where("src_colour = dst_colour").select("src", "dst"), "edges")
-    # propagate() carries values from dst to src: a colour goes back from its own node along the edges within it
-    found = propagate(colour.where("node = colour").select("node", F.col("colour").alias("value")), inside)
-    found = written(found.select("node", F.col("value").alias("label")), "found")
-    return found, inside.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
+    # back from each colour's own node, along the edges within it
+    found = [written(colour.where("node = colour").select("node", F.col("colour").alias("label")), "found")]
+    while not found[-1].isEmpty():
+        if len(found) == most:
+            return None
+        step = inside.join(found[-1].toDF("dst", "label"), "dst").select(F.col("src").alias("node"), "label").distinct()
+        found.append(written(step.join(reduce(DataFrame.unionAll, found), ["node", "label"], "left_anti"), "found"))
+    every = reduce(DataFrame.unionAll, found)
+    ends = lambda c: every.select(F.col("node").alias(c))
+    return every, written(inside.join(ends("src"), "src", "left_anti").join(ends("dst"), "dst", "left_anti"), "edges")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -142,22 +152,27 @@ def strong_components(edges: DataFrame) -> DataFrame:
     A chosen node is in a component if some edge into it and some edge out of it have their other ends in that component;
     if both ends are one node, the two are a component. Sources and sinks are in none.
     """
-    graph, rounds, labels = Elimination(edges), [], None
-    while graph.n:
-        if found := graph.next():
-            rounds.append(found)
-        elif graph.n:
-            component, rest = _coloured(graph.edges)
-            labels = component if labels is None else labels.unionByName(component)
-            graph.go_on(rest)
-    if labels is None:
-        labels = graph.edges.select(F.col("src").alias("node"), F.col("src").alias("label"))
+    left = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    both = left.select(F.col("src").alias("node")).intersect(left.select("dst"))
+    left = written(left.join(both.toDF("src"), "src", "left_semi").join(both.toDF("dst"), "dst", "left_semi"), "edges")
+    labels, most = left.select(F.col("src").alias("node"), F.col("src").alias("label")).where("false"), PLAIN
+    rounds: list[Round] = []
+    while not left.isEmpty():
+        coloured = _coloured(left, most)
+        if coloured is None:  # paths are long
+            graph, most = Elimination(left), None
+            while found := graph.next():
+                rounds.append(found)
+            left = graph.edges
+        else:
+            labels, left = written(labels.unionByName(coloured[0]), "labels"), coloured[1]
     for found in reversed(rounds):
         into = found.into_chosen.select(F.col("src").alias("node"), F.col("dst").alias("chosen"))
         out = found.out_of_chosen.select(F.col("dst").alias("node"), F.col("src").alias("chosen"))
         into, out = (x.join(labels, "node", "left").select("chosen", F.coalesce("label", "node").alias("label")).distinct() for x in (into, out))
         joined = into.join(out, ["chosen", "label"])
-        labels = written(labels.unionByName(joined.select(F.col("chosen").alias("node"), "label")).unionByName(joined.select(F.col("label").alias("node"), "label")).distinct(), "labels")
+        ends = joined.select(F.explode(F.array("chosen", "label")).alias("node"), "label")
+        labels = written(labels.unionByName(ends).distinct(), "labels")
     named = labels.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
     return labels.join(named, "label").select("node", "component")
 
@@ -171,28 +186,41 @@ def _carried(edges: DataFrame, masks: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("to"), F.col("dst").alias("node")).join(masks, "node").drop("node").withColumnRenamed("to", "node")
 
 
+def _spread(masks: DataFrame, edges: DataFrame, columns: list[str], most: int | None = None) -> tuple[DataFrame, bool]:
+    """masks after rounds along one edge each, until nothing changes or there were `most`; whether nothing changes."""
+    nth = 0
+    while nth != most:
+        was = masks.select("node", *[F.col(c).alias(f"was_{c}") for c in columns])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in columns])
+        more = _united(masks.unionByName(_carried(edges, masks))).join(was, "node", "left")
+        grown = written(more.select("node", *columns, (~same).alias("grown")), "masks")
+        masks, nth = grown.select("node", *columns), nth + 1
+        if grown.where("grown").isEmpty():
+            return masks, True
+    return masks, False
+
+
 def propagate_masks(masks: DataFrame, edges: DataFrame) -> DataFrame:
     """masks (node, and longs whose bits are the members of a set) united, at each node, with those of all nodes that it
     reaches along edges (src, dst). Nodes without bits have no row."""
     columns = [c for c in masks.columns if c != "node"]
-    masks, graph, rounds = written(_united(masks), "masks"), Elimination(edges), []
+    masks, edges = written(_united(masks), "masks"), written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    masks, settled = _spread(masks, edges, columns, PLAIN)
+    if settled:
+        return masks
+    graph, rounds = Elimination(edges), []
     while found := graph.next():
         placed = masks.join(found.kinds, "node", "left")
         here = placed.where("is is not null").drop("is")
         own = written(_united(here.unionByName(_carried(found.to_sinks, here))).join(found.kinds, "node"), "masks")
         rounds.append((found, own, placed.where("is is null").drop("is")))
         masks = written(_united(own.where(F.col("is") == REST).drop("is").unionByName(_carried(found.into_chosen, own.drop("is")))), "masks")
-    grown = graph.n > 0
-    while grown:  # over what is left, as long as its shortest paths are
-        more = written(_united(masks.unionByName(_carried(graph.edges, masks))), "masks")
-        before = masks.select("node", *[F.col(c).alias(f"was_{c}") for c in columns])
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in columns])
-        grown, masks = not more.join(before, "node", "left").where(~same).isEmpty(), more
+    if graph.n:
+        masks, _ = _spread(masks, graph.edges, columns)
     for found, own, apart in reversed(rounds):
         # the chosen from what they lead to, then sinks, which have their own, then sources
         of = lambda kind, own=own: own.where(F.col("is") == kind).drop("is")
-        chosen = _united(of(CHOSEN).unionByName(_carried(found.out_of_chosen, masks)))
-        masks = written(masks.unionByName(chosen).unionByName(of(SINK)), "masks")
-        sources = _united(of(SOURCE).unionByName(_carried(found.from_sources, masks)))
-        masks = written(masks.unionByName(sources).unionByName(apart), "masks")
+        known = masks.unionByName(_united(of(CHOSEN).unionByName(_carried(found.out_of_chosen, masks)))).unionByName(of(SINK))
+        sources = _united(of(SOURCE).unionByName(_carried(found.from_sources, known)))
+        masks = written(known.unionByName(sources).unionByName(apart), "masks")
     return masks

@@ -45,18 +45,21 @@ def check(spark, pairs):
     assert got == want
 
 
-def test_against_search(spark):
-    """Random graphs of several densities, a hub, a thick cycle, in one table."""
+def test_against_search(spark, monkeypatch):
+    """Elimination from the start, without plain rounds. Random graphs of several densities, a hub, a thick cycle, in one table."""
     rng = random.Random(3)
     parts = [[(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for n, m in ((8, 10), (20, 28), (40, 60), (60, 200))]
     parts.append([(x, 100) for x in range(20)] + [(100, x) for x in range(30, 50)] + [(35, 3), (36, 36), (7, 8)])
     parts.append([(a, b) for layer in range(6) for a in range(4 * layer, 4 * layer + 4) for b in range(4 * layer + 4, 4 * layer + 8)] + [(27, 0)])
+    monkeypatch.setattr(graph, "PLAIN", 0)
     check(spark, [(1000 * n + a, 1000 * n + b) for n, pairs in enumerate(parts) for a, b in pairs])
 
 
-def test_core_of_plain_rounds(spark, monkeypatch):
-    """Nothing may be taken out: colours and plain rounds find the same."""
+def test_plain_rounds(spark, monkeypatch):
+    """Short paths are settled by plain rounds; longer ones too if nothing may be taken out."""
+    check(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 6)])
     monkeypatch.setattr(graph, "FILLS", ())
+    monkeypatch.setattr(graph, "PLAIN", 1)
     check(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 6)])
 
 
