@@ -20,6 +20,7 @@ import os
 import re
 import string
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -47,8 +48,10 @@ class Encoder:
     together, line by line, and what it says is remembered, up to a bound. Other tokenizers get whole texts.
     """
 
-    #: Pieces that are remembered, before those not met since are forgotten; pieces that are encoded at once.
-    BOUND, LINES = 200_000, 50_000
+    #: Pieces that are remembered, before those not met since are forgotten; pieces that are encoded, and bytes of texts
+    #: that are cut, at once.
+    BOUND, LINES = 220_000, 10_000
+    BYTES = 3 << 20
     CUT = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
     #: No sign, or white space at an end (all of it that any version of Unicode knows).
     LOOSE = r"^$|^[\s\pZ\x00-\x1f\x{85}\x{180e}]|[\s\pZ\x00-\x1f\x{85}\x{180e}]$"
@@ -138,11 +141,18 @@ class Encoder:
         first, *rest = self.CUT.split(text)
         return self.whole(first) + b"".join(self.of([p[1:] for p in rest], 1))
 
-    def __call__(self, texts: pa.Array) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, as the bytes of numbers of self.type; none for null."""
         texts = texts.cast(pa.string())
         if not self.cuts:
-            return [self.whole(t) if t else b"" for t in texts.to_pylist()]
+            yield from (self.whole(t) if t else b"" for t in texts.to_pylist())
+            return
+        through = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // self.BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(through)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield from self.some(texts[a:b])
+
+    def some(self, texts: pa.Array) -> list[bytes]:
         split = pc.split_pattern(pc.fill_null(texts, ""), " ")
         ends = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
