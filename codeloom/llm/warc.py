@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import hot_join, own_path, written
 
 ARCHIVE_BYTES = 24 << 20
+#: Bytes that are handed to a decompressor at once.
+PIECE = 64 << 10
 #: Fixed values of the formats: the fields of an ARC header line by version, and the separators after records.
 ARC_FIELDS = {
     b"1": b"URL IP-address Archive-date Content-type Archive-length",
@@ -31,8 +33,10 @@ ARC_FIELDS = {
 }
 ARC_END, WARC_END = "\n", "\r\n\r\n"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: An extension field of revisits: the page id of the response, so that readers need not look its record up.
+#: Extension fields of revisits: the page id of the response, so that readers need not look its record up, and the
+#: length of the payload that isn't stored again.
 REFERS_TO_PAGE = b"X-Refers-To-Page-Id"
+PAYLOAD_LENGTH = b"X-Payload-Length"
 #: Payloads shorter than this are stored again rather than revisited.
 LEAST_REVISIT = 1000
 
@@ -88,38 +92,90 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unpacked(content: bytes) -> bytes:
-    """All members of a gzip file; other content as it is."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(out) or content
-
-
-def arc_records(data: bytes):
-    """(offset, fields by name in lower case, content) of each record of an ARC file."""
-    at, names = 0, [x.lower() for x in ARC_FIELDS[b"1"].split()]
+    """All members of a gzip file, however many; other content as it is. Of a member that is cut short or damaged, what
+    can be read of it."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out, at, view = [], 0, memoryview(content)
+    member = zlib.decompressobj(31)
+    while at < len(content):
+        try:
+            out.append(member.decompress(view[at : at + PIECE]))
+        except zlib.error:
+            break
+        at += min(PIECE, len(content) - at) - len(member.unused_data)
+        if member.eof:
+            if content[at : at + 2] != b"\x1f\x8b":
+                break
+            member = zlib.decompressobj(31)
+    return b"".join(out)
+
+
+def split_http(block: bytes) -> tuple[bytes, bytes]:
+    """A response's header, with the empty line that ends it, and its payload. Lines may end in CRLF or in LF alone."""
+    ends = [(at, at + len(end)) for end in (b"\r\n\r\n", b"\n\n", b"\n\r\n") if (at := block.find(end)) >= 0]
+    cut = min(ends)[1] if ends else len(block)
+    return block[:cut], block[cut:]
+
+
+def _arc_header(line: bytes, names: list[bytes], left: int) -> dict | None:
+    """The fields of a header line of these names, if it is one and what it heads lies within `left` bytes."""
+    values = line.rsplit(b" ", len(names) - 1)  # a URL with spaces in it stays whole
+    fields = dict(zip(names, values))
+    date = fields.get(b"archive-date", b"")
+    sound = len(values) == len(names) and date.isdigit() and len(date) >= 8 and values[-1].isdigit() and int(values[-1]) <= left
+    return fields if sound else None
+
+
+def arc_records(data: bytes, damaged: list | None = None):
+    """(offset, fields by name in lower case, content) of each record of an ARC file. Lines where a header should be and
+    none is, and records longer than the file, are passed over, up to the next line that is a header; `damaged` gets
+    their offsets."""
+    at, names, lost = 0, [x.lower() for x in ARC_FIELDS[b"1"].split()], False
     while at < len(data):
-        end = data.index(b"\n", at)
-        line = data[at:end].rstrip(b"\r")
+        end = data.find(b"\n", at)
+        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r")
         if not line:  # separators
-            at = end + 1
+            at = max(at, end) + 1
             continue
-        if line.startswith(b"filedesc://"):
-            length = int(line.rsplit(b" ", 1)[1])
-            version, described = data[end + 1 : end + 1 + length].split(b"\n")[:2]
-            names = [x.lower() for x in (described or ARC_FIELDS[version.split()[0]]).split()]
-            values = line.split(b" ")
-            values = values if len(values) == len(names) else [values[0], *[b"-"] * (len(names) - 2), values[-1]]
-        else:
-            values = line.rsplit(b" ", len(names) - 1)  # a URL with spaces in it stays whole
-        fields = dict(zip(names, values))
-        length = int(fields[names[-1]])
+        fields, left = None, len(data) - end - 1 if end >= 0 else -1
+        if line.startswith(b"filedesc://") and left >= 0:
+            length = line.rsplit(b" ", 1)[1] if b" " in line else b""
+            if length.isdigit() and int(length) <= left:
+                version, *described = data[end + 1 : end + 1 + int(length)].split(b"\n")[:2]
+                known = ARC_FIELDS.get(version.split()[0] if version.split() else b"")
+                if own := b"".join(described).strip() or known:
+                    names = [x.lower() for x in own.split()]
+                    values = line.split(b" ")
+                    fields = dict(zip(names, values if len(values) == len(names) else [values[0], *[b"-"] * (len(names) - 2), values[-1]]))
+        elif left >= 0:
+            fields = _arc_header(line, names, left)
+        if fields is None:
+            if not lost and damaged is not None:
+                damaged.append(at)
+            lost, at = True, end + 1 if end >= 0 else len(data)
+            continue
+        lost, length = False, int(fields[names[-1]])
         yield at, fields, data[end + 1 : end + 1 + length]
         at = end + 1 + length
 
 
+def damage(spark: SparkSession, path: str) -> DataFrame:
+    """Where the ARC files under path have something other than a whole record: file, at (offset in the unpacked file)."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for file, content in zip(batch["file"].to_pylist(), batch["content"]):
+                at: list[int] = []
+                for _ in arc_records(unpacked(content.as_py()), at):
+                    pass
+                found += [(file, x) for x in at]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([x for _, x in found], pa.int64())], ["file", "at"])
+
+    return files(spark, path).mapInArrow(run, "file string, at long")
+
+
 def _record_id(fields: dict, name: str, at: int) -> str:
     """The same id whenever the record is converted: from the archive's own name and the offset."""
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{at}')}"
@@ -129,13 +185,19 @@ def _archive_name(fields: dict) -> str:
     return fields[b"url"].decode("utf-8", "replace").removeprefix("filedesc://")
 
 
-def _page_id(http: bytes):
-    for line in http.split(b"\r\n"):
-        if line.lower().startswith(b"x-page-id:"):
-            return int(line.split(b":", 1)[1])
+def _number(http: bytes, name: bytes) -> int | None:
+    """The number that a header of this name has."""
+    for line in http.split(b"\n"):
+        key, _, value = line.partition(b":")
+        if key.strip().lower() == name and value.strip().lstrip(b"-").isdigit():
+            return int(value)
     return None
 
 
+def _page_id(http: bytes):
+    return _number(http, b"x-page-id")
+
+
 def _digest_rows(batches):
     """What is needed to choose among equal payloads."""
     for batch in batches:
@@ -146,7 +208,7 @@ def _digest_rows(batches):
                 if fields[b"url"].startswith(b"filedesc://"):
                     name = _archive_name(fields)
                     continue
-                http, _, payload = body.partition(b"\r\n\r\n")
+                http, payload = split_http(body)
                 for k, v in zip(out, (file, at, _record_id(fields, name, at), _page_id(http), hashlib.sha1(payload).digest(), len(payload))):
                     out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in (("file", pa.string()), ("at", pa.int64()), ("id", pa.string()), ("page_id", pa.int64()), ("digest", pa.binary()), ("length", pa.int64()))], list(out))
@@ -175,13 +237,13 @@ def _warc_rows(batches):
                 elif not body.startswith(b"HTTP/"):  # dns: and other lookups
                     out.append(warc_record(b"resource", _record_id(fields, name, at), url, date, fields[b"content-type"], body, [(b"WARC-IP-Address", fields[b"ip-address"])]))
                 else:
-                    http, gap, payload = body.partition(b"\r\n\r\n")
+                    http, payload = split_http(body)
                     digest = b"sha1:" + base64.b32encode(hashlib.sha1(payload).digest())
                     more = [(b"WARC-IP-Address", fields[b"ip-address"]), (b"WARC-Payload-Digest", digest)]
                     if at in of:
                         record, page = of[at]
-                        more += [(b"WARC-Refers-To", b"<%s>" % record.encode()), (b"WARC-Profile", REVISIT_PROFILE), (REFERS_TO_PAGE, b"" if page is None else b"%d" % page)]
-                    out.append(warc_record(b"revisit" if at in of else b"response", _record_id(fields, name, at), url, date, b"application/http; msgtype=response", http + gap if at in of else body, more))
+                        more += [(b"WARC-Refers-To", b"<%s>" % record.encode()), (b"WARC-Profile", REVISIT_PROFILE), (REFERS_TO_PAGE, b"" if page is None else b"%d" % page), (PAYLOAD_LENGTH, b"%d" % len(payload))]
+                    out.append(warc_record(b"revisit" if at in of else b"response", _record_id(fields, name, at), url, date, b"application/http; msgtype=response", http if at in of else body, more))
                 size += len(out[-1])
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
@@ -206,14 +268,20 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT
 
 
 def warc_records(data: bytes):
-    """(headers by name in lower case, block) of each record of a WARC file."""
+    """(headers by name in lower case, block) of each whole record of a WARC file; one that is cut short is left out."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+        if (end := data.find(b"\r\n\r\n", at)) < 0:
+            return
         head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in data[at:end].split(b"\r\n")[1:])}
-        length = int(head[b"content-length"])
-        yield head, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
+        length = head.get(b"content-length", b"")
+        if not length.isdigit():
+            at += 5
+            continue
+        if end + 4 + int(length) > len(data):
+            return
+        yield head, data[end + 4 : end + 4 + int(length)]
+        at = end + 4 + int(length)
 
 
 READ = "id string, type string, uri string, page_id long, payload_bytes long, payload_digest string, of string, refers_to long"
@@ -227,11 +295,12 @@ def _read_rows(batches):
                 kind = head[b"warc-type"]
                 if kind not in (b"response", b"revisit"):
                     continue
-                http, _, payload = block.partition(b"\r\n\r\n")
+                http, payload = split_http(block)
                 digest = base64.b32decode(head[b"warc-payload-digest"].removeprefix(b"sha1:"))
                 if kind == b"response" and hashlib.sha1(payload).digest() != digest:
                     raise ValueError(f"damaged record {head[b'warc-record-id']!r}")
-                length = len(payload) if kind == b"response" else next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                own = head.get(PAYLOAD_LENGTH.lower())
+                length = len(payload) if kind == b"response" else int(own) if own else _number(http, b"content-length")
                 row = (head[b"warc-record-id"].strip(b"<>").decode(), kind.decode(), head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), _page_id(http), length, digest.hex(), head.get(b"warc-refers-to", b"").strip(b"<>").decode() or None, int(page) if (page := head.get(REFERS_TO_PAGE.lower())) else None)
                 for k, v in zip(out, row):
                     out[k].append(v)

@@ -217,7 +217,37 @@ def test_arc_versions():
         data = warc.arc_record(version, b"filedesc://a.arc", b"0.0.0.0", b"20000101000000", b"text/plain", block, 0, b"a") + b"\n"
         data += warc.arc_record(version, b"http://h/with space", b"1.2.3.4", b"19990203040506", b"text/html", b"HTTP/1.0 200 OK\n\nbody\n", 9, b"a") + b"\n"
         (_, head, _), (_, fields, body) = warc.arc_records(data)
-        assert head[b"url"] == b"filedesc://a.arc" and fields[b"url"] == b"http://h/with space" and fields[b"archive-date"] == b"19990203040506" and body.endswith(b"body\n")
+        assert head[b"url"] == b"filedesc://a.arc" and fields[b"url"] == b"http://h/with space" and fields[b"archive-date"] == b"19990203040506" and warc.split_http(body) == (b"HTTP/1.0 200 OK\n\n", b"body\n")
+
+
+def test_arc_lf_headers_and_damage(spark, tmp_path):
+    """Headers that end in bare line feeds, a member for each record, a record cut short, lines that are none."""
+    import gzip
+    import time
+
+    long = [b"<p>%d</p>" % i * 300 for i in range(3)]
+    opening = warc.arc_record(b"1", b"filedesc://a.arc", b"0.0.0.0", b"20000101000000", b"text/plain", b"1 0 x\n" + warc.ARC_FIELDS[b"1"] + b"\n", 0, b"a")
+    record = lambda end, payload, page: warc.arc_record(b"1", b"http://h/", b"1.2.3.4", b"19990203040506", b"text/html", b"HTTP/1.0 200 OK" + end + b"X-Page-Id: %d" % page + 2 * end + payload, 0, b"a")
+    sound = [record(b"\n", long[0], 1), record(b"\r\n", long[0], 2), record(b"\n", long[1], 3), record(b"\r\n", b"a\n\nb", 4)]
+    data = b"\n".join([opening, *sound[:2], b"no header here", b"http://h/ 1.2.3.4 never text/html 9", *sound[2:], record(b"\n", long[2], 5)[:-50]])
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc/part-0.gz").write_bytes(b"".join(gzip.compress(x + b"\n") for x in (opening, *sound)))
+    (tmp_path / "arc/part-1").write_bytes(data)
+    whole, cut = gzip.compress(opening + b"\n" + sound[0] + b"\n"), gzip.compress(record(b"\n", bytes(random.randrange(256) for _ in range(3000)), 6))
+    (tmp_path / "arc/part-2.gz").write_bytes(whole + cut[:2500])
+    at = sorted((r.file, r.at) for r in warc.damage(spark, str(tmp_path / "arc")).collect())
+    assert [f for f, _ in at] == ["part-1", "part-1", "part-2.gz"] and at[0][1] == data.index(b"no header") and at[1][1] == data.rindex(b"http://h/ 1.2.3.4 1999")
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    digest = lambda x: hashlib.sha1(x).hexdigest()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == sorted([(p, len(x), digest(x)) for p, x in ((1, long[0]), (2, long[0]), (3, long[1]), (4, b"a\n\nb"))] * 2 + [(1, len(long[0]), digest(long[0]))])
+    assert all(r.type == ("response" if r.payload_bytes < 1000 else "revisit") or r.page_id in (2, 3) for r in got)
+    took = []
+    for n in (2_000, 16_000):
+        content, began = gzip.compress(b"x" * 100) * n, time.thread_time()
+        assert len(warc.unpacked(content)) == 100 * n
+        took.append(time.thread_time() - began)
+    assert took[1] < 24 * took[0]  # in proportion, with room: copies of what is left would take 64 times as long
 
 
 def test_importance(spark, none):
