@@ -5,20 +5,24 @@ from __future__ import annotations
 import argparse
 import importlib
 import logging
+import shutil
 import subprocess
 import sys
+import tempfile
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.detectors import DETECTORS, FINDINGS, PROJECT, facts_for
+from .operators.detectors import DETECTORS, FINDINGS, NEEDS, PROJECT, facts_for
 from .operators.suppress import baseline_of, inline_ignores, unsuppressed
 from .plans.facts import Facts
-from .plans.report import asking, to_json, to_markdown, with_excerpts, with_verdicts
+from .plans.kept import kept_facts
+from .plans.report import asking, save_json, save_markdown, verdicts_kept, with_excerpts, with_verdicts
 from .scratch import written
 from .sources import code
+from .sources.text import save_text
 
 log = logging.getLogger("codeloom")
 
@@ -61,6 +65,17 @@ def scan(facts: dict[str, Facts], params: dict[str, dict]) -> DataFrame:
         return reduce(DataFrame.unionByName, found, none)
 
 
+def _facts(store: str | None, root: str):
+    """Facts of files for detectors, and more: parsed here, or through a table of those kept by content."""
+
+    def of(files: DataFrame, names: list[str], more: str = "") -> Facts:
+        if store is None:
+            return facts_for(files, names, root, more, keep=True)
+        return Facts(written(kept_facts(files, store, " ".join([*(NEEDS[n] for n in names), more])), "facts"), root)
+
+    return of
+
+
 def loaded(name: str):
     """What "module:function" names."""
     module, _, function = name.partition(":")
@@ -77,6 +92,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--effects", help="a dictionary of effects (TOML) in place of the built-in one")
     p.add_argument("--judge", "--ai-judge", default="none", metavar="MODULE:FUNCTION", help="asks a model: a function of (instructions, finding) that returns its text")
     p.add_argument("--rubric", help="a rubric (Markdown, ## N. Title) for the judge")
+    p.add_argument("--facts", metavar="DIR", help="a table of facts by content: files that are in it aren't parsed again")
+    p.add_argument("--verdicts", metavar="DIR", help="a table of the judge's verdicts: findings that are in it aren't asked about again")
     p.add_argument("--baseline-update", action="store_true")
     p.add_argument("--show-false-positives", action="store_true")
     p.add_argument("-v", "--verbose", action="count", default=0)
@@ -108,27 +125,35 @@ def main(argv: list[str] | None = None) -> int:
     # Detectors of single files need only the files that changed; those of projects need all.
     project = [n for n in params if n in PROJECT]
     single = [n for n in params if n not in PROJECT]
-    files = facts_for(code.read_code(spark, target, only), list(params) if only is None else single, str(root), "lines comments", keep=True)
-    whole = files if only is None or not project else facts_for(code.read_code(spark, target), project, str(root), keep=True)
+    facts = _facts(args.facts, str(root))
+    files = facts(code.read_code(spark, target, only), list(params) if only is None else single, "lines comments")
+    whole = files if only is None or not project else facts(code.read_code(spark, target), project)
     findings = scan({n: whole if n in PROJECT else files for n in params}, params)
     if only is not None:
         changed = spark.createDataFrame([(f,) for f in sorted(only)], "file string")
         findings = findings.join(changed, "file", "left_semi").select(findings.columns)
     rel = F.expr(f"substring(file, {len(str(root)) + 2})")
     if args.baseline_update:
-        rows = baseline_of(findings, rel).collect()
-        text = "# accepted findings\n# detector, path, line, hash of detector and evidence\n# written by codeloom --baseline-update\n"
-        (root / code.BASELINE_NAME).write_text(text + "".join("\t".join(map(str, r)) + "\n" for r in rows))
-        print(f"{len(rows)} findings accepted")
+        accepted = written(baseline_of(findings, rel), "baseline")
+        rows = accepted.orderBy(*accepted.columns).select(F.concat_ws("\t", *accepted.columns).alias("text"))
+        head = "# accepted findings\n# detector, path, line, hash of detector and evidence\n# written by codeloom --baseline-update\n"
+        save_text(rows, str(root / code.BASELINE_NAME), head=head, tail="\n", empty=head)
+        print(f"{accepted.count()} findings accepted")
         return 0
     baseline = code.beside(target, code.BASELINE_NAME)
     left = unsuppressed(findings, inline_ignores(files.comments), code.load_baseline(spark, str(baseline)) if baseline else None, rel)
-    judged = with_verdicts(with_excerpts(left, files.files), judge).persist()
-    text = to_json(judged, list(DETECTORS)) if args.format == "json" else to_markdown(judged, args.show_false_positives)
-    if args.output:
-        Path(args.output).write_text(text)
-    else:
-        print(text)
+    left = with_excerpts(left, files.files)
+    judged = written(with_verdicts(left, judge) if judge is None or not args.verdicts else verdicts_kept(left, judge, args.verdicts), "judged")
+    with tempfile.TemporaryDirectory() as folder:
+        out = args.output or f"{folder}/report"
+        if args.format == "json":
+            save_json(judged, out, list(DETECTORS))
+        else:
+            save_markdown(judged, out, args.show_false_positives)
+        if not args.output:
+            with open(out, encoding="utf-8") as text:
+                shutil.copyfileobj(text, sys.stdout)
+            print()
     return int(not judged.where("judge_verdict = 'real'").isEmpty())
 
 

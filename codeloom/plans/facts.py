@@ -6,7 +6,7 @@ import re
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -14,20 +14,27 @@ from pyspark.sql.types import StructType
 from ..functions.extract import ddl, extract, wanted_of
 
 
-def extracted(files: DataFrame, wanted: str | None = None) -> DataFrame:
+def extracted(files: DataFrame, wanted: str | None = None, broken: bool = False) -> DataFrame:
     """files (path, source) as one nested row of facts each: those that are wanted ("functions(name,line) comments"), or
-    all. Files that don't parse are dropped."""
+    all. Files that don't parse are dropped, or, with broken, have a row that isn't ok."""
     facts = wanted_of(wanted)
     schema = to_arrow_schema(StructType.fromDDL(ddl(facts)))
 
     def run(batches):
         for batch in batches:
             rows = [extract(p, s, facts) for p, s in zip(batch["path"].to_pylist(), batch["source"].to_pylist())]
-            yield pa.RecordBatch.from_pylist([r for r in rows if r["ok"]], schema=schema)
+            yield pa.RecordBatch.from_pylist([r for r in rows if broken or r["ok"]], schema=schema)
 
     return files.select("path", "source").mapInArrow(run, ddl(facts))
 
 
+def read_facts(spark: SparkSession, root: str, wanted: str | None = None) -> DataFrame:
+    """What extracted() gives of the code base under root, parsed in the tasks that read its files."""
+    from ..sources.code import code_source
+
+    return code_source(spark).schema(ddl(wanted_of(wanted))).load(root).where("ok")
+
+
 def qualified(*parts: str | Column) -> Column:
     """The parts that aren't empty, joined by dots."""
     return F.concat_ws(".", *[F.nullif(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])

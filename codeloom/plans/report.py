@@ -1,16 +1,18 @@
-"""Reports: Markdown, JSON, a summary. Findings are few by nature; what is rendered is collected in order."""
+"""Reports: Markdown, JSON, a summary; verdicts. Reports are rows of text, in order, for sources/text.py to write."""
 
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import exists, written
+from ..sources.text import save_text
+
 VERDICTS = ("real", "borderline", "false_positive", "unjudged")
 RANK = "array_position(array('high', 'medium', 'low', 'info'), severity)"
 
@@ -38,6 +40,32 @@ def with_verdicts(findings: DataFrame, judge: Callable[[dict], dict] | None = No
     return plain.mapInArrow(run, plain.schema)
 
 
+VERDICT = "key string, judge_verdict string, judge_reasoning string, judge_recommendation string"
+
+
+def verdicts_kept(findings: DataFrame, judge: Callable[[dict], dict], store: str, at_once: int = 500) -> DataFrame:
+    """with_verdicts() through a table at `store`: verdicts by hash of what the judge sees. Only findings without one are
+    asked about, equal ones once, about at_once at a time; each time's answers are added to the table, so what a lost
+    task, a later failure or another run asks again is less than that. Failed answers are kept with their reason and
+    asked again next time."""
+    spark = findings.sparkSession
+    seen = [c for c in findings.columns if c != "measure"]
+    key = F.sha2(F.to_json(F.struct(*seen), {"ignoreNullFields": "false"}), 256)
+    keyed = written(findings.withColumn("key", key), "findings")
+    todo = keyed.dropDuplicates(["key"])
+    if exists(spark, store):
+        todo = todo.join(spark.read.schema(VERDICT).parquet(store).where("judge_verdict <> 'unjudged'"), "key", "left_anti")
+    todo = written(todo, "unasked")
+    times = -(-todo.count() // at_once)
+    for nth in range(times):
+        part = todo.where(F.pmod(F.xxhash64("key"), F.lit(times)) == nth)
+        with_verdicts(part, judge).select(*[c.split()[0] for c in VERDICT.split(", ")]).write.mode("append").parquet(store)
+    known = spark.createDataFrame([], VERDICT) if not exists(spark, store) else spark.read.schema(VERDICT).parquet(store)
+    answer = F.struct(*[F.col(c.split()[0]) for c in VERDICT.split(", ")[1:]])
+    best = known.groupBy("key").agg(F.max_by(answer, F.col("judge_verdict") != "unjudged").alias("answer")).select("key", "answer.*")
+    return keyed.join(best, "key", "left").drop("key").withColumns({"judge_verdict": F.coalesce("judge_verdict", F.lit("unjudged"))})
+
+
 def asking(ask: Callable[[str, str], str], rubric: str) -> Callable[[dict], dict]:
     """A judge for with_verdicts() that asks a model: ask gets what stays the same (the task and the whole rubric, which
     can be cached) and what is of one finding, and returns text with a JSON object in it."""
@@ -115,24 +143,44 @@ def with_excerpts(findings: DataFrame, files: DataFrame, most: int = 30, context
 PUBLISHED = ("file", "line", "detector", "title", "evidence", "rubric_ref", "rubric_title", "severity", "end_line", "code_excerpt", "judge_verdict", "judge_reasoning", "judge_recommendation")
 
 
-def to_json(findings: DataFrame, order: list[str]) -> str:
-    """All findings, in the order of detectors, then file and line."""
+def json_rows(findings: DataFrame, order: list[str]) -> DataFrame:
+    """text of each finding, in the order of detectors, then file and line."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("detector"))
-    rows = findings.orderBy(place, "file", "line", "evidence").select(*[c for c in PUBLISHED if c in findings.columns]).collect()
-    return json.dumps([r.asDict() for r in rows], indent=2)
-
-
-def to_markdown(findings: DataFrame, show_false: bool = False) -> str:
-    rows = findings if show_false else findings.where("judge_verdict <> 'false_positive'")
-    rows = rows.orderBy("detector", F.expr(RANK), "file", "line").collect()
-    if not rows:
-        return "_No findings._\n"
-    out = ["| detector | total | real | borderline | unjudged |", "|-|-|-|-|-|"]
-    out += ["| " + " | ".join(map(str, r)) + " |" for r in summary(findings).collect()]
-    for name, group in groupby(rows, key=lambda r: r["detector"]):
-        group = list(group)
-        out.append(f"\n## {group[0]['title'].partition(':')[0]} ({name})\n")
-        for r in group:
-            where = f"{r['file']}:{r['line']}" + (f"-{r['end_line']}" if r["end_line"] and r["end_line"] != r["line"] else "")
-            out.append(f"- **{r['severity']}** `{where}` {r['evidence']}" + (f" ({r['judge_verdict']}: {r['judge_reasoning']})" if r["judge_verdict"] != "unjudged" else ""))
-    return "\n".join(out) + "\n"
+    rows = findings.orderBy(place, "file", "line", "evidence").select(*[c for c in PUBLISHED if c in findings.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [json.dumps(row, indent=2).replace("\n", "\n  ") for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"  {t}" for t in texts], pa.string())], ["text"])
+
+    return rows.mapInArrow(run, "text string")
+
+
+def markdown_rows(findings: DataFrame) -> DataFrame:
+    """Lines of the summary, then a section for each detector, as text in order."""
+    column = lambda *c: F.concat_ws(" | ", *c)
+    text = F.concat(F.lit("| "), column("detector", "total", "real", "borderline", "unjudged"), F.lit(" |"))
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    key = lambda part, kind, rank=zero, file=none, line=zero, evidence=none: [F.lit(part).alias("part"), "detector", F.lit(kind).alias("kind"), rank.alias("rank"), file.alias("file"), line.alias("at"), evidence.alias("evidence")]
+    lines = summary(findings).select(*key(0, 0), text.alias("text"))
+    rank, shown = F.expr(RANK).cast("int"), findings.where("shown")
+    first = shown.groupBy("detector").agg(F.min_by("title", F.struct(rank, "file", "line", "evidence")).alias("title"))
+    title = F.concat(F.lit("\n## "), F.substring_index("title", ":", 1), F.lit(" ("), "detector", F.lit(")\n"))
+    heads = first.select(*key(1, 0), title.alias("text"))
+    end = F.when((F.col("end_line") != 0) & (F.col("end_line") != F.col("line")), F.concat(F.lit("-"), "end_line"))
+    said = F.when(F.col("judge_verdict") != "unjudged", F.concat(F.lit(" ("), "judge_verdict", F.lit(": "), "judge_reasoning", F.lit(")")))
+    item = F.concat(F.lit("- **"), "severity", F.lit("** `"), "file", F.lit(":"), "line", F.coalesce(end, F.lit("")), F.lit("` "), "evidence", F.coalesce(said, F.lit("")))
+    items = shown.select(*key(1, 1, rank, F.col("file"), F.col("line"), F.col("evidence")), item.alias("text"))
+    return lines.unionByName(heads).unionByName(items).orderBy("part", "detector", "kind", "rank", "file", "at", "evidence").select("text")
+
+
+def save_json(findings: DataFrame, path: str, order: list[str]) -> None:
+    save_text(json_rows(findings, order), path, head="[\n", separator=",\n", tail="\n]", empty="[]")
+
+
+def save_markdown(findings: DataFrame, path: str, show_false: bool = False) -> None:
+    """Findings by detector under a summary of all; false positives are left out unless they are asked for."""
+    marked = findings.withColumn("shown", F.lit(True) if show_false else F.col("judge_verdict") != "false_positive")
+    marked = marked if not marked.where("shown").isEmpty() else marked.where("false")
+    head = "| detector | total | real | borderline | unjudged |\n|-|-|-|-|-|\n"
+    save_text(markdown_rows(marked), path, head=head, tail="\n", empty="_No findings._\n")

@@ -21,9 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_OWN: list[str] = []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that were written for queries so far. Call it when their results have been read, in a session
+    that goes on; what was made of them can't be read any more."""
+    while _OWN:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_OWN.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def own_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. The JVM deletes what is there as it ends."""
+    """A new path in the shared folder. release() deletes what is there, or the JVM as it ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _OWN.append(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path

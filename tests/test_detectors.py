@@ -18,7 +18,7 @@ from codeloom.operators.detectors import DETECTORS
 from codeloom.operators.detectors import PROJECT as PROJECT_DETECTORS
 from codeloom.operators.suppress import baseline_of, inline_ignores, unsuppressed
 from codeloom.plans.facts import Facts, extracted
-from codeloom.plans.report import excerpt, rubric_sections, to_json, to_markdown, tolerant_json, with_verdicts
+from codeloom.plans.report import excerpt, rubric_sections, save_json, save_markdown, tolerant_json, with_verdicts
 from codeloom.sources import code
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -302,7 +302,7 @@ else:
             subprocess.run([sys.executable, "-c", code, way, at], cwd=ROOT, env=os.environ | {"SPARK_CONF_DIR": at}, check=True, timeout=120)
 
 
-def test_suppression_and_reports(spark):
+def test_suppression_and_reports(spark, tmp_path):
     source = "# codeloom: ignore-file\ndata = 1\n"
     lines = "data = 1  # codeloom: ignore[vague_name]\ninfo = 1  # codeloom: ignore[other]\ntmp = 2\nobj = 3  # codeloom: ignore\n"
     f = facts(spark, {"a.py": source, "b.py": lines})
@@ -314,8 +314,16 @@ def test_suppression_and_reports(spark):
     assert [r.line for r in unsuppressed(findings, ignores, baseline).collect()] == [3]
     judged = with_verdicts(left, lambda x: {"judge_verdict": "real"} if x["line"] == 2 else {"judge_verdict": "odd"})
     assert sorted((r.line, r.judge_verdict) for r in judged.collect()) == [(2, "real"), (3, "unjudged")]
-    assert [r["line"] for r in json.loads(to_json(judged, list(DETECTORS)))] == [2, 3] and "| vague_name | 2 | 1 | 0 | 1 |" in to_markdown(judged)
-    assert to_markdown(judged.limit(0)) == "_No findings._\n" and tolerant_json('so: {"a": 1}.') == {"a": 1} and tolerant_json("no") is None
+    out = tmp_path / "report"
+    save_json(judged, str(out), list(DETECTORS))
+    rows = [{k: v for k, v in r.asDict().items() if k != "measure"} for r in judged.orderBy("line").collect()]
+    found = json.loads(out.read_text())
+    assert [r["line"] for r in found] == [2, 3] and out.read_text() == json.dumps(found, indent=2) and [{k: r[k] for k in x} for x, r in zip(found, rows)] == found
+    save_markdown(judged, str(out))
+    lines = [f"- **{r['severity']}** `b.py:{r['line']}` {r['evidence']}" for r in rows]
+    assert out.read_text() == f"| detector | total | real | borderline | unjudged |\n|-|-|-|-|-|\n| vague_name | 2 | 1 | 0 | 1 |\n\n## Vague name (vague_name)\n\n{lines[0]} (real: )\n{lines[1]}\n"
+    save_markdown(judged.limit(0), str(out))
+    assert out.read_text() == "_No findings._\n" and tolerant_json('so: {"a": 1}.') == {"a": 1} and tolerant_json("no") is None
     shown = f.files.where("path = 'b.py'").withColumns({"line": F.lit(2), "end_line": F.lit(2)}).select(excerpt("lines", "line", "end_line", 1).alias("x")).first().x
     assert shown.split("\n")[1].startswith(">>    2  info = 1")
 
