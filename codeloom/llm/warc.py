@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import hot_join, own_path, written
 
 ARCHIVE_BYTES = 24 << 20
+HEADER_END = re.compile(rb"\r?\n\r?\n")
 #: Bytes that are handed to a decompressor at once.
 PIECE = 64 << 10
 #: Fixed values of the formats: the fields of an ARC header line by version, and the separators after records.
@@ -96,7 +98,16 @@ def unpacked(content: bytes) -> bytes:
     can be read of it."""
     if content[:2] != b"\x1f\x8b":
         return content
-    out, at, view = [], 0, memoryview(content)
+    member = zlib.decompressobj(31)
+    try:
+        first = member.decompress(content)
+    except zlib.error:
+        first, member = b"", zlib.decompressobj(31)
+    else:
+        if member.unused_data[:2] != b"\x1f\x8b":
+            return first
+    # more than one: from here on a piece at a time, so that what is left isn't copied for each
+    out, at, view = [first], len(content) - len(member.unused_data) if first else 0, memoryview(content)
     member = zlib.decompressobj(31)
     while at < len(content):
         try:
@@ -113,8 +124,8 @@ def unpacked(content: bytes) -> bytes:
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """A response's header, with the empty line that ends it, and its payload. Lines may end in CRLF or in LF alone."""
-    ends = [(at, at + len(end)) for end in (b"\r\n\r\n", b"\n\n", b"\n\r\n") if (at := block.find(end)) >= 0]
-    cut = min(ends)[1] if ends else len(block)
+    found = HEADER_END.search(block)
+    cut = found.end() if found else len(block)
     return block[:cut], block[cut:]
 
 
