@@ -155,4 +155,36 @@ b AS (SELECT depth, prefix, sum(n_bytes) AS total FROM p WHERE n_bytes <= {exten
 leaf AS (SELECT doc_id, n_bytes, min(depth) AS depth FROM p JOIN b USING (depth, prefix) WHERE total <= {extendible_hashing.QUERY_SHARD_BYTES} AND n_bytes <= {extendible_hashing.QUERY_SHARD_BYTES} GROUP BY ALL)
 SELECT doc_id, leaf.n_bytes, depth, p.prefix, CAST(0 AS BIGINT) AS page, concat_ws(':', depth, p.prefix, 0) AS shard FROM leaf JOIN p USING (doc_id, n_bytes, depth)
 UNION ALL SELECT doc_id, n_bytes, 40, h, CAST(0 AS BIGINT), concat_ws(':', 'big', h, 0) FROM d WHERE n_bytes > {extendible_hashing.QUERY_SHARD_BYTES}""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+m AS (SELECT h.*, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(id, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS hurt FROM h, crc),
+d AS (SELECT conv_id, turn, CASE hurt WHEN 4 THEN 'user' ELSE role END AS role, CASE hurt WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE hurt WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM m WHERE hurt <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS own, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+             WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM o),
+-- states: 0 nothing yet, 1 system, 2 user, 3 assistant; and the turn that may come next
+nx AS (SELECT * FROM (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) AS v(q, nxt, name)),
+ins AS (SELECT q, 0 AS n, q AS here, '' AS pre FROM nx UNION ALL SELECT q, 1, nxt, chr(10) || name || ':' FROM nx
+        UNION ALL SELECT a.q, 2, b.nxt, chr(10) || a.name || ':' || chr(10) || b.name || ':' FROM nx AS a JOIN nx AS b ON b.q = a.nxt),
+edit AS (SELECT unnest(['D', 'K', 'R']) AS e),
+s(conv_id, i, q, v) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'c': CAST(0 AS BIGINT), 'a': '', 'r': ''} FROM f
+    UNION ALL
+    SELECT s.conv_id, s.i + 1, CASE WHEN e = 'D' THEN ins.here WHEN e = 'K' AND own = 's' THEN 1 ELSE nxt END AS nq,
+           min({'c': CAST(v.c + 5 * n + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 't' THEN 5 ELSE 0 END AS BIGINT), 'a': v.a || repeat('I', n) || e,
+                'r': v.r || pre || CASE e WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || name || ':' || text ELSE chr(10) || role || ':' || text END})
+    FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1 JOIN ins ON ins.q = s.q JOIN nx ON nx.q = ins.here, edit
+    WHERE e = 'D' OR fault NOT IN ('b', 'd') AND (e = 'R' OR own = 's' AND ins.here = 0 OR own = left(name, 1))
+    GROUP BY ALL),
+fin AS (SELECT conv_id, max(i) AS i, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                count(*) FILTER (fault = 't') AS truncated FROM f GROUP BY conv_id),
+pairs AS (SELECT conv_id, own || lead(own) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM f),
+illegal AS (SELECT conv_id, count(*) AS illegal FROM pairs WHERE p NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+ended AS (SELECT s.conv_id, min({'c': v.c + 5 * n, 'a': v.a || repeat('I', n), 'r': v.r || pre}) AS v FROM s JOIN fin ON fin.conv_id IS NOT DISTINCT FROM s.conv_id AND fin.i = s.i JOIN ins USING (q) WHERE here IN (0, 3) GROUP BY s.conv_id),
+convs AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT convs.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(v.c, 0) AS cost, coalesce(v.a, '') AS audit, sha256(coalesce(substr(v.r, 2), '')) AS repaired_sha256
+FROM convs LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM convs.conv_id LEFT JOIN illegal ON illegal.conv_id IS NOT DISTINCT FROM convs.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM convs.conv_id""",
 }

@@ -133,3 +133,13 @@ def test_edges(spark):
 def test_registered_query(spark):
     at = "/root/testdata/sf0.001"
     same(queries.op13_conversation_repair(spark, at), [tuple(r) for r in spark.read.parquet(f"{at}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()])
+
+
+def test_sql(rows):
+    """The SQL of the registered query, on the same odd rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {r[0]: r[1:] for r in con.sql(queries.ORACLE_SQL["op13_conversation_repair"]).fetchall()} == by_hand(rows)
