@@ -7,6 +7,7 @@ take rows as facts and run the detector or operator on these.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from .operators import graph
 from .operators.detectors import DETECTORS, PROJECT, effect_sets, facts_for, function_effects
 from .operators.suppress import baseline_of, evidence_hash, inline_ignores, unsuppressed
 from .plans.facts import Facts, module_of
-from .plans.report import summary, with_verdicts
+from .plans.report import excerpt, summary, tolerant_json, with_verdicts
 from .sources.code import own_effects
 
 QUERIES: dict = {}
@@ -263,6 +264,52 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(with_verdicts(_findings(spark, sf_dir)))
 
 
+def _verdict(row: dict) -> dict:
+    """A judge without a model: by line, and for some none at all."""
+    return {"judge_verdict": ("real", "borderline", "false_positive", "no such verdict")[row["line"] % 4]}
+
+
+@_query("summary_judged", """
+SELECT 'd' || l_linenumber AS detector, count(*) AS total, CAST(count(*) FILTER (l_partkey % 4 = 0) AS BIGINT) AS real, CAST(count(*) FILTER (l_partkey % 4 = 1) AS BIGINT) AS borderline,
+       CAST(count(*) FILTER (l_partkey % 4 = 3) AS BIGINT) AS unjudged FROM lineitem GROUP BY ALL""")
+def _summary_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(with_verdicts(_findings(spark, sf_dir), _verdict))
+
+
+def _answers(batches):
+    for batch in batches:
+        found = [tolerant_json(t) for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["o_orderkey"], pa.array([f and f.get("a") for f in found], pa.int64())], ["o_orderkey", "a"])
+
+
+@_query("tolerant_json", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN o_custkey ELSE -1 END AS a FROM orders")
+def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of four forms: JSON, JSON in prose, in a fence, cut short."""
+    form, body = F.col("o_orderkey") % 4, F.concat(F.lit('{"a": '), "o_custkey")
+    text = F.when(form == 0, F.concat(body, F.lit("}"))).when(form == 1, F.concat(F.lit("So: "), body, F.lit("}. Done."))).when(form == 2, F.concat(F.lit("```json\n"), body, F.lit("}\n```"))).otherwise(body)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).mapInArrow(_answers, "o_orderkey long, a long").fillna(-1, ["a"])
+
+
+@_query("excerpt", """
+SELECT p_partkey, array_to_string(list_transform(range(greatest(p_size % 9 - 1, 1), least(p_size % 9 + p_partkey % 3 + 2, 10)), lambda i: rtrim(
+    format('{} {:4d}  x{} = {}', CASE WHEN i BETWEEN p_size % 9 AND p_size % 9 + p_partkey % 3 THEN '>>' ELSE '  ' END, i, i, p_partkey))), chr(10)) AS shown FROM part WHERE p_size % 9 > 0""")
+def _excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one to three lines in files of nine."""
+    part = _table(spark, sf_dir, "part").where("p_size % 9 > 0")
+    rows = part.selectExpr("p_partkey", "transform(sequence(1, 9), i -> concat('x', i, ' = ', p_partkey)) AS lines", "int(p_size % 9) AS line", "int(p_size % 9 + p_partkey % 3) AS end_line")
+    return rows.select("p_partkey", excerpt("lines", "line", "end_line", 1).alias("shown"))
+
+
+@_query("return_types", """
+SELECT 'f' || l_partkey % 50 || '_' || l_linenumber AS name, min('C' || l_suppkey % (1 + l_partkey % 50 % 3)) AS type FROM lineitem WHERE l_orderkey % 5 > 0
+GROUP BY 1 HAVING count(DISTINCT 'C' || l_suppkey % (1 + l_partkey % 50 % 3)) = 1""")
+def _return_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("l_partkey") % 50
+    returns = F.when(F.col("l_orderkey") % 5 > 0, F.concat(F.lit("C"), F.col("l_suppkey") % (1 + key % 3)))
+    functions = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), key, F.lit("_"), "l_linenumber").alias("name"), returns.alias("returns"))
+    return Facts(functions=functions).return_types
+
+
 @_query("module_of", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a.b' || p_size WHEN 1 THEN 'a.b' || p_size ELSE 'b' || p_size END AS module FROM part")
 def _module(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('a/b', p_size, '.py') WHEN 1 THEN concat('a/b', p_size, '/__init__.py') ELSE concat('src/b', p_size, '.py') END")
@@ -325,6 +372,14 @@ SELECT p_partkey, CAST([1, 2, 2, 2, NULL, 2, 3, NULL, NULL][p_partkey % 9 + 1] A
 FROM part WHERE p_partkey % 9 NOT IN (4, 7, 8)""", number=r"/e(\d+)", effects=own_effects)
 
 
+@_query("class_attributes_of_source", """
+SELECT 'd' || p_size || '.c' || p_partkey || '.C' || p_partkey || IF(p_partkey % 2 = 0, 'Reader', '') AS qualname, CAST(IF(p_partkey % 3 = 0 AND p_size % 13 > 0, 2, 1) AS INTEGER) AS line FROM part
+UNION ALL SELECT 'effects.e' || p_partkey || '.K', 1 FROM part WHERE p_partkey % 9 = 3""")
+def _class_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.sql(_PROJECT.replace("FROM part", "FROM {part}"), part=_table(spark, sf_dir, "part"))
+    return facts_for(files, [], more="classes(name,line,attributes)").class_attributes.where(F.size("attributes") == 0).select("qualname", "line")
+
+
 @_query("effect_sets_of_source", """
 WITH k AS (SELECT p_partkey, p_partkey % 9 AS k FROM part)
 SELECT 'effects.e' || p_partkey || IF(k = 3, '.K', '') || '.compute_a' AS qualname,
