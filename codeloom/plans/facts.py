@@ -55,7 +55,7 @@ class Facts:
         if nested is not None:
             rel = F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/" if root else "^$", "")
             nested = nested.withColumn("rel_path", rel).withColumn("module", module_of(rel))
-        self.nested = nested
+        self.nested, self.given = nested, set(given)
         self.__dict__.update(given)
 
     def _part(self, name: str) -> DataFrame:
@@ -112,14 +112,27 @@ class Facts:
     @cached_property
     def _placed_calls(self) -> DataFrame:
         """Calls with what their first name may mean: the class of a variable (ltype), the module that it is an alias of
-        (amodule), the name that it is of a module (fmodule, forig), a function or class of the file (is_def)."""
+        (amodule), the name that it is of a module (fmodule, forig), a function or class of the file (is_def). A file's
+        row has its imports and names beside its calls, so these meet where they are."""
+        local = self.local_types.select("path", F.col("name").alias("head"), F.col("type").alias("ltype"))
+        if self.nested is None or {"calls", "imports", "files"} & self.given:
+            return self._joined_calls.join(local, ["path", "head"], "left")
+        bound = lambda is_from: F.get(F.reverse(F.filter("imports", lambda i: i["top"] & (i["is_from"] == is_from) & (i["name"] == F.col("head")))), F.lit(0))
+        c = self.nested.select("path", "module", "imports", "top_defs", F.posexplode("calls").alias("place", "x")).select("path", "module", "place", "x.*", "imports", "top_defs")
+        c = c.withColumns({"head": F.get("chain", F.lit(0)), "n": F.size("chain")})
+        c = c.withColumns({"a": bound(False), "f": bound(True), "is_def": F.when(F.array_contains("top_defs", F.col("head")), True)})
+        c = c.withColumns({"amodule": F.col("a.module"), "fmodule": F.col("f.module"), "forig": F.col("f.orig")}).drop("a", "f", "imports", "top_defs")
+        return c.join(local, ["path", "head"], "left")
+
+    @cached_property
+    def _joined_calls(self) -> DataFrame:
+        """The same without ltype, of relations that were given."""
         top = self.imports.where("top")
         alias = top.where("not is_from").groupBy("path", F.col("name").alias("head")).agg(F.max_by("x_module", "ord").alias("amodule"))
         named = top.where("is_from").groupBy("path", F.col("name").alias("head")).agg(F.max_by(F.struct("x_module", "orig"), "ord").alias("x")).select("path", "head", F.col("x.x_module").alias("fmodule"), F.col("x.orig").alias("forig"))
         defs = self.files.select("path", F.explode("top_defs").alias("head")).distinct().withColumn("is_def", F.lit(True))
-        local = self.local_types.select("path", F.col("name").alias("head"), F.col("type").alias("ltype"))
         c = self.calls.withColumns({"head": F.get("chain", F.lit(0)), "n": F.size("chain")})
-        for known in (local, alias, named, defs):
+        for known in (alias, named, defs):
             c = c.join(known, ["path", "head"], "left")
         return c
 

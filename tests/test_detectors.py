@@ -225,6 +225,20 @@ def test_call_graph(spark):
     assert edges == {("app.b.middle", "app.c.leaf"), ("app.a.K.run", "app.a.K.help"), ("app.a.K.run", "app.c.C.go"), ("app.c.C.go", "app.c.clean"), ("app.c.compute_total", "app.c.clean")}
 
 
+def test_calls_meet_the_names_of_their_file_where_they_are(spark):
+    """What a call's first name means takes one exchange of calls, that for the types of variables; relations that are
+    given are joined and give the same."""
+    own = facts(spark, PROJECT | {"z.py": "import os\nimport os.path as os\nfrom a import b\nfrom c import d as b\ndef f():\n    os.x()\n    b()\n    f()\n    g()()\n"})
+    joined = Facts(own.nested, imports=own.imports, calls=own.calls)
+    names = ["path", "place", "head", "n", "amodule", "fmodule", "forig", "is_def", "ltype"]
+    rows = [sorted(map(str, f._placed_calls.select(names).collect())) for f in (own, joined)]
+    assert rows[0] == rows[1] and any("os.path" in r for r in rows[0]) and any("fmodule='c'" in r for r in rows[0])
+    before = own._placed_calls.where("ltype is null or true").drop("ltype")
+    plan = own.nested.select("path", F.explode("calls"))._jdf.queryExecution().executedPlan().toString()
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(path")
+    assert "Exchange" not in plan and count(before) <= count(joined._placed_calls) - 3
+
+
 def test_project_detectors(spark):
     f = facts(spark, PROJECT)
     cycle = DETECTORS["import_cycle"](f).collect()
