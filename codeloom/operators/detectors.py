@@ -318,17 +318,51 @@ def pass_through_chains(facts: Facts, frames: int = 3) -> DataFrame:
     passed = edges.groupBy("fn", "param").agg(F.count_distinct("ord").alias("n_passed"))
     state = total.join(passed, (F.col("qual") == F.col("fn")) & (total["param"] == passed["param"]), "left").select(F.col("qual").alias("fn"), total["param"], (F.col("n_reads") > F.coalesce("n_passed", F.lit(0))).alias("reader"))
     start = params.where(~dunder() & F.col("kwargs").isNull()).select("path", "line", F.col("qual").alias("fn"), "param").join(state.where("not reader"), ["fn", "param"]).drop("reader")
-    live = start.select(*start.columns, F.col("fn").alias("at"), F.col("param").alias("var"), F.array(F.struct("fn", "param")).alias("seen"), F.array().cast("array<struct<place:int,nth:int>>").alias("ords"))
+    ends = state.select(F.col("fn").alias("to"), F.col("param").alias("next"), F.col("reader").alias("ends"))
+    edges = written(edges.join(ends, ["to", "next"]), "passed")
+    found = _first_chains(edges) if frames == 3 else _walked(start, edges, frames)
+    every = start.join(found, ["fn", "param"])
+    return every.select("path", "line", "fn", "param", F.concat(F.array("fn"), F.transform("tail", lambda s: s["fn"])).alias("chain"), F.size("tail").alias("measure"))
+
+
+def _state(fn: str, param: str) -> Column:
+    return F.struct(F.col(fn).alias("fn"), F.col(param).alias("param"))
+
+
+def _first_chains(edges: DataFrame) -> DataFrame:
+    """fn, param, tail: of chains of at most three calls that end at a reader and pass no state twice, the first in call
+    order, by the best ways on from each state. A way on may lead back to where the chain began; so that it needn't, each
+    state has its best way and the best that goes on to another state. No step has more rows than there are edges."""
+    to, here = _state("to", "next"), _state("fn", "param")
+    order, none = F.struct("ord", "to", "next"), F.lit(None).cast("struct<fn:string,param:string>")
+    ending = edges.where("ends").select("fn", "param", order.alias("order"), none.alias("via"), F.array(to).alias("tail"))
+    passing = edges.where(~F.col("ends") & (to != here))
+    best = lambda options: options.groupBy("fn", "param").agg(F.min_by(F.struct("via", "tail"), "order").alias("way"))
+    onward = lambda ways, *names: ways.select(F.col("fn").alias("to"), F.col("param").alias("next"), *names)
+    last = onward(best(ending), F.col("way.tail").alias("rest"))
+    two = ending.unionByName(passing.join(last, ["to", "next"]).select("fn", "param", order.alias("order"), to.alias("via"), F.concat(F.array(to), "rest").alias("tail")))
+    two = written(two, "ways")
+    first = best(two)
+    other = two.join(first.where("way.via is not null"), ["fn", "param"]).where("not (via <=> way.via)").drop("way")
+    ways = first.join(best(other).withColumnRenamed("way", "other"), ["fn", "param"], "left")
+    step = passing.join(onward(ways, "way", "other"), ["to", "next"])
+    taken = F.when(F.col("way.via").isNull() | (F.col("way.via") != here), F.col("way")).otherwise(F.col("other"))
+    three = step.withColumn("taken", taken).where("taken is not null").select("fn", "param", order.alias("order"), to.alias("via"), F.concat(F.array(to), "taken.tail").alias("tail"))
+    return best(ending.unionByName(three)).select("fn", "param", "way.tail")
+
+
+def _walked(start: DataFrame, edges: DataFrame, frames: int) -> DataFrame:
+    """The same for any number of calls, by walking all chains."""
+    live = start.select("fn", "param", F.col("fn").alias("at"), F.col("param").alias("var"), F.array(_state("fn", "param")).alias("seen"), F.array().cast("array<struct<place:int,nth:int>>").alias("ords"))
     ends = []
     for _ in range(frames):
-        step = edges.select(F.col("fn").alias("at"), F.col("param").alias("var"), "to", "next", "ord")
-        moved = live.join(step, ["at", "var"]).where(~F.array_contains("seen", F.struct(F.col("to").alias("fn"), F.col("next").alias("param"))))
-        moved = moved.select("path", "line", "fn", "param", F.col("to").alias("at"), F.col("next").alias("var"), F.concat("seen", F.array(F.struct(F.col("to").alias("fn"), F.col("next").alias("param")))).alias("seen"), F.concat("ords", F.array("ord")).alias("ords"))
-        moved = moved.join(state.select(F.col("fn").alias("at"), F.col("param").alias("var"), "reader"), ["at", "var"])
-        ends.append(moved.where("reader"))
-        live = moved.where("not reader").drop("reader")
-    every = reduce(DataFrame.unionByName, ends).groupBy("path", "line", "fn", "param").agg(F.min_by("seen", "ords").alias("seen"))
-    return every.select("path", "line", "fn", "param", F.transform("seen", lambda s: s["fn"]).alias("chain"), (F.size("seen") - 1).alias("measure"))
+        step = edges.select(F.col("fn").alias("at"), F.col("param").alias("var"), "to", "next", "ord", "ends")
+        moved = live.join(step, ["at", "var"]).where(~F.array_contains("seen", _state("to", "next")))
+        moved = moved.select("fn", "param", F.col("to").alias("at"), F.col("next").alias("var"), F.concat("seen", F.array(_state("to", "next"))).alias("seen"), F.concat("ords", F.array("ord")).alias("ords"), "ends")
+        ends.append(moved.where("ends"))
+        live = moved.where("not ends").drop("ends")
+    every = reduce(DataFrame.unionByName, ends).groupBy("fn", "param").agg(F.min_by("seen", "ords").alias("seen"))
+    return every.select("fn", "param", F.slice("seen", 2, frames + 1).alias("tail"))
 
 
 def _glob(path: str, patterns: list[str]) -> Column:

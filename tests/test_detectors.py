@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom import cli
 from codeloom.functions.extract import extract, wanted_of
-from codeloom.operators import graph
+from codeloom.operators import detectors, graph
 from codeloom.operators.detectors import DETECTORS
 from codeloom.operators.detectors import PROJECT as PROJECT_DETECTORS
 from codeloom.operators.suppress import baseline_of, inline_ignores, unsuppressed
@@ -283,6 +283,26 @@ def test_pass_through_variable(spark):
     assert DETECTORS["pass_through_variable"](facts(spark, {"m.py": chain.replace("h(y)", "h(y) + y")})).count() == 0
 
 
+def test_first_chains_against_all_walks(spark):
+    """Chains through random calls with cycles, by the best ways on and by walking all; a hub of many callers and callees."""
+    rng = random.Random(11)
+    state = lambda i: (f"f{i // 2}", "xy"[i % 2])
+    reads = {i: rng.random() < 0.15 for i in range(40)}
+    edges = []
+    for i in range(40):
+        for place in range(rng.randrange(0, 5)):
+            j = rng.randrange(40)
+            edges.append((*state(j), *state(i), {"place": place, "nth": i % 2}, reads[j]))
+    schema = "to string, next string, fn string, param string, ord struct<place:int,nth:int>, ends boolean"
+    table = spark.createDataFrame(edges, schema)
+    start = spark.createDataFrame([state(i) for i in range(40) if not reads[i]], "fn string, param string")
+    walked = {(r.fn, r.param): r.tail for r in detectors._walked(start, table, 3).collect()}
+    assert walked == {(r.fn, r.param): r.tail for r in detectors._first_chains(table).join(start, ["fn", "param"]).collect()} and len(walked) > 15
+    hub = [("h", "x", f"a{i}", "x", {"place": 0, "nth": 0}, False) for i in range(1000)] + [(f"b{i}", "x", "h", "x", {"place": i, "nth": 0}, i > 0) for i in range(1000)]
+    got = detectors._first_chains(spark.createDataFrame(hub, schema)).collect()
+    assert len(got) == 1001 and all([s.fn for s in r.tail][-1] == "b1" for r in got)
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "src long, dst long")
     assert {(r.node, r.component) for r in graph.strong_components(edges).collect()} == {(1, 1), (2, 1), (3, 1)}
