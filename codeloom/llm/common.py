@@ -14,8 +14,8 @@ from ..scratch import own_path, shared_dir, written  # noqa: F401
 
 #: Multipliers of the polynomial hashes; any odd numbers do.
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: A key of more than one in so many rows is hot.
-HOT_SHARE = 1000
+#: A key of more than one in so many rows is hot, and so is one of more rows than a task should have.
+HOT_SHARE, HOT_ROWS = 1000, 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def hot_join(big: DataFrame, small: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     """big joined with small on keys. A key has one row of small, whose `count` tells how many rows of big have it.
 
-    Keys of more than a HOT_SHARE-th of all rows, fewer than HOT_SHARE of them, are broadcast, so the rows of a key,
-    however many, stay in the tasks that they are in; all others are shuffled, so big and small are read twice. A
-    small of no more than HOT_SHARE rows is broadcast whole.
+    Keys of more than a HOT_SHARE-th of all rows, or of more than HOT_ROWS rows, are broadcast, so the rows of a key,
+    however many, stay in the tasks that they are in; of the first there are fewer than HOT_SHARE, of the second fewer
+    than rows / HOT_ROWS (50,000 of 10^11 rows). All others are shuffled, so big and small are read twice. A small of no
+    more than HOT_SHARE rows is broadcast whole.
     """
     total, rows = small.agg(F.sum(count), F.count("*")).first()
     if rows <= HOT_SHARE:
         return big.join(F.broadcast(small), keys)
-    is_hot = F.col(count) * HOT_SHARE > (total or 0)
+    is_hot = (F.col(count) * HOT_SHARE > (total or 0)) | (F.col(count) > HOT_ROWS)
     hot = F.broadcast(small.where(is_hot))
     cold = big.join(hot.select(*keys), keys, "left_anti").join(small.where(~is_hot), keys)
     return big.join(hot, keys).unionByName(cold)

@@ -53,10 +53,11 @@ def test_hot_join(spark):
     big = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
     count = collections.Counter(k for k in keys if k is not None)
     small = spark.createDataFrame([(k, str(k), n) for k, n in count.items() if k % 3] + [(1, "1", 0)], "k long, name string, n long")
-    for share in (1, 10, 1000):
-        common.HOT_SHARE, before = share, common.HOT_SHARE
+    for share, most in ((1, 1 << 40), (10, 1 << 40), (1000, 1 << 40), (1, 3)):
+        before = common.HOT_SHARE, common.HOT_ROWS
+        common.HOT_SHARE, common.HOT_ROWS = share, most
         got = sorted((r.k, r.i, r.name) for r in common.hot_join(big, small, ["k"]).collect())
-        common.HOT_SHARE = before
+        common.HOT_SHARE, common.HOT_ROWS = before
         assert got == sorted((k, i, str(k)) for i, k in enumerate(keys) if k is not None and k % 3)
     assert common.hot_join(big, small.limit(0), ["k"]).count() == 0
 
