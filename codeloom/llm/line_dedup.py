@@ -3,8 +3,9 @@
 A document's content lines (those not blank) have a hash each. Every window of `run` consecutive content lines selects
 its least hash, the rightmost of equals, as fingerprint, so any shared run of at least `run` lines shares one: windows
 with the same lines select the same one, at the same place in them. Positions of fingerprints that stand at one place
-only are left out. The others are joined with the first position that has the same fingerprint and, window by window
-on both sides of it, the same lines: that extends the match both ways, and the lines so covered go.
+only are left out. Of the others, each of the `run` windows around a position is joined with the first place that has a
+window of the same lines, by two hashes of all of them: so fingerprints select what is compared, and the windows' own hashes
+decide. Windows that overlap extend the match both ways, and the lines so covered go.
 
 No pairs of positions are made: a position meets one first position for each of the `run` windows around it. What
 very many documents share is one row of the table of first positions, and joined where its positions are.
