@@ -14,16 +14,23 @@ from pyspark.sql.types import StructType
 from ..functions.extract import ddl, extract, wanted_of
 
 
+def _facts_of(batch: pa.RecordBatch, facts: dict[str, set[str]], schema: pa.Schema) -> pa.RecordBatch:
+    sources = batch["source"].dictionary_encode(null_encoding="encode")
+    rows = pa.RecordBatch.from_pylist([extract("", s, facts) for s in sources.dictionary.to_pylist()], schema=schema)
+    return rows.take(sources.indices).set_column(0, "path", batch["path"].cast(pa.string()))
+
+
 def extracted(files: DataFrame, wanted: str | None = None, broken: bool = False) -> DataFrame:
     """files (path, source) as one nested row of facts each: those that are wanted ("functions(name,line) comments"), or
-    all. Files that don't parse are dropped, or, with broken, have a row that isn't ok."""
+    all. Files that don't parse are dropped, or, with broken, have a row that isn't ok. Of the files of a batch whose
+    sources are equal one is parsed."""
     facts = wanted_of(wanted)
     schema = to_arrow_schema(StructType.fromDDL(ddl(facts)))
 
     def run(batches):
         for batch in batches:
-            rows = [extract(p, s, facts) for p, s in zip(batch["path"].to_pylist(), batch["source"].to_pylist())]
-            yield pa.RecordBatch.from_pylist([r for r in rows if broken or r["ok"]], schema=schema)
+            found = _facts_of(batch, facts, schema)
+            yield found if broken else found.filter(found["ok"])
 
     return files.select("path", "source").mapInArrow(run, ddl(facts))
 

@@ -8,6 +8,7 @@ import sys
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +395,20 @@ def test_stream(spark, tmp_path):
         (tmp_path / "check/commits" / left).unlink()
     watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), ["vague_name", "import_cycle"]).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_equal_sources_of_a_batch_are_parsed_once(monkeypatch):
+    from codeloom.plans import facts
+
+    parsed, wanted = [], wanted_of("functions(name)")
+    monkeypatch.setattr(facts, "extract", lambda path, source, w: parsed.append(source) or extract(path, source, w))
+    batch = pa.RecordBatch.from_pydict({"path": ["a", "b", "c", "d", "e"], "source": ["def f(): pass", "def g(): pass", "def f(): pass", None, "def ("]})
+    schema = pa.schema([("path", pa.string()), ("ok", pa.bool_()), ("functions", pa.list_(pa.struct([("name", pa.string())])))])
+    found = facts._facts_of(batch, wanted, schema).to_pylist()
+    assert len(parsed) == 4 and [(r["path"], r["ok"], [f["name"] for f in r["functions"] or ()]) for r in found] == [("a", True, ["f"]), ("b", True, ["g"]), ("c", True, ["f"]), ("d", False, []), ("e", False, [])]
+
+
+def test_statements_and_calls_inside_are_counted_without_contexts():
+    source = "class A:\n    def m(self, x):\n        try:\n            x = [self._a(y) for y in x]\n        except E:\n            pass\n        match x:\n            case 1 if self._b():\n                pass\n        return x\n"
+    found = extract("a.py", source, wanted_of("functions(own_stmts,self_calls,complexity)"))["functions"]
+    assert [(f["own_stmts"], f["self_calls"], f["complexity"]) for f in found] == [(6, ["_a", "_b"], 3)]
