@@ -39,6 +39,8 @@ PURE_PREFIXES = ("calculate_", "compute_", "parse_", "format_", "to_", "as_", "v
 
 DETECTORS: dict[str, Callable[..., DataFrame]] = {}
 PROJECT: set[str] = set()
+#: Detectors of single files that make several relations of the facts, each of which parses anew unless facts are kept.
+SEVERAL = {"vague_name", "hard_to_describe", "shallow_class", "conjoined_methods", "impl_leaks_into_interface"}
 #: The facts that each detector reads.
 NEEDS: dict[str, str] = {}
 #: What the call graph and the types of variables are made of.

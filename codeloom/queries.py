@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import graph
-from .operators.detectors import DETECTORS, PROJECT, effect_sets, facts_for, function_effects
+from .operators.detectors import DETECTORS, PROJECT, SEVERAL, effect_sets, facts_for, function_effects
 from .operators.suppress import baseline_of, evidence_hash, inline_ignores, unsuppressed
 from .plans.facts import Facts, module_of
 from .plans.report import excerpt, summary, tolerant_json, with_verdicts
@@ -26,6 +26,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task should turn into files.
+ROWS_EACH = 20_000
+
+
+def _spread(rows: DataFrame, key: str, files_each: int = 1) -> DataFrame:
+    """rows dealt out for the parsing of the files written from them: a task for each ROWS_EACH files, one a core at least.
+    The files are written after that, so that no source is shuffled."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, -(-rows.count() * files_each // ROWS_EACH)), key)
+
+
 def _lines(n: str, each: str, sep: str = "\\n") -> str:
     """SQL for `each` (an expression of i) for i from 1 to n."""
     return f"array_join(transform(IF(({n}) > 0, sequence(1, int({n})), array()), i -> {each}), '{sep}')"
@@ -36,9 +47,9 @@ def _of_parts(name: str, source: str, sql: str, measure: bool = True, **params)
     keys, the findings' lines and measures."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        part = _table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+        part = _spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
         files = part.selectExpr("concat('pkg/p', p_partkey, '.py') AS path", f"{source} AS source")
-        found = DETECTORS[name](facts_for(files, [name], keep=name in PROJECT), **params)
+        found = DETECTORS[name](facts_for(files, [name], keep=name in PROJECT | SEVERAL), **params)
         columns = [F.regexp_extract("file", r"p(\d+)\.py", 1).cast("long").alias("p_partkey"), F.col("line").cast("int").alias("line")]
         return found.select(*columns, *([F.round("measure", 6).alias("measure")] if measure else []))
 
@@ -46,7 +57,7 @@ def _of_parts(name: str, source: str, sql: str, measure: bool = True, **params)
 
 
 def _config_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism, "l_orderkey")  # parsing is the work here
+    lines = _spread(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")  # parsing is the work here
     rows = lines.selectExpr("concat(l_orderkey, '_', l_linenumber, '.py') AS path", f"""concat('def f(', {_lines("l_linenumber + 3", "concat('p', i)", ", ")}, '):\\n    pass\\n') AS source""")
     key = F.split(F.regexp_replace("file", r"\.py$", ""), "_")
     return DETECTORS["config_explosion"](facts_for(rows, ["config_explosion"])).select(key[0].cast("long").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), F.col("measure").cast("int").alias("n_params"))
@@ -340,9 +351,13 @@ UNION ALL SELECT concat('effects/e', p_partkey, '.py'), element_at(array(
     'import effects.e1 as m\\ndef compute_a(p):\\n    return m.run(p)\\n'), int(p_partkey % 9 + 1)) FROM part"""
 
 
+def _project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", 3)
+    return spark.sql(_PROJECT.replace("FROM part", "FROM {part}"), part=part)
+
+
 def _project(spark: SparkSession, sf_dir: str, names: list[str]) -> Facts:
-    files = spark.sql(_PROJECT.replace("FROM part", "FROM {part}"), part=_table(spark, sf_dir, "part"))
-    return facts_for(files.repartition(spark.sparkContext.defaultParallelism, "path"), names, keep=True)
+    return facts_for(_project_files(spark, sf_dir), names, keep=True)
 
 
 def _of_project(name: str, sql: str, number: str = r"/c(\d+)", measure: bool = True, **params) -> None:
@@ -376,8 +391,7 @@ FROM part WHERE p_partkey % 9 NOT IN (4, 7, 8)""", number=r"/e(\d+)", effects=ow
 SELECT 'd' || p_size || '.c' || p_partkey || '.C' || p_partkey || IF(p_partkey % 2 = 0, 'Reader', '') AS qualname, CAST(IF(p_partkey % 3 = 0 AND p_size % 13 > 0, 2, 1) AS INTEGER) AS line FROM part
 UNION ALL SELECT 'effects.e' || p_partkey || '.K', 1 FROM part WHERE p_partkey % 9 = 3""")
 def _class_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.sql(_PROJECT.replace("FROM part", "FROM {part}"), part=_table(spark, sf_dir, "part"))
-    return facts_for(files, [], more="classes(name,line,attributes)").class_attributes.where(F.size("attributes") == 0).select("qualname", "line")
+    return facts_for(_project_files(spark, sf_dir), [], more="classes(name,line,attributes)").class_attributes.where(F.size("attributes") == 0).select("qualname", "line")
 
 
 @_query("effect_sets_of_source", """

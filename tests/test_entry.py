@@ -34,3 +34,15 @@ def test_agrees_with_sql(spark, name):
     assert names == sorted(told.columns)
     rows = [tuple(r) for r in found.select(*names).collect()]
     assert sorted(rows) == sorted(told.project(", ".join(names)).fetchall())
+
+
+@pytest.mark.skipif(not TABLES.is_dir(), reason="needs the driver's tables")
+def test_files_of_a_code_base_are_parsed_by_all_cores(spark):
+    assert QUERIES["class_attributes_of_source"](spark, str(TABLES)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.skipif(not TABLES.is_dir(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["conjoined_methods", "shallow_class", "vague_name"])
+def test_files_are_parsed_once(spark, name):
+    """However many relations are made of the facts, these are read from a table."""
+    assert "MapInArrow" not in QUERIES[name](spark, str(TABLES))._jdf.queryExecution().toString()
