@@ -291,7 +291,7 @@ def info_leakage(facts: Facts, files: int = 4, attributes: int = 3) -> DataFrame
 @detector("6", "medium", "imports", project=True)
 def import_cycle(facts: Facts, shown: int = 100) -> DataFrame:
     """Modules import each other in a cycle."""
-    edges = facts.import_targets.select(F.col("path").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct()
+    edges = facts.import_targets.select(F.col("path").alias("src"), F.col("target").alias("dst"))
     nodes = written(graph.strong_components(edges), "cycles")
     first = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where(F.col("nth") <= shown)
     named = first.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), " -> ").alias("some"))

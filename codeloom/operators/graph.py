@@ -7,6 +7,11 @@ rounds grow with the logarithm of the graph; what was taken out is then settled
 paths need none of that: a few plain rounds, along one edge each, are tried first. Where nothing cheap is left (hubs,
 dense cores), paths are short again, and plain rounds do the rest. Every round is a few joins and sums of shrinking
 tables; no task or driver holds a graph.
+
+Before all that, edges are range-sorted by src and cut in pieces of at most PIECE rows. A piece has all edges of its nodes, so
+what happens within it is settled there: its strong components become one node each, and what leads to no node of another
+piece has no part in the rounds. Nodes near each other in their order (files of a folder, functions of a module) often are in
+the graph too.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +34,164 @@ STALLED = 0.95
 #: Plain rounds that are tried first.
 PLAIN = 12
 SOURCE, SINK, CHOSEN, REST = range(4)
+#: Rows of a piece.
+PIECE = 1 << 18
+
+
+def _pieces(batches, size: int):
+    """Batches sorted by src, as (rows, whole): tables of about `size` rows, and which rows are of nodes that have all their
+    rows in the piece. The first and last src of a piece may have rows in others."""
+    held, n, cut = [], 0, None
+
+    def piece(last: bool):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        src = rows["src"].combine_chunks()
+        whole = pc.fill_null(pc.not_equal(src, cut), True) if cut is not None else pa.array([True] * len(src))
+        end = src[len(src) - 1]
+        return rows, whole if last else pc.and_(whole, pc.not_equal(src, end)), end
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= size:
+            rows, whole, cut = piece(False)
+            yield rows, whole.to_pylist()
+            held, n = [], 0
+    if n:
+        rows, whole, _ = piece(True)
+        yield rows, whole.to_pylist()
+
+
+def _components(first: list[int], to: list[int]) -> list[int]:
+    """Strong components (Tarjan's) of nodes that have the edges to[first[i]:first[i + 1]], as numbers: edges lead to equal
+    or lower ones."""
+    n = len(first) - 1
+    low, number, found, at, stack, count, seen = [0] * n, [0] * n, [-1] * n, first[:], [], 0, 0
+    for root in range(n):
+        path = [] if number[root] else [root]
+        while path:
+            v = path[-1]
+            if not number[v]:
+                seen += 1
+                number[v] = low[v] = seen
+                stack.append(v)
+            if at[v] < first[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not number[w]:
+                    path.append(w)
+                elif found[w] < 0:
+                    low[v] = min(low[v], number[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == number[v]:
+                while found[v] < 0:
+                    found[stack.pop()] = count
+                count += 1
+    return found
+
+
+class _Piece:
+    """Nodes of a piece, whose edges are all in it; each one's component, that one's least node (`name`), and whether it
+    leads to a node of another piece. Edges of other nodes are `passed` on."""
+
+    def __init__(self, src: list, dst: list, whole: list[bool]):
+        self.nodes = list(dict.fromkeys(s for s, w in zip(src, whole) if w))
+        place = {node: i for i, node in enumerate(self.nodes)}
+        self.place, self.passed = place, [(s, d) for s, d, w in zip(src, dst, whole) if not w and d is not None]
+        n = len(self.nodes)
+        inner: list[list[int]] = [[] for _ in range(n)]
+        self.out: list[list] = [[] for _ in range(n)]
+        self.sinks: list[list] = [[] for _ in range(n)]
+        for s, d, w in zip(src, dst, whole):
+            if w and d is not None:
+                if d in place:
+                    inner[place[s]].append(place[d])
+                else:  # a node without rows between those of the piece has no edges
+                    (self.sinks if self.nodes[0] < d < self.nodes[-1] else self.out)[place[s]].append(d)
+        first = [0]
+        for targets in inner:
+            first.append(first[-1] + len(targets))
+        self.inner, self.of = inner, _components(first, [t for targets in inner for t in targets])
+        count = max(self.of, default=-1) + 1
+        self.members: list[list[int]] = [[] for _ in range(count)]
+        for i, c in enumerate(self.of):
+            self.members[c].append(i)
+        self.name = [self.nodes[m[0]] for m in self.members]
+        self.below = [{self.of[t] for i in m for t in inner[i]} - {c} for c, m in enumerate(self.members)]
+        self.leads = [False] * count
+        for c, m in enumerate(self.members):
+            self.leads[c] = any(self.out[i] for i in m) or any(self.leads[b] for b in self.below[c])
+
+    def left(self) -> list[tuple]:
+        """Edges between components that may be part of paths through other pieces."""
+        found = list(self.passed)
+        for c, m in enumerate(self.members):
+            found += [(self.name[c], self.name[b]) for b in self.below[c] if self.leads[b]]
+            found += [(self.name[c], d) for d in {d for i in m for d in self.out[i]}]
+        return found
+
+
+def _by_src(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("src").sortWithinPartitions("src")
+
+
+def _contracted(edges: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, label) of the nodes that share a component within a piece, and the edges that are left between labels."""
+    size = size or PIECE
+
+    def run(batches):
+        for rows, whole in _pieces(batches, size):
+            src, dst = (rows[c].to_pylist() for c in ("src", "dst"))
+            piece = _Piece(src, dst, whole)
+            same = [(piece.nodes[i], piece.name[c]) for c, m in enumerate(piece.members) if len(m) > 1 for i in m]
+            left = piece.left()
+            columns = [pa.array([x[at] for x in same + left], rows.schema.field("src").type) for at in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([True] * len(same) + [False] * len(left), pa.bool_())], ["src", "dst", "same"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    found = written(_by_src(edges).mapInArrow(run, f"src {kind}, dst {kind}, same boolean"), "pieces")
+    labels, left = found.where("same").select(F.col("src").alias("node"), F.col("dst").alias("label")), found.where("not same").select("src", "dst")
+    known = labels.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").toDF("dst", "label")
+    return labels, left.join(known, "dst", "left").select("src", F.coalesce("label", "dst").alias("dst"))
+
+
+def _settled(masks: DataFrame, edges: DataFrame, columns: list[str], size: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """masks of nodes that lead to no other piece, united with all they reach; those of others with what they reach in
+    their own; and the edges that are left."""
+    size = size or PIECE
+
+    def run(batches):
+        for rows, whole in _pieces(batches, size):
+            src, dst, *bits = (rows[c].to_pylist() for c in ("src", "dst", *columns))
+            piece = _Piece(src, dst, whole)
+            own, more = [[0] * len(columns) for _ in piece.members], []
+            for nth, (s, d, w) in enumerate(zip(src, dst, whole)):
+                if d is None and w:
+                    into = own[piece.of[piece.place[s]]]
+                    for b, column in enumerate(bits):
+                        into[b] |= column[nth]
+                elif d is None:
+                    more.append((s, None, False, *(column[nth] for column in bits)))
+            for c, m in enumerate(piece.members):
+                for b in piece.below[c]:
+                    own[c] = [x | y for x, y in zip(own[c], own[b])]
+                if any(own[c]):
+                    more += [(piece.nodes[i], None, not piece.leads[c], *own[c]) for i in m]
+                if piece.leads[c]:
+                    more += [(piece.nodes[i], piece.name[c], False, *[0] * len(columns)) for i in m[1:]]
+            more += [(s, d, False, *[0] * len(columns)) for s, d in piece.left()]
+            kinds = [rows.schema.field("src").type] * 2 + [pa.bool_()] + [pa.int64()] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*more), kinds)] if more else [pa.array([], t) for t in kinds], ["src", "dst", "final", *columns])
+
+    kind = edges.schema["src"].dataType
+    rows = edges.select("src", "dst", *[F.lit(0).cast("long").alias(c) for c in columns]).unionByName(masks.select(F.col("node").cast(kind).alias("src"), F.lit(None).cast(kind).alias("dst"), *columns))
+    found = written(_by_src(rows).mapInArrow(run, ", ".join([f"src {kind.simpleString()}, dst {kind.simpleString()}, final boolean", *(f"{c} long" for c in columns)])), "pieces")
+    of = lambda test: found.where(test).select(F.col("src").alias("node"), *columns)
+    return of("dst is null and final"), of("dst is null and not final"), found.where("dst is not null").select("src", "dst").distinct()
 
 
 def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,10 +205,53 @@ def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, known)
 
 
+def _closed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs (src, dst) of nodes that lead to no other piece, and the edges of all other nodes."""
+    size = PIECE
+
+    def pairs(piece: _Piece):
+        for c, m in enumerate(piece.members):
+            if not piece.leads[c]:
+                seen, todo = {c} if len(m) > 1 or m[0] in piece.inner[m[0]] else set(), list(piece.below[c])
+                while todo:
+                    if (b := todo.pop()) not in seen:
+                        seen.add(b)
+                        todo += piece.below[b]
+                ends = [piece.nodes[i] for b in seen for i in piece.members[b]] + list({d for b in seen | {c} for i in piece.members[b] for d in piece.sinks[i]})
+                for i in m:
+                    yield [piece.nodes[i]] * len(ends), ends, True
+            else:
+                for i in m:
+                    ends = [piece.nodes[t] for t in piece.inner[i]] + piece.out[i] + piece.sinks[i]
+                    yield [piece.nodes[i]] * len(ends), ends, False
+        for s, d in piece.passed:
+            yield [s], [d], False
+
+    def run(batches):
+        for rows, whole in _pieces(batches, size):
+            kinds, held = [rows.schema.field("src").type] * 2 + [pa.bool_()], ([], [], [])
+            for src, dst, closed in pairs(_Piece(*(rows[c].to_pylist() for c in ("src", "dst")), whole)):
+                for at in range(0, len(src), 1 << 16):
+                    for column, more in zip(held, (src[at : at + (1 << 16)], dst[at : at + (1 << 16)])):
+                        column.extend(more)
+                    held[2].extend([closed] * (len(held[0]) - len(held[2])))
+                    if len(held[0]) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, kinds)], ["src", "dst", "closed"])
+                        held = ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, kinds)], ["src", "dst", "closed"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    found = written(_by_src(edges).mapInArrow(run, f"src {kind}, dst {kind}, closed boolean"), "pieces")
+    return found.where("closed").select("src", "dst"), found.where("not closed").select("src", "dst").distinct()
+
+
 def reachable(edges: DataFrame) -> DataFrame:
     """(src, dst) for every path of at least one edge."""
-    pairs = propagate(edges.select(F.col("src").alias("node"), F.col("dst").alias("value")), edges)
-    return pairs.select(F.col("node").alias("src"), F.col("value").alias("dst"))
+    closed, edges = _closed(edges.select("src", "dst").where("src is not null and dst is not null"))
+    needed = closed.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    pairs = propagate(edges.unionByName(needed).toDF("node", "value"), edges)
+    pairs = pairs.select(F.col("node").alias("src"), F.col("value").alias("dst"))
+    return closed.unionByName(pairs.join(needed.select("src").distinct(), "src", "left_anti"))
 
 
 @dataclass
@@ -152,7 +360,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     A chosen node is in a component if some edge into it and some edge out of it have their other ends in that component;
     if both ends are one node, the two are a component. Sources and sinks are in none.
     """
-    left = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    within, left = _contracted(edges.select("src", "dst").where("src <> dst"))
+    left = written(left.where("src <> dst").distinct(), "edges")
     both = left.select(F.col("src").alias("node")).intersect(left.select("dst"))
     left = written(left.join(both.toDF("src"), "src", "left_semi").join(both.toDF("dst"), "dst", "left_semi"), "edges")
     labels, most = left.select(F.col("src").alias("node"), F.col("src").alias("label")).where("false"), PLAIN
@@ -173,6 +382,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         joined = into.join(out, ["chosen", "label"])
         ends = joined.select(F.explode(F.array("chosen", "label")).alias("node"), "label")
         labels = written(labels.unionByName(ends).distinct(), "labels")
+    # what a piece has as one node is in that node's component; nodes of no piece's components are as they are
+    outer = labels.toDF("name", "outer")
+    inside = within.join(outer, F.col("label") == F.col("name"), "left").select("node", F.coalesce("outer", "label").alias("label"))
+    labels = written(inside.unionByName(labels.join(within.select(F.col("label").alias("node")).distinct(), "node", "left_anti")), "labels")
     named = labels.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
     return labels.join(named, "label").select("node", "component")
 
@@ -204,7 +417,15 @@ def propagate_masks(masks: DataFrame, edges: DataFrame) -> DataFrame:
     """masks (node, and longs whose bits are the members of a set) united, at each node, with those of all nodes that it
     reaches along edges (src, dst). Nodes without bits have no row."""
     columns = [c for c in masks.columns if c != "node"]
-    masks, edges = written(_united(masks), "masks"), written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    final, masks, edges = _settled(_united(masks), edges.select("src", "dst").where("src <> dst"), columns)
+    edges = written(edges, "edges")
+    needed = final.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+    masks = _spread_masks(written(_united(masks.unionByName(needed)), "masks"), edges, columns)
+    return final.unionByName(masks.join(needed.select("node"), "node", "left_anti"))
+
+
+def _spread_masks(masks: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
+    """The same for masks of one row a node and distinct edges."""
     masks, settled = _spread(masks, edges, columns, PLAIN)
     if settled:
         return masks

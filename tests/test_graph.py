@@ -83,3 +83,33 @@ def test_none(spark):
     masks = spark.createDataFrame([(1, 2)], "node long, m0 long")
     assert [tuple(r) for r in graph.propagate_masks(masks, none).collect()] == [(1, 2)]
     assert graph.propagate_masks(masks.limit(0), spark.createDataFrame([(1, 2)], "src long, dst long")).count() == 0
+
+
+def test_pieces_of_a_few_edges(spark, monkeypatch):
+    """Pieces that cut components, nodes and chains in two agree with plain searches, all pairs too."""
+    rng = random.Random(5)
+    parts = [[(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for n, m in ((8, 10), (30, 40), (40, 60))]
+    pairs = [(1000 * n + a, 1000 * n + b) for n, part in enumerate(parts) for a, b in part] + [(-9, -8), (-8, -8), (-7, -9)]
+    monkeypatch.setattr(graph, "PIECE", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        check(spark, pairs)
+        told = graph.reachable(spark.createDataFrame(pairs, "src long, dst long")).collect()
+        out = {}
+        for a, b in pairs:
+            out.setdefault(a, set()).add(b)
+        reach = searched(pairs)
+        want = {(a, c) for a, bs in out.items() for b in bs for c in reach[b]}
+        assert len(told) == len(want) and {tuple(r) for r in told} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_what_lies_in_a_piece_takes_no_rounds(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(graph, "_coloured", none)
+    monkeypatch.setattr(graph, "_carried", lambda edges, masks, real=graph._carried: none() if edges.count() else real(edges, masks))
+    blocks = [(12 * n + k, 12 * n + (k * 7 + n) % 12) for n in range(50) for k in range(12)]
+    check(spark, blocks)
