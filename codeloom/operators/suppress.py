@@ -29,12 +29,13 @@ WIDTHS = tuple(64 << 4 * level for level in range(7))
 def unsuppressed(findings: DataFrame, ignores: DataFrame, baseline: DataFrame | None = None, rel_path: Column | None = None) -> DataFrame:
     """findings without those of an ignored file, those with an ignored line between line and end_line, and those of
     the baseline (detector, rel_path, line, evidence_hash)."""
-    files = ignores.where("line is null").select(F.col("path").alias("file"))
+    # the accepting sides are hashed, so findings, of which there are far more, are neither sorted nor held
+    files = ignores.where("line is null").select(F.col("path").alias("file")).distinct().hint("shuffle_hash")
     at = ignores.where("line is not null").select("path", F.col("line").alias("at"), "name").distinct()
     left = findings.join(files, "file", "left_anti")
     end = F.coalesce("end_line", "line")
     width = F.coalesce(*[F.when(end - F.col("line") < w, F.lit(w)) for w in WIDTHS])
-    bins = at.withColumn("of", F.explode(F.array(*map(F.lit, WIDTHS)))).withColumn("bin", F.floor(F.col("at") / F.col("of")))
+    bins = at.withColumn("of", F.explode(F.array(*map(F.lit, WIDTHS)))).withColumn("bin", F.floor(F.col("at") / F.col("of"))).hint("shuffle_hash")
     for edge in (F.col("line"), end):
         inside = (F.col("file") == F.col("path")) & (width == F.col("of")) & (F.floor(edge / width) == F.col("bin"))
         inside &= F.col("at").between(F.col("line"), end) & (F.col("name").isNull() | (F.col("name") == F.col("detector")))
@@ -42,7 +43,7 @@ def unsuppressed(findings: DataFrame, ignores: DataFrame, baseline: DataFrame |
     if baseline is None:
         return left
     key = left.withColumns({"rel_path": F.col("file") if rel_path is None else rel_path, "evidence_hash": evidence_hash()})
-    return key.join(baseline, ["detector", "rel_path", "line", "evidence_hash"], "left_anti").select(findings.columns)
+    return key.join(baseline.hint("shuffle_hash"), ["detector", "rel_path", "line", "evidence_hash"], "left_anti").select(findings.columns)
 
 
 def baseline_of(findings: DataFrame, rel_path: Column) -> DataFrame:

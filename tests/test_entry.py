@@ -46,3 +46,9 @@ def test_files_of_a_code_base_are_parsed_by_all_cores(spark):
 def test_files_are_parsed_once(spark, name):
     """However many relations are made of the facts, these are read from a table."""
     assert "MapInArrow" not in QUERIES[name](spark, str(TABLES))._jdf.queryExecution().toString()
+
+
+@pytest.mark.skipif(not TABLES.is_dir(), reason="needs the driver's tables")
+def test_findings_are_not_sorted_to_be_suppressed(spark):
+    plan = QUERIES["suppressed"](spark, str(TABLES))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
