@@ -586,6 +586,26 @@ def test_matrix_skips_nothing(dense, monkeypatch):
     assert sorted(matrix.search(packed, floors, 5)) == sorted((q, d, s) for q, d, s in hits if (-s, d) < third[q])
 
 
+def test_chunks_are_not_copied_for_every_shard(docs):
+    """Chunks meet indexes in a cartesian product; no row is made, shuffled and sorted for each pair of them."""
+    plan = bm25_search.top_k(docs, docs.selectExpr("doc_id AS query_id", "text"), k=4, shard_bytes=1500)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+
+
+def test_index_of_a_shard_is_kept_whole():
+    """As one row, with documents without an id in the numbers of documents only."""
+    texts = [prose(random.randint(0, 60)).encode() for _ in range(50)]
+    ids = [None if i % 7 == 0 else i * 10**12 for i in range(50)]
+    shard = bm25_search.pa.table({"shard": [3] * 50, "doc_id": bm25_search.pa.array(ids, bm25_search.pa.int64()), "text": [t.decode() for t in texts]})
+    row, plain = bm25_search._indexed(shard).to_pylist()[0], bm25_search.Index(20.0)
+    plain.add([i for i in ids if i is not None], [t for i, t in zip(ids, texts) if i is not None], bm25_search.WordHasher())
+    plain.close()
+    got = bm25_search.Index.unpacked(row["terms"], row["postings"], 20.0)
+    assert all(np.array_equal(getattr(got, x), getattr(plain, x)) for x in ("ids", "terms", "docs", "impacts"))
+    df = collections.Counter(t for x in texts for t in set(bm25_search.terms_of(x, bm25_search.WordHasher()).tolist()))
+    assert dict(zip(np.frombuffer(row["terms"], np.uint64).tolist(), np.frombuffer(row["df"], np.uint32).tolist())) == df and row["n"] == 50
+
+
 def test_wand_skips_nothing():
     for _ in range(200):
         lists, every = [], collections.Counter()
