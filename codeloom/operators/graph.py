@@ -11,7 +11,9 @@ tables; no task or driver holds a graph.
 Before all that, edges are range-sorted by src and cut in pieces of at most PIECE rows. A piece has all edges of its nodes, so
 what happens within it is settled there: its strong components become one node each, and what leads to no node of another
 piece has no part in the rounds. Nodes near each other in their order (files of a folder, functions of a module) often are in
-the graph too.
+the graph too. Long ways through a piece are made short there: of what leads to other pieces, nodes with few ways through them
+that no other piece leads to go, each way an edge; when the rounds are done, they are settled in their piece again. A chain or
+ring of all nodes in order leaves a few nodes a piece.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,32 +143,139 @@ def _by_src(rows: DataFrame) -> DataFrame:
 
 
 def _contracted(edges: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(node, label) of the nodes that share a component within a piece, and the edges that are left between labels."""
+    """(node, label) of the nodes that share a component within a piece, and the edges that are left between labels, with the
+    piece that has all of src's (null if several do)."""
     size = size or PIECE
 
     def run(batches):
-        for rows, whole in _pieces(batches, size):
+        for nth, (rows, whole) in enumerate(_pieces(batches, size)):
             src, dst = (rows[c].to_pylist() for c in ("src", "dst"))
             piece = _Piece(src, dst, whole)
             same = [(piece.nodes[i], piece.name[c]) for c, m in enumerate(piece.members) if len(m) > 1 for i in m]
             left = piece.left()
             columns = [pa.array([x[at] for x in same + left], rows.schema.field("src").type) for at in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([True] * len(same) + [False] * len(left), pa.bool_())], ["src", "dst", "same"])
+            numbers = [None] * (len(same) + len(piece.passed)) + [_number(nth)] * (len(left) - len(piece.passed))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([True] * len(same) + [False] * len(left), pa.bool_()), pa.array(numbers, pa.int64())], ["src", "dst", "same", "piece"])
 
     kind = edges.schema["src"].dataType.simpleString()
-    found = written(_by_src(edges).mapInArrow(run, f"src {kind}, dst {kind}, same boolean"), "pieces")
-    labels, left = found.where("same").select(F.col("src").alias("node"), F.col("dst").alias("label")), found.where("not same").select("src", "dst")
+    found = written(_by_src(edges).mapInArrow(run, f"src {kind}, dst {kind}, same boolean, piece long"), "pieces")
+    labels, left = found.where("same").select(F.col("src").alias("node"), F.col("dst").alias("label")), found.where("not same").select("src", "dst", "piece")
     known = labels.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").toDF("dst", "label")
-    return labels, left.join(known, "dst", "left").select("src", F.coalesce("label", "dst").alias("dst"))
+    return labels, left.join(known, "dst", "left").select("src", F.coalesce("label", "dst").alias("dst"), "piece")
+
+
+def _number(nth: int) -> int:
+    """Of a task's nth piece."""
+    return TaskContext.get().partitionId() << 32 | nth
+
+
+#: A node with more ways into it or out of it stays.
+MOST_WAYS = 8
+
+
+def _shorter(src: list, dst: list, entered: list) -> list[tuple]:
+    """The edges of a piece without the nodes that have few ways through them and no way in from another piece."""
+    out: dict = {}
+    for s, d in zip(src, dst):
+        out.setdefault(s, set()).add(d)
+    into: dict = {node: set() for node in out}
+    for s, targets in out.items():
+        for d in targets & into.keys():
+            into[d].add(s)
+    kept = {s for s, e in zip(src, entered) if e}
+    for v in [node for node in out if node not in kept]:
+        a, b = into[v], out[v]
+        if v in a or max(len(a), len(b)) > MOST_WAYS or len(a) * len(b) > len(a) + len(b):
+            continue
+        for s in a:
+            out[s].discard(v)
+            out[s] |= b
+        for d in b & into.keys():
+            into[d].discard(v)
+            into[d] |= a
+        del out[v], into[v]
+    return [(s, d) for s, targets in out.items() for d in targets]
+
+
+def _shortened(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, piece) of which each piece's are made short: src, dst."""
+    of = edges.select(F.col("src").alias("dst"), F.col("piece").alias("to")).distinct()
+    # a piece leads to its own nodes, to another's, or to such as several have
+    crossing = edges.join(of, "dst", "left").where("piece is null or to is null or piece <> to")
+    marked = edges.where("piece is not null").join(crossing.select(F.col("dst").alias("src"), F.lit(True).alias("entered")).distinct(), "src", "left")
+
+    def run(rows: pa.Table) -> pa.Table:
+        left = _shorter(*(rows[c].to_pylist() for c in ("src", "dst", "entered")))
+        return pa.table([pa.array([x[at] for x in left], rows.schema.field("src").type) for at in (0, 1)], ["src", "dst"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    short = marked.groupBy("piece").applyInArrow(run, f"src {kind}, dst {kind}")
+    return written(short.where("src <> dst").unionByName(edges.where("piece is null").select("src", "dst")).distinct(), "edges")
+
+
+def _numbered(src: list, dst: list) -> tuple[dict, list[int]]:
+    """The nodes' places, and their components in the order of _components."""
+    place = {node: i for i, node in enumerate(dict.fromkeys([*src, *dst]))}
+    to: list[list[int]] = [[] for _ in place]
+    for s, d in zip(src, dst):
+        to[place[s]].append(place[d])
+    first = [0]
+    for targets in to:
+        first.append(first[-1] + len(targets))
+    return place, _components(first, [t for targets in to for t in targets])
+
+
+def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels, and those of the nodes of each piece (src, dst, piece) that lie on ways between nodes of one label."""
+    here = edges.where("piece is not null")
+    for end in ("src", "dst"):
+        here = here.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+
+    def run(rows: pa.Table) -> pa.Table:
+        src, dst, *known = (rows[c].to_pylist() for c in ("src", "dst", "src_label", "dst_label"))
+        # nodes of a label are one
+        s, d = ([(label is not None, node if label is None else label) for node, label in zip(*ends)] for ends in ((src, known[0]), (dst, known[1])))
+        place, of = _numbered(s, d)
+        label_of = {of[i]: node for (labelled, node), i in place.items() if labelled}
+        found = {node: label_of[c] for node, x in zip(src, s) if not x[0] and (c := of[place[x]]) in label_of}
+        return pa.table([pa.array(x, rows.schema.field("src").type) for x in (list(found), list(found.values()))], ["node", "label"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return labels.unionByName(here.groupBy("piece").applyInArrow(run, f"node {kind}, label {kind}"))
+
+
+def _united_in_pieces(masks: DataFrame, edges: DataFrame, known: DataFrame, rest: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each piece's nodes (src of src, dst, piece) that aren't in rest (node): masks united with what they reach. known
+    are the united masks of nodes in rest."""
+    here = edges.where("piece is not null").join(rest.withColumn("is_in", F.lit(True)).withColumnRenamed("node", "src"), "src", "left_anti")
+    places = here.select("src", "piece").distinct()
+    whole = known.select(F.col("node").alias("dst"), *columns)
+    own = places.join(masks.withColumnRenamed("node", "src"), "src").select("src", F.col("src").alias("dst"), "piece", *columns)
+    rows = here.select("src", "dst", "piece").join(whole, "dst", "left").select("src", "dst", "piece", *columns).unionByName(own)
+
+    def run(rows: pa.Table) -> pa.Table:
+        src, dst, *bits = (rows[c].to_pylist() for c in ("src", "dst", *columns))
+        place, of = _numbered(src, dst)
+        sets = [[0] * len(columns) for _ in range(max(of, default=-1) + 1)]
+        # a row's bits are those of its dst, or of src itself; components that edges lead to have lower numbers
+        for nth in sorted(range(len(src)), key=lambda i: of[place[src[i]]]):
+            into, found = sets[of[place[src[nth]]]], sets[of[place[dst[nth]]]]
+            for b, column in enumerate(bits):
+                into[b] |= found[b] | (column[nth] or 0)
+        nodes = [n for n in dict.fromkeys(src) if any(sets[of[place[n]]])]
+        return pa.table([pa.array(nodes, rows.schema.field("src").type), *(pa.array([sets[of[place[n]]][b] for n in nodes], pa.int64()) for b in range(len(columns)))], ["node", *columns])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return rows.groupBy("piece").applyInArrow(run, ", ".join([f"node {kind}", *(f"{c} long" for c in columns)]))
 
 
 def _settled(masks: DataFrame, edges: DataFrame, columns: list[str], size: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """masks of nodes that lead to no other piece, united with all they reach; those of others with what they reach in
-    their own; and the edges that are left."""
+    their own; and the edges that are left, with the piece that has all of src's (null if several do)."""
     size = size or PIECE
 
     def run(batches):
-        for rows, whole in _pieces(batches, size):
+        for at, (rows, whole) in enumerate(_pieces(batches, size)):
             src, dst, *bits = (rows[c].to_pylist() for c in ("src", "dst", *columns))
             piece = _Piece(src, dst, whole)
             own, more = [[0] * len(columns) for _ in piece.members], []
@@ -175,23 +285,23 @@ def _settled(masks: DataFrame, edges: DataFrame, columns: list[str], size: int |
                     for b, column in enumerate(bits):
                         into[b] |= column[nth]
                 elif d is None:
-                    more.append((s, None, False, *(column[nth] for column in bits)))
+                    more.append((s, None, False, None, *(column[nth] for column in bits)))
             for c, m in enumerate(piece.members):
                 for b in piece.below[c]:
                     own[c] = [x | y for x, y in zip(own[c], own[b])]
                 if any(own[c]):
-                    more += [(piece.nodes[i], None, not piece.leads[c], *own[c]) for i in m]
+                    more += [(piece.nodes[i], None, not piece.leads[c], None, *own[c]) for i in m]
                 if piece.leads[c]:
-                    more += [(piece.nodes[i], piece.name[c], False, *[0] * len(columns)) for i in m[1:]]
-            more += [(s, d, False, *[0] * len(columns)) for s, d in piece.left()]
-            kinds = [rows.schema.field("src").type] * 2 + [pa.bool_()] + [pa.int64()] * len(columns)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*more), kinds)] if more else [pa.array([], t) for t in kinds], ["src", "dst", "final", *columns])
+                    more += [(piece.nodes[i], piece.name[c], False, _number(at), *[0] * len(columns)) for i in m[1:]]
+            more += [(s, d, False, None if i < len(piece.passed) else _number(at), *[0] * len(columns)) for i, (s, d) in enumerate(piece.left())]
+            kinds = [rows.schema.field("src").type] * 2 + [pa.bool_(), pa.int64()] + [pa.int64()] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*more), kinds)] if more else [pa.array([], t) for t in kinds], ["src", "dst", "final", "piece", *columns])
 
     kind = edges.schema["src"].dataType
     rows = edges.select("src", "dst", *[F.lit(0).cast("long").alias(c) for c in columns]).unionByName(masks.select(F.col("node").cast(kind).alias("src"), F.lit(None).cast(kind).alias("dst"), *columns))
-    found = written(_by_src(rows).mapInArrow(run, ", ".join([f"src {kind.simpleString()}, dst {kind.simpleString()}, final boolean", *(f"{c} long" for c in columns)])), "pieces")
+    found = written(_by_src(rows).mapInArrow(run, ", ".join([f"src {kind.simpleString()}, dst {kind.simpleString()}, final boolean, piece long", *(f"{c} long" for c in columns)])), "pieces")
     of = lambda test: found.where(test).select(F.col("src").alias("node"), *columns)
-    return of("dst is null and final"), of("dst is null and not final"), found.where("dst is not null").select("src", "dst").distinct()
+    return of("dst is null and final"), of("dst is null and not final"), found.where("dst is not null").select("src", "dst", "piece").distinct()
 
 
 def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -363,7 +473,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     within, left = _contracted(edges.select("src", "dst").where("src <> dst"))
     left = written(left.where("src <> dst").distinct(), "edges")
     both = left.select(F.col("src").alias("node")).intersect(left.select("dst"))
-    left = written(left.join(both.toDF("src"), "src", "left_semi").join(both.toDF("dst"), "dst", "left_semi"), "edges")
+    long = written(left.join(both.toDF("src"), "src", "left_semi").join(both.toDF("dst"), "dst", "left_semi"), "edges")
+    left = _shortened(long)
     labels, most = left.select(F.col("src").alias("node"), F.col("src").alias("label")).where("false"), PLAIN
     rounds: list[Round] = []
     while not left.isEmpty():
@@ -382,6 +493,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         joined = into.join(out, ["chosen", "label"])
         ends = joined.select(F.explode(F.array("chosen", "label")).alias("node"), "label")
         labels = written(labels.unionByName(ends).distinct(), "labels")
+    labels = written(_labelled(long, labels), "labels")
     # what a piece has as one node is in that node's component; nodes of no piece's components are as they are
     outer = labels.toDF("name", "outer")
     inside = within.join(outer, F.col("label") == F.col("name"), "left").select("node", F.coalesce("outer", "label").alias("label"))
@@ -420,7 +532,11 @@ def propagate_masks(masks: DataFrame, edges: DataFrame) -> DataFrame:
     final, masks, edges = _settled(_united(masks), edges.select("src", "dst").where("src <> dst"), columns)
     edges = written(edges, "edges")
     needed = final.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-    masks = _spread_masks(written(_united(masks.unionByName(needed)), "masks"), edges, columns)
+    short, masks = _shortened(edges), written(_united(masks.unionByName(needed)), "masks")
+    rest = written(short.select(F.col("src").alias("node")).union(short.select("dst")).distinct(), "rest")
+    inner = edges.where("piece is not null").select(F.col("src").alias("node")).distinct().join(rest, "node", "left_anti")
+    known = _spread_masks(written(masks.join(inner, "node", "left_anti"), "masks"), short, columns)
+    masks = known.unionByName(_united_in_pieces(masks, edges, known, rest, columns))
     return final.unionByName(masks.join(needed.select("node"), "node", "left_anti"))
 
 

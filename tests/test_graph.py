@@ -113,3 +113,22 @@ def test_what_lies_in_a_piece_takes_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "_carried", lambda edges, masks, real=graph._carried: none() if edges.count() else real(edges, masks))
     blocks = [(12 * n + k, 12 * n + (k * 7 + n) % 12) for n in range(50) for k in range(12)]
     check(spark, blocks)
+
+
+def test_long_ways_are_short_outside_of_their_pieces(spark, monkeypatch):
+    """A ring with a chain into it, cut in pieces: a few edges of each go on to rounds; all nodes are settled again."""
+    left, one = [], graph._shortened
+    monkeypatch.setattr(graph, "_shortened", lambda edges: left.append(one(edges)) or left[-1])
+    monkeypatch.setattr(graph, "PIECE", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 32)
+    try:
+        n = 1000
+        ring = [(i, (i + 1) % n) for i in range(n)] + [(n + i, n + i + 1) for i in range(200)] + [(n + 200, 0)]
+        edges = spark.createDataFrame(ring, "src long, dst long")
+        assert {tuple(r) for r in graph.strong_components(edges).select("node", "component").collect()} == {(i, 0) for i in range(n)}
+        masks = spark.createDataFrame([(500, 1), (n + 150, 2)], "node long, m0 long")
+        got = {r.node: r.m0 for r in graph.propagate_masks(masks, edges).collect()}
+        assert got == {i: 1 for i in range(n)} | {n + i: 3 if i <= 150 else 1 for i in range(201)}
+        assert len(left) == 2 and all(x.count() < 200 for x in left)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
