@@ -77,6 +77,21 @@ def detector(rubric: str, severity: str, needs: str, project: bool = False):
     return register
 
 
+#: Rows that a task of a join should have.
+TASK_ROWS = 1_000_000
+
+
+def tasks_of(rows: DataFrame) -> int:
+    """So many tasks as rows are dealt to, or 0 where a shuffle's own do."""
+    n = -(-rows.count() // TASK_ROWS)
+    return n if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows hashed by keys to n tasks, as what they are joined with has to be, so that a task's memory doesn't grow with the input."""
+    return rows.repartition(n, *keys) if n else rows
+
+
 def public(name: str = "name") -> Column:
     return ~F.col(name).startswith("_")
 
@@ -280,12 +295,20 @@ def temporal_decomposition(facts: Facts, threshold: int = 3) -> DataFrame:
 @detector("6", "medium", "classes(name,line) functions(name,returns) vars attrs", project=True)
 def info_leakage(facts: Facts, files: int = 4, attributes: int = 3) -> DataFrame:
     """Knowledge of a class is spread over files."""
-    home = facts.classes.groupBy("name").agg(F.min(F.struct("path", "place", "line")).alias("home"))
     local = facts.local_types.select("path", F.col("name").alias("receiver"), F.col("type").alias("name"))
-    used = facts.attrs.where(public("attr")).join(local, ["path", "receiver"]).join(home, "name").where("path <> home.path")
-    g = used.groupBy("name", "home").agg(F.count_distinct("path").alias("n"), F.count_distinct("attr").alias("measure"), F.array_sort(F.collect_set("path")).alias("paths")).where((F.col("n") >= files) & (F.col("measure") >= attributes))
+    attrs = facts.attrs.where(public("attr")).select("path", "receiver", "attr")
+    n = tasks_of(attrs)
+    used = dealt(attrs, n, "path", "receiver").join(dealt(local, n, "path", "receiver"), ["path", "receiver"]).select("name", "path", "attr")
+    home = dealt(facts.classes.select("name", "path", "place", "line"), n, "name").groupBy("name").agg(F.min(F.struct("path", "place", "line")).alias("home"))
+    used = dealt(used, n, "name").join(home, "name").where("path <> home.path")
+    # a class's rows are in one task now, so that different files and attributes are found without another shuffle
+    value = F.explode(F.array(F.struct(F.lit(True).alias("is_file"), F.col("path").alias("value")), F.struct(F.lit(False).alias("is_file"), F.col("attr").alias("value"))))
+    both = used.select("name", "home", value.alias("x")).select("name", "home", "x.*").distinct()
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy("name", "is_file").orderBy("value")))
+    first = F.sort_array(F.collect_list(F.when(F.col("is_file") & (F.col("nth") <= 5), F.col("value"))))
+    g = both.groupBy("name", "home").agg(F.count_if("is_file").alias("n"), F.count_if(~F.col("is_file")).alias("measure"), first.alias("paths")).where((F.col("n") >= files) & (F.col("measure") >= attributes))
     more = F.when(F.col("n") > 5, F.format_string("(+%d more)", F.col("n") - 5))
-    return g.select(F.col("home.path").alias("file"), "home.line", F.concat_ws(" ", F.array_join(F.slice("paths", 1, 5), ", "), more).alias("evidence"), "measure")
+    return g.select(F.col("home.path").alias("file"), "home.line", F.concat_ws(" ", F.array_join("paths", ", "), more).alias("evidence"), "measure")
 
 
 @detector("6", "medium", "imports", project=True)

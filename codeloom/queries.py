@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import graph
-from .operators.detectors import DETECTORS, PROJECT, SEVERAL, effect_sets, facts_for, function_effects
+from .operators.detectors import DETECTORS, PROJECT, SEVERAL, dealt, effect_sets, facts_for, function_effects, tasks_of
 from .operators.suppress import baseline_of, evidence_hash, inline_ignores, unsuppressed
 from .plans.facts import Facts, module_of
 from .plans.report import excerpt, summary, tolerant_json, with_verdicts
@@ -145,7 +145,7 @@ def _info_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     attr = F.when(F.col("l_partkey") % 2 == 0, F.col("l_linenumber")).otherwise(F.col("l_linenumber") % 2)
     rows = _table(spark, sf_dir, "lineitem").select(reader.cast("string").alias("path"), F.col("l_partkey").cast("string").alias("name"), F.concat(F.lit("a"), attr).alias("attr"))
     classes = rows.select("name").distinct().select("name", (F.col("name").cast("long") % 100).cast("string").alias("path"), F.lit(0).alias("place"), F.lit(1).alias("line"))
-    types = rows.select("path", F.concat(F.lit("v"), "name").alias("v"), F.col("name").alias("type")).distinct().select("path", F.col("v").alias("name"), "type")
+    types = dealt(rows.select("path", F.concat(F.lit("v"), "name").alias("v"), F.col("name").alias("type")), tasks_of(rows), "path", "v").distinct().select("path", F.col("v").alias("name"), "type")
     attrs = rows.select("path", F.concat(F.lit("v"), "name").alias("receiver"), "attr", F.lit(1).alias("line"))
     found = DETECTORS["info_leakage"](Facts(classes=classes.withColumn("line", F.col("name").cast("int")), local_types=types, attrs=attrs))
     return found.select(F.col("line").cast("long").alias("l_partkey"), "measure")

@@ -412,3 +412,24 @@ def test_statements_and_calls_inside_are_counted_without_contexts():
     source = "class A:\n    def m(self, x):\n        try:\n            x = [self._a(y) for y in x]\n        except E:\n            pass\n        match x:\n            case 1 if self._b():\n                pass\n        return x\n"
     found = extract("a.py", source, wanted_of("functions(own_stmts,self_calls,complexity)"))["functions"]
     assert [(f["own_stmts"], f["self_calls"], f["complexity"]) for f in found] == [(6, ["_a", "_b"], 3)]
+
+
+def test_info_leakage_in_tasks_of_few_rows(spark, monkeypatch):
+    """More rows make more tasks, not larger ones, of both joins; files and attributes are counted as by plain sets."""
+    monkeypatch.setattr(detectors, "TASK_ROWS", 100)
+    n = 100 * (int(spark.conf.get("spark.sql.shuffle.partitions")) + 9)
+    rows = [(f"f{i * i % 31}", f"v{i % 60}", f"C{i % 60}", ("_" if i % 11 == 0 else "") + f"a{i // 60 % (1 + i % 7)}") for i in range(n)]
+    attrs = spark.createDataFrame([(p, v, a, 1) for p, v, _, a in rows], "path string, receiver string, attr string, line int")
+    types = spark.createDataFrame(sorted({(p, v, c) for p, v, c, _ in rows}), "path string, name string, type string")
+    classes = spark.createDataFrame([(f"f{c % 31}", 0, f"C{c}", c) for c in range(60)], "path string, place int, name string, line int")
+    found = detectors.DETECTORS["info_leakage"](Facts(classes=classes, local_types=types, attrs=attrs))
+    tasks = -(-sum(not a.startswith("_") for *_, a in rows) // 100)
+    shuffles = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 4 and all(f", {tasks})" in x or f", {tasks}," in x for x in shuffles), shuffles
+    want = {}
+    for p, _, c, a in rows:
+        if not a.startswith("_") and p != f"f{int(c[1:]) % 31}":
+            paths, names = want.setdefault(c, (set(), set()))
+            paths.add(p), names.add(a)
+    want = {(int(c[1:]), len(a), " ".join([", ".join(sorted(p)[:5]), *([f"(+{len(p) - 5} more)"] if len(p) > 5 else [])])) for c, (p, a) in want.items() if len(p) >= 4 and len(a) >= 3}
+    assert want and {(r.line, r.measure, r.evidence) for r in found.collect()} == want
