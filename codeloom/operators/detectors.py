@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.facts import Facts, extracted, qualified
+from ..plans.facts import Facts, extracted, merged, qualified
 from ..scratch import written
 from . import graph
 
@@ -337,16 +337,16 @@ def pass_through_chains(facts: Facts, frames: int = 3) -> DataFrame:
     params = first.select("qual", "x.path", "x.line", "x.name", "x.kwargs", "x.reads", F.posexplode("x.params").alias("pos", "p")).withColumn("param", F.col("p.name"))
     args = facts.call_sites.select("caller", "callee", "place", F.posexplode("args").alias("nth", "a")).where("a.name is not null")
     target = params.select(F.col("qual").alias("callee"), F.col("param").alias("next"), "pos")
-    sent = args.join(target, "callee").where((F.col("a.pos") == F.col("pos")) | (F.col("a.kw") == F.col("next")))
+    sent = merged(args, target, "callee").where((F.col("a.pos") == F.col("pos")) | (F.col("a.kw") == F.col("next")))
     edges = sent.select(F.col("caller").alias("fn"), F.col("a.name").alias("param"), F.col("callee").alias("to"), "next", F.struct("place", "nth").alias("ord")).distinct()
     total = params.select("qual", "param", F.size(F.filter("reads", lambda r: r["name"] == F.col("param"))).alias("n_reads"))
     passed = edges.groupBy("fn", "param").agg(F.count_distinct("ord").alias("n_passed"))
-    state = total.join(passed, (F.col("qual") == F.col("fn")) & (total["param"] == passed["param"]), "left").select(F.col("qual").alias("fn"), total["param"], (F.col("n_reads") > F.coalesce("n_passed", F.lit(0))).alias("reader"))
-    start = params.where(~dunder() & F.col("kwargs").isNull()).select("path", "line", F.col("qual").alias("fn"), "param").join(state.where("not reader"), ["fn", "param"]).drop("reader")
+    state = merged(total, passed, (F.col("qual") == F.col("fn")) & (total["param"] == passed["param"]), "left").select(F.col("qual").alias("fn"), total["param"], (F.col("n_reads") > F.coalesce("n_passed", F.lit(0))).alias("reader"))
+    start = merged(params.where(~dunder() & F.col("kwargs").isNull()).select("path", "line", F.col("qual").alias("fn"), "param"), state.where("not reader"), ["fn", "param"]).drop("reader")
     ends = state.select(F.col("fn").alias("to"), F.col("param").alias("next"), F.col("reader").alias("ends"))
-    edges = written(edges.join(ends, ["to", "next"]), "passed")
+    edges = written(merged(edges, ends, ["to", "next"]), "passed")
     found = _first_chains(edges) if frames == 3 else _walked(start, edges, frames)
-    every = start.join(found, ["fn", "param"])
+    every = merged(start, found, ["fn", "param"])
     return every.select("path", "line", "fn", "param", F.concat(F.array("fn"), F.transform("tail", lambda s: s["fn"])).alias("chain"), F.size("tail").alias("measure"))
 
 
@@ -365,12 +365,12 @@ def _first_chains(edges: DataFrame) -> DataFrame:
     best = lambda options: options.groupBy("fn", "param").agg(F.min_by(F.struct("via", "tail"), "order").alias("way"))
     onward = lambda ways, *names: ways.select(F.col("fn").alias("to"), F.col("param").alias("next"), *names)
     last = onward(best(ending), F.col("way.tail").alias("rest"))
-    two = ending.unionByName(passing.join(last, ["to", "next"]).select("fn", "param", order.alias("order"), to.alias("via"), F.concat(F.array(to), "rest").alias("tail")))
+    two = ending.unionByName(merged(passing, last, ["to", "next"]).select("fn", "param", order.alias("order"), to.alias("via"), F.concat(F.array(to), "rest").alias("tail")))
     two = written(two, "ways")
     first = best(two)
-    other = two.join(first.where("way.via is not null"), ["fn", "param"]).where("not (via <=> way.via)").drop("way")
-    ways = first.join(best(other).withColumnRenamed("way", "other"), ["fn", "param"], "left")
-    step = passing.join(onward(ways, "way", "other"), ["to", "next"])
+    other = merged(two, first.where("way.via is not null"), ["fn", "param"]).where("not (via <=> way.via)").drop("way")
+    ways = merged(first, best(other).withColumnRenamed("way", "other"), ["fn", "param"], "left")
+    step = merged(passing, onward(ways, "way", "other"), ["to", "next"])
     taken = F.when(F.col("way.via").isNull() | (F.col("way.via") != here), F.col("way")).otherwise(F.col("other"))
     three = step.withColumn("taken", taken).where("taken is not null").select("fn", "param", order.alias("order"), to.alias("via"), F.concat(F.array(to), "taken.tail").alias("tail"))
     return best(ending.unionByName(three)).select("fn", "param", "way.tail")
@@ -382,7 +382,7 @@ def _walked(start: DataFrame, edges: DataFrame, frames: int) -> DataFrame:
     ends = []
     for _ in range(frames):
         step = edges.select(F.col("fn").alias("at"), F.col("param").alias("var"), "to", "next", "ord", "ends")
-        moved = live.join(step, ["at", "var"]).where(~F.array_contains("seen", _state("to", "next")))
+        moved = merged(live, step, ["at", "var"]).where(~F.array_contains("seen", _state("to", "next")))
         moved = moved.select("fn", "param", F.col("to").alias("at"), F.col("next").alias("var"), F.concat("seen", F.array(_state("to", "next"))).alias("seen"), F.concat("ords", F.array("ord")).alias("ords"), "ends")
         ends.append(moved.where("ends"))
         live = moved.where("not ends").drop("ends")

@@ -42,6 +42,12 @@ def read_facts(spark: SparkSession, root: str, wanted: str | None = None) -> Dat
     return code_source(spark).schema(ddl(wanted_of(wanted))).load(root).where("ok")
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two relations that both grow with the code, by shuffles. Sizes that Spark chooses broadcasts by are those
+    of compressed rows: what is 10 MB there can be 600 MB in the driver and in every executor."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def qualified(*parts: str | Column) -> Column:
     """The parts that aren't empty, joined by dots."""
     return F.concat_ws(".", *[F.nullif(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
@@ -100,8 +106,9 @@ class Facts:
         """path, name, type: the class, of the code, of a variable, by annotation, constructor or return type; the last
         one found."""
         names = self.classes.select(F.col("name").alias("type")).distinct()
-        returns = self.return_types.select(F.col("name").alias("type"), F.col("type").alias("returned")).join(names.withColumnRenamed("type", "returned"), "returned")
-        found = self._part("vars").join(names.withColumn("is_class", F.lit(True)), "type", "left").join(returns, "type", "left")
+        returns = self.return_types.select(F.col("name").alias("type"), F.col("type").alias("returned"))
+        returns = merged(returns, names.withColumnRenamed("type", "returned"), "returned")
+        found = merged(merged(self._part("vars"), names.withColumn("is_class", F.lit(True)), "type", "left"), returns, "type", "left")
         type_ = F.when(F.col("is_class") & (F.col("kind") != "loop"), F.col("type")).when(F.col("kind") != "class", F.col("returned"))
         return found.withColumn("known", type_).where("known is not null").groupBy("path", "name").agg(F.max_by("known", "ord").alias("type"))
 
@@ -113,7 +120,7 @@ class Facts:
         whole = modules.select(F.col("module").alias("m1"), F.col("file").alias("f1"))
         part = modules.select(F.col("module").alias("m2"), F.col("file").alias("f2"))
         longer = F.when(~F.col("is_from"), F.col("i.name")).when(F.col("i.x_module") != "", F.concat_ws(".", "i.x_module", "i.name"))
-        found = self.imports.alias("i").join(whole, F.col("i.x_module") == F.col("m1"), "left").join(part, longer == F.col("m2"), "left")
+        found = merged(merged(self.imports.alias("i"), whole, F.col("i.x_module") == F.col("m1"), "left"), part, longer == F.col("m2"), "left")
         return found.select("i.*", F.coalesce("f1", "f2").alias("target")).where("target is not null")
 
     @cached_property
@@ -123,13 +130,13 @@ class Facts:
         row has its imports and names beside its calls, so these meet where they are."""
         local = self.local_types.select("path", F.col("name").alias("head"), F.col("type").alias("ltype"))
         if self.nested is None or {"calls", "imports", "files"} & self.given:
-            return self._joined_calls.join(local, ["path", "head"], "left")
+            return merged(self._joined_calls, local, ["path", "head"], "left")
         bound = lambda is_from: F.get(F.reverse(F.filter("imports", lambda i: i["top"] & (i["is_from"] == is_from) & (i["name"] == F.col("head")))), F.lit(0))
         c = self.nested.select("path", "module", "imports", "top_defs", F.posexplode("calls").alias("place", "x")).select("path", "module", "place", "x.*", "imports", "top_defs")
         c = c.withColumns({"head": F.get("chain", F.lit(0)), "n": F.size("chain")})
         c = c.withColumns({"a": bound(False), "f": bound(True), "is_def": F.when(F.array_contains("top_defs", F.col("head")), True)})
         c = c.withColumns({"amodule": F.col("a.module"), "fmodule": F.col("f.module"), "forig": F.col("f.orig")}).drop("a", "f", "imports", "top_defs")
-        return c.join(local, ["path", "head"], "left")
+        return merged(c, local, ["path", "head"], "left")
 
     @cached_property
     def _joined_calls(self) -> DataFrame:
@@ -140,7 +147,7 @@ class Facts:
         defs = self.files.select("path", F.explode("top_defs").alias("head")).distinct().withColumn("is_def", F.lit(True))
         c = self.calls.withColumns({"head": F.get("chain", F.lit(0)), "n": F.size("chain")})
         for known in (alias, named, defs):
-            c = c.join(known, ["path", "head"], "left")
+            c = merged(c, known, ["path", "head"], "left")
         return c
 
     @cached_property
@@ -150,11 +157,12 @@ class Facts:
         methods = self.classes.select("path", "place", "module", "top", F.col("name").alias("cname"), F.explode("methods").alias("method"))
         own = methods.where("top").select("path", F.col("cname").alias("class_name"), "method", F.lit(True).alias("is_own")).distinct()
         typed = methods.groupBy(F.col("cname").alias("ltype"), "method").agg(F.min_by("module", F.struct("path", "place")).alias("cmodule"))
-        defs = self.files.select("module", F.col("path").alias("file"), F.explode("top_defs").alias("to_name")).join(self.modules, ["module", "file"])
+        defs = self.files.select("module", F.col("path").alias("file"), F.explode("top_defs").alias("to_name"))
+        defs = merged(defs, self.modules, ["module", "file"])
         defs = defs.select(F.col("module").alias("to_module"), "to_name", F.lit(True).alias("is_there")).distinct()
-        c = self._placed_calls.where("n in (1, 2)").join(own, ["path", "class_name", "method"], "left").join(typed, ["ltype", "method"], "left")
+        c = merged(merged(self._placed_calls.where("n in (1, 2)"), own, ["path", "class_name", "method"], "left"), typed, ["ltype", "method"], "left")
         to_module = F.when(F.col("n") == 1, F.col("fmodule")).when(F.col("amodule").isNotNull(), F.col("amodule")).when(F.col("forig").isNotNull(), qualified("fmodule", "forig"))
-        c = c.withColumns({"to_module": to_module, "to_name": F.when(F.col("n") == 1, F.col("forig")).otherwise(F.col("method"))}).join(defs, ["to_module", "to_name"], "left")
+        c = merged(c.withColumns({"to_module": to_module, "to_name": F.when(F.col("n") == 1, F.col("forig")).otherwise(F.col("method"))}), defs, ["to_module", "to_name"], "left")
         there = F.when(F.col("is_there"), qualified("to_module", "to_name"))
         two = (
             F.when((F.col("head") == "self") & F.col("class_name").isNotNull(), F.when(F.col("is_own"), qualified("module", "class_name", "method")))
@@ -177,7 +185,7 @@ class Facts:
         n, head, method = F.col("n"), F.col("head"), F.col("method")
         means = F.when((n > 1) & F.col("amodule").isNotNull(), F.col("amodule")).when((n < 3) & F.col("forig").isNotNull(), qualified("fmodule", "forig"))
         inside = self.modules.select(F.col("module").alias("means"), F.lit(True).alias("is_inside"))
-        c = self._placed_calls.withColumn("means", means).join(inside, "means", "left")
+        c = merged(self._placed_calls.withColumn("means", means), inside, "means", "left")
         rest = F.array_join(F.slice("chain", 2, F.greatest(n - 1, F.lit(0))), ".")
         whole, last = F.array_join("chain", "."), F.array_join(F.slice("chain", F.greatest(n - 1, F.lit(1)), 2), ".")
         symbols = (

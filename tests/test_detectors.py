@@ -433,3 +433,14 @@ def test_info_leakage_in_tasks_of_few_rows(spark, monkeypatch):
             paths.add(p), names.add(a)
     want = {(int(c[1:]), len(a), " ".join([", ".join(sorted(p)[:5]), *([f"(+{len(p) - 5} more)"] if len(p) > 5 else [])])) for c, (p, a) in want.items() if len(p) >= 4 and len(a) >= 3}
     assert want and {(r.line, r.measure, r.evidence) for r in found.collect()} == want
+
+
+def test_relations_of_the_code_are_not_broadcast(spark):
+    """Joins of what grows with the code are shuffled, however small Spark believes a side to be."""
+    files = spark.createDataFrame([("a.py", "def f(a):\n    return g(a)\ndef g(a):\n    return h(a)\ndef h(a):\n    return a + 1\n")], "path string, source string")
+    found = DETECTORS["pass_through_variable"](detectors.facts_for(files, ["pass_through_variable"], keep=True))
+    assert [(r.line, r.measure) for r in found.collect()] == [(1, 2.0)]
+    facts = detectors.facts_for(files, ["pass_through_variable", "import_cycle"])
+    for made in (found, facts.call_sites, facts.external_calls, facts.import_targets):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
