@@ -649,3 +649,18 @@ def test_sharding(spark, docs, rows, none):
     same = spark.createDataFrame([(7, "x" * 100)] * 50, "doc_id long, text string")
     size = collections.Counter(r.shard for r in extendible_hashing.shard(same, 1000).collect())
     assert sum(size.values()) == 50 and max(size.values()) <= 10 and extendible_hashing.shard(none).count() == 0
+
+
+def test_search_words_of_many_texts_at_once():
+    """Words and their texts as a regular expression finds them; equal words have equal hashes and others don't, also long
+    words and slices; nulls and empty texts have none."""
+    import random
+    import re
+
+    pa, rng = bm25_search.pa, random.Random(9)
+    texts = [None, "", "-", "Äb-C1 ", "x" * 70_000 + " y", "y " + "X" * 70_000, "ab" * 32_768, *("".join(rng.choice("abAB01 -é\x00\n") for _ in range(rng.randrange(200))) for _ in range(500))]
+    for kind, first in ((pa.string(), 0), (pa.large_string(), 3), (pa.string(), len(texts))):
+        terms, docs = bm25_search.words_of(pa.array(texts, kind).slice(first))
+        want = [(i, w) for i, t in enumerate(texts[first:]) for w in re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())]
+        known = dict(zip((w for _, w in want), terms.tolist()))
+        assert docs.tolist() == [i for i, _ in want] and terms.tolist() == [known[w] for _, w in want] and len(set(known.values())) == len(known)
