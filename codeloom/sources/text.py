@@ -40,9 +40,9 @@ class TextWriter(DataSourceWriter):
         self.file = Path(options["path"])
         self.head, self.separator, self.tail, self.empty = (options[k][1:] for k in ("head", "separator", "tail", "empty"))
         self.pieces = self.file.parent / f".{self.file.name}-{options['run']}"
+        self.pieces.mkdir(exist_ok=True)  # on the driver only: tasks that go on after an abort must not make it anew
 
     def write(self, iterator: Iterator[Row]) -> Piece:
-        self.pieces.mkdir(exist_ok=True)
         partition, rows = TaskContext.get().partitionId(), 0
         path = self.pieces / f"{partition:08d}-{uuid.uuid4().hex}"  # an attempt's own
         with path.open("w", encoding="utf-8", newline="") as out:

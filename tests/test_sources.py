@@ -139,3 +139,14 @@ def test_release(spark):
     assert Path(path).exists()
     release(spark)
     assert not Path(path).exists() and own_path(spark, "x")
+
+
+def test_task_after_an_abort_leaves_no_pieces(tmp_path, monkeypatch):
+    from codeloom.sources import text
+
+    monkeypatch.setattr(text, "TaskContext", type("", (), {"get": staticmethod(lambda: type("", (), {"partitionId": lambda self: 0})())}))
+    writer = text.TextWriter({"path": str(tmp_path / "out.txt"), "run": "r", "head": "|", "separator": "|", "tail": "|", "empty": "|"})
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([]))
+    assert not list(tmp_path.iterdir())
