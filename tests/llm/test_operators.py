@@ -586,6 +586,53 @@ def test_matrix_skips_nothing(dense, monkeypatch):
     assert sorted(matrix.search(packed, floors, 5)) == sorted((q, d, s) for q, d, s in hits if (-s, d) < third[q])
 
 
+def test_texts_of_two_languages_have_matrices_of_their_own(monkeypatch):
+    """As many terms as a matrix may have are common in each of them; none is left to postings, and no score is lost."""
+    monkeypatch.setattr(bm25_search, "DENSE_TERMS", 100)
+    added, ranges = [], bm25_search._ranges
+    monkeypatch.setattr(bm25_search, "_ranges", lambda first, sizes: (added.append(int(sizes.sum())), ranges(first, sizes))[1])
+    index, rng = bm25_search.Index(80.0), random.Random(5)
+    texts = [" ".join(f"{'ab'[i % 2]}{rng.randrange(100)}" for _ in range(80)).encode() for i in range(400)]
+    index.add(list(range(400)), texts)
+    index.close()
+    matrix, query, place, weight = bm25_search.Matrix(index), [], [], []
+    for q in range(40):
+        terms = np.unique(bm25_search.terms_of(texts[q]))
+        query += [q] * len(terms)
+        place += np.searchsorted(matrix.terms, terms).tolist()
+        weight += [1.0 + t % 7 for t in terms.tolist()]
+    query, place, weight = np.array(query), np.array(place), np.array(weight)
+    got = matrix.bounds(40, query, place, weight)
+    asked, impacts = np.zeros((40, len(matrix.terms))), np.zeros((len(matrix.terms), 400))
+    asked[query, place] = weight
+    impacts[np.searchsorted(matrix.terms, index.terms), index.docs] = index.impacts
+    assert np.allclose(got, (asked @ impacts)[:, matrix.ids], rtol=bm25_search.ERROR)
+    assert sum(added) == 0
+
+
+@pytest.mark.parametrize(("dense", "products"), [(768, 0), (768, 10**9), (3, 600)])
+def test_products_and_postings_give_the_same_scores(dense, products, monkeypatch):
+    """Whatever share of a matrix is left to its postings, and with documents of many terms, scored by themselves."""
+    monkeypatch.setattr(bm25_search, "DENSE_TERMS", dense)
+    monkeypatch.setattr(bm25_search, "PRODUCTS", products)
+    index, rng = bm25_search.Index(150.0), random.Random(6)
+    texts = [" ".join(f"{'abc'[i % 3]}{int(rng.paretovariate(0.4)) % 900}" for _ in range(rng.choice((20, 150, 900)))).encode() for i in range(150)]
+    index.add(list(range(150)), texts + [])
+    index.close()
+    matrix = bm25_search.Matrix(index)
+    assert matrix.doc_sizes.max() >= bm25_search.LONG > matrix.doc_sizes.min()
+    terms = [np.unique(bm25_search.terms_of(t)) for t in texts[:30]]
+    query, place = np.repeat(np.arange(30), [len(t) for t in terms]), np.searchsorted(matrix.terms, np.concatenate(terms))
+    weight = 1.0 + place % 5
+    impacts, asked = np.zeros((len(matrix.terms), 150)), np.zeros((30, len(matrix.terms)))
+    impacts[np.searchsorted(matrix.terms, index.terms), index.docs], asked[query, place] = index.impacts, weight
+    want = (asked @ impacts)[:, matrix.ids]
+    assert np.allclose(matrix.bounds(30, query, place, weight), want, rtol=bm25_search.ERROR)
+    rows, docs = np.divmod(np.arange(30 * 150), 150)
+    exact = matrix.scores(rows, docs, np.searchsorted(query, np.arange(31)), place, weight)
+    assert np.allclose(exact, want.ravel(), rtol=1e-12)
+
+
 def test_chunks_are_not_copied_for_every_shard(docs):
     """Chunks meet indexes in a cartesian product; no row is made, shuffled and sorted for each pair of them."""
     plan = bm25_search.top_k(docs, docs.selectExpr("doc_id AS query_id", "text"), k=4, shard_bytes=1500)._jdf.queryExecution().executedPlan().toString()
